@@ -1,0 +1,107 @@
+import json
+import math
+
+import pytest
+from pyspark.sql import functions as F
+
+from turnwise.operators import formats, labels, splits, tokens
+from turnwise.plans import prepare
+from turnwise.sources.registry import instruction_spec
+from turnwise.streaming.follow import prepare_arrivals
+from test_sources import prompts, save_split
+
+BYTES = tokens.ByteEncoder()
+
+
+@pytest.fixture
+def raw(tmp_path):
+    (tmp_path / "raw" / "alpaca").mkdir(parents=True)
+    rows = [{"instruction": f"say {i}", "input": "x" * i if i % 2 else "", "output": "y"} for i in range(100)]
+    rows.append({"instruction": None, "input": "x", "output": "y"})
+    (tmp_path / "raw" / "alpaca" / "alpaca_data.json").write_text(json.dumps(rows))
+    save_split(tmp_path / "raw" / "ultrafeedback", [prompts(0, 30)])
+    return [str(tmp_path / "raw")]
+
+
+def test_unknown_corpus_is_refused_first(spark):
+    with pytest.raises(ValueError, match="Unknown dataset"):
+        prepare.load_instruction_corpus(spark, "nope", BYTES)
+    with pytest.raises(ValueError):
+        prepare.PrepareOptions(on_overflow="wrap")
+
+
+def test_prepare_instruction_corpus(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    options = prepare.PrepareOptions(max_seq_length=120, validation_size=0.05)
+    rows, stats = prepare.prepare_instruction_corpus(spark, "alpaca", BYTES, out, options, raw)
+    assert rows.count() == 100 and set(rows.columns) == {
+        "row_id", "messages", "input_ids", "attention_mask", "labels", "split"
+    }
+    got = {r.split: r for r in stats.collect()}
+    assert got["validation"].n_rows == 5 and got["train"].n_rows == 95 and got["train"].max_tokens == 120
+    assert (tmp_path / "out" / "alpaca_sft" / "split=train").is_dir()
+    # a second run reads what is there, even when the source is gone
+    again, _ = prepare.prepare_instruction_corpus(spark, "alpaca", BYTES, out, options, ["/nowhere"])
+    assert again.count() == 100
+    assert prepare.rejected_rows(spark, "alpaca", raw).count() == 1
+
+
+def test_overflow_drop(spark, raw, tmp_path):
+    keep = prepare.PrepareOptions(max_seq_length=120)
+    drop = prepare.PrepareOptions(max_seq_length=120, on_overflow="drop")
+    kept = prepare.load_instruction_corpus(spark, "alpaca", BYTES, keep, raw)
+    dropped, _ = prepare.prepare_instruction_corpus(spark, "alpaca", BYTES, str(tmp_path / "out"), drop, raw)
+    whole = prepare.load_instruction_corpus(spark, "alpaca", BYTES, prepare.PrepareOptions(), raw)
+    short = {r.row_id for r in whole.filter(F.size("input_ids") <= 120).collect()}
+    assert kept.count() == 100 and 0 < len(short) < 100
+    assert {r.row_id for r in dropped.collect()} == short
+    assert dropped.filter("split = 'validation'").count() == math.ceil(len(short) * 0.02)
+
+
+def test_preference_path(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    rows, total = prepare.prepare_preference_corpus(spark, "ultrafeedback", out, raw)
+    assert total.first().n_rows == 30 and rows.columns == ["row_id", "prompt", "chosen", "rejected"]
+    assert rows.filter("row_id = 3").first().chosen == "a3"
+    split = prepare.preference_training_rows(spark, "ultrafeedback", out, raw)
+    assert {r.split: r["count"] for r in split.groupBy("split").count().collect()} == {"train": 29, "validation": 1}
+
+
+def test_skip_existing_and_incomplete_targets(spark, tmp_path):
+    path = str(tmp_path / "t")
+    prepare.write_prepared(spark.range(3), path)
+    prepare.write_prepared(spark.range(9), path, skip_existing=True)
+    assert spark.read.parquet(path).count() == 3
+    (tmp_path / "half").mkdir()
+    with pytest.raises(ValueError, match="not written to the end"):
+        prepare.read_or_build(spark, str(tmp_path / "half"), lambda: spark.range(1))
+    assert prepare.read_or_build(spark, str(tmp_path / "new"), lambda: spark.range(4)).count() == 4
+
+
+def test_reading_one_split_prunes_the_others(spark, tmp_path):
+    from turnwise.sources.corpora import read_instruction_corpus
+
+    df = splits.exact_split(spark.range(100).selectExpr("id row_id", "'i' instruction", "'' input", "'o' output"))
+    prepare.write_prepared(df, str(tmp_path / "alpaca"))
+    got = read_instruction_corpus(spark, instruction_spec("alpaca"), [str(tmp_path)])
+    assert got.count() == 98 and "PartitionFilters: [isnotnull(split" in got._jdf.queryExecution().toString()
+
+
+def test_stream_gives_the_batch_answer(spark, tmp_path):
+    spec = instruction_spec("alpaca")
+
+    def transform(df):
+        rows = labels.completion_examples(formats.format_corpus(df, spec), BYTES, 100)
+        return splits.hash_split(rows, test_size=0.2)
+
+    source = str(tmp_path / "in")
+    df = spark.range(0, 60, 1, 3).selectExpr("id row_id", "concat('q', id) instruction", "'' input", "repeat('o', int(id)) output")
+    df.limit(30).write.parquet(source)
+    paths = [str(tmp_path / "out"), str(tmp_path / "checkpoint")]
+    prepare_arrivals(spark, source, df.schema, transform, *paths)
+    assert spark.read.parquet(paths[0]).count() == 30
+    df.filter("row_id >= 1000").union(df.subtract(df.limit(30))).write.mode("append").parquet(source)
+    prepare_arrivals(spark, source, df.schema, transform, *paths)
+    streamed = {(r.row_id, r.split, tuple(r.labels)) for r in spark.read.parquet(paths[0]).collect()}
+    batch = {(r.row_id, r.split, tuple(r.labels)) for r in transform(spark.read.parquet(source)).collect()}
+    assert streamed == batch and len(streamed) == 60

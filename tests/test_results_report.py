@@ -1,0 +1,178 @@
+import json
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from turnwise.functions import result_json
+from turnwise.operators import metrics
+from turnwise.plans import report
+from turnwise.sources import results
+
+import recorded
+
+
+def now():
+    return F.lit("2025-12-31 14:02:04").cast("timestamp")
+
+
+@pytest.fixture(scope="module")
+def model_dirs(tmp_path_factory):
+    """Result files with equal modification times, one model below a directory Spark would hide."""
+    root = tmp_path_factory.mktemp("eval")
+    for path, doc in {
+        "base/__share__model/results_1.json": recorded.document({"other": {"acc,none": 0.1}}, recorded.DATES["base_early"]),
+        "base/__share__model/results_2.json": recorded.document(recorded.BASE, recorded.DATES["base"]),
+        "sft/merged/results_3.json": recorded.document(recorded.SFT, recorded.DATES["sft"]),
+        "dpo/merged/deep/results_4.json": recorded.document(recorded.DPO, recorded.DATES["dpo"]),
+        "dpo/merged/deep/samples_4.json": {"results": {}},
+    }.items():
+        target = root / path
+        target.parent.mkdir(parents=True, exist_ok=True)
+        target.write_text(json.dumps(doc, indent=2))
+        os.utime(target, (0, 0))
+    return {m: str(root / m) for m in ("base", "sft", "dpo")}
+
+
+def as_dict(df):
+    got = {}
+    for r in df.collect():
+        got.setdefault(r.model, {})[r.task] = r.value
+    return got
+
+
+def bodies(spark, results_map):
+    return spark.createDataFrame([("m", json.dumps({"results": results_map}))], "model string, body string")
+
+
+def picked(spark, task):
+    return [r.value for r in metrics.extract_metrics(bodies(spark, {"t": task})).collect()]
+
+
+def test_recorded_results_end_to_end(spark, model_dirs):
+    scanned = results.scan_results(spark, model_dirs)
+    assert scanned.count() == 4
+    assert as_dict(report.collect_metrics(spark, model_dirs)) == recorded.METRICS
+    counts = metrics.extract_sample_counts(results.find_latest_results(spark, model_dirs))
+    assert {(r.task, r.original) for r in counts.collect()} == set(recorded.SAMPLES.items())
+
+
+def test_newer_file_wins_over_later_date(spark, model_dirs):
+    rows = [("m", 2, '{"date": 1}'), ("m", 1, '{"date": 9}')]
+    df = spark.createDataFrame(rows, "model string, modified int, body string")
+    assert metrics.latest_results(df).first().body == '{"date": 1}'
+
+
+def test_missing_directory_and_no_files(spark, tmp_path):
+    with pytest.warns(UserWarning):
+        assert results.find_latest_results(spark, {"base": str(tmp_path / "no")}).count() == 0
+    with pytest.warns(UserWarning):
+        assert results.find_latest_results(spark, {"base": str(tmp_path)}).count() == 0
+
+
+def test_report_files(spark, model_dirs, tmp_path):
+    heading = report.ReportHeading("Report", {"base": "B", "sft": "S", "dpo": "D"})
+    report.write_report(spark, model_dirs, str(tmp_path), heading, now())
+
+    def text(name):
+        parts = sorted(p for p in (tmp_path / name).iterdir() if p.name.startswith("part-"))
+        return b"".join(p.read_bytes() for p in parts).decode()
+
+    assert text("comparison.csv") == "".join(line + "\r\n" for line in recorded.COMPARISON)
+    loaded = json.loads(text("metrics.json"))
+    assert loaded == {"timestamp": "2025-12-31T14:02:04.000000", **recorded.METRICS}
+    assert list(loaded) == ["timestamp", "base", "sft", "dpo"]
+    md = text("evaluation_report.md").split("\n")
+    assert md[:5] == ["# Report", "", "生成时间: 2025-12-31 14:02:04", "", "## 模型对比"]
+    assert "| SFT | S |" in md and "| arc_challenge | 48.12 | 54.18 | 54.69 | +6.1% | +0.5% |" in md
+    tail = md[md.index("## 平均性能"):]
+    assert tail[2:9] == [
+        f"- **Base 平均**: {recorded.AVERAGES['base']}%",
+        f"- **SFT 平均**: {recorded.AVERAGES['sft']}%",
+        f"- **DPO 平均**: {recorded.AVERAGES['dpo']}%",
+        "",
+        f"- SFT 相对 Base 提升: **{recorded.GAINS[0]}**",
+        f"- DPO 相对 SFT 提升: **{recorded.GAINS[1]}**",
+        "",
+    ]
+    assert tail[9] == "## 结论"
+    (tmp_path / "one.json").write_text(text("metrics.json"))
+    assert as_dict(results.load_metrics(spark, str(tmp_path / "one.json"))) == recorded.METRICS
+
+
+def test_empty_report(spark, tmp_path):
+    none = spark.createDataFrame([], "model string, task string, value double")
+    assert not report.write_lines(report.csv_lines(metrics.comparison(none)), str(tmp_path / "c.csv"))
+    assert not (tmp_path / "c.csv").exists()
+    text = [r.line for r in report.markdown_lines(spark, none, report.ReportHeading("R", {}), now()).orderBy("section", "item").collect()]
+    assert "- **Base 平均**: 0.00%" in text and not any("提升" in t for t in text)
+    lines = report.json_lines(spark, none, now()).orderBy("section", "item").collect()
+    assert json.loads("\n".join(r.line for r in lines)) == {
+        "timestamp": "2025-12-31T14:02:04.000000", "base": {}, "sft": {}, "dpo": {}
+    }
+
+
+def test_json_escapes_and_order(spark):
+    rows = [("base", 'b"x', 0.5), ("base", "a\n", 0.25), ("base", "skipped", None), ("dpo", "z", 1.0)]
+    df = spark.createDataFrame(rows, "model string, task string, value double")
+    lines = report.json_lines(spark, df, now()).orderBy("section", "item").collect()
+    got = json.loads("\n".join(r.line for r in lines))
+    assert got["base"] == {"a\n": 0.25, 'b"x': 0.5} and got["sft"] == {} and got["dpo"] == {"z": 1.0}
+
+
+def test_metric_choice(spark):
+    assert picked(spark, {"acc_norm,none": 0.2, "acc,none": 0.1}) == [0.1]
+    assert picked(spark, {"pass@1,none": 0.3, "exact_match,none": 0.4}) == [0.4]
+    assert picked(spark, {"alias": "t", "z,strict": 0.6, "a,flexible": 0.7}) == [0.6]
+    assert picked(spark, {"n": "0.5", "alias_no": 1, "flag": True, "later": 2}) == [1.0]
+    assert picked(spark, {"alias": "t", "n": "0.5", "none": None}) == []
+    assert picked(spark, {"acc,none": None, "other": 0.5}) == [None]
+    assert picked(spark, {"big": 12345678901234567890, "x": 1}) == [1.2345678901234567e19]
+    assert picked(spark, {"acc,none": 0}) == [0.0]
+
+
+def test_body_without_results(spark):
+    df = spark.createDataFrame([("m", "{}"), ("n", "not json")], "model string, body string")
+    assert metrics.extract_metrics(df).count() == 0
+
+
+def test_result_date_is_epoch_seconds(spark):
+    df = spark.createDataFrame([('{"date": 1767175834.4936323}',)], "body string")
+    got = df.select(F.date_format(F.timestamp_seconds(result_json.run_date(F.col("body"))), "yyyy-MM-dd HH:mm:ss")).first()[0]
+    assert got == "2025-12-31 10:10:34"
+
+
+def table(spark, rows):
+    return spark.createDataFrame(rows, "model string, task string, value double")
+
+
+def test_comparison_edges(spark):
+    df = table(spark, [("base", "zero", 0.0), ("sft", "zero", 0.1), ("base", "same", 0.5), ("sft", "same", 0.5), ("dpo", "lone", 0.3)])
+    got = {r.task: r for r in metrics.comparison(df).collect()}
+    assert got["zero"].sft_vs_base == pytest.approx(10.0) and got["zero"].base == 0.0
+    assert got["lone"].base is None and got["lone"].dpo_vs_sft is None
+    shown = {r.task: tuple(r)[1:] for r in metrics.comparison_text(metrics.comparison(df)).collect()}
+    assert shown["zero"] == ("N/A", "10.00", "N/A", "+10.0%", "")
+    assert shown["same"] == ("50.00", "50.00", "N/A", "0.0%", "")
+    assert shown["lone"] == ("N/A", "N/A", "30.00", "", "")
+    assert [r.task for r in metrics.sorted_tasks(metrics.comparison(df)).collect()] == ["lone", "same", "zero"]
+
+
+def test_averages_and_gains(spark):
+    df = table(spark, [(m, t, v) for m, ts in recorded.METRICS.items() for t, v in ts.items()] + [("base", "none", None)])
+    got = {r.model: f"{r.average * 100:.2f}" for r in metrics.model_averages(df).collect()}
+    assert got == recorded.AVERAGES
+    gains = metrics.average_gains(df).orderBy("stage_no").collect()
+    assert [r.model for r in gains] == ["base", "sft", "dpo"] and gains[0].gain is None
+    assert [f"{r.gain:+.2f}%" for r in gains[1:]] == recorded.GAINS
+    per_task = {(r.task, r.model): r.gain for r in metrics.stage_gains(df).collect()}
+    assert per_task["gsm8k", "base"] is None and per_task["gsm8k", "sft"] == pytest.approx(3.108415, abs=1e-6)
+    assert {r.model: r.average for r in metrics.model_averages(df.limit(0)).collect()} == {"base": 0.0, "sft": 0.0, "dpo": 0.0}
+    assert {r.model: r.n_tasks for r in metrics.tasks_per_model(df).collect()} == {"base": 6, "sft": 5, "dpo": 5}
+
+
+def test_lookup_drops_and_reports_incomplete_tasks(spark):
+    df = table(spark, [("base", "a", 0.5), ("sft", "a", 0.6), ("dpo", "a", 0.7), ("base", "b", 0.5), ("dpo", "c", 0.5)])
+    assert [tuple(r) for r in metrics.complete_tasks(df).collect()] == [("a", 50.0, 60.0, 70.0)]
+    assert [r.task for r in metrics.incomplete_tasks(df).collect()] == ["b"]
+    assert sorted(r.task for r in metrics.task_names(df).collect()) == ["a", "b", "c"]

@@ -39,7 +39,8 @@ def messages_from_turns(
 
     The group is ``(conv, span_no)``: where ``(conv, turn)`` is a key it holds at most ``span`` rows however long the
     conversation is. Turn numbers that repeat can still make a span large. A count over the key columns alone looks
-    for such spans first; if there are any, their rows are dealt to slots of about ``span`` rows each.
+    for such spans first; if there are any, their rows are dealt to slots of about ``span`` rows each. ``turns`` should
+    come from files, not from a shuffle, for the dealing to be repeatable when a task is run again.
     """
     numbered = turns.withColumn("span_no", span_of(F.col(turn), span))
     large = _slots(turns, conv, turn, span)
@@ -47,8 +48,8 @@ def messages_from_turns(
     if n_large == 0:
         dealt = numbered.withColumn("slot", F.lit(0).cast("bigint"))
     else:
-        # the input partition is mixed in, so that copies of one turn are dealt out as well
-        mix = F.xxhash64(turn, role, content, F.spark_partition_id())
+        # by place in the input, so that copies of one turn are dealt out as well; a re-read split gives the same places
+        mix = F.xxhash64(F.monotonically_increasing_id())
         hinted = F.broadcast(large) if n_large <= MAX_LARGE else large
         dealt = (
             numbered.withColumn("mix", mix)

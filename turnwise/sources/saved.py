@@ -77,7 +77,7 @@ def _source_class():
             from pyspark.sql.pandas.types import to_arrow_schema
 
             shard, path, part, parts = partition.value
-            wanted = to_arrow_schema(self.schema, timezone="UTC")
+            wanted = to_arrow_schema(self.schema)
             system, inner = fs.FileSystem.from_uri(path)
             local = isinstance(system, fs.LocalFileSystem)
             offset = shard * int(self.options["shard_rows"])
