@@ -158,6 +158,12 @@ def test_comparison_edges(spark):
     assert [r.task for r in metrics.sorted_tasks(metrics.comparison(df)).collect()] == ["lone", "same", "zero"]
 
 
+def test_csv_quoting(spark):
+    df = table(spark, [("dpo", 'a "b", c', 0.3), ("base", " x", 0.5)])
+    lines = [r.line for r in report.csv_lines(metrics.comparison(df)).orderBy("section", "item").collect()]
+    assert lines[1:] == [" x,50.00,N/A,N/A,,", '"a ""b"", c",N/A,N/A,30.00,,']
+
+
 def test_averages_and_gains(spark):
     df = table(spark, [(m, t, v) for m, ts in recorded.METRICS.items() for t, v in ts.items()] + [("base", "none", None)])
     got = {r.model: f"{r.average * 100:.2f}" for r in metrics.model_averages(df).collect()}

@@ -26,7 +26,7 @@ def assign_batches(
     The order is worked out on the key alone, so the wide rows are shuffled once, by key, to receive their number.
     """
     index = seeded_index(df, row_id, seed, prefix)
-    numbered = index.select(row_id, F.floor(F.col("index") / batch_size).cast("bigint").alias("batch_id"))
+    numbered = index.select(row_id, F.call_function("div", F.col("index"), F.lit(batch_size)).alias("batch_id"))
     return df.join(numbered, row_id)
 
 

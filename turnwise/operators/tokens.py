@@ -209,10 +209,14 @@ def build_vocabulary(
 
 def collect_vocabulary(vocabulary: DataFrame, reserved: Sequence[str] = ()) -> list[str]:
     """The token list in id order, for :class:`RegexEncoder`. Its size is checked before anything is fetched."""
-    n, size = vocabulary.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
-    if n > MAX_SHIPPED_TOKENS or (size or 0) > MAX_SHIPPED_BYTES:
-        raise ValueError("vocabulary too large to ship to every worker; use encode_by_join")
-    return list(reserved) + [r.token for r in vocabulary.select("token", "id").orderBy("id").toLocalIterator()]
+    kept = vocabulary.select("token", "id").persist()
+    try:
+        n, size = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+        if n > MAX_SHIPPED_TOKENS or (size or 0) > MAX_SHIPPED_BYTES:
+            raise ValueError("vocabulary too large to ship to every worker; use encode_by_join")
+        return list(reserved) + [r.token for r in sorted(kept.collect(), key=lambda r: r.id)]
+    finally:
+        kept.unpersist()
 
 
 def encode_by_join(

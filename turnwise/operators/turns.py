@@ -18,7 +18,7 @@ MAX_LARGE = 1 << 20  # spans a broadcast may list, about 32 MB
 
 
 def span_of(turn: Column, span: int = SPAN) -> Column:
-    return F.floor(turn / span).cast("bigint")
+    return F.call_function("div", turn, F.lit(span))
 
 
 def _slots(turns: DataFrame, conv: str, turn: str, span: int) -> DataFrame:

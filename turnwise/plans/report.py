@@ -16,6 +16,8 @@ from turnwise.operators.metrics import STAGES, comparison, comparison_text, extr
 from turnwise.sources.results import find_latest_results
 
 CRLF = "\r\n"
+# quotes doubled, empty strings and blanks written as they are
+CSV = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 LINES = "section int, item string, line string"
 
 # --- fixed values: wording of the Markdown report ----------------------------------------------
@@ -57,7 +59,7 @@ def _fixed(spark: SparkSession, first: int, lines: Sequence[str]) -> DataFrame:
 def csv_lines(compared: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
     """Header and one line per task; no line at all when there are no tasks."""
     shown = comparison_text(compared, stages)
-    body = shown.select(F.lit(1).alias("section"), F.col("task").alias("item"), F.to_csv(F.struct("*")).alias("line"))
+    body = shown.select(F.lit(1).alias("section"), F.col("task").alias("item"), F.to_csv(F.struct("*"), CSV).alias("line"))
     header = shown.limit(1).select(
         F.lit(0).alias("section"), F.lit("").alias("item"), F.lit(",".join(shown.columns)).alias("line")
     )
@@ -156,8 +158,11 @@ def write_report(
     now = F.current_timestamp() if now is None else now
     # a few rows per benchmark, used by three documents: kept so that the result files are read once
     metrics = collect_metrics(spark, model_dirs).cache()
-    compared = comparison(metrics, stages)
-    write_lines(csv_lines(compared, stages), f"{out}/comparison.csv", CRLF)
-    write_lines(markdown_lines(spark, metrics, heading, now, stages), f"{out}/evaluation_report.md")
-    write_lines(json_lines(spark, metrics, now, stages), f"{out}/metrics.json")
+    try:
+        compared = comparison(metrics, stages)
+        write_lines(csv_lines(compared, stages), f"{out}/comparison.csv", CRLF)
+        write_lines(markdown_lines(spark, metrics, heading, now, stages), f"{out}/evaluation_report.md")
+        write_lines(json_lines(spark, metrics, now, stages), f"{out}/metrics.json")
+    finally:
+        metrics.unpersist()
     return compared
