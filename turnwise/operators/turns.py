@@ -110,16 +110,18 @@ def first_answered(
 ) -> DataFrame:
     """One row per conversation: first user and system text, first and last assistant text, answer count.
 
-    ``min_by``/``max_by`` keep one text per group, so map tasks send one row per conversation they saw.
+    Each is a minimum or maximum over ``(turn, text)``, which keeps one text per group and does not depend on row
+    order; map tasks send one row per conversation they saw.
     """
 
-    def pick(fn, who: str) -> Column:
-        return fn(F.when(F.col(role) == who, F.col(content)), F.when(F.col(role) == who, F.col(turn)))
+    def pick(extreme, who: str) -> Column:
+        placed = F.struct(F.col(turn).alias("turn"), F.col(content).alias("text"))
+        return extreme(F.when(F.col(role) == who, placed))["text"]
 
     return turns.groupBy(conv).agg(
-        pick(F.min_by, "user").alias("asked"),
-        F.coalesce(pick(F.min_by, "system"), F.lit("")).alias("system"),
-        pick(F.min_by, "assistant").alias("answered"),
-        pick(F.max_by, "assistant").alias("answered_last"),
+        pick(F.min, "user").alias("asked"),
+        F.coalesce(pick(F.min, "system"), F.lit("")).alias("system"),
+        pick(F.min, "assistant").alias("answered"),
+        pick(F.max, "assistant").alias("answered_last"),
         F.count_if(F.col(role) == "assistant").alias("n_answers"),
     )

@@ -1,7 +1,7 @@
 """Datasets saved as Arrow shards: one folder per split, each with a ``state.json`` that names its shards.
 
 The scan is a Python data source with one partition per slice of a shard. A shard is a stream of record batches; large
-shards are sliced by batch number, so no task has to emit more than about ``SLICE`` bytes.
+shards in mapped files are sliced by batch number, so that a task emits about ``SLICE`` bytes.
 """
 
 from __future__ import annotations
@@ -105,13 +105,23 @@ def _source_class():
 
 
 def _shards(spark: SparkSession, folder: str, slice_bytes: int) -> list[tuple[str, int]]:
+    """``(uri, number of slices)``. Only mapped files are sliced: a remote stream has to be read up to the batch wanted,
+    so there a shard is one partition, as large as its writer made it."""
     names = [d["filename"] for d in json.loads(_text(spark, f"{folder}/state.json"))["_data_files"]]
-    sizes = {f.name: f for f in files.children(spark, folder)}
-    return [(_uri(sizes[n].path), -(-sizes[n].length // slice_bytes) or 1) for n in names]
+    found = {f.name: f for f in files.children(spark, folder)}
+    shards = []
+    for name in names:
+        uri = _uri(found[name].path)
+        slices = -(-found[name].length // slice_bytes) if uri.startswith("file:") else 1
+        shards.append((uri, max(slices, 1)))
+    return shards
 
 
 def _uri(path: str) -> str:
-    return "file://" + path[len("file:"):] if path.startswith("file:/") and not path.startswith("file://") else path
+    """Hadoop's spelling of a path to the one Arrow's file systems know."""
+    if path.startswith("file:/") and not path.startswith("file://"):
+        return "file://" + path.removeprefix("file:")
+    return path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
 
 
 def _arrow_schema(uri: str):
