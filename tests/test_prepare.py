@@ -78,6 +78,15 @@ def test_skip_existing_and_incomplete_targets(spark, tmp_path):
     assert prepare.read_or_build(spark, str(tmp_path / "new"), lambda: spark.range(4)).count() == 4
 
 
+def test_even_files(spark, tmp_path):
+    df = splits.exact_split(spark.range(0, 1000, 1, 40).withColumnRenamed("id", "row_id"))
+    prepare.write_prepared(df, str(tmp_path / "scattered"))
+    prepare.write_prepared(df, str(tmp_path / "even"), even_files=True)
+    files = {n: len(list((tmp_path / n).rglob("*.parquet"))) for n in ("scattered", "even")}
+    assert files["even"] == 2 < files["scattered"]
+    assert spark.read.parquet(str(tmp_path / "even")).count() == 1000
+
+
 def test_reading_one_split_prunes_the_others(spark, tmp_path):
     from turnwise.sources.corpora import read_instruction_corpus
 

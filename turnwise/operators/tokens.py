@@ -13,10 +13,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
-# Letter/digit runs or single other characters; blanks separate. Chat markers stay whole.
+# Letter/digit runs, whole chat markers, or single other characters; blanks separate. The common case is tried first.
 TOKEN_PATTERN = (
-    r"<\|im_start\|>|<\|im_end\|>"
-    r"|[\p{L}\p{M}\p{N}_]+|[^\p{L}\p{M}\p{N}_ \t\n\r\f\x0B]"
+    r"[\p{L}\p{M}\p{N}_]+"
+    r"|<\|im_start\|>|<\|im_end\|>"
+    r"|[^\p{L}\p{M}\p{N}_ \t\n\r\f\x0B]"
 )
 MAX_SHIPPED_TOKENS = 1 << 20
 MAX_SHIPPED_BYTES = 64 << 20

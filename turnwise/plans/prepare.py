@@ -82,11 +82,19 @@ def prepared_path(out: str, name: str, kind: str) -> str:
     return f"{out.rstrip('/')}/{name}_{kind}"
 
 
-def write_prepared(df: DataFrame, path: str, skip_existing: bool = False) -> None:
-    """Parquet, one folder per split when there is one. ``skip_existing`` leaves an existing target alone."""
+def write_prepared(df: DataFrame, path: str, skip_existing: bool = False, even_files: bool = False) -> None:
+    """Parquet, one folder per split when there is one. ``skip_existing`` leaves an existing target alone.
+
+    By default each task writes what it holds, without a shuffle, which makes as many small validation files as there
+    are tasks. ``even_files`` pays one adaptive shuffle for files of the advisory partition size in both folders; the
+    large split is cut into as many partitions as it needs.
+    """
+    parts = ["split"] if "split" in df.columns else []
+    if even_files:
+        df = df.hint("rebalance", *parts)
     writer = df.write.mode("ignore" if skip_existing else "errorifexists")
-    if "split" in df.columns:
-        writer = writer.partitionBy("split")
+    if parts:
+        writer = writer.partitionBy(*parts)
     writer.parquet(path)
 
 
