@@ -83,6 +83,16 @@ def test_quarantine_is_the_complement(spark):
     assert sorted(r.row_id for r in formats.quarantined_rows(df, spec).collect()) == [2, 3]
 
 
+def test_messages_without_text_are_quarantined(spark):
+    df = spark.createDataFrame(
+        [(1, [("human", "h")]), (2, [("human", "h"), ("gpt", None)]), (3, None), (4, [(None, "x")])],
+        "row_id bigint, conversations array<struct<from:string,value:string>>",
+    )
+    spec = instruction_spec("sharegpt")
+    assert sorted(r.row_id for r in formats.usable_rows(df, spec).collect()) == [1, 4]
+    assert sorted(r.row_id for r in formats.quarantined_rows(df, spec).collect()) == [2, 3]
+
+
 def test_only_needed_columns_are_read(spark, tmp_path):
     path = str(tmp_path / "alpaca")
     spark.createDataFrame([(1, "q", "i", "a", "unused")], ALPACA + ", extra string").write.parquet(path)

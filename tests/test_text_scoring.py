@@ -23,7 +23,8 @@ def test_labels(spark):
 
 
 def test_strip_and_lists(spark):
-    assert over(spark, [" a\t\n", "", "b c"], tx.strip) == ["a", "", "b c"]
+    texts = [" a\t\n", "", "b c", "\u00a0\u2003x\u3000\x1c", " \n ", "a\n b\n\n"]
+    assert over(spark, texts, tx.strip) == [t.strip() for t in texts]
     assert over(spark, [" a ,b\t,, c"], tx.comma_list) == [["a", "b", "", "c"]]
     assert over(spark, ["HELLO wORLD", "", "é"], tx.capitalize) == ["Hello world", "", "É"]
 

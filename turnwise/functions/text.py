@@ -10,6 +10,7 @@ from pyspark.sql import Column, functions as F
 STRICT_ANSWER = r"#### (\-?[0-9\.\,]+)"
 FLEXIBLE_ANSWER = r"(-?[$0-9.,]{2,})|(-?[0-9]+)"
 IGNORED_IN_ANSWERS = (",", r"\$", r"(?s).*#### ", r"\.$")
+BLANK = r"[\s\x1c-\x1f]"
 STOP_STRINGS = ("Question:", "</s>", "<|im_end|>")
 # ---------------------------------------------------------------------------------------------
 
@@ -20,8 +21,8 @@ def present(c: Column) -> Column:
 
 
 def strip(c: Column) -> Column:
-    """Remove all leading and trailing whitespace (``trim`` removes only spaces)."""
-    return F.regexp_replace(F.regexp_replace(c, r"^\s+", ""), r"\s+$", "")
+    """Remove all leading and trailing Unicode whitespace (``trim`` removes only spaces)."""
+    return F.regexp_replace(F.regexp_replace(c, rf"(?U)^{BLANK}+", ""), rf"(?U){BLANK}+\z", "")
 
 
 def capitalize(c: Column) -> Column:

@@ -24,7 +24,9 @@ CHATML = ChatTemplate()
 
 
 def render_turn(role: Column, content: Column, template: ChatTemplate = CHATML) -> Column:
-    return F.concat(F.lit(template.open), role, F.lit(template.after_role), content, F.lit(template.close))
+    """One turn; a missing text counts as an empty one."""
+    said = F.coalesce(content, F.lit(""))
+    return F.concat(F.lit(template.open), role, F.lit(template.after_role), said, F.lit(template.close))
 
 
 def render_messages(

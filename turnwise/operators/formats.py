@@ -117,14 +117,16 @@ def _complete(spec: CorpusSpec) -> Column:
     ok = F.lit(True)
     for role in REQUIRED_ROLES[spec.name]:
         ok = ok & F.col(spec.column(role)).isNotNull()
+    if spec.name == "sharegpt":
+        ok = ok & ~F.exists(F.col(spec.column("conversation")), lambda t: t["value"].isNull())
     if spec.name == "ultrafeedback":
         for role in ("chosen", "rejected"):
-            ok = ok & (F.size(F.col(spec.column(role))) > 0)
+            ok = ok & F.try_element_at(F.col(spec.column(role)), F.lit(-1))["content"].isNotNull()
     return ok
 
 
 def usable_rows(df: DataFrame, spec: CorpusSpec) -> DataFrame:
-    """Rows whose required fields are all there."""
+    """Rows whose required fields are all there, down to the text of each message that is used."""
     return df.filter(_complete(spec))
 
 

@@ -43,7 +43,7 @@ def exact_match(prediction: Column, target: Column) -> Column:
 
 
 def limit_per_task(
-    df: DataFrame, n: int, task: str = "task", order: str = "doc_id", salts: int = 64
+    df: DataFrame, n: int, task: str = "task", order: str = "doc_id", salts: int = 256
 ) -> DataFrame:
     """The first ``n`` rows of each task.
 

@@ -125,8 +125,9 @@ def _byte_values():
         import numpy as np
         import pyarrow as pa
 
-        for text in batches:
-            _, ends, data = text.cast(pa.binary()).buffers()
+        for batch in batches:
+            text = batch.cast(pa.binary())
+            _, ends, data = text.buffers()
             marks = np.frombuffer(ends, np.int32)[text.offset : text.offset + len(text) + 1]
             body = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
             values = pa.array(body[marks[0] : marks[-1]].astype(np.int32))

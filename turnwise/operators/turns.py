@@ -7,7 +7,7 @@ An ordinary conversation fits in one span and therefore in one row.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.formats import message
@@ -81,21 +81,20 @@ def prompt_turns(
 ) -> DataFrame:
     """Turns before the first assistant turn; every turn of a conversation that has none.
 
-    The first assistant turn is a partial aggregate. It is joined back on ``(conv, span)`` rather than on ``conv``,
-    which cuts a giant conversation into many join keys; what is left uneven, adaptive skew handling can split.
+    First answers are partial aggregates per ``(conv, span)``, and the first of a conversation is a window over its
+    spans, not its turns. They are joined back on ``(conv, span)``, which cuts a giant conversation into many join
+    keys; what is left uneven, adaptive skew handling can split.
     """
-    spans = span_of(F.col(turn), span)
-    first = turns.groupBy(conv).agg(
-        F.min(F.when(F.col(role) == "assistant", F.col(turn))).alias("first_answer"),
-        F.min(spans).alias("low"),
-        F.max(spans).alias("high"),
+    numbered = turns.withColumn("join_span", span_of(F.col(turn), span))
+    spans = numbered.groupBy(conv, "join_span").agg(
+        F.min(F.when(F.col(role) == "assistant", F.col(turn))).alias("answer")
+    )
+    first = F.min("answer").over(Window.partitionBy(conv))
+    wanted = spans.select(conv, "join_span", first.alias("first_answer")).filter(
+        F.col("first_answer").isNull() | (F.col("join_span") <= span_of(F.col("first_answer"), span))
     )
-    # spans beyond the first answer hold no prompt turn and need no row here
-    last_needed = F.least(F.col("high"), F.coalesce(span_of(F.col("first_answer"), span), F.col("high")))
-    bounds = first.select(conv, "first_answer", F.explode(F.sequence("low", last_needed)).alias("join_span"))
     return (
-        turns.withColumn("join_span", spans)
-        .join(bounds, [conv, "join_span"])
+        numbered.join(wanted, [conv, "join_span"])
         .filter(F.col("first_answer").isNull() | (F.col(turn) < F.col("first_answer")))
         .drop("join_span", "first_answer")
     )
