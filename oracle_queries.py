@@ -88,6 +88,14 @@ CHAT_IDS = f"""{ANSWERED}, {CHAT_VOCABULARY},
    {_ids('texts', 'row_id', 'text')},
    source AS (SELECT row_id, ids, p FROM ids JOIN texts USING (row_id))"""
 
+CONVERSATION_IDS = f"""{CHAT_VOCABULARY},
+   firsts AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS f FROM conversations GROUP BY conv_id),
+   texts AS (SELECT conv_id AS row_id, string_agg({_turn('role', 'text')}, '' ORDER BY turn) AS text,
+                    len({_cut(f"(coalesce(string_agg({_turn('role', 'text')}, '' ORDER BY turn) FILTER (f IS NULL OR turn < f), '') || {HEADER})")}) AS p
+             FROM conversations JOIN firsts USING (conv_id) GROUP BY conv_id),
+   {_ids('texts', 'row_id', 'text')},
+   source AS (SELECT row_id, ids, p FROM ids JOIN texts USING (row_id))"""
+
 BYTE_IDS = f"{ANSWERED}, source AS (SELECT row_id, {_bytes(f'({ALPACA_TEXT})')} AS ids FROM answered)"
 
 
@@ -199,6 +207,7 @@ ORACLES: dict[str, str] = {
     "full_labels": _labelled(CHAT_IDS, "ids[:256]", "0"),
     "completion_labels": _labelled(CHAT_IDS, "ids[:256]", "least(p, len(ids[:256]))"),
     "completion_labels_compat": _labelled(CHAT_IDS, "ids[:64]", "p"),
+    "conversation_labels": _labelled(CONVERSATION_IDS, "ids[:256]", "least(p, len(ids[:256]))"),
     "special_tokens": _labelled(BYTE_IDS, "list_concat([256], ids[:298], [257])", "0"),
     "padded_batches_right": _padded("right"),
     "padded_batches_left": _padded("left"),

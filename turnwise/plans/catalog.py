@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnwise.functions import text as tx
 from turnwise.operators import (
-    batches, chat, filters, formats, labels, metrics, scoring, splits, stats, tokens, turns,
+    batches, chat, filters, formats, labels, metrics, scoring, splits, stats, tokens, turn_examples, turns,
 )
 from turnwise.plans import prepare
 from turnwise.session import read_table
@@ -258,6 +258,11 @@ def completion_labels_compat(spark, d):
     )
 
 
+def conversation_labels(spark, d):
+    rows = turn_examples.examples_from_turns(_turns(spark, d), _chat_encoder(spark, d), 256)
+    return _labelled(rows.withColumnRenamed("conv_id", "row_id"))
+
+
 def special_tokens(spark, d):
     marks = tokens.SpecialIds(bos=256, eos=257)
     return _labelled(labels.full_examples(_alpaca_messages(spark, d), tokens.ByteEncoder(), 300, special=marks))
@@ -579,7 +584,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conversation_messages, alpaca_messages, openorca_messages, sharegpt_messages, ultrafeedback_triples,
         hh_triples, helpsteer_unchanged, chat_render, chat_render_lists, generation_prompt, prompt_part,
         vocabulary_topk, encode_regex, encode_join, encode_bytes, encode_hf, full_labels, completion_labels,
-        completion_labels_compat, special_tokens, padded_batches_right, padded_batches_left, length_filter,
+        completion_labels_compat, conversation_labels, special_tokens, padded_batches_right, padded_batches_left, length_filter,
         overlong_count, preference_budget, allowed_tasks, exact_split, hash_split, preference_split, split_stats,
         split_rows, corpus_rows, prepared_alpaca, preview, table_checks, all_passed, corpus_sizes, primary_metric,
         latest_result, comparison, complete_tasks, incomplete_tasks, stage_gains, model_averages, average_gains,
