@@ -135,6 +135,20 @@ METRICS = PREDICTIONS + """, metrics AS (
 WIDE = METRICS + """, wide AS (
   SELECT task, max(value) FILTER (model = 'base') AS base, max(value) FILTER (model = 'sft') AS sft,
          max(value) FILTER (model = 'dpo') AS dpo FROM metrics GROUP BY task)"""
+
+
+def _points_text(after: str, before: str) -> str:
+    diff = f"(({after} - {before}) * 100)"
+    return f"coalesce(CASE WHEN {diff} > 0 THEN '+' ELSE '' END || printf('%.1f', {diff}) || '%', '')"
+
+
+def _value_text(c: str) -> str:
+    return f"CASE WHEN coalesce({c}, 0) <> 0 THEN printf('%.2f', {c} * 100) ELSE 'N/A' END"
+
+
+TEXT = f"""{WIDE}, shown AS (
+  SELECT task, {_value_text('base')} AS base, {_value_text('sft')} AS sft, {_value_text('dpo')} AS dpo,
+         {_points_text('sft', 'base')} AS sft_vs_base, {_points_text('dpo', 'sft')} AS dpo_vs_sft FROM wide)"""
 STAGE = "CASE model WHEN 'base' THEN 1 WHEN 'sft' THEN 2 ELSE 3 END"
 
 PRICE = "o_totalprice::DECIMAL(15,2)::VARCHAR"
@@ -251,6 +265,10 @@ ORACLES: dict[str, str] = {
     "comparison": f"""WITH {WIDE}
       SELECT task, round(base, 6) AS base, round(sft, 6) AS sft, round(dpo, 6) AS dpo,
              round((sft - base) * 100, 6) AS sft_vs_base, round((dpo - sft) * 100, 6) AS dpo_vs_sft FROM wide""",
+    "comparison_text": f"WITH {TEXT} SELECT * FROM shown",
+    "comparison_csv": f"""WITH {TEXT}
+      SELECT 0 AS section, '' AS item, 'task,base,sft,dpo,sft_vs_base,dpo_vs_sft' AS line
+      UNION ALL SELECT 1, task, concat_ws(',', task, base, sft, dpo, sft_vs_base, dpo_vs_sft) FROM shown""",
     "complete_tasks": f"""WITH {WIDE}
       SELECT task, round(base * 100, 6) AS base, round(sft * 100, 6) AS sft, round(dpo * 100, 6) AS dpo
       FROM wide WHERE base IS NOT NULL AND sft IS NOT NULL AND dpo IS NOT NULL""",

@@ -80,7 +80,7 @@ def test_report_files(spark, model_dirs, tmp_path):
 
     assert text("comparison.csv") == "".join(line + "\r\n" for line in recorded.COMPARISON)
     loaded = json.loads(text("metrics.json"))
-    assert loaded == {"timestamp": "2025-12-31T14:02:04.000000", **recorded.METRICS}
+    assert loaded == {"timestamp": "2025-12-31T14:02:04", **recorded.METRICS}
     assert list(loaded) == ["timestamp", "base", "sft", "dpo"]
     md = text("evaluation_report.md").split("\n")
     assert md[:5] == ["# Report", "", "生成时间: 2025-12-31 14:02:04", "", "## 模型对比"]
@@ -108,7 +108,7 @@ def test_empty_report(spark, tmp_path):
     assert "- **Base 平均**: 0.00%" in text and not any("提升" in t for t in text)
     lines = report.json_lines(spark, none, now()).orderBy("section", "item").collect()
     assert json.loads("\n".join(r.line for r in lines)) == {
-        "timestamp": "2025-12-31T14:02:04.000000", "base": {}, "sft": {}, "dpo": {}
+        "timestamp": "2025-12-31T14:02:04", "base": {}, "sft": {}, "dpo": {}
     }
 
 

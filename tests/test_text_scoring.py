@@ -39,6 +39,20 @@ def test_numbers_as_text(spark):
     assert over(spark, [2.031, -0.5], tx.gain_text, "double") == ["+2.03%", "-0.50%"]
 
 
+def test_rounding_is_that_of_python(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [0.125, 0.375, 2.675, 0.15, 0.25, -0.25, 1.005, 48.125, 0.0, -0.0, -0.001, 1234.5, 99999.995, 1e-9, 5e15]
+    values += [rng.randint(-8000, 8000) / 800 for _ in range(3000)] + [rng.uniform(-100, 100) for _ in range(3000)]
+    values += [(rng.randint(0, 800) / 800 - rng.randint(0, 1000) / 1000) * 100 for _ in range(3000)]
+    assert over(spark, values, lambda c: tx.fixed(c, 2), "double") == [f"{v:.2f}" for v in values]
+    assert over(spark, values, lambda c: tx.fixed(c, 1), "double") == [f"{v:.1f}" for v in values]
+    assert over(spark, values, tx.gain_text, "double") == [f"{v:+.2f}%" for v in values]
+    signed = [f"+{v:.1f}%" if v > 0 else f"{v:.1f}%" for v in values]
+    assert over(spark, values, tx.signed_points, "double") == signed
+
+
 def test_run_names(spark):
     ts = F.lit("2025-12-31 04:05:06.5").cast("timestamp")
     assert one(spark, tx.run_name(F.lit("m"), ts)) == "m_20251231_040506"

@@ -51,21 +51,29 @@ def comma_list(c: Column) -> Column:
     return F.transform(F.split(c, ","), strip)
 
 
+def fixed(c: Column, digits: int) -> Column:
+    """A number with that many decimals, rounded half-even on its exact binary value.
+
+    ``format_string`` would round half up on the shortest decimal form instead and turn 0.125 into 0.13.
+    """
+    return F.call_function("format_number", c.cast("double"), F.lit("0." + "0" * digits))
+
+
 def signed_points(diff: Column) -> Column:
     """``+1.5%`` when positive, ``-1.5%`` or ``0.0%`` otherwise, NULL stays NULL."""
-    return F.when(diff > 0, F.format_string("+%.1f%%", diff)).when(
-        diff.isNotNull(), F.format_string("%.1f%%", diff)
-    )
+    shown = F.concat(fixed(diff, 1), F.lit("%"))
+    return F.when(diff > 0, F.concat(F.lit("+"), shown)).otherwise(shown)
 
 
 def percent_or_na(value: Column) -> Column:
     """Fraction as a percentage with two decimals; a missing or zero value shows as N/A."""
-    return F.when(F.coalesce(value, F.lit(0.0)) != 0, F.format_string("%.2f", value * 100)).otherwise(F.lit("N/A"))
+    return F.when(F.coalesce(value, F.lit(0.0)) != 0, fixed(value * 100, 2)).otherwise(F.lit("N/A"))
 
 
 def gain_text(points: Column) -> Column:
     """Gain with two decimals and a sign that is always written."""
-    return F.format_string("%+.2f%%", points)
+    shown = F.concat(fixed(points, 2), F.lit("%"))
+    return F.when(shown.startswith("-"), shown).otherwise(F.concat(F.lit("+"), shown))
 
 
 def run_name(name: Column, ts: Column) -> Column:
@@ -79,8 +87,8 @@ def run_timestamp(ts: Column) -> Column:
 
 
 def iso_timestamp(ts: Column) -> Column:
-    """``2025-01-31T23:59:59.123456``."""
-    return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    """``2025-01-31T23:59:59.123456``, without the fraction when it is zero."""
+    return F.regexp_replace(F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), r"\.000000$", "")
 
 
 # --- answers ---------------------------------------------------------------------------------

@@ -14,7 +14,7 @@ from turnwise.functions import text as tx
 from turnwise.operators import (
     batches, chat, filters, formats, labels, metrics, scoring, splits, stats, tokens, turn_examples, turns,
 )
-from turnwise.plans import prepare
+from turnwise.plans import prepare, report
 from turnwise.session import read_table
 from turnwise.sources import inventory
 from turnwise.sources.registry import instruction_spec, preference_spec
@@ -435,6 +435,14 @@ def comparison(spark, d):
     return _rounded(metrics.comparison(_metrics(spark, d)))
 
 
+def comparison_text(spark, d):
+    return metrics.comparison_text(metrics.comparison(_metrics(spark, d)))
+
+
+def comparison_csv(spark, d):
+    return report.csv_lines(metrics.comparison(_metrics(spark, d))).select("section", "item", "line")
+
+
 def complete_tasks(spark, d):
     return _rounded(metrics.complete_tasks(_metrics(spark, d)))
 
@@ -587,7 +595,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         completion_labels_compat, conversation_labels, special_tokens, padded_batches_right, padded_batches_left, length_filter,
         overlong_count, preference_budget, allowed_tasks, exact_split, hash_split, preference_split, split_stats,
         split_rows, corpus_rows, prepared_alpaca, preview, table_checks, all_passed, corpus_sizes, primary_metric,
-        latest_result, comparison, complete_tasks, incomplete_tasks, stage_gains, model_averages, average_gains,
+        latest_result, comparison, comparison_text, comparison_csv, complete_tasks, incomplete_tasks, stage_gains, model_averages, average_gains,
         tasks_per_model, task_names, task_labels, accuracy_stderr, multiple_choice, strict_extract,
         flexible_extract, exact_match, stop_cut, limit_per_task, sample_counts, few_shot_context, question_prompts,
         lettered_prompts, gold_index, activity_queries, blank_sentences,

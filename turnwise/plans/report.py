@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from turnwise.functions.text import gain_text, iso_timestamp, run_timestamp
+from turnwise.functions.text import fixed, gain_text, iso_timestamp, run_timestamp
 from turnwise.operators.metrics import STAGES, comparison, comparison_text, extract_metrics, model_averages
 from turnwise.sources.results import find_latest_results
 
@@ -77,7 +77,7 @@ def markdown_lines(
     averages = model_averages(metrics, stages)
     wide = averages.agg(*[F.max(F.when(F.col("model") == s, F.col("average"))).alias(s) for s in stages])
     lines = [
-        F.concat(F.lit(AVERAGE_LINE.format(stage=_label(s))), F.format_string("%.2f%%", F.col(s) * 100)) for s in stages
+        F.concat(F.lit(AVERAGE_LINE.format(stage=_label(s))), fixed(F.col(s) * 100, 2), F.lit("%")) for s in stages
     ]
     lines.append(F.lit(""))
     for a, b in zip(stages, stages[1:]):
