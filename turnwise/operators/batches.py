@@ -24,6 +24,7 @@ def assign_batches(
     """Adds ``batch_id``: consecutive runs of ``batch_size`` rows in seeded order; only the last may be short.
 
     The order is worked out on the key alone, so the wide rows are shuffled once, by key, to receive their number.
+    ``df`` is best a written table: its key column is read two more times.
     """
     index = seeded_index(df, row_id, seed, prefix)
     numbered = index.select(row_id, F.call_function("div", F.col("index"), F.lit(batch_size)).alias("batch_id"))
