@@ -124,13 +124,16 @@ def test_json_array_cut_into_splits(spark, tmp_path, layout):
     try:
         cut = json_array.read_json_array(spark, str(path), ALPACA, whole_file=0)
         assert cut.rdd.getNumPartitions() > 3
-        got = [r.asDict() for r in cut.orderBy("row_id").drop("row_id").collect()]
-        assert got == rows
-        assert cut.select("row_id").distinct().count() == 3000
+        got = [r.asDict() for r in cut.orderBy("row_id").collect()]
+        assert got == [{"row_id": i, **r} for i, r in enumerate(rows)]
+        spark.conf.set("spark.sql.files.maxPartitionNum", "3")  # several splits in a partition
+        packed = json_array.read_json_array(spark, str(path), ALPACA, whole_file=0)
+        assert [r.asDict() for r in packed.orderBy("row_id").collect()] == got
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.maxPartitionNum")
     whole = json_array.read_json_array(spark, str(path), ALPACA)
-    assert [r.asDict() for r in whole.orderBy("row_id").drop("row_id").collect()] == rows
+    assert [r.asDict() for r in whole.orderBy("row_id").collect()] == got
 
 
 def test_json_array_of_uneven_layout(spark, tmp_path):
@@ -139,7 +142,19 @@ def test_json_array_of_uneven_layout(spark, tmp_path):
     text = "[ " + a % 0 + ", " + a % 1 + b + a % 2 + " , " + a % 3 + ", " + a % 4 + " ]\n"
     (tmp_path / "alpaca_data.json").write_text(text)
     df = json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA, whole_file=0)
-    assert [r.instruction for r in df.orderBy("row_id").collect()] == ["0", "1", "2", "3", "4"]
+    assert [(r.row_id, r.instruction) for r in df.orderBy("row_id").collect()] == [(i, str(i)) for i in range(5)]
+    (tmp_path / "alpaca_data.json").write_text("[]")
+    with pytest.raises(ValueError, match="one object per line"):
+        json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA, whole_file=0)
+
+
+def test_parquet_without_ids_is_numbered_by_place(spark, tmp_path):
+    rows = spark.range(0, 100, 1, 3).selectExpr("cast(id as string) instruction", "'' input", "'o' output")
+    rows.write.parquet(str(tmp_path / "alpaca"))
+    df = corpora.read_instruction_corpus(spark, instruction_spec("alpaca"), [str(tmp_path)])
+    first = {r.row_id: r.instruction for r in df.collect()}
+    again = {r.row_id: r.instruction for r in df.repartition(7).collect()}
+    assert len(first) == 100 and first == again
 
 
 def test_json_corpus_folder(spark, tmp_path):

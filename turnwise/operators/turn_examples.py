@@ -8,7 +8,7 @@ ends in a blank and the next begins with a marker), and for a tokenizer that has
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.labels import MAX_SEQ_LENGTH, attention_mask, masked_labels

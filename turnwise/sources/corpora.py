@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from enum import Enum
 
-from pyspark.sql import DataFrame, SparkSession, types as T
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from turnwise.sources import files
 from turnwise.sources.json_array import read_json_array
 from turnwise.sources.registry import INSTRUCTION_SPLITS, PREFERENCE_SPLITS, CorpusSpec
-from turnwise.sources.saved import load_saved
+from turnwise.sources.saved import choose_split, load_saved
 
 
 class Layout(Enum):
@@ -44,15 +44,14 @@ def resolve_source(spark: SparkSession, spec: CorpusSpec, roots: Sequence[str])
 
 
 def _read_parquet(spark: SparkSession, path: str, preferred: Sequence[str]) -> DataFrame:
-    """Prepared data. With several splits only the preferred one is read."""
+    """Parquet rows of the preferred split. Rows without an id get their place: file name and row number."""
     df = spark.read.parquet(path)
+    if "row_id" not in df.columns:
+        df = df.withColumn("row_id", F.concat_ws(":", "_metadata.file_name", "_metadata.row_index"))
     if "split" not in df.columns:
         return df
     folders = [f.name.removeprefix("split=") for f in files.children(spark, path) if f.name.startswith("split=")]
-    for name in (*preferred, *folders):
-        if name in folders:
-            return df.filter(df["split"] == name).drop("split")
-    return df
+    return df.filter(F.col("split") == choose_split(folders, preferred)).drop("split") if folders else df
 
 
 def read_corpus_folder(spark: SparkSession, path: str, spec: CorpusSpec, preferred: Sequence[str]) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from turnwise.sources import files
 
@@ -19,45 +19,55 @@ WHOLE_FILE = 64 << 20
 HEAD = 4 << 20
 
 
-def object_separator(head: str, columns: list[str]) -> tuple[str, str] | None:
-    """``(separator, first key)`` as found between the first two objects, or None."""
+def object_separator(head: str, columns: list[str]) -> str | None:
+    """The text between the first two objects, from the closing brace to the colon of the first key."""
     opening = re.match(r'\s*\[\s*\{(\s*)"([^"\\]+)"(\s*):', head)
     if not opening or opening.group(2) not in columns:
         return None
     key = opening.group(2)
     between = re.search(r'\}\s*,\s*\{\s*"' + re.escape(key) + r'"\s*:', head)
-    return (between.group(0), key) if between else None
+    return between.group(0) if between else None
+
+
+def _numbered(pieces: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
+    """Dense numbers in file order: rows in earlier partitions of the scan plus the place in the partition.
+
+    The totals have one row per scan partition, so the window and the broadcast stay small, and the numbers do not
+    depend on where the file was split.
+    """
+    part = F.spark_partition_id().alias("part")
+    totals = pieces.select(part, "split_start", F.size("rows").alias("n")).groupBy("part").agg(
+        F.min("split_start").alias("start"), F.sum("n").alias("n")
+    )
+    earlier = F.sum("n").over(Window.orderBy("start").rowsBetween(Window.unboundedPreceding, -1))
+    starts = totals.select("part", F.coalesce(earlier, F.lit(0)).alias("before"))
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))  # the lower bits count in the partition
+    placed = pieces.select(part, F.explode("rows").alias("row")).withColumn("place", place)
+    return placed.join(F.broadcast(starts), "part").select(
+        (F.col("before") + F.col("place")).alias(row_id), *[F.col(f"row.{c}") for c in columns]
+    )
 
 
 def read_json_array(
     spark: SparkSession, path: str, schema: T.StructType, row_id: str = "row_id", whole_file: int = WHOLE_FILE
 ) -> DataFrame:
-    """Rows of the array with a ``row_id`` that follows the file order.
-
-    The id is taken in the scan stage itself, where the order of the splits is that of the file.
-    """
+    """Rows of the array, numbered from 0 in file order."""
     if any(not isinstance(f.dataType, T.StringType) for f in schema):
         raise ValueError("a JSON array file holds flat objects of strings")
-    size = files.children(spark, path)[0].length
-    found = None
-    if size > whole_file:
-        # a cut in the middle of a character only affects the end of the head
-        head = files.read_head(spark, path, HEAD).decode("utf-8", errors="replace")
-        found = object_separator(head, schema.fieldNames())
-        if found is None:
-            raise ValueError(f"{path}: no repeating text between objects; rewrite it as one object per line")
-    if found is None:
+    if files.children(spark, path)[0].length <= whole_file:
         rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
         return rows.select(F.monotonically_increasing_id().alias(row_id), "*")
-    separator, _ = found
+    # a cut in the middle of a character only affects the end of the head
+    head = files.read_head(spark, path, HEAD).decode("utf-8", errors="replace")
+    separator = object_separator(head, schema.fieldNames())
+    if separator is None:
+        raise ValueError(f"{path}: no repeating text between objects; rewrite it as one object per line")
     lead = separator[separator.index("{"):]
     piece = F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*\{", "{"), r"\}\s*\]\s*$", "")
     # every piece but the first lost its opening up to the colon of the first key
     opened = F.when(F.ltrim("value").startswith("["), piece).otherwise(F.concat(F.lit(lead), piece))
-    closed = F.concat(F.lit("["), opened, F.lit("}]"))
-    parsed = F.from_json(closed, T.ArrayType(schema), {"mode": "FAILFAST"})
-    return (
-        spark.read.option("lineSep", separator).text(path)
-        .select(F.explode(parsed).alias("row"))
-        .select(F.monotonically_increasing_id().alias(row_id), "row.*")
+    parsed = F.from_json(F.concat(F.lit("["), opened, F.lit("}]")), T.ArrayType(schema), {"mode": "FAILFAST"})
+    pieces = spark.read.option("lineSep", separator).text(path).select(
+        F.col("_metadata.file_block_start").alias("split_start"), parsed.alias("rows")
     )
+    return _numbered(pieces, row_id, schema.fieldNames())
