@@ -58,6 +58,17 @@ def test_overflow_drop(spark, raw, tmp_path):
     assert dropped.filter("split = 'validation'").count() == math.ceil(len(short) * 0.02)
 
 
+def test_intermediate_tables_are_never_stale(spark, raw, tmp_path):
+    import shutil
+
+    out = str(tmp_path / "out")
+    for limit in (120, 90):
+        options = prepare.PrepareOptions(max_seq_length=limit, on_overflow="drop")
+        _, stats = prepare.prepare_instruction_corpus(spark, "alpaca", BYTES, out, options, raw)
+        assert 85 < max(r.max_tokens for r in stats.collect()) <= limit
+        shutil.rmtree(f"{out}/alpaca_sft")
+
+
 def test_preference_path(spark, raw, tmp_path):
     out = str(tmp_path / "out")
     rows, total = prepare.prepare_preference_corpus(spark, "ultrafeedback", out, raw)

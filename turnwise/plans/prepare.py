@@ -15,7 +15,9 @@ from turnwise.operators.splits import exact_split, preference_split
 from turnwise.operators.stats import length_stats
 from turnwise.operators.tokens import Encoder, SpecialIds
 from turnwise.sources import files
-from turnwise.sources.corpora import read_instruction_corpus, read_preference_corpus
+from turnwise.sources.corpora import (
+    Layout, detect_layout, read_instruction_corpus, read_preference_corpus, resolve_source,
+)
 from turnwise.sources.registry import CorpusSpec, instruction_spec, preference_spec
 
 DATA_ROOT = "data/raw"
@@ -108,6 +110,12 @@ def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]
     return spark.read.parquet(path)
 
 
+def staged(spark: SparkSession, path: str, df: DataFrame) -> DataFrame:
+    """The same rows read back from an intermediate table, which is written anew each time."""
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def prepare_instruction_corpus(
     spark: SparkSession,
     name: str,
@@ -116,7 +124,7 @@ def prepare_instruction_corpus(
     options: PrepareOptions = PrepareOptions(),
     roots: Sequence[str] = (DATA_ROOT,),
 ) -> tuple[DataFrame, DataFrame]:
-    """The prepared table and its statistics.
+    """The prepared table and its statistics. Intermediate tables, where one pays off, are written next to it.
 
     The statistics are read from what was written, so nothing is tokenised twice, and from the attention mask: it is as
     long as the ids, but all ones, so the column takes next to no space.
@@ -124,14 +132,19 @@ def prepare_instruction_corpus(
     spec = instruction_spec(name)
     path = prepared_path(out, name, "sft")
 
-    def tokenised() -> DataFrame:
-        return tokenised_rows(read_instruction_corpus(spark, spec, roots), spec, encoder, options)
+    def raw() -> DataFrame:
+        # the split reads the keys twice besides the rows: parquet makes that cheap, JSON and Arrow shards do not
+        folder = resolve_source(spark, spec, roots)
+        if detect_layout(spark, folder) is Layout.PARQUET:
+            return read_instruction_corpus(spark, spec, roots)
+        return staged(spark, f"{path}_source", read_instruction_corpus(spark, spec, roots))
 
     def build() -> DataFrame:
         if options.on_overflow == "truncate":
-            return with_split(tokenised(), options)
+            return with_split(tokenised_rows(raw(), spec, encoder, options), options)
         # which rows exist depends on their tokens: write them once, so that the split reads keys only
-        return with_split(read_or_build(spark, f"{path}_unsplit", tokenised), options)
+        unsplit = staged(spark, f"{path}_unsplit", tokenised_rows(raw(), spec, encoder, options))
+        return with_split(unsplit, options)
 
     rows = read_or_build(spark, path, build)
     return rows, length_stats(rows, F.size("attention_mask"), by="split")
