@@ -121,7 +121,7 @@ def _complete(spec: CorpusSpec) -> Column:
         ok = ok & ~F.exists(F.col(spec.column("conversation")), lambda t: t["value"].isNull())
     if spec.name == "ultrafeedback":
         for role in ("chosen", "rejected"):
-            ok = ok & F.try_element_at(F.col(spec.column(role)), F.lit(-1))["content"].isNotNull()
+            ok = ok & F.exists(F.slice(F.col(spec.column(role)), -1, 1), lambda m: m["content"].isNotNull())
     return ok
 
 
