@@ -125,3 +125,30 @@ def test_stream_gives_the_batch_answer(spark, tmp_path):
     streamed = {(r.row_id, r.split, tuple(r.labels)) for r in spark.read.parquet(paths[0]).collect()}
     batch = {(r.row_id, r.split, tuple(r.labels)) for r in transform(spark.read.parquet(source)).collect()}
     assert streamed == batch and len(streamed) == 60
+
+
+def test_every_registered_corpus_from_saved_shards(spark, tmp_path):
+    import pyarrow as pa
+
+    turns = [[{"from": "system", "value": "s"}, {"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]] * 4
+    save_split(tmp_path / "sharegpt" / "train", [pa.table({"id": ["x"] * 4, "conversations": turns})])
+    (tmp_path / "sharegpt" / "dataset_dict.json").write_text('{"splits": ["train"]}')
+    orca = {"id": ["1", "2"], "system_prompt": ["", "s"], "question": ["q", "q"], "response": ["r", "r"]}
+    save_split(tmp_path / "openorca", [pa.table(orca)])
+    save_split(tmp_path / "anthropic_hh", [pa.table({"chosen": ["c"], "rejected": ["r"]})])
+    save_split(tmp_path / "helpsteer", [pa.table({"prompt": ["p"], "helpfulness": [3]})])
+    roots = [str(tmp_path)]
+
+    def texts(name):
+        rows = prepare.load_instruction_corpus(spark, name, BYTES, roots=roots)
+        return sorted(bytes(r.input_ids).decode() for r in rows.collect())
+
+    assert texts("sharegpt") == [
+        "<|im_start|>assistant\ns<|im_end|>\n<|im_start|>user\nh<|im_end|>\n<|im_start|>assistant\ng<|im_end|>\n"
+    ] * 4
+    pair = "<|im_start|>user\nq<|im_end|>\n<|im_start|>assistant\nr<|im_end|>\n"
+    assert texts("openorca") == ["<|im_start|>system\ns<|im_end|>\n" + pair, pair]
+    hh = prepare.load_preference_corpus(spark, "anthropic_hh", roots).first()
+    assert (hh.prompt, hh.chosen, hh.rejected) == ("", "c", "r")
+    steer = prepare.load_preference_corpus(spark, "helpsteer", roots).first()
+    assert (steer.prompt, steer.helpfulness) == ("p", 3)
