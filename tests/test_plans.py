@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from turnwise.operators import batches, labels, scoring, splits, tokens, turns
+from turnwise.operators import batches, labels, scoring, splits, tokens, turn_examples, turns
 from turnwise.plans import catalog
 from turnwise.session import read_table
 from test_queries import FOLDER, pytestmark  # noqa: F401
@@ -77,3 +77,20 @@ def test_numbering_batches_shuffles_keys_and_broadcasts_bucket_totals_only(spark
 def test_frequent_tokens_are_kept_out_of_the_vocabulary_shuffle(spark):
     text = plan(catalog.encode_join(spark, FOLDER))
     assert "BroadcastExchange" in text and "isnull(head_id" in text
+
+
+def test_turn_examples_shuffle_the_turns_once(spark):
+    df = read_table(spark, FOLDER, "conversations")
+    text = plan(turn_examples.examples_from_turns(df, tokens.ByteEncoder(), 128))
+    assert text.count("Exchange") == 1 and "hashpartitioning(conv_id" in text
+    sliced = plan(turn_examples.examples_from_turns(df, tokens.ByteEncoder(), 128, large=2))
+    assert sliced.count("Exchange") == 2 and "hashpartitioning(conv_id" in sliced and ", slice" in sliced
+
+
+def test_comparing_stages_takes_one_shuffle_after_the_scores(spark):
+    text = plan(catalog.metrics.comparison(_metrics_table(spark)))
+    assert text.count("Exchange hashpartitioning") == 1 and "Join" not in text
+
+
+def _metrics_table(spark):
+    return spark.createDataFrame([("base", "t", 0.5)], "model string, task string, value double")

@@ -2,8 +2,8 @@
 
 A training row is the first ``max_seq_length`` ids of the rendered conversation. Every turn renders to at least one id,
 so no more than that many leading turns can matter; everything after the cut to those turns works on groups of that
-size. The ids of a conversation are the ids of its turns in order: true for bytes, for the pattern tokens (a ChatML turn
-ends in a blank and the next begins with a marker), and for a tokenizer that has the markers as special tokens.
+size. The ids of a conversation are as many as those of its turns together: true for bytes, for the pattern tokens (a
+ChatML turn ends in a blank and the next begins with a marker), and for a tokenizer that has the markers as special tokens.
 """
 
 from __future__ import annotations
@@ -62,13 +62,12 @@ def examples_from_turns(
         .filter(F.col("start") < max_seq_length)
     )
     answer = F.min(F.when(F.col(role) == "assistant", F.col("start")))
-    gathered = (
-        pieces.withColumn("ids", encoder.ids(F.col("piece")))
-        .groupBy(conv)
-        .agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("parts"), answer.alias("answer"))
+    # still partitioned by conversation, so gathering the kept text moves nothing; ids are made from it afterwards
+    gathered = pieces.groupBy(conv).agg(
+        F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("parts"), answer.alias("answer")
     )
-    whole = F.flatten(F.transform("parts", lambda p: p["ids"]))
-    examples = gathered.withColumn("input_ids", F.slice(whole, 1, max_seq_length))
+    text = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
+    examples = gathered.withColumn("input_ids", F.slice(encoder.ids(text), 1, max_seq_length))
     labels = F.col("input_ids")
     if completion_only:
         # without an answer among the kept ids, the prompt covers them all
