@@ -21,14 +21,28 @@ def conversations(seed, n=40):
     return rows
 
 
+def byte_pair_document():
+    """A small byte-level BPE tokenizer with the chat markers as special tokens."""
+    from tokenizers import AddedToken, Tokenizer, decoders, models, pre_tokenizers, trainers
+
+    tokenizer = Tokenizer(models.BPE())
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.decoder = decoders.ByteLevel()
+    trainer = trainers.BpeTrainer(vocab_size=400, initial_alphabet=pre_tokenizers.ByteLevel.alphabet(), show_progress=False)
+    tokenizer.train_from_iterator([text for *_, text in conversations(0, 200)] + ["user\nassistant\n"] * 50, trainer)
+    tokenizer.add_special_tokens([AddedToken(m, special=True) for m in ("<|im_start|>", "<|im_end|>")])
+    return tokenizer.to_str()
+
+
 ENCODERS = [
     tokens.ByteEncoder(),
     tokens.RegexEncoder(["<|im_start|>", "<|im_end|>", "user", "a", ","]),
     tokens.TokenizerFileEncoder(_tokenizer_document(["<|im_start|>", "user", "b"])),
+    tokens.TokenizerFileEncoder(byte_pair_document()),
 ]
 
 
-@pytest.mark.parametrize("encoder", ENCODERS, ids=["bytes", "regex", "file"])
+@pytest.mark.parametrize("encoder", ENCODERS, ids=["bytes", "regex", "words", "byte pairs"])
 @pytest.mark.parametrize("limit", [1, 30, 4096])
 def test_same_rows_as_whole_conversations(spark, encoder, limit):
     df = spark.createDataFrame(conversations(limit), TURNS).repartition(6)
@@ -56,3 +70,16 @@ def test_only_leading_turns_are_encoded(spark):
     kept = turn_examples.leading_turns(df, 10, "conv_id", ["turn", "role", "text"], large=100)
     assert sorted(r.turn for r in kept.collect()) == list(range(10))
     assert kept.agg(F.max("place")).first()[0] == 10
+
+
+def test_byte_pair_ids_against_the_tokenizer(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    (tmp_path / "tokenizer.json").write_text(byte_pair_document())
+    tokenizer = Tokenizer.from_file(str(tmp_path / "tokenizer.json"))
+    texts = [text for *_, text in conversations(5)] + ["<|im_start|>user\nab<|im_end|>\n", "日本"]
+    df = spark.createDataFrame(list(enumerate(texts)), "row_id int, text string").repartition(3)
+    encoder = tokens.TokenizerFileEncoder.from_file(str(tmp_path / "tokenizer.json"))
+    got = {r[0]: r[1] for r in df.select("row_id", encoder.ids(F.col("text"))).collect()}
+    assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
+    assert max(len(v) for v in got.values()) > 3 and tokenizer.token_to_id("<|im_start|>") in got[len(texts) - 2]

@@ -140,9 +140,13 @@ def _byte_values():
 def _tokenizer_ids(document: str):
     @arrow_udf("array<int>")
     def tokenizer_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import os
+
         import pyarrow as pa
         from tokenizers import Tokenizer
 
+        # a task has one core; the library would otherwise start a thread per core of the machine in each task
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         tokenizer = Tokenizer.from_str(document)
         tokenizer.no_truncation()
         tokenizer.no_padding()
