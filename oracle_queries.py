@@ -269,6 +269,38 @@ ORACLES: dict[str, str] = {
     "comparison_csv": f"""WITH {TEXT}
       SELECT 0 AS section, '' AS item, 'task,base,sft,dpo,sft_vs_base,dpo_vs_sft' AS line
       UNION ALL SELECT 1, task, concat_ws(',', task, base, sft, dpo, sft_vs_base, dpo_vs_sft) FROM shown""",
+    "comparison_markdown": f"""WITH {TEXT},
+      fixed(section, item, line) AS (VALUES
+        (0, '000000', '# Stages'), (0, '000001', ''), (0, '000002', '生成时间: 2025-01-02 03:04:05'),
+        (1, '000000', ''), (1, '000001', '## 模型对比'), (1, '000002', ''), (1, '000003', '| 模型 | 描述 |'),
+        (1, '000004', '|------|------|'), (1, '000005', '| Base | start |'), (1, '000006', '| SFT | tuned |'),
+        (1, '000007', '| DPO | preferred |'), (2, '000000', ''), (2, '000001', '## 评估结果'), (2, '000002', ''),
+        (2, '000003', '| Benchmark | Base (%) | SFT (%) | DPO (%) | SFT vs Base | DPO vs SFT |'),
+        (2, '000004', '|-----------|----------|---------|---------|-------------|------------|'),
+        (4, '000000', ''), (4, '000001', '## 平均性能'), (4, '000002', ''), (5, '000003', ''),
+        (6, '000000', ''), (6, '000001', '## 结论'), (6, '000002', ''), (6, '000003', '[请根据实际结果填写结论和分析]')),
+      averages AS (SELECT avg(value) FILTER (model = 'base') AS b, avg(value) FILTER (model = 'sft') AS s,
+                          avg(value) FILTER (model = 'dpo') AS d FROM metrics)
+      SELECT section, item, line FROM fixed
+      UNION ALL SELECT 3, task, '| ' || concat_ws(' | ', task, base, sft, dpo, sft_vs_base, dpo_vs_sft) || ' |' FROM shown
+      UNION ALL SELECT 5, '000000', '- **Base 平均**: ' || printf('%.2f', b * 100) || '%' FROM averages
+      UNION ALL SELECT 5, '000001', '- **SFT 平均**: ' || printf('%.2f', s * 100) || '%' FROM averages
+      UNION ALL SELECT 5, '000002', '- **DPO 平均**: ' || printf('%.2f', d * 100) || '%' FROM averages
+      UNION ALL SELECT 5, '000004', '- SFT 相对 Base 提升: **' || printf('%+.2f', (s - b) * 100) || '%**' FROM averages
+      UNION ALL SELECT 5, '000005', '- DPO 相对 SFT 提升: **' || printf('%+.2f', (d - s) * 100) || '%**' FROM averages
+      """,
+    "metrics_json": f"""WITH {METRICS},
+      placed AS (SELECT {STAGE} * 3 AS section, task AS item, value,
+                        lead(task) OVER (PARTITION BY model ORDER BY task) IS NULL AS last FROM metrics),
+      fixed(section, item, line) AS (VALUES (0, '000000', '{{'), (0, '000001', '  "timestamp": "2025-01-02T03:04:05",'),
+        (2, '000000', '  "base": {{'), (4, '000000', '  }},'), (5, '000000', '  "sft": {{'), (7, '000000', '  }},'),
+        (8, '000000', '  "dpo": {{'), (10, '000000', '  }}'), (11, '000000', '}}'))
+      SELECT section, item, line FROM fixed UNION ALL
+      SELECT section, item, '    "' || item || '": ' || value::VARCHAR || CASE WHEN last THEN '' ELSE ',' END FROM placed""",
+    "run_names": """
+      SELECT event_id, event_type || '_' || strftime(ts, '%Y%m%d_%H%M%S') AS name,
+             strftime(ts, '%Y-%m-%d %H:%M:%S') AS shown,
+             regexp_replace(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), '\\.000000$', '') AS iso FROM events""",
     "complete_tasks": f"""WITH {WIDE}
       SELECT task, round(base * 100, 6) AS base, round(sft * 100, 6) AS sft, round(dpo * 100, 6) AS dpo
       FROM wide WHERE base IS NOT NULL AND sft IS NOT NULL AND dpo IS NOT NULL""",

@@ -20,8 +20,12 @@ def latest_per(df: DataFrame, key: str, *order: Column) -> DataFrame:
 
 
 def latest_results(files: DataFrame) -> DataFrame:
-    """Newest result document per model from ``(model, modified, body)``; equal times go by the date in the body."""
-    return latest_per(files, "model", F.col("modified"), result_json.run_date(F.col("body")))
+    """Newest result document per model from ``(model, modified, body)``; equal times go by the date in the body, and
+    equal dates by the path where there is one."""
+    order = [F.col("modified"), result_json.run_date(F.col("body"))]
+    if "path" in files.columns:
+        order.append(F.col("path"))
+    return latest_per(files, "model", *order)
 
 
 def extract_metrics(results: DataFrame, preferred: Sequence[str] = result_json.PRIMARY_METRICS) -> DataFrame:

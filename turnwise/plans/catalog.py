@@ -443,6 +443,27 @@ def comparison_csv(spark, d):
     return report.csv_lines(metrics.comparison(_metrics(spark, d))).select("section", "item", "line")
 
 
+def _now() -> Column:
+    return F.lit("2025-01-02 03:04:05").cast("timestamp")
+
+
+def comparison_markdown(spark, d):
+    heading = report.ReportHeading("Stages", {"base": "start", "sft": "tuned", "dpo": "preferred"})
+    return report.markdown_lines(spark, _metrics(spark, d), heading, _now()).select("section", "item", "line")
+
+
+def metrics_json(spark, d):
+    return report.json_lines(spark, _metrics(spark, d), _now()).select("section", "item", "line")
+
+
+def run_names(spark, d):
+    ts = F.col("ts")
+    return read_table(spark, d, "events").select(
+        "event_id", tx.run_name(F.col("event_type"), ts).alias("name"), tx.run_timestamp(ts).alias("shown"),
+        tx.iso_timestamp(ts).alias("iso"),
+    )
+
+
 def complete_tasks(spark, d):
     return _rounded(metrics.complete_tasks(_metrics(spark, d)))
 
@@ -595,7 +616,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         completion_labels_compat, conversation_labels, special_tokens, padded_batches_right, padded_batches_left, length_filter,
         overlong_count, preference_budget, allowed_tasks, exact_split, hash_split, preference_split, split_stats,
         split_rows, corpus_rows, prepared_alpaca, preview, table_checks, all_passed, corpus_sizes, primary_metric,
-        latest_result, comparison, comparison_text, comparison_csv, complete_tasks, incomplete_tasks, stage_gains, model_averages, average_gains,
+        latest_result, comparison, comparison_text, comparison_csv, comparison_markdown,
+        metrics_json, run_names, complete_tasks, incomplete_tasks, stage_gains, model_averages, average_gains,
         tasks_per_model, task_names, task_labels, accuracy_stderr, multiple_choice, strict_extract,
         flexible_extract, exact_match, stop_cut, limit_per_task, sample_counts, few_shot_context, question_prompts,
         lettered_prompts, gold_index, activity_queries, blank_sentences,

@@ -18,7 +18,6 @@ from turnwise.sources.results import find_latest_results
 CRLF = "\r\n"
 # quotes doubled, empty strings and blanks written as they are
 CSV = {"escape": '"', "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
-LINES = "section int, item string, line string"
 
 # --- fixed values: wording of the Markdown report ----------------------------------------------
 GENERATED = "生成时间: "
@@ -52,8 +51,12 @@ def collect_metrics(spark: SparkSession, model_dirs: Mapping[str, str]) -> DataF
     return extract_metrics(find_latest_results(spark, model_dirs))
 
 
-def _fixed(spark: SparkSession, first: int, lines: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame([(first, f"{i:06d}", line) for i, line in enumerate(lines)], LINES)
+def _fixed(spark: SparkSession, section: int, lines: Sequence[str | Column]) -> DataFrame:
+    """A section of given lines."""
+    numbered = F.posexplode(F.array(*[F.lit(line) if isinstance(line, str) else line for line in lines]))
+    return spark.range(0, 1, 1, 1).select(numbered.alias("pos", "line")).select(
+        F.lit(section).alias("section"), F.format_string("%06d", "pos").alias("item"), "line"
+    )
 
 
 def csv_lines(compared: DataFrame, stages: Sequence[str] = STAGES) -> DataFrame:
@@ -91,12 +94,9 @@ def markdown_lines(
         .select(F.lit(5).alias("section"), F.format_string("%06d", "pos").alias("item"), "line")
     )
     models = [f"| {_label(s)} | {heading.descriptions.get(s, '')} |" for s in stages]
-    top = _fixed(spark, 0, [f"# {heading.title}", "", GENERATED])
-    top = top.withColumn(
-        "line", F.when(F.col("line") == GENERATED, F.concat("line", run_timestamp(now))).otherwise(F.col("line"))
-    )
     return (
-        top.union(_fixed(spark, 1, MODELS + models))
+        _fixed(spark, 0, [f"# {heading.title}", "", F.concat(F.lit(GENERATED), run_timestamp(now))])
+        .union(_fixed(spark, 1, MODELS + models))
         .union(_fixed(spark, 2, RESULTS))
         .union(table)
         .union(_fixed(spark, 4, AVERAGES))
@@ -126,12 +126,8 @@ def json_lines(
             ).alias("line"),
         )
     )
-    frame = _fixed(spark, 0, ["{"])
-    stamp = spark.range(1).select(
-        F.lit(1).alias("section"), F.lit("").alias("item"),
-        F.concat(F.lit('  "timestamp": "'), iso_timestamp(now), F.lit('",')).alias("line"),
-    )
-    frame = frame.union(stamp)
+    stamp = F.concat(F.lit('  "timestamp": "'), iso_timestamp(now), F.lit('",'))
+    frame = _fixed(spark, 0, ["{", stamp])
     for i, s in enumerate(stages, start=1):
         close = "  }" if i == len(stages) else "  },"
         frame = frame.union(_fixed(spark, i * 3 - 1, [f'  "{s}": {{'])).union(_fixed(spark, i * 3 + 1, [close]))
