@@ -175,10 +175,13 @@ def test_listing_sees_hidden_names(spark, tmp_path):
 def test_inventory(spark, tmp_path):
     (tmp_path / "a" / "__deep").mkdir(parents=True)
     (tmp_path / "a" / "one.bin").write_bytes(b"x" * 1500)
-    (tmp_path / "a" / "__deep" / "two.bin").write_bytes(b"x" * 500)
+    (tmp_path / "a" / "__deep" / "two.bin").write_bytes(b"x" * 200)
+    (tmp_path / "a" / "__deep" / ".lock").write_bytes(b"x" * 100)
+    (tmp_path / "a" / "_SUCCESS").write_bytes(b"x" * 100)
+    (tmp_path / "a" / "_metadata").write_bytes(b"x" * 100)
     folders = {"a": str(tmp_path / "a"), "gone": str(tmp_path / "gone")}
     got = {r.corpus: (r.n_files, r.megabytes, r.passed) for r in inventory.corpus_sizes(spark, folders).collect()}
-    assert got == {"a": (2, 0.002, True), "gone": (0, 0.0, False)}
+    assert got == {"a": (5, 0.002, True), "gone": (0, 0.0, False)}
     assert not readiness.ready(spark, folders, {}).first().all_passed
     del folders["gone"]
     assert readiness.ready(spark, folders, {"t": spark.range(1)}).first().all_passed

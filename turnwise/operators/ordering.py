@@ -17,6 +17,8 @@ def seeded_hash(row_id: Column, seed: int) -> Column:
 
 def bucket_totals(df: DataFrame, key: Column, prefix: int = PREFIX) -> DataFrame:
     """``(bucket, n, before)``: rows per bucket and rows in earlier buckets. At most ``16**prefix`` rows."""
+    if not 1 <= prefix <= 5:
+        raise ValueError("the prefix is 1 to 5 hex digits, which bounds the totals to 1,048,576 rows")
     totals = df.groupBy(F.substring(key, 1, prefix).alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
     running = F.sum("n").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
     return totals.withColumn("before", F.coalesce(running, F.lit(0)))
