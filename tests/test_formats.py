@@ -63,8 +63,11 @@ def test_ultrafeedback_takes_the_last_messages(spark):
     spec = preference_spec("ultrafeedback")
     assert rows(formats.format_corpus(spark.createDataFrame([good], schema), spec)) == [(1, "p", "c", "r2")]
     both = spark.createDataFrame([good, empty], schema)
-    with pytest.raises(PySparkException):
-        formats.ultrafeedback_triples(both, spec).collect()
+    for ansi in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", ansi)
+        with pytest.raises(PySparkException, match="without chosen messages"):
+            formats.ultrafeedback_triples(both, spec).collect()
+    spark.conf.set("spark.sql.ansi.enabled", "true")
     assert rows(formats.ultrafeedback_triples(both, spec, strict=False))[1] == (2, "p", None, "r")
     assert [r.row_id for r in formats.usable_rows(both, spec).collect()] == [1]
     assert [r.row_id for r in formats.quarantined_rows(both, spec).collect()] == [2]

@@ -2,6 +2,7 @@ import json
 
 import pyarrow as pa
 import pytest
+from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import types as T
 
 from turnwise.plans import readiness
@@ -136,6 +137,29 @@ def test_json_array_cut_into_splits(spark, tmp_path, layout):
     assert [r.asDict() for r in whole.orderBy("row_id").collect()] == got
 
 
+PARTS = st.sampled_from(['"', "\\", "}", "{", ",", ":", "[", "]", " ", "\n", "instruction", "é", '}, {"instruction":', "a"])
+WORDS = st.lists(PARTS, max_size=8).map("".join)
+
+
+@settings(max_examples=25, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(
+    st.lists(st.tuples(WORDS, WORDS, WORDS), min_size=2, max_size=30),
+    st.sampled_from([dict(indent=4), dict(), dict(separators=(",", ":")), dict(indent=0)]),
+    st.integers(60, 400),
+)
+def test_any_strings_survive_the_cut(spark, tmp_path, objects, layout, split):
+    rows = [dict(zip(("instruction", "input", "output"), o)) for o in objects]
+    path = tmp_path / "any.json"
+    path.write_text(json.dumps(rows, ensure_ascii=False, **layout), encoding="utf-8")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
+    try:
+        got = json_array.read_json_array(spark, str(path), ALPACA, whole_file=0).orderBy("row_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [r.asDict() for r in got] == [{"row_id": i, **r} for i, r in enumerate(rows)]
+
+
 def test_json_array_of_uneven_layout(spark, tmp_path):
     """Objects the separator does not cut come along in the piece of their neighbour."""
     a, b = '{"instruction": "%d", "input": "", "output": "o"}', ",\n\n"

@@ -64,13 +64,16 @@ def ultrafeedback_triples(df: DataFrame, spec: CorpusSpec, strict: bool = True)
 
     An empty message list is an error; with ``strict=False`` it gives NULL, for the quarantine.
     """
-    last = (lambda c: F.element_at(c, -1)) if strict else (lambda c: F.try_element_at(c, F.lit(-1)))
-    return df.select(
-        *_kept(df),
-        F.col(spec.column("prompt")).alias("prompt"),
-        last(F.col(spec.column("chosen")))["content"].alias("chosen"),
-        last(F.col(spec.column("rejected")))["content"].alias("rejected"),
-    )
+
+    def last(role: str) -> Column:
+        messages = F.col(spec.column(role))
+        content = F.try_element_at(messages, F.lit(-1))["content"]
+        if strict:
+            empty = F.raise_error(F.lit(f"a row without {role} messages")).cast("string")
+            content = F.when(F.size(messages) > 0, content).otherwise(empty)
+        return content.alias(role)
+
+    return df.select(*_kept(df), F.col(spec.column("prompt")).alias("prompt"), last("chosen"), last("rejected"))
 
 
 def transcript_triples(df: DataFrame, spec: CorpusSpec) -> DataFrame:

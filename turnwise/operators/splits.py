@@ -41,14 +41,20 @@ def validation_cut(df: DataFrame, row_id: str, test_size: float, seed: int, pref
 
 
 def exact_split(
-    df: DataFrame, row_id: str = "row_id", test_size: float = 0.02, seed: int = 42, prefix: int = PREFIX
+    df: DataFrame,
+    row_id: str = "row_id",
+    test_size: float = 0.02,
+    seed: int = 42,
+    prefix: int = PREFIX,
+    keys: DataFrame | None = None,
 ) -> DataFrame:
     """Adds ``split``; validation is the ``ceil(n * test_size)`` rows that come first in seeded order.
 
     The rows themselves do not move: the boundary is a scalar subquery over the key column, the assignment a
-    comparison. The same rows are chosen whatever the partitioning.
+    comparison. The same rows are chosen whatever the partitioning. The key column is read twice for the boundary;
+    where the rows of ``df`` are costly to find, ``keys`` is a table of their keys.
     """
-    cut = validation_cut(df, row_id, test_size, seed, prefix)
+    cut = validation_cut(df if keys is None else keys, row_id, test_size, seed, prefix)
     return df.withColumn("split", _named(F.coalesce(seeded_hash(F.col(row_id), seed) <= cut.scalar(), F.lit(False))))
 
 

@@ -50,9 +50,9 @@ def tokenised_rows(raw: DataFrame, spec: CorpusSpec, encoder: Encoder, options:
     return within_length(rows, options.max_seq_length)
 
 
-def with_split(rows: DataFrame, options: PrepareOptions) -> DataFrame:
-    """Train and validation; besides the rows themselves only their keys are read."""
-    return exact_split(rows, "row_id", options.validation_size, options.seed)
+def with_split(rows: DataFrame, options: PrepareOptions, keys: DataFrame | None = None) -> DataFrame:
+    """Train and validation. To find the boundary, the keys of the rows are read twice, from ``keys`` if given."""
+    return exact_split(rows, "row_id", options.validation_size, options.seed, keys=keys)
 
 
 def load_instruction_corpus(
@@ -133,18 +133,21 @@ def prepare_instruction_corpus(
     path = prepared_path(out, name, "sft")
 
     def raw() -> DataFrame:
-        # the split reads the keys twice besides the rows: parquet makes that cheap, JSON and Arrow shards do not
-        folder = resolve_source(spark, spec, roots)
-        if detect_layout(spark, folder) is Layout.PARQUET:
-            return read_instruction_corpus(spark, spec, roots)
-        return staged(spark, f"{path}_source", read_instruction_corpus(spark, spec, roots))
+        source = read_instruction_corpus(spark, spec, roots)
+        # read more than once below, which parquet makes cheap; JSON and Arrow shards do not
+        if detect_layout(spark, resolve_source(spark, spec, roots)) is Layout.PARQUET:
+            return source
+        return staged(spark, f"{path}_source", source)
 
     def build() -> DataFrame:
+        source = raw()
+        rows = tokenised_rows(source, spec, encoder, options)
         if options.on_overflow == "truncate":
-            return with_split(tokenised_rows(raw(), spec, encoder, options), options)
-        # which rows exist depends on their tokens: write them once, so that the split reads keys only
-        unsplit = staged(spark, f"{path}_unsplit", tokenised_rows(raw(), spec, encoder, options))
-        return with_split(unsplit, options)
+            # telling usable rows from others reads the texts: do that once, not for each step of the split
+            keys = staged(spark, f"{path}_keys", usable_rows(source, spec).select("row_id"))
+            return with_split(rows, options, keys)
+        # which rows exist depends on their tokens: write them once
+        return with_split(staged(spark, f"{path}_unsplit", rows), options)
 
     rows = read_or_build(spark, path, build)
     return rows, length_stats(rows, F.size("attention_mask"), by="split")
