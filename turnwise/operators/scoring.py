@@ -78,7 +78,7 @@ def shots_context(train: DataFrame, shots: int, row_id: str, example: str, seed:
         .orderBy("h")
         .limit(shots)
     )
-    in_order = F.transform(F.array_sort(F.collect_list(F.struct("h", "example"))), lambda s: s["example"])
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("h", "example"))), lambda s: s["example"])
     return chosen.agg(joined_shots(in_order).alias("context"))
 
 

@@ -254,7 +254,7 @@ def encode_by_join(
     found = near.filter(F.col("head_id").isNotNull()).select(row_id, "pos", F.col("head_id").alias("id")).union(
         far.select(row_id, "pos", F.coalesce("tail_id", F.lit(unknown_id)).alias("id"))
     )
-    grouped = found.groupBy(row_id).agg(F.array_sort(F.collect_list(F.struct("pos", "id"))).alias("found"))
+    grouped = found.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("found"))
     every = df.select(row_id)
     return every.join(grouped, row_id, "left").select(
         row_id,

@@ -64,7 +64,7 @@ def examples_from_turns(
     answer = F.min(F.when(F.col(role) == "assistant", F.col("start")))
     # still partitioned by conversation, so gathering the kept text moves nothing; ids are made from it afterwards
     gathered = pieces.groupBy(conv).agg(
-        F.array_sort(F.collect_list(F.struct("place", "piece"))).alias("parts"), answer.alias("answer")
+        F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("parts"), answer.alias("answer")
     )
     text = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
     examples = gathered.withColumn("input_ids", F.slice(encoder.ids(text), 1, max_seq_length))

@@ -56,7 +56,7 @@ def messages_from_turns(
             .join(hinted, [conv, "span_no"], "left")
             .withColumn("slot", F.coalesce(F.pmod("mix", "slots"), F.lit(0)).cast("bigint"))
         )
-    ordered = F.array_sort(
+    ordered = F.sort_array(
         F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")))
     )
     return (
