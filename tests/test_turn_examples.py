@@ -65,6 +65,15 @@ def test_a_hot_conversation_of_copies(spark):
     assert bytes(b for b in got[2].labels if b >= 0) == b"a<|im_end|>\n"
 
 
+def test_too_many_large_conversations_to_broadcast(spark, monkeypatch):
+    df = spark.createDataFrame(conversations(3), TURNS)
+    order = ["turn", "role", "text"]
+    expected = turn_examples.leading_turns(df, 3, "conv_id", order)
+    monkeypatch.setattr(turn_examples, "MAX_LARGE", 2)
+    got = turn_examples.leading_turns(df, 3, "conv_id", order, large=1)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_only_leading_turns_are_encoded(spark):
     df = spark.range(5000).selectExpr("1L conv_id", "id turn", "'user' role", "cast(id as string) text")
     kept = turn_examples.leading_turns(df, 10, "conv_id", ["turn", "role", "text"], large=100)

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.labels import MAX_SEQ_LENGTH, attention_mask, masked_labels
 from turnwise.operators.tokens import Encoder
+from turnwise.operators.turns import MAX_LARGE
 
 LARGE = 100_000  # turns of one conversation that a single task may sort
 SLICES = 256
@@ -23,18 +24,29 @@ def leading_turns(
 ) -> DataFrame:
     """The first ``n`` turns of each conversation, with their ``place``.
 
-    A count over the key column looks for conversations of more than ``large`` turns. Only if there are any, the turns
-    are first cut to ``n`` in each of ``slices`` slices of a conversation, so that no task sorts a whole one.
+    A count over the key column looks for conversations of more than ``large`` turns. If there are any, their turns are
+    first cut to ``n`` in each of ``slices`` slices, so that no task sorts a whole one; all others take the short way.
     """
+    hot = turns.groupBy(conv).count().filter(F.col("count") > large).select(conv)
+    n_hot = hot.limit(MAX_LARGE + 1).count()
+    if n_hot > MAX_LARGE:  # too many to send to every task: slice them all
+        turns = _sliced(turns, n, conv, order, slices)
+    elif n_hot > 0:
+        few = F.broadcast(hot)
+        cut = _sliced(turns.join(few, conv, "left_semi"), n, conv, order, slices)
+        turns = turns.join(few, conv, "left_anti").unionByName(cut)
     place = F.row_number().over(Window.partitionBy(conv).orderBy(*order))
-    if not turns.groupBy(conv).count().filter(F.col("count") > large).isEmpty():
-        piece = F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(slices))
-        in_slice = F.row_number().over(Window.partitionBy(conv, "slice").orderBy(*order))
-        turns = turns.withColumn("slice", piece).withColumn("place", in_slice)
-        turns = turns.filter(F.col("place") <= n).drop("slice", "place")
     return turns.withColumn("place", place).filter(F.col("place") <= n)
 
 
+def _sliced(turns: DataFrame, n: int, conv: str, order: list[str], slices: int) -> DataFrame:
+    """The first ``n`` turns of each slice of a conversation; the first ``n`` of all are among them."""
+    piece = F.pmod(F.xxhash64(*order, F.spark_partition_id()), F.lit(slices))
+    in_slice = F.row_number().over(Window.partitionBy(conv, "slice").orderBy(*order))
+    ranked = turns.withColumn("slice", piece).withColumn("place", in_slice)
+    return ranked.filter(F.col("place") <= n).drop("slice", "place")
+
+
 def examples_from_turns(
     turns: DataFrame,
     encoder: Encoder,
