@@ -48,9 +48,9 @@ def test_saved_splits(spark, tmp_path):
 
 
 def test_row_ids_follow_shard_and_place(spark, tmp_path):
-    save_split(tmp_path / "d", [prompts(0, 10), prompts(10, 17)])
+    save_split(tmp_path / "a folder" / "d", [prompts(0, 10), prompts(10, 17)])
     for slice_bytes in (1 << 20, 200):  # the second setting cuts each shard into several partitions
-        df = saved.read_saved_split(spark, str(tmp_path / "d"), slice_bytes)
+        df = saved.read_saved_split(spark, str(tmp_path / "a folder" / "d"), slice_bytes)
         assert (df.rdd.getNumPartitions() > 2) == (slice_bytes == 200)
         rows = df.orderBy("row_id").collect()
         assert [r.prompt for r in rows] == [f"p{i}" for i in range(17)]

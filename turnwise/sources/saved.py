@@ -49,7 +49,7 @@ def choose_split(splits: Sequence[str], preferred: Sequence[str]) -> str:
     return next(iter(splits))
 
 
-def _source_class():
+def _source_class(open_stream):
     """Built in a function, so that it is sent to workers by value."""
     from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -73,15 +73,12 @@ def _source_class():
         def read(self, partition):
             import numpy as np
             import pyarrow as pa
-            from pyarrow import fs
             from pyspark.sql.pandas.types import to_arrow_schema
 
             shard, path, part, parts = partition.value
             wanted = to_arrow_schema(self.schema)
-            system, inner = fs.FileSystem.from_uri(path)
-            local = isinstance(system, fs.LocalFileSystem)
             offset = shard * int(self.options["shard_rows"])
-            with pa.memory_map(inner) if local else system.open_input_stream(inner) as stream:
+            with open_stream(path) as stream:
                 for number, batch in enumerate(pa.ipc.open_stream(stream)):
                     rows = batch.num_rows
                     if number % parts == part:  # skipped batches of a mapped file are not read
@@ -104,6 +101,19 @@ def _source_class():
     return SavedSplit
 
 
+def _opener():
+    def open_stream(uri: str):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        if uri.startswith("file:"):  # taken as it is: a path is not percent-encoded
+            return pa.memory_map("/" + uri.removeprefix("file:").lstrip("/"))
+        system, path = fs.FileSystem.from_uri(uri)
+        return system.open_input_stream(path)
+
+    return open_stream
+
+
 def _shards(spark: SparkSession, folder: str, slice_bytes: int) -> list[tuple[str, int]]:
     """``(uri, number of slices)``. Only mapped files are sliced: a remote stream has to be read up to the batch wanted,
     so there a shard is one partition, as large as its writer made it."""
@@ -118,18 +128,14 @@ def _shards(spark: SparkSession, folder: str, slice_bytes: int) -> list[tuple[st
 
 
 def _uri(path: str) -> str:
-    """Hadoop's spelling of a path to the one Arrow's file systems know."""
-    if path.startswith("file:/") and not path.startswith("file://"):
-        return "file://" + path.removeprefix("file:")
+    """Hadoop's scheme for S3 is not known to Arrow's file systems."""
     return path.replace("s3a://", "s3://", 1) if path.startswith("s3a://") else path
 
 
 def _arrow_schema(uri: str):
     import pyarrow as pa
-    from pyarrow import fs
 
-    system, inner = fs.FileSystem.from_uri(uri)
-    with system.open_input_stream(inner) as stream:
+    with _opener()(uri) as stream:
         return pa.ipc.open_stream(stream).schema
 
 
@@ -140,7 +146,7 @@ def read_saved_split(spark: SparkSession, folder: str, slice_bytes: int = SLICE)
     generated = "" if ROW_ID in schema.fieldNames() else ROW_ID
     if generated:
         schema = T.StructType([T.StructField(ROW_ID, T.LongType()), *schema.fields])
-    spark.dataSource.register(_source_class())
+    spark.dataSource.register(_source_class(_opener()))
     return (
         spark.read.format("arrow_shards")
         .schema(schema)
