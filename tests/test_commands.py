@@ -32,5 +32,8 @@ def test_commands(spark, tmp_path):
     for stage, results in (("base", recorded.BASE), ("sft", recorded.SFT), ("dpo", recorded.DPO)):
         (tmp_path / "eval" / stage).mkdir(parents=True)
         (tmp_path / "eval" / stage / "results.json").write_text(json.dumps(recorded.document(results, 1.0)))
-    assert main(["report", "--results_dir", str(tmp_path / "eval"), "--output", str(tmp_path / "report")]) == 0
+    target = ["--results_dir", str(tmp_path / "eval"), "--output", str(tmp_path / "report")]
+    assert main(["report", *target, "--describe", "base=as published", "dpo=a=b"]) == 0
     assert (tmp_path / "report" / "comparison.csv" / "_SUCCESS").exists()
+    lines = [r.value for r in spark.read.text(str(tmp_path / "report" / "evaluation_report.md")).collect()]
+    assert "| Base | as published |" in lines and "| DPO | a=b |" in lines and "| SFT |  |" in lines

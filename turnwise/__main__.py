@@ -33,6 +33,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
     r.add_argument("--results_dir", default="eval_results")
     r.add_argument("--output", default="report")
     r.add_argument("--title", default="Evaluation report")
+    r.add_argument("--describe", nargs="*", default=[], metavar="STAGE=TEXT", help="what each stage is")
 
     c = jobs.add_parser("check", help="are the corpora there?")
     c.add_argument("--data_root", default=prepare.DATA_ROOT)
@@ -57,7 +58,8 @@ def _prepare(spark: SparkSession, a: argparse.Namespace) -> bool:
 
 def _report(spark: SparkSession, a: argparse.Namespace) -> bool:
     folders = {stage: f"{a.results_dir}/{stage}" for stage in STAGES}
-    compared = report.write_report(spark, folders, a.output, report.ReportHeading(a.title, {}))
+    heading = report.ReportHeading(a.title, dict(d.split("=", 1) for d in a.describe))
+    compared = report.write_report(spark, folders, a.output, heading)
     sorted_tasks(compared).show(truncate=False)
     return True
 
