@@ -140,8 +140,10 @@ def _byte_values():
 def _tokenizer_ids(document: str):
     @arrow_udf("array<int>")
     def tokenizer_ids(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        import itertools
         import os
 
+        import numpy as np
         import pyarrow as pa
         from tokenizers import Tokenizer
 
@@ -151,9 +153,12 @@ def _tokenizer_ids(document: str):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         for text in batches:
-            rows = text.to_pylist()
-            encoded = iter(tokenizer.encode_batch([r for r in rows if r is not None], add_special_tokens=False))
-            yield pa.array([None if r is None else next(encoded).ids for r in rows], pa.list_(pa.int32()))
+            missing = text.is_null()
+            encoded = tokenizer.encode_batch_fast(text.fill_null("").to_pylist(), add_special_tokens=False)
+            ids = [e.ids for e in encoded]
+            starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            values = np.fromiter(itertools.chain.from_iterable(ids), np.int32, count=int(starts[-1]))
+            yield pa.ListArray.from_arrays(pa.array(starts), pa.array(values), mask=missing)
 
     return tokenizer_ids
 
