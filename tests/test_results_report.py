@@ -24,8 +24,8 @@ def model_dirs(tmp_path_factory):
         "base/__share__model/results_1.json": recorded.document({"other": {"acc,none": 0.1}}, recorded.DATES["base_early"]),
         "base/__share__model/results_2.json": recorded.document(recorded.BASE, recorded.DATES["base"]),
         "sft/merged/results_3.json": recorded.document(recorded.SFT, recorded.DATES["sft"]),
-        "dpo/merged/deep/results_4.json": recorded.document(recorded.DPO, recorded.DATES["dpo"]),
-        "dpo/merged/deep/samples_4.json": {"results": {}},
+        "dpo/merged[1] {x}*/results_4.json": recorded.document(recorded.DPO, recorded.DATES["dpo"]),
+        "dpo/merged[1] {x}*/samples_4.json": {"results": {}},
     }.items():
         target = root / path
         target.parent.mkdir(parents=True, exist_ok=True)

@@ -197,10 +197,10 @@ def test_listing_sees_hidden_names(spark, tmp_path):
 
 
 def test_inventory(spark, tmp_path):
-    (tmp_path / "a" / "__deep").mkdir(parents=True)
+    (tmp_path / "a" / "__deep [a]?").mkdir(parents=True)
     (tmp_path / "a" / "one.bin").write_bytes(b"x" * 1500)
-    (tmp_path / "a" / "__deep" / "two.bin").write_bytes(b"x" * 200)
-    (tmp_path / "a" / "__deep" / ".lock").write_bytes(b"x" * 100)
+    (tmp_path / "a" / "__deep [a]?" / "two.bin").write_bytes(b"x" * 200)
+    (tmp_path / "a" / "__deep [a]?" / ".lock").write_bytes(b"x" * 100)
     (tmp_path / "a" / "_SUCCESS").write_bytes(b"x" * 100)
     (tmp_path / "a" / "_metadata").write_bytes(b"x" * 100)
     folders = {"a": str(tmp_path / "a"), "gone": str(tmp_path / "gone")}

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import SparkSession
@@ -20,6 +21,11 @@ def _open(spark: SparkSession, path: str):
     return target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), target
 
 
+def literal(path: str) -> str:
+    """The path with pattern characters escaped, for Spark readers, which would expand them."""
+    return re.sub(r"([\\{}\[\]*?])", r"\\\1", path)
+
+
 def exists(spark: SparkSession, path: str) -> bool:
     fs, target = _open(spark, path)
     return fs.exists(target)

@@ -27,7 +27,7 @@ def file_inventory(spark: SparkSession, folders: Mapping[str, str]) -> DataFrame
         hidden += [(corpus, f.path, f.length) for f in below if f.name.startswith(("_", ".")) or "_COPYING_" in f.name]
         parents = sorted({f.path.rsplit("/", 1)[0] for f in below})
         if parents:
-            scan = spark.read.format("binaryFile").load(parents)
+            scan = spark.read.format("binaryFile").load([files.literal(p) for p in parents])
             found = found.unionByName(scan.select(F.lit(corpus).alias("corpus"), "path", "length"))
     whole = found.unionByName(spark.createDataFrame(hidden, FILES)).dropDuplicates(["corpus", "path"])
     return listed.join(whole, "corpus", "left")

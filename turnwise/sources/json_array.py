@@ -55,7 +55,7 @@ def read_json_array(
     if any(not isinstance(f.dataType, T.StringType) for f in schema):
         raise ValueError("a JSON array file holds flat objects of strings")
     if files.children(spark, path)[0].length <= whole_file:
-        rows = spark.read.schema(schema).json(path, multiLine=True, mode="FAILFAST")
+        rows = spark.read.schema(schema).json(files.literal(path), multiLine=True, mode="FAILFAST")
         return rows.select(F.monotonically_increasing_id().alias(row_id), "*")
     # a cut in the middle of a character only affects the end of the head
     head = files.read_head(spark, path, HEAD).decode("utf-8", errors="replace")
@@ -67,7 +67,7 @@ def read_json_array(
     # every piece but the first lost its opening up to the colon of the first key
     opened = F.when(F.ltrim("value").startswith("["), piece).otherwise(F.concat(F.lit(lead), piece))
     parsed = F.from_json(F.concat(F.lit("["), opened, F.lit("}]")), T.ArrayType(schema), {"mode": "FAILFAST"})
-    pieces = spark.read.option("lineSep", separator).text(path).select(
+    pieces = spark.read.option("lineSep", separator).text(files.literal(path)).select(
         F.col("_metadata.file_block_start").alias("split_start"), parsed.alias("rows")
     )
     return _numbered(pieces, row_id, schema.fieldNames())

@@ -32,7 +32,7 @@ def scan_results(spark: SparkSession, model_dirs: Mapping[str, str]) -> DataFram
         paths = result_paths(spark, folder)
         if paths:
             scanned = scanned.unionByName(
-                spark.read.text(paths, wholetext=True).select(
+                spark.read.text([files.literal(p) for p in paths], wholetext=True).select(
                     F.lit(model).alias("model"),
                     F.col("_metadata.file_modification_time").alias("modified"),
                     F.col("_metadata.file_path").alias("path"),
