@@ -59,7 +59,7 @@ def completion_examples(
     """
     prompt = render_messages(prompt_messages(F.col(messages)), template, add_generation_prompt=True)
     text = render_messages(F.col(messages), template)
-    kept = [c for c in df.columns]
+    kept = df.columns
     return (
         df.withColumns(
             {"input_ids": encode(text, encoder, max_seq_length, True, special), "prompt_size": encoder.count(prompt)}
