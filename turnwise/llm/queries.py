@@ -6,12 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from turnwise.llm import byte_bpe
 from turnwise.llm.arrow_text import shared_folder, table
+from turnwise.llm.fingerprints import fingerprint_documents
 from turnwise.llm.packing import pack_documents
 from turnwise.llm.token_files import digests, read_starts, read_tokens, write_token_files
 
-BYTE_BPE = "byte_bpe_50k.json"
+BYTE_BPE, MULTI_RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
 
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,8 +28,26 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return digests(read_tokens(spark, files)).join(starts, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    path = public_tokenizers.path(MULTI_RANKS)
+    encoded = byte_bpe.encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return byte_bpe.decode_documents(encoded, path).select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
+def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint_documents(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_token_files": op4_token_files,
+    "op6_byte_bpe": op6_byte_bpe,
+    "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
