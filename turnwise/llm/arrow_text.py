@@ -49,7 +49,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of bounded text; null texts become empty."""
     for batch in batches:
         k = batch.schema.get_field_index(column)
@@ -61,7 +61,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iter
         start = 0
         while start < len(ends):
             before = ends[start - 1] if start else 0
-            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
 

@@ -19,7 +19,11 @@ import pyarrow.compute as pc
 CACHE = 600_000  # distinct pieces remembered by a worker; beyond it the memory is started anew
 CACHE_CHARS = 32 << 20  # and characters of them
 
-Encode = Callable[[Iterable[str]], list[list[int]]]
+Encode = Callable[[Iterable[str]], tuple[np.ndarray, np.ndarray]]  # ids one after another, and how many each text has
+
+
+def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
 def library_encoder(path: str) -> Encode:
@@ -32,7 +36,7 @@ def library_encoder(path: str) -> Encode:
     tokenizer = Tokenizer.from_file(path)
     if not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or tokenizer.normalizer is not None:
         tokenizer.encode_special_tokens = True
-        return lambda texts: [e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)]
+        return lambda texts: flattened([e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
     # the library's pre-tokeniser stands for bytes by printable characters: 33-126, 161-172 and 174-255 by themselves,
     # the others by 256 and up
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -51,7 +55,7 @@ def library_encoder(path: str) -> Encode:
             return merged(found[0])
         return [i for match in found for i in (often(match) if len(match) < 4 else merged(match))]
 
-    return lambda texts: list(map(ids, texts))
+    return lambda texts: flattened(list(map(ids, texts)))
 
 
 class PieceTable:
@@ -80,20 +84,19 @@ class PieceTable:
         new = [p for p in pieces if p not in known]
         if new:
             known.update(zip(new, range(self.size, self.size + len(new)), strict=True))
-            ids = self.encode(" " + p for p in new) if after_space else self.encode(new)
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            total = int(counts.sum())
+            ids, counts = self.encode(" " + p for p in new) if after_space else self.encode(new)
+            total, n = len(ids), len(new)
             while self.used + total > len(self.flat):
                 self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.size + len(ids) > len(self.ends):
+            while self.size + n > len(self.ends):
                 self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
                 self.loose = np.concatenate([self.loose, np.zeros_like(self.loose)])
-            self.flat[self.used : self.used + total] = [i for x in ids for i in x]
-            self.ends[self.size : self.size + len(ids)] = self.used + np.cumsum(counts)
+            self.flat[self.used : self.used + total] = ids
+            self.ends[self.size : self.size + n] = self.used + np.cumsum(counts)
             # a piece at whose edge there is white space, or an empty one, does not stand by itself
-            self.loose[self.size : self.size + len(ids)] = [not p or p[0].isspace() or p[-1].isspace() for p in new]
+            self.loose[self.size : self.size + n] = [not p or p[0].isspace() or p[-1].isspace() for p in new]
             self.used += total
-            self.size += len(ids)
+            self.size += n
             self.chars += sum(map(len, new))
         return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
 
