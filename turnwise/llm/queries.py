@@ -5,18 +5,44 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import byte_bpe
-from turnwise.llm.arrow_text import shared_folder, table
+from turnwise.llm.arrow_text import remainder, shared_folder, table
 from turnwise.llm.fingerprints import fingerprint_documents
+from turnwise.llm.language_id import fit_language, identify
 from turnwise.llm.packing import pack_documents
+from turnwise.llm.quality_classifier import fit_quality, quality_scores
+from turnwise.llm.quality_rules import judge_documents
+from turnwise.llm.subword import SubwordModel
 from turnwise.llm.token_files import digests, read_starts, read_tokens, write_token_files
 
 BYTE_BPE, MULTI_RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
 
+def _fold(divisor: int) -> Column:
+    """Whether a document is held out from learning."""
+    return remainder(F.col("doc_id"), divisor) == 2
+
+
+def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    labels = table(spark, folder, "labels").filter(~_fold(4)).select("doc_id", F.col("quality").alias("label"))
+    model = fit_quality(documents, labels)
+    return quality_scores(documents, model).select("doc_id", _fold(4).alias("held_out"), "score", "predicted")
+
+
+def learn_language(documents: DataFrame) -> SubwordModel:
+    return fit_language(documents, documents.filter(~_fold(4)).select("doc_id", F.col("lang").alias("label")))
+
+
+def op3_language(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents")
+    found = identify(documents, learn_language(documents))
+    return found.select("doc_id", _fold(4).alias("held_out"), "lang_pred", "score", "rejected")
+
+
 def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE)).drop("ids")
 
@@ -30,9 +56,9 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(MULTI_RANKS)
-    encoded = byte_bpe.encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
+    encoded = byte_bpe.encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, decode=True)
     decimal = F.array_join(F.col("ids").cast("array<string>"), ",")
-    return byte_bpe.decode_documents(encoded, path).select(
+    return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(decimal.cast("binary"), 256).alias("ids_sha256"),
@@ -40,14 +66,23 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    judged = judge_documents(table(spark, folder, "documents"))
+    base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
+    return judged.select(*base, "quality")
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality": op1_quality,
     "op2_packing": op2_packing,
+    "op3_language": op3_language,
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op8_quality_rules": op8_quality_rules,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
