@@ -12,6 +12,7 @@ from turnwise.llm import byte_bpe
 from turnwise.llm.arrow_text import remainder, shared_folder, table
 from turnwise.llm.fingerprints import fingerprint_documents
 from turnwise.llm.language_id import fit_language, identify
+from turnwise.llm.minhash_dedup import DedupOptions, near_duplicates
 from turnwise.llm.packing import pack_documents
 from turnwise.llm.quality_classifier import fit_quality, quality_scores
 from turnwise.llm.quality_rules import judge_documents
@@ -72,6 +73,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select(*base, "quality")
 
 
+def op9_minhash_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(table(spark, folder, "documents"), DedupOptions(percent=85))
+
+
 def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
     "op8_quality_rules": op8_quality_rules,
+    "op9_minhash_dedup": op9_minhash_dedup,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES: dict[str, str] = {}
