@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from turnwise.llm import byte_bpe
 from turnwise.llm.arrow_text import remainder, shared_folder, table
 from turnwise.llm.fingerprints import fingerprint_documents
+from turnwise.llm.html_mincut import extract_pages
 from turnwise.llm.language_id import fit_language, identify
 from turnwise.llm.minhash_dedup import DedupOptions, near_duplicates
 from turnwise.llm.packing import pack_documents
@@ -67,6 +68,10 @@ def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_html_mincut(spark: SparkSession, folder: str) -> DataFrame:
+    return extract_pages(table(spark, folder, "pages"))
+
+
 def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     judged = judge_documents(table(spark, folder, "documents"))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
@@ -87,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language": op3_language,
     "op4_token_files": op4_token_files,
     "op6_byte_bpe": op6_byte_bpe,
+    "op7_html_mincut": op7_html_mincut,
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_fingerprints": op10_fingerprints,
