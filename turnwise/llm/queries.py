@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm import byte_bpe
+from turnwise.llm import byte_bpe, pitman_yor
 from turnwise.llm.arrow_text import remainder, shared_folder, table
 from turnwise.llm.fingerprints import fingerprint_documents
 from turnwise.llm.html_mincut import extract_pages
@@ -56,6 +56,10 @@ def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return digests(read_tokens(spark, files)).join(starts, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op5_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:
+    return pitman_yor.score_documents(table(spark, folder, "documents"), _fold(7))
+
+
 def op6_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path(MULTI_RANKS)
     encoded = byte_bpe.encode_documents(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, decode=True)
@@ -91,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_language": op3_language,
     "op4_token_files": op4_token_files,
+    "op5_pitman_yor": op5_pitman_yor,
     "op6_byte_bpe": op6_byte_bpe,
     "op7_html_mincut": op7_html_mincut,
     "op8_quality_rules": op8_quality_rules,
