@@ -66,6 +66,20 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
             start = stop
 
 
+def sliced(text: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
+    """A text array in pieces of bounded text; null texts become empty."""
+    for batch in text_slices(iter([pa.RecordBatch.from_arrays([text], names=["text"])]), size=size):
+        yield batch.column("text")
+
+
+def unused_name(df: DataFrame, name: str) -> str:
+    """The name, or a longer one if the table has it already."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def word_codes(text: pa.Array, lower: bool = False) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """Words between ASCII white space: a code per word in text order, where each text's words begin, distinct words."""
     if lower:

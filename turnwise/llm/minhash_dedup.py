@@ -267,3 +267,14 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     return rows.select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
     )
+
+
+def keep_one_of_each(documents: DataFrame, options: DedupOptions | None = None) -> DataFrame:
+    """One document of each group of near duplicates, the one of least doc_id, with all columns. Equal rows are one.
+
+    Documents without words, and those with a null doc_id, stay.
+    """
+    names = documents.columns
+    marked = near_duplicates(documents, options).filter("kept").select(F.col("doc_id").alias("kept_id")).distinct()
+    rows = documents.join(marked, documents["doc_id"].eqNullSafe(marked["kept_id"]), "left_semi")
+    return rows.dropDuplicates(["doc_id", "text"]).select(*(rows[n] for n in names))

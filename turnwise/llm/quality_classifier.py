@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.subword import SubwordModel, SubwordOptions, bounded_sample, score_documents, train
+from turnwise.llm.subword import SubwordModel, SubwordOptions, bounded_sample, scored, train
 
 
 def fit_quality(documents: DataFrame, labels: DataFrame, options: SubwordOptions | None = None) -> SubwordModel:
@@ -24,6 +24,7 @@ def quality_scores(documents: DataFrame, model: SubwordModel, good: str = "1", t
     elif good not in model.labels:
         score = F.lit(0.0)
     else:
-        score = F.get("scores", F.lit(model.labels.index(good)))
-    rows = score_documents(documents, model).select("doc_id", score.alias("score"))
+        found = scored(F.col("text"), model, documents.sparkSession)
+        score = F.get(found.getField("scores"), F.lit(model.labels.index(good)))
+    rows = documents.select("doc_id", score.alias("score"))
     return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -8,7 +8,6 @@ patterns leave the executors, at most 3 to the power of the number of rules.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.arrow_text import text_slices, word_codes
+from turnwise.llm.arrow_text import sliced, unused_name, word_codes
 
 SYMBOLS = "[#*$%&|<>]"
 
@@ -27,26 +26,28 @@ class Rule:
     """Votes bad (0) from `bad` on, good (1) up to `good`, and abstains (-1) between; `ascending` says which way is bad."""
 
     name: str
-    value: str  # an expression over the statistics
+    part: str  # a statistic
+    whole: str | None  # the one it is divided by, if any
     good: float
     bad: float
 
-    def vote(self) -> Column:
-        x = F.expr(self.value)
+    def vote(self, statistics: dict[str, Column] | None = None) -> Column:
+        of = statistics or {c: F.col(c) for c in STATISTICS}
+        x = of[self.part] if self.whole is None else of[self.part] / F.greatest(of[self.whole], F.lit(1))
         if self.bad >= self.good:
             return F.when(x >= self.bad, 0).when(x <= self.good, 1).otherwise(-1)
         return F.when(x <= self.bad, 0).when(x >= self.good, 1).otherwise(-1)
 
 
 RULES = (
-    Rule("words", "n_words", 80, 30),
-    Rule("repeated words", "n_repeat_words / greatest(n_words, 1)", 0.3, 0.6),
-    Rule("same word again", "n_same_again / greatest(n_words, 1)", 0.05, 0.2),
-    Rule("symbols", "n_symbols / greatest(n_words, 1)", 0.05, 0.25),
-    Rule("repeated lines", "n_dup_lines / greatest(n_lines, 1)", 0.2, 0.5),
-    Rule("capitals", "n_capitals / greatest(n_letters, 1)", 0.15, 0.4),
-    Rule("letters", "n_letters / greatest(word_chars, 1)", 0.85, 0.7),
-    Rule("exclamations", "n_exclaims / greatest(n_words, 1)", 0.05, 0.3),
+    Rule("words", "n_words", None, 80, 30),
+    Rule("repeated words", "n_repeat_words", "n_words", 0.3, 0.6),
+    Rule("same word again", "n_same_again", "n_words", 0.05, 0.2),
+    Rule("symbols", "n_symbols", "n_words", 0.05, 0.25),
+    Rule("repeated lines", "n_dup_lines", "n_lines", 0.2, 0.5),
+    Rule("capitals", "n_capitals", "n_letters", 0.15, 0.4),
+    Rule("letters", "n_letters", "word_chars", 0.85, 0.7),
+    Rule("exclamations", "n_exclaims", "n_words", 0.05, 0.3),
 )
 
 STATISTICS = (
@@ -96,42 +97,43 @@ def repeated_lines(text: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return total - np.bincount(distinct // (len(worded) + 1), minlength=len(n)), total
 
 
-def text_statistics(documents: DataFrame) -> DataFrame:
-    """(doc_id, statistics) of every whole text, null as empty, narrow. Words are runs of other than ASCII white space."""
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
-            text = batch.column("text")
-            codes, starts, words = word_codes(text)
-            n = np.diff(starts)
-            owner = np.repeat(np.arange(len(n)), n)
-
-            def total(per_word: pa.Array, codes: np.ndarray = codes, owner: np.ndarray = owner, n: np.ndarray = n) -> np.ndarray:
-                values = per_word.to_numpy(zero_copy_only=False).astype(np.float64)
-                return np.bincount(owner, weights=values[codes], minlength=len(n)).astype(np.int64)
-
-            again = np.zeros(len(codes), bool)
-            again[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
-            duplicates, lines = repeated_lines(text)
-            columns = {
-                "n_words": n,
-                "word_chars": total(pc.utf8_length(words)),
-                "n_symbols": total(pc.count_substring_regex(words, SYMBOLS)),
-                "n_dup_lines": duplicates,
-                "n_repeat_words": repeated_window_words(codes, starts),
-                "n_same_again": np.bincount(owner[again], minlength=len(n)),
-                "n_lines": lines,
-                "n_capitals": total(pc.count_substring_regex(words, r"\p{Lu}")),
-                "n_letters": total(pc.count_substring_regex(words, r"\p{L}")),
-                "n_exclaims": total(pc.count_substring(words, "!")),
-            }
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(columns[c], pa.int64()) for c in STATISTICS)],
-                names=["doc_id", *STATISTICS],
-            )
-
-    schema = "doc_id long, " + ", ".join(f"{c} long" for c in STATISTICS)
-    return documents.select("doc_id", "text").mapInArrow(measure, schema)
+def measure(text: pa.Array) -> dict[str, np.ndarray]:
+    """The statistics of each text."""
+    codes, starts, words = word_codes(text)
+    n = np.diff(starts)
+    owner = np.repeat(np.arange(len(n)), n)
+
+    def total(per_word: pa.Array) -> np.ndarray:
+        values = per_word.to_numpy(zero_copy_only=False).astype(np.float64)
+        return np.bincount(owner, weights=values[codes], minlength=len(n)).astype(np.int64)
+
+    again = np.zeros(len(codes), bool)
+    again[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
+    duplicates, lines = repeated_lines(text)
+    return {
+        "n_words": n,
+        "word_chars": total(pc.utf8_length(words)),
+        "n_symbols": total(pc.count_substring_regex(words, SYMBOLS)),
+        "n_dup_lines": duplicates,
+        "n_repeat_words": repeated_window_words(codes, starts),
+        "n_same_again": np.bincount(owner[again], minlength=len(n)),
+        "n_lines": lines,
+        "n_capitals": total(pc.count_substring_regex(words, r"\p{Lu}")),
+        "n_letters": total(pc.count_substring_regex(words, r"\p{L}")),
+        "n_exclaims": total(pc.count_substring(words, "!")),
+    }
+
+
+def text_statistics(text: Column) -> Column:
+    """The statistics of a whole text as a struct, null as empty. Words are runs of other than ASCII white space."""
+
+    @F.arrow_udf("struct<" + ", ".join(f"{c}: long" for c in STATISTICS) + ">")
+    def statistics(texts: pa.Array) -> pa.Array:
+        found = [measure(piece) for piece in sliced(texts)]
+        columns = [pa.array(np.concatenate([m[c] for m in found]) if found else [], pa.int64()) for c in STATISTICS]
+        return pa.StructArray.from_arrays(columns, names=list(STATISTICS))
+
+    return statistics(text)
 
 
 @dataclass(frozen=True)
@@ -175,23 +177,40 @@ def posterior_good(model: LabelModel, votes: list[Column]) -> Column:
     return 1 / (1 + F.exp(-odds))
 
 
+FAILED = "n_words < 50 OR 100 * n_repeat_words > 50 * n_words"
+
+
+def fit_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES) -> LabelModel:
+    """The label model of all documents' votes; their counted patterns are all that leaves the executors."""
+    names = [f"vote_{k}" for k in range(len(rules))]
+    measured = documents.select(text_statistics(F.col("text")).alias("s")).select("s.*")
+    voted = measured.select(*(r.vote().alias(n) for r, n in zip(rules, names, strict=True)))
+    counted = voted.groupBy(*names).count().collect()  # at most 3 to the power of the number of rules
+    return fit_votes([(tuple(r[n] for n in names), r["count"]) for r in sorted(counted)], len(rules))
+
+
 def judge_documents(documents: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
     """(doc_id, statistics, base_failed, votes, quality, kept) per document.
 
     Base: under 50 words, or more than half of the words in repeated windows, fails; a document that fails is not kept,
     any other is kept if its posterior probability of being good reaches the threshold. The texts are read twice, once
-    for the label model and once for the result, and never shuffled. An empty table gives no rows.
+    for the label model and once for the result, and never shuffled. A null text has no words. An empty table gives no
+    rows.
     """
-    measured = text_statistics(documents)
-    names = [f"vote_{k}" for k in range(len(rules))]
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    voted = measured.select("*", failed.alias("base_failed"), *(r.vote().alias(n) for r, n in zip(rules, names, strict=True)))
-    counted = voted.groupBy(*names).count().collect()  # at most 3 to the power of the number of rules
-    model = fit_votes([(tuple(r[n] for n in names), r["count"]) for r in sorted(counted)], len(rules))
-    quality = posterior_good(model, [F.col(n) for n in names])
-    return (
-        voted.withColumn("quality", quality)
-        .withColumn("votes", F.array(*names))
-        .withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
-        .drop(*names)
-    )
+    model = fit_documents(documents, rules)
+    measured = documents.select("doc_id", text_statistics(F.col("text")).alias("s")).select("doc_id", "s.*")
+    votes = [r.vote() for r in rules]
+    return measured.select(
+        "*", F.expr(FAILED).alias("base_failed"), F.array(*votes).alias("votes"), posterior_good(model, votes).alias("quality")
+    ).withColumn("kept", ~F.col("base_failed") & (F.col("quality") >= threshold))
+
+
+def keep_good(documents: DataFrame, rules: tuple[Rule, ...] = RULES, threshold: float = 0.5) -> DataFrame:
+    """The documents that `judge_documents` keeps, with all their columns."""
+    model = fit_documents(documents, rules)
+    found = unused_name(documents, "verdict")
+    measured = documents.select("*", F.struct(text_statistics(F.col("text")).alias("s")).alias(found))
+    s = {c: F.col(f"{found}.s.{c}") for c in STATISTICS}
+    votes = [r.vote(s) for r in rules]
+    failed = (s["n_words"] < 50) | (100 * s["n_repeat_words"] > 50 * s["n_words"])
+    return measured.filter(~failed & (posterior_good(model, votes) >= threshold)).drop(found)

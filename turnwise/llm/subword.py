@@ -8,16 +8,15 @@ and softmax are folded into one row of logits per feature, so that a word costs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from turnwise.llm.arrow_text import mixed, text_slices, word_codes
+from turnwise.llm.arrow_text import mixed, sliced, word_codes
 
 OPEN, CLOSE = 2, 3  # code points that mark a word's borders
 
@@ -210,33 +209,28 @@ def bounded_sample(documents: DataFrame, labels: DataFrame, o: SubwordOptions) -
     return [t for t, _ in unique], [x for _, x in unique]
 
 
-def score_documents(documents: DataFrame, model: SubwordModel) -> DataFrame:
-    """(doc_id, label, score, scores, wordless) per document from its whole text: likeliest label, its probability, all.
+def scored(text: Column, model: SubwordModel, spark: SparkSession) -> Column:
+    """Struct of label, score, scores and wordless from a whole text: likeliest label, its probability, all of them.
 
     A null text is empty; a text without words is scored by the bias alone. Ties go to the first label. Without any
-    label learned, label is null and score 0. Narrow.
+    label learned, label is null and score 0.
     """
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped = spark.sparkContext.broadcast(model)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<label: string, score: double, scores: array<double>, wordless: boolean>")
+    def score(texts: pa.Array) -> pa.Array:
         m = shipped.value
-        for batch in text_slices(batches):
-            n = len(batch)
-            if m.labels:
-                p = softmax(document_logits(m, batch.column("text")) / m.temperature)
-                best = p.argmax(axis=1)
-                label, top = [m.labels[k] for k in best], p[np.arange(n), best]
-            else:
-                p, label, top = np.zeros((n, 0)), [None] * n, np.zeros(n)
-            lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * p.shape[1], pa.int32()), pa.array(p.ravel(), pa.float64()))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("doc_id"), pa.array(label, pa.string()), pa.array(top, pa.float64()), lists,
-                    pc.equal(pc.ascii_trim_whitespace(batch.column("text")), pa.scalar("", pa.large_string())),
-                ],
-                names=["doc_id", "label", "score", "scores", "wordless"],
-            )
-
-    return documents.select("doc_id", "text").mapInArrow(
-        score, "doc_id long, label string, score double, scores array<double>, wordless boolean"
-    )
+        found = [softmax(document_logits(m, piece) / m.temperature) for piece in sliced(texts)] if m.labels else []
+        p = np.concatenate(found) if found else np.zeros((len(texts), len(m.labels)))
+        n, k = p.shape
+        best = p.argmax(axis=1) if k else np.zeros(n, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * k, pa.int32()), pa.array(p.ravel(), pa.float64()))
+        columns = [
+            pa.array([m.labels[b] for b in best] if k else [None] * n, pa.string()),
+            pa.array(p[np.arange(n), best] if k else np.zeros(n), pa.float64()),
+            lists,
+            pc.equal(pc.ascii_trim_whitespace(pc.fill_null(texts, "")), ""),
+        ]
+        return pa.StructArray.from_arrays(columns, names=["label", "score", "scores", "wordless"])
+
+    return score(text)
