@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SLICE_BYTES = 8 << 20  # text handled at once inside a task; a single longer text is handled alone
+SLICE_BYTES = 4 << 20  # text handled at once inside a task; a single longer text is handled alone
 
 
 def remainder(key: Column, divisor: int) -> Column:

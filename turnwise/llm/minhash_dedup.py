@@ -40,6 +40,7 @@ class DedupOptions:
     bands: int = 32
     rows: int = 4  # places of a band; two sets of resemblance 0.8 miss all 32 bands once in ten million times
     hubs: int = 32  # further hubs of a bucket in a round
+    slice_bytes: int = 2 << 20  # text signed at once in a task
 
 
 def probe_sequence(places: int, attempts: int) -> np.ndarray:
@@ -92,7 +93,7 @@ def document_nodes(documents: DataFrame, o: DedupOptions) -> DataFrame:
     """(doc_id, n_shingles, node, bands) per document, narrow. Equal sets have equal nodes; without words bands are null."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=o.slice_bytes):
             hashes, owner = _sets(batch, o.shingle)
             n = np.bincount(owner, minlength=len(batch))
             signature = signatures(hashes, owner, len(batch), o.bands * o.rows)
@@ -120,7 +121,7 @@ def shingle_sets(documents: DataFrame, o: DedupOptions) -> DataFrame:
     """(node, shingles) per document: the full set as ascending 64-bit hashes, packed."""
 
     def collect_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in text_slices(batches):
+        for batch in text_slices(batches, size=o.slice_bytes):
             hashes, owner = _sets(batch, o.shingle)
             ends = np.searchsorted(owner, np.arange(len(batch) + 1)).astype(np.int32) * 8
             packed = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer(ends), pa.py_buffer(hashes.tobytes())])
@@ -131,9 +132,12 @@ def shingle_sets(documents: DataFrame, o: DedupOptions) -> DataFrame:
     return documents.select("text").mapInArrow(collect_sets, "node long, shingles binary")
 
 
-def _similar(a: Column, b: Column, percent: int) -> Column:
-    """Whether two set sizes allow a link at all."""
-    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
+def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose set sizes allow a link at all."""
+    for end in ("a", "b"):
+        pairs = pairs.join(sizes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}")), end)
+    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
+    return pairs.filter(low * 100 >= high * percent).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -190,22 +194,21 @@ def components(links: DataFrame) -> DataFrame:
 def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame]:
     """Next hubs of buckets that hold more than one component beyond their last hub, and the pairs to compare."""
     open_rows = (
-        buckets.join(found, "node", "left")
+        buckets.select("bucket", "node").join(found, "node", "left")
         .withColumn("component", F.coalesce("component", "node"))
         .join(last, "bucket", "left")
         .filter("last IS NULL OR node > last")
     )
     several = open_rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    rows = checkpointed(open_rows.join(several, "bucket", "left_semi").select("bucket", "node", "size", "component"))
+    rows = checkpointed(open_rows.join(several, "bucket", "left_semi").select("bucket", "node", "component"))
     slot = Window.partitionBy("bucket", "slot").orderBy("node")
     least = rows.withColumn("slot", F.pmod("node", F.lit(64))).withColumn("place", F.row_number().over(slot))
     least = least.filter(F.col("place") <= o.hubs)
     hubs = least.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).filter(F.col("place") <= o.hubs)
-    hubs = hubs.select("bucket", F.col("node").alias("a"), F.col("size").alias("hub_size"), F.col("component").alias("of"))
+    hubs = hubs.select("bucket", F.col("node").alias("a"), F.col("component").alias("of"))
     pairs = (
         rows.join(hubs, "bucket")
         .filter((F.col("node") > F.col("a")) & (F.col("component") != F.col("of")))
-        .filter(_similar(F.col("size"), F.col("hub_size"), o.percent))
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
@@ -215,40 +218,36 @@ def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: Ded
 def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document: the least doc_id of its group, and whether it is that.
 
-    A null or empty text has no shingles and is a group of its own. Rows are told apart by their sets: rows with equal
+    A null or empty text has no shingles and is a group of its own; so is a row without doc_id, which is kept. Rows are told apart by their sets: rows with equal
     doc_ids and unlike texts can be in different groups, and equal rows share one (each is kept if its id is the least).
     Intermediate tables are written to the shared folder. An empty table gives no rows.
     """
     o = options or DedupOptions()
     spark = documents.sparkSession
     signed = written(document_nodes(documents, o), shared_folder(spark, "dedup-nodes"))
-    nodes = signed.filter("bands IS NOT NULL").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("size"), F.min_by("bands", "doc_id").alias("bands")
-    )
-    spread = nodes.select("node", "size", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
-    buckets = written(
-        spread.join(shared, "bucket").select("bucket", "node", "size", "hub"), shared_folder(spark, "dedup-buckets")
-    )
-    pairs = (
-        buckets.filter(F.col("node") != F.col("hub.node"))
-        .filter(_similar(F.col("size"), F.col("hub.size"), o.percent))
-        .select(F.col("hub.node").alias("a"), F.col("node").alias("b"))
-        .distinct()
+    worded = signed.filter("bands IS NOT NULL AND doc_id IS NOT NULL")
+    least = worded.groupBy("node").agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("size"))
+    nodes = written(
+        worded.join(least, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "size", "bands"),
+        shared_folder(spark, "dedup-sets-of-documents"),
     )
+    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    buckets = written(spread.join(shared, "bucket"), shared_folder(spark, "dedup-buckets"))
+    sizes = nodes.select("node", "size")
+    pairs = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = _sized(pairs, sizes, o.percent)
     # full sets of nodes that share a bucket, from one document each
-    wanted = buckets.select("node").distinct().join(
-        signed.filter("bands IS NOT NULL").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node"
-    )
-    texts = documents.select("doc_id", "text").join(wanted.select("doc_id").distinct(), "doc_id", "left_semi")
+    wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
+    texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = shingle_sets(texts, o).dropDuplicates(["node"])
     sets = written(sets, shared_folder(spark, "dedup-sets"))
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
     found = components(links)
-    last = buckets.select("bucket", F.col("hub.node").alias("last")).distinct()
+    last = buckets.select("bucket", F.col("hub").alias("last")).distinct()
     while True:
         last_now, more = _further_pairs(buckets, found, last, o)
-        more = checkpointed(more)
+        more = checkpointed(_sized(more, sizes, o.percent))
         if more.isEmpty() and last_now.isEmpty():
             break
         new = checkpointed(confirmed(more, sets, o.percent))
@@ -258,11 +257,10 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
         last = checkpointed(last.join(last_now.withColumnRenamed("last", "later"), "bucket", "left").select(
             "bucket", F.greatest("last", F.coalesce("later", "last")).alias("last")
         ))
-    least = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    ids = least.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    named = least.join(ids, "component").select("node", "component_id")
-    worded = F.col("bands").isNotNull()
-    rows = signed.select("doc_id", "n_shingles", F.when(worded, F.col("node")).alias("node"))
+    grouped = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = grouped.join(ids, "component").select("node", "component_id")
+    rows = signed.select("doc_id", "n_shingles", F.when(F.expr("bands IS NOT NULL AND doc_id IS NOT NULL"), F.col("node")).alias("node"))
     rows = rows.join(named, "node", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return rows.select(
         "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
