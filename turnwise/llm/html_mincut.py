@@ -55,8 +55,8 @@ WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 @dataclass(frozen=True)
 class CutWeights:
     bias: float = -0.2
-    away: float = -8.0  # an element such as nav, footer or form around the block
-    away_word: float = -6.0  # a class, id or role that says so
+    away: float = -10.0  # an element such as nav, footer or form around the block
+    away_word: float = -9.0  # a class, id or role that says so
     within: float = 4.0  # inside article or main
     within_word: float = 2.0
     paragraph: float = 0.8
