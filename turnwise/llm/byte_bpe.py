@@ -149,8 +149,8 @@ def rank_encoder(path: str, pattern: str) -> Callable[[Iterable[str]], tuple[np.
 def decoded_bytes(ids: np.ndarray, counts: np.ndarray, tokens: list[bytes]) -> pa.Array:
     """What the ids of each list stand for. An id without a token is an error."""
     lengths = np.fromiter(map(len, tokens), np.int32, len(tokens))
-    size = lengths[ids]
-    if len(ids) and not size.all():
+    size = lengths[np.minimum(ids, len(tokens) - 1)]
+    if len(ids) and (not size.all() or ids.min() < 0 or ids.max() >= len(tokens)):
         raise ValueError("an id has no token in the file of ranks")
     ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[np.concatenate([[0], np.cumsum(counts)])]
     data = b"".join(map(tokens.__getitem__, ids.tolist()))

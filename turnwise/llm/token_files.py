@@ -36,6 +36,8 @@ class FileLayout:
             "parquet.page.row.count.limit": str(self.page_rows),
             "parquet.dictionary.page.size": str(self.dictionary_bytes),
             "parquet.enable.dictionary": "true",
+            "parquet.enable.dictionary#doc_id": "false",  # delta encoded from the start
+            "parquet.enable.dictionary#n_tokens": "false",
         }
 
 
