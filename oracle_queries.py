@@ -12,17 +12,17 @@ def _turn(role: str, content: str) -> str:
 
 HEADER = f"('<|im_start|>assistant' || {NL})"
 
-ANSWERED = """answered AS (
-  SELECT * FROM (
-    SELECT conv_id AS row_id,
-           arg_min(text, turn) FILTER (role = 'user') AS asked,
-           coalesce(arg_min(text, turn) FILTER (role = 'system'), '') AS system,
-           arg_min(text, turn) FILTER (role = 'assistant') AS answered,
-           arg_max(text, turn) FILTER (role = 'assistant') AS answered_last,
-           count(*) FILTER (role = 'assistant') AS n_answers
-    FROM conversations GROUP BY conv_id)
-  WHERE asked IS NOT NULL AND answered IS NOT NULL)"""
-PAIRED = ANSWERED + ", paired AS (SELECT * FROM answered WHERE n_answers >= 2)"
+EXCHANGES = """exchanges AS (
+  SELECT a.conv_id, a.turn, a.conv_id || '-' || a.turn AS row_id, a.text AS asked, b.text AS answered,
+         coalesce(s.system, '') AS system
+  FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1
+  LEFT JOIN (SELECT conv_id, arg_min(text, turn) AS system FROM conversations WHERE role = 'system' GROUP BY conv_id) s
+    ON s.conv_id = a.conv_id
+  WHERE a.role = 'user' AND b.role = 'assistant')"""
+ANSWERED = EXCHANGES + ", answered AS (SELECT row_id, asked, answered, system FROM exchanges)"
+PAIRED = EXCHANGES + """, paired AS (
+  SELECT a.row_id, a.conv_id, a.turn, a.system, a.asked, a.answered, b.asked AS asked_later, b.answered AS answered_later
+  FROM exchanges a JOIN exchanges b ON b.conv_id = a.conv_id AND b.turn = a.turn + 2)"""
 
 ALPACA_USER = f"CASE WHEN system <> '' THEN asked || {NL} || {NL} || system ELSE asked END"
 ALPACA_TEXT = _turn("'user'", f"({ALPACA_USER})") + " || " + _turn("'assistant'", "answered")
@@ -37,16 +37,13 @@ def _cut(text: str) -> str:
     return f"regexp_extract_all({text}, '{TOKEN}')"
 
 
-def _vocabulary(table: str, reserved: tuple[str, ...] = (), size: int = 2000) -> str:
-    """CTE ``voc(token, n, id)``; reserved tokens have no count."""
-    named = ", ".join(f"'{t}'" for t in reserved)
-    without = f"WHERE token NOT IN ({named})" if reserved else ""
-    extra = "".join(f" UNION ALL SELECT '{t}', NULL, {i}" for i, t in enumerate(reserved))
-    start = len(reserved)
+def _vocabulary(table: str, size: int | None = None) -> str:
+    """CTE ``voc(token, n, id)``, of all tokens or of the most frequent ones."""
+    limit = "" if size is None else f"WHERE id < {size}"
     return f"""words AS (SELECT unnest({_cut('text')}) AS token FROM {table}),
-      counted AS (SELECT token, count(*) AS n FROM words {without} GROUP BY token),
-      ranked AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 + {start} AS id FROM counted),
-      voc AS (SELECT token, n, id FROM ranked WHERE id < {start + size}{extra})"""
+      counted AS (SELECT token, count(*) AS n FROM words GROUP BY token),
+      ranked AS (SELECT token, n, row_number() OVER (ORDER BY n DESC, token) - 1 AS id FROM counted),
+      voc AS (SELECT token, n, id FROM ranked {limit})"""
 
 
 def _ids(source: str, key: str, text: str, unknown: int = -1) -> str:
@@ -70,9 +67,6 @@ def _digest(values: str) -> str:
 ENCODED = f"""WITH {_vocabulary('documents')}, {_ids('documents', 'doc_id', 'text')}
   SELECT doc_id, len(ids)::BIGINT AS n_ids, {_digest('ids')} AS digest FROM ids"""
 
-CHAT_VOCABULARY = _vocabulary("conversations", ("<|im_start|>", "<|im_end|>"))
-
-
 def _labelled(ctes: str, ids: str, ignored: str) -> str:
     """``ignored`` is the number of leading labels that are -100; it may exceed the number of ids."""
     label = f"list_concat(list_transform(range(0, {ignored}), lambda i: -100), {ids}[{ignored} + 1:])"
@@ -83,18 +77,17 @@ def _labelled(ctes: str, ids: str, ignored: str) -> str:
       FROM kept"""
 
 
-CHAT_IDS = f"""{ANSWERED}, {CHAT_VOCABULARY},
-   texts AS (SELECT row_id, {ORCA_TEXT} AS text, len({_cut(f'({ORCA_PROMPT} || {HEADER})')}) AS p FROM answered),
-   {_ids('texts', 'row_id', 'text')},
-   source AS (SELECT row_id, ids, p FROM ids JOIN texts USING (row_id))"""
+CHAT_IDS = f"""{ANSWERED},
+   source AS (SELECT row_id, {_bytes(f'({ORCA_TEXT})')} AS ids, octet_length(encode({ORCA_PROMPT} || {HEADER})) AS p
+              FROM answered)"""
 
-CONVERSATION_IDS = f"""{CHAT_VOCABULARY},
+CONVERSATION_IDS = f"""
    firsts AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS f FROM conversations GROUP BY conv_id),
    texts AS (SELECT conv_id AS row_id, string_agg({_turn('role', 'text')}, '' ORDER BY turn) AS text,
-                    len({_cut(f"(coalesce(string_agg({_turn('role', 'text')}, '' ORDER BY turn) FILTER (f IS NULL OR turn < f), '') || {HEADER})")}) AS p
+                    octet_length(encode(coalesce(string_agg({_turn('role', 'text')}, '' ORDER BY turn)
+                                 FILTER (f IS NULL OR turn < f), '') || {HEADER})) AS p
              FROM conversations JOIN firsts USING (conv_id) GROUP BY conv_id),
-   {_ids('texts', 'row_id', 'text')},
-   source AS (SELECT row_id, ids, p FROM ids JOIN texts USING (row_id))"""
+   source AS (SELECT row_id, {_bytes('text')} AS ids, p FROM texts)"""
 
 BYTE_IDS = f"{ANSWERED}, source AS (SELECT row_id, {_bytes(f'({ALPACA_TEXT})')} AS ids FROM answered)"
 
@@ -124,14 +117,15 @@ def _hash_split(key: str, size: float) -> str:
     return f"CASE WHEN {lead} / 4294967296.0::DOUBLE < {size} THEN 'validation' ELSE 'train' END"
 
 
-TRIPLES = f"{PAIRED}, triples AS (SELECT row_id, asked AS prompt, answered AS chosen, answered_last AS rejected FROM paired)"
+TRIPLES = f"{PAIRED}, triples AS (SELECT row_id, asked AS prompt, answered AS chosen, answered_later AS rejected FROM paired)"
 
 PREDICTIONS = """predictions AS (
   SELECT CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'sft' ELSE 'dpo' END AS model, event_type AS task,
          event_id AS doc_id, (value > 10)::INT::DOUBLE AS correct FROM events)"""
-METRICS = PREDICTIONS + """, metrics AS (
-  SELECT model, task, avg(correct) AS value FROM predictions
-  WHERE NOT (model = 'dpo' AND task = 'error') GROUP BY model, task)"""
+METRICS = """metrics AS (
+  SELECT CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'sft' ELSE 'dpo' END AS model,
+         event_type || '-' || floor(value / 20)::INT AS task, avg((event_id % 5 > 1)::INT::DOUBLE) AS value
+  FROM events GROUP BY ALL)"""
 WIDE = METRICS + """, wide AS (
   SELECT task, max(value) FILTER (model = 'base') AS base, max(value) FILTER (model = 'sft') AS sft,
          max(value) FILTER (model = 'dpo') AS dpo FROM metrics GROUP BY task)"""
@@ -184,9 +178,9 @@ def _checks() -> str:
 
 ORACLES: dict[str, str] = {
     "conversation_messages": f"""
-      SELECT conv_id, turn // 1024 AS span_no, count(*) AS n_messages,
+      SELECT conv_id, 0::BIGINT AS part, 1::BIGINT AS n_parts, count(*) AS n_messages,
              md5(string_agg(role || ':' || text, {NL} ORDER BY turn)) AS digest
-      FROM conversations GROUP BY conv_id, turn // 1024""",
+      FROM conversations GROUP BY conv_id""",
     "alpaca_messages": f"""WITH {ANSWERED}
       SELECT row_id, 2::BIGINT AS n_messages,
              md5('user:' || ({ALPACA_USER}) || {NL} || 'assistant:' || answered) AS digest FROM answered""",
@@ -195,16 +189,36 @@ ORACLES: dict[str, str] = {
              md5(CASE WHEN system <> '' THEN 'system:' || system || {NL} ELSE '' END
                  || 'user:' || asked || {NL} || 'assistant:' || answered) AS digest FROM answered""",
     "sharegpt_messages": f"""
-      SELECT conv_id || '-' || (turn // 1024) || '-0' AS row_id, count(*) AS n_messages,
+      SELECT conv_id || '-0' AS row_id, count(*) AS n_messages,
              md5(string_agg(CASE WHEN role = 'user' THEN 'user' ELSE 'assistant' END || ':' || text, {NL}
                             ORDER BY turn)) AS digest
-      FROM conversations GROUP BY conv_id, turn // 1024""",
+      FROM conversations GROUP BY conv_id""",
     "ultrafeedback_triples": f"WITH {TRIPLES} SELECT * FROM triples",
     "hh_triples": f"""WITH {PAIRED}
       SELECT row_id, '' AS prompt,
              {NL} || {NL} || 'Human: ' || asked || {NL} || {NL} || 'Assistant: ' || answered AS chosen,
-             {NL} || {NL} || 'Human: ' || asked || {NL} || {NL} || 'Assistant: ' || answered_last AS rejected
+             {NL} || {NL} || 'Human: ' || asked || {NL} || {NL} || 'Assistant: ' || answered_later AS rejected
       FROM paired""",
+    "hh_prompt_recovery": f"""WITH {PAIRED},
+      sides AS (SELECT row_id, asked = CASE WHEN turn % 4 < 2 THEN asked ELSE asked_later END AS same,
+                       system || {NL} || {NL} || 'Human: ' || asked || {NL} || {NL} || 'Assistant:' AS head, answered,
+                       system || {NL} || {NL} || 'Human: ' || CASE WHEN turn % 4 < 2 THEN asked ELSE asked_later END
+                         || {NL} || {NL} || 'Assistant:' AS other, answered_later FROM paired)
+      SELECT row_id, CASE WHEN same THEN head ELSE '' END AS prompt,
+             CASE WHEN same THEN '' ELSE head END || ' ' || answered AS chosen,
+             CASE WHEN same THEN '' ELSE other END || ' ' || answered_later AS rejected, same AS recovered FROM sides""",
+    "rejected_instructions": f"""WITH {ANSWERED}
+      SELECT conv_id || '-' || turn AS row_id, text AS instruction FROM conversations
+      WHERE role = 'user' AND conv_id || '-' || turn NOT IN (SELECT row_id FROM answered)""",
+    "contaminated_documents": """
+      WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents),
+      b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM benchmark),
+      runs AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 7], ' ') AS run
+               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+      wanted AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 7], ' ') AS run
+                 FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
+      hits AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM runs JOIN wanted USING (run) GROUP BY doc_id)
+      SELECT doc_id, coalesce(n, 0) AS n_items, coalesce(n, 0) > 0 AS contaminated FROM documents LEFT JOIN hits USING (doc_id)""",
     "helpsteer_unchanged": "SELECT * FROM labels",
     "chat_render": f"SELECT conv_id, turn, {_turn('role', 'text')} AS rendered FROM conversations",
     "chat_render_lists": f"WITH {ANSWERED} SELECT row_id, {ORCA_TEXT} AS rendered FROM answered",
@@ -212,10 +226,9 @@ ORACLES: dict[str, str] = {
     "prompt_part": """
       WITH first AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS f FROM conversations GROUP BY conv_id)
       SELECT conv_id, turn, role, text FROM conversations JOIN first USING (conv_id) WHERE f IS NULL OR turn < f""",
-    "vocabulary_topk": f"WITH {_vocabulary('documents')} SELECT token, n, id FROM voc",
+    "vocabulary_topk": f"WITH {_vocabulary('documents', 2000)} SELECT token, n, id FROM voc",
     "encode_regex": ENCODED,
     "encode_join": ENCODED,
-    "encode_hf": ENCODED.replace("coalesce(id, -1)", "coalesce(id, 2000)"),
     "encode_bytes": f"""WITH b AS (SELECT doc_id, {_bytes('text')} AS ids FROM documents)
       SELECT doc_id, len(ids)::BIGINT AS n_ids, {_digest('ids')} AS digest FROM b""",
     "full_labels": _labelled(CHAT_IDS, "ids[:256]", "0"),
@@ -241,16 +254,14 @@ ORACLES: dict[str, str] = {
     "split_stats": f"""
       WITH whole AS (SELECT conv_id, string_agg({_turn('role', 'text')}, '' ORDER BY turn) AS text
                      FROM conversations GROUP BY conv_id),
-      n AS (SELECT {_hash_split('conv_id', 0.2)} AS split, least(len({_cut('text')}), 512) AS t FROM whole)
+      n AS (SELECT {_hash_split('conv_id', 0.2)} AS split, len({_cut('text')}) AS t FROM whole)
       SELECT split, count(*) AS n_rows, min(t)::BIGINT AS min_tokens, max(t)::BIGINT AS max_tokens,
              round(avg(t), 6) AS avg_tokens FROM n GROUP BY split""",
     "split_rows": f"SELECT split, count(*) AS n_rows FROM ({_exact_split('documents', 'doc_id', 0.02)}) GROUP BY split",
     "corpus_rows": f"WITH {TRIPLES} SELECT count(*) AS n_rows FROM triples",
-    "prepared_alpaca": f"""WITH {ANSWERED}, {CHAT_VOCABULARY},
-      texts AS (SELECT row_id, {ALPACA_TEXT} AS text FROM answered),
-      {_ids('texts', 'row_id', 'text')}, parts AS ({_exact_split('answered', 'row_id', 0.02)})
+    "prepared_alpaca": f"""WITH {BYTE_IDS}, parts AS ({_exact_split('answered', 'row_id', 0.02)})
       SELECT row_id, split, len(ids[:256])::BIGINT AS n_ids, {_digest('ids[:256]')} AS labels_digest
-      FROM ids JOIN parts USING (row_id)""",
+      FROM source JOIN parts USING (row_id)""",
     "preview": """SELECT doc_id AS row_id, substr(text, 1, 50) || '...' AS preview FROM documents
       ORDER BY doc_id LIMIT 5""",
     "table_checks": _checks(),
@@ -258,6 +269,7 @@ ORACLES: dict[str, str] = {
     "primary_metric": """
       SELECT event_id, event_type AS task, CASE event_id % 6 WHEN 4 THEN 1.0 ELSE value END AS value
       FROM events WHERE event_id % 6 <> 5""",
+    "run_times": """SELECT event_id, make_timestamp(epoch_us(ts) - epoch_us(TIMESTAMP '2024-01-01')) AS run_at FROM events""",
     "latest_result": f"""
       WITH m AS (SELECT CASE user_id % 3 WHEN 0 THEN 'base' WHEN 1 THEN 'sft' ELSE 'dpo' END AS model, event_id, ts
                  FROM events)
@@ -322,8 +334,8 @@ ORACLES: dict[str, str] = {
              round(sqrt(avg(correct) * (1 - avg(correct)) / (count(*) - 1)), 6) AS acc_stderr, count(*) AS n
       FROM predictions GROUP BY model, task""",
     "multiple_choice": """
-      WITH s AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS e, label % 4 AS gold FROM embeddings),
-      n AS (SELECT *, [e[1] / 3.0::DOUBLE, e[2] / 2.0::DOUBLE, e[3] / 7.0::DOUBLE, e[4] / 8.0::DOUBLE] AS z FROM s)
+      WITH s AS (SELECT vec_id, embedding::DOUBLE[] AS e, label % len(embedding) AS gold FROM embeddings),
+      n AS (SELECT *, list_transform(range(1, len(e) + 1), lambda k: e[k] / length('choice ' || k)::DOUBLE) AS z FROM s)
       SELECT vec_id, (list_position(e, list_max(e)) - 1 = gold)::INT::DOUBLE AS acc,
              (list_position(z, list_max(z)) - 1 = gold)::INT::DOUBLE AS acc_norm FROM n""",
     "strict_extract": f"WITH {RESPONSES} SELECT doc_id, {STRICT.format('response')} AS found FROM responses",

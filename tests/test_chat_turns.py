@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import chat, turns
@@ -39,23 +40,45 @@ def test_turns_to_lists(spark):
     df = spark.createDataFrame(TABLE, TURNS).repartition(5)
     got = turns.messages_from_turns(df).orderBy("conv_id").collect()
     assert [[m.content for m in r.messages] for r in got] == [["s", "u", "a", "v", "b"], ["only"], ["first", "x"]]
-    assert {(r.span_no, r.slot) for r in got} == {(0, 0)}
+    assert {(r.part, r.n_parts) for r in got} == {(0, 1)}
+
+
+@pytest.mark.parametrize("first", [0, 1022, 1_700_000_000_000])
+@pytest.mark.parametrize("step", [1, 1000])
+def test_a_long_conversation_becomes_parts_by_position(spark, first, step):
+    long = spark.range(2500).selectExpr("9L conv_id", f"{first} + id * {step} turn", "'user' role", "cast(id as string) text")
+    df = long.union(spark.createDataFrame(TABLE, TURNS)).repartition(3)
+    got = turns.messages_from_turns(df, part_size=1000).orderBy("conv_id", "part").collect()
+    assert [(len(r.messages), r.n_parts) for r in got] == [(5, 1), (1, 1), (2, 1), (1000, 3), (1000, 3), (500, 3)]
+    assert [m.content for r in got if r.conv_id == 9 for m in r.messages] == [str(i) for i in range(2500)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_repeated_turns_keep_their_order_and_none_is_lost(spark, partitions):
+    rows = [(7, k % 3, "user", f"{k % 5}") for k in range(900)] + [(7, None, "user", "unnumbered")] + TABLE
+    df = spark.createDataFrame(rows, TURNS).repartition(partitions)
+    got = turns.messages_from_turns(df, part_size=100).orderBy("conv_id", "part").collect()
+    hot = [r for r in got if r.conv_id == 7]
+    assert [len(r.messages) for r in hot] == [100] * 9 + [1] and {r.n_parts for r in hot} == {10}
+    want = ["unnumbered"] + [t for _, t in sorted((k % 3, f"{k % 5}") for k in range(900))]
+    assert [m.content for r in hot for m in r.messages] == want
+    assert sorted(len(r.messages) for r in got if r.conv_id != 7) == [1, 2, 5]
 
 
-def test_a_long_conversation_becomes_spans(spark):
-    long = spark.range(2500).selectExpr("9L conv_id", "id turn", "'user' role", "cast(id as string) text")
-    got = turns.messages_from_turns(long, span=1000).orderBy("span_no").collect()
-    assert [len(r.messages) for r in got] == [1000, 1000, 500]
-    assert [m.content for r in got for m in r.messages] == [str(i) for i in range(2500)]
+def test_part_size_does_not_change_the_messages(spark):
+    rows = TABLE + [(None, k, "user", str(k)) for k in range(7)] + [(4, 1_700_000_000_000 + 900 * k, "user", str(k)) for k in range(6)]
+    df = spark.createDataFrame(rows, TURNS)
+    whole = {r.conv_id: [m.content for m in r.messages] for r in turns.messages_from_turns(df).collect()}
+    assert len(whole) == 5 and whole[4] == [str(k) for k in range(6)]
+    for size in (1, 2, 4):
+        parts = turns.messages_from_turns(df, part_size=size).orderBy("part").collect()
+        again = {c: [m.content for r in parts if r.conv_id == c for m in r.messages] for c in whole}
+        assert again == whole
 
 
-def test_repeated_turns_are_dealt_out_and_none_is_lost(spark):
-    hot = spark.range(0, 4000, 1, 8).selectExpr("7L conv_id", "id % 4 turn", "'user' role", "'same' text")
-    df = hot.union(spark.createDataFrame(TABLE, TURNS))
-    got = turns.messages_from_turns(df, span=100).collect()
-    sizes = [len(r.messages) for r in got if r.conv_id == 7]
-    assert sum(sizes) == 4000 and max(sizes) <= 200
-    assert sorted(len(r.messages) for r in got if r.conv_id != 7) == [1, 2, 5]
+def test_exchanges(spark):
+    got = turns.exchanges(spark.createDataFrame(TABLE, TURNS)).orderBy("conv_id", "turn").collect()
+    assert [tuple(r) for r in got] == [(1, 1, "u", "a", "s"), (1, 3, "v", "b", "s")]
 
 
 def test_rendered_turns_join_to_the_chat_text(spark):
@@ -66,10 +89,10 @@ def test_rendered_turns_join_to_the_chat_text(spark):
 
 
 def test_prompt_turns(spark):
-    df = spark.createDataFrame(TABLE, TURNS)
-    for span in (1, 2, 1 << 20):
-        got = turns.prompt_turns(df, span=span).orderBy("conv_id", "turn").collect()
-        assert [(r.conv_id, r.text) for r in got] == [(1, "s"), (1, "u"), (2, "only")]
+    rows = TABLE + [(4, None, "user", "no number"), (4, 2, "user", "two"), (None, 1, "user", "nobody"), (5, None, "assistant", "a")]
+    got = turns.prompt_turns(spark.createDataFrame(rows, TURNS)).collect()
+    want = [(None, "nobody"), (1, "s"), (1, "u"), (2, "only"), (4, "no number"), (4, "two")]
+    assert sorted(((r.conv_id, r.text) for r in got), key=str) == sorted(want, key=str)
 
 
 def test_first_answered(spark):

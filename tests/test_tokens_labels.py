@@ -5,7 +5,7 @@ from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from turnwise.operators import batches, labels, tokens
-from turnwise.plans.catalog import _tokenizer_document
+from vocabulary_document import _tokenizer_document
 
 MESSAGES = "row_id bigint, messages array<struct<role:string,content:string>>"
 TEXTS = "row_id bigint, text string"

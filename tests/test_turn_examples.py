@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from turnwise.operators import labels, tokens, turn_examples, turns
-from turnwise.plans.catalog import _tokenizer_document
+from vocabulary_document import _tokenizer_document
 
 TURNS = "conv_id bigint, turn bigint, role string, text string"
 

@@ -29,6 +29,11 @@ def run_date(body: Column) -> Column:
     return F.get_json_object(body, "$.date").try_cast("double")
 
 
+def run_time(body: Column) -> Column:
+    """The time of the run, from its epoch seconds, to the microsecond."""
+    return F.timestamp_micros(F.round(run_date(body) * 1_000_000).cast("bigint"))
+
+
 def is_number(v: Column) -> Column:
     """Number or boolean in the JSON sense; a quoted number is text."""
     kind = F.schema_of_variant(v)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from turnwise.functions.text import comma_list
 from turnwise.operators.labels import MAX_SEQ_LENGTH
 from turnwise.operators.tokens import Encoder
 
@@ -52,5 +51,5 @@ def preference_budget(
 
 def allowed_tasks(df: DataFrame, tasks: str | None = None, column: str = "task") -> DataFrame:
     """Rows whose task is in the comma list, each name stripped; without a list, all known benchmarks."""
-    names = F.array(*[F.lit(t) for t in ALL_TASKS]) if tasks is None else comma_list(F.lit(tasks))
-    return df.filter(F.array_contains(names, F.col(column)))
+    names = list(ALL_TASKS) if tasks is None else [t.strip() for t in tasks.split(",")]
+    return df.filter(F.col(column).isin(names))

@@ -86,6 +86,31 @@ def transcript_triples(df: DataFrame, spec: CorpusSpec) -> DataFrame:
     )
 
 
+ANSWER = "\n\nAssistant:"  # fixed value: what stands before an answer in a transcript
+
+
+def recovered_triples(df: DataFrame, spec: CorpusSpec) -> DataFrame:
+    """Prompt, chosen and rejected from transcripts that are the same up to their last answer.
+
+    Each transcript is cut after its last answer marker. ``recovered`` tells whether both have one and the heads are
+    equal; where they are not, the prompt is empty and the transcripts stay whole, so that nothing is lost.
+    """
+    sides = {}
+    for side in ("chosen", "rejected"):
+        whole = F.col(spec.column(side))
+        tail = F.substring_index(whole, ANSWER, -1)
+        sides[side] = whole, tail, F.left(whole, F.length(whole) - F.length(tail))
+    heads = [head for _, _, head in sides.values()]
+    marked = F.endswith(heads[0], F.lit(ANSWER)) & (heads[0] == heads[1])
+    same = F.coalesce(marked, F.lit(False))
+    return df.select(
+        *_kept(df),
+        F.when(same, heads[0]).otherwise(F.lit("")).alias("prompt"),
+        *[F.when(same, tail).otherwise(whole).alias(side) for side, (whole, tail, _) in sides.items()],
+        same.alias("recovered"),
+    )
+
+
 def unchanged(df: DataFrame, spec: CorpusSpec) -> DataFrame:
     """Registered corpora without a layout of their own pass through; the result is not a triple."""
     return df
@@ -128,6 +153,12 @@ def _complete(spec: CorpusSpec) -> Column:
     return ok
 
 
+def required_rows(df: DataFrame, spec: CorpusSpec) -> DataFrame:
+    """All rows; the first one that lacks a required field is an error when it is read."""
+    checked = F.assert_true(F.coalesce(_complete(spec), F.lit(False)), F.lit(f"a {spec.name} row lacks a required field"))
+    return df.filter(checked.isNull())
+
+
 def usable_rows(df: DataFrame, spec: CorpusSpec) -> DataFrame:
     """Rows whose required fields are all there, down to the text of each message that is used."""
     return df.filter(_complete(spec))

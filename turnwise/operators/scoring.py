@@ -25,8 +25,8 @@ def best_choice(scores: Column) -> Column:
 
 
 def per_length(scores: Column, choices: Column) -> Column:
-    """Scores divided by the length of their choice, in characters."""
-    return F.zip_with(scores, choices, lambda s, c: s / F.length(c))
+    """Scores divided by the length of their choice, in characters. An empty choice has no such score and is never best."""
+    return F.zip_with(scores, choices, lambda s, c: F.try_divide(s, F.length(c)))
 
 
 def multiple_choice(df: DataFrame, scores: str = "scores", choices: str = "choices", gold: str = "gold") -> DataFrame:

@@ -107,14 +107,15 @@ def _lookup(vocabulary: tuple[str, ...], unknown_id: int):
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        known = pa.array(vocabulary, pa.string())
+        places = {t: i for i, t in reversed(list(enumerate(vocabulary)))}  # once per task; a repeated token keeps its first
         for tokens in batches:
             sizes = pc.fill_null(pc.list_value_length(tokens), 0)
             ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int32)
-            found = pc.index_in(tokens.flatten().cast(pa.string()), value_set=known)
-            ids = pc.fill_null(found.cast(pa.int32()), unknown_id)
+            coded = tokens.flatten().cast(pa.string()).dictionary_encode()
+            distinct = np.array([places.get(t, unknown_id) for t in coded.dictionary.to_pylist()], np.int32)
+            ids = distinct[coded.indices.to_numpy(zero_copy_only=False)]
             starts = pa.array(np.concatenate([np.zeros(1, np.int32), ends]), pa.int32())
-            yield pa.ListArray.from_arrays(starts, ids, mask=tokens.is_null())
+            yield pa.ListArray.from_arrays(starts, pa.array(ids, pa.int32()), mask=tokens.is_null())
 
     return lookup
 
@@ -192,30 +193,38 @@ def token_counts(df: DataFrame, text: str = "text", pattern: str = TOKEN_PATTERN
 
 
 def build_vocabulary(
-    df: DataFrame, size: int, text: str = "text", pattern: str = TOKEN_PATTERN, reserved: Sequence[str] = ()
+    df: DataFrame, size: int | None, text: str = "text", pattern: str = TOKEN_PATTERN, reserved: Sequence[str] = ()
 ) -> DataFrame:
-    """``(token, n, id)`` of the ``size`` most frequent tokens; ids by falling count, then token.
+    """``(token, n, id)`` of the ``size`` most frequent tokens, or of all; ids by falling count, then token.
 
     Reserved tokens are not counted as candidates: their ids come first and are the caller's. Before the top-k a
     histogram over powers of two of the count finds the smallest count that can still matter, so the top-k sees about
-    ``size`` rows instead of every distinct token. Only the chosen rows meet in the one task that numbers them.
+    ``size`` rows instead of every distinct token. Ids are offsets of buckets of one count and one beginning plus ranks
+    inside a bucket: only the totals of the buckets meet in one task.
     """
     counts = token_counts(df, text, pattern)
     if reserved:
         counts = counts.filter(~F.col("token").isin(*reserved))
-    octave = F.floor(F.log2("n")).cast("int")
-    falling = Window.orderBy(F.col("octave").desc())
-    # at most 63 octaves, so this window is a constant-size task
-    enough = (
-        counts.groupBy(octave.alias("octave"))
-        .agg(F.count(F.lit(1)).alias("distinct_tokens"))
-        .withColumn("reached", F.sum("distinct_tokens").over(falling))
-        .filter(F.col("reached") >= size)
-        .agg(F.coalesce(F.max("octave"), F.lit(0)).alias("octave"))
+    if size is not None:
+        octave = F.floor(F.log2("n")).cast("int")
+        falling = Window.orderBy(F.col("octave").desc())
+        # at most 63 octaves, so this window is a constant-size task
+        enough = (
+            counts.groupBy(octave.alias("octave"))
+            .agg(F.count(F.lit(1)).alias("distinct_tokens"))
+            .withColumn("reached", F.sum("distinct_tokens").over(falling))
+            .filter(F.col("reached") >= size)
+            .agg(F.coalesce(F.max("octave"), F.lit(0)).alias("octave"))
+        )
+        counts = counts.filter(octave >= enough.scalar()).orderBy(F.desc("n"), "token").limit(size)
+    counts = counts.withColumn("beginning", F.substring("token", 1, 2))
+    running = Window.orderBy(F.desc("n"), "beginning").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.groupBy("n", "beginning").agg(F.count(F.lit(1)).alias("held"))
+    offsets = offsets.select("n", "beginning", F.coalesce(F.sum("held").over(running), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("n", "beginning").orderBy("token")) - 1
+    return counts.withColumn("place", place).join(offsets, ["n", "beginning"]).select(
+        "token", "n", (F.col("before") + F.col("place") + len(reserved)).cast("int").alias("id")
     )
-    top = counts.filter(octave >= enough.scalar()).orderBy(F.desc("n"), "token").limit(size)
-    numbered = F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1 + len(reserved)
-    return top.withColumn("id", numbered)
 
 
 def collect_vocabulary(vocabulary: DataFrame, reserved: Sequence[str] = ()) -> list[str]:
@@ -230,6 +239,33 @@ def collect_vocabulary(vocabulary: DataFrame, reserved: Sequence[str] = ()) -> l
         kept.unpersist()
 
 
+def _distinct_tokens(df: DataFrame, row_id: str, text: str, pattern: str) -> DataFrame:
+    """``(row_id, codes, distinct)``: the tokens of each row as places in the list of its distinct ones. NULL stays NULL."""
+    kind = df.schema[row_id].dataType.simpleString()
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            codes, distinct = [], []
+            for row in batch.column("tokens"):
+                if not row.is_valid:
+                    codes.append(None)
+                    distinct.append(None)
+                else:
+                    coded = row.values.dictionary_encode()
+                    codes.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32))
+                    distinct.append(coded.dictionary.to_pylist())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("id"), pa.array(codes, pa.list_(pa.int32())), pa.array(distinct, pa.list_(pa.string()))],
+                names=["id", "codes", "distinct"],
+            )
+
+    cut = df.select(F.col(row_id).alias("id"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("tokens"))
+    return cut.mapInArrow(code, f"id {kind}, codes array<int>, distinct array<string>")
+
+
 def encode_by_join(
     df: DataFrame,
     vocabulary: DataFrame,
@@ -239,29 +275,43 @@ def encode_by_join(
     unknown_id: int = -1,
     head: int = 4096,
 ) -> DataFrame:
-    """``(row_id, input_ids)`` for a vocabulary of any size.
+    """``(row_id, input_ids)`` for a vocabulary of any size; a NULL text has NULL ids.
 
-    One row per token occurrence is joined to the vocabulary. The ``head`` lowest ids - the most frequent tokens, with
-    a length limit, so at most a few MB - are broadcast; only the long tail is shuffled by token, which keeps the
-    frequent tokens out of that shuffle. Regrouping is by ``row_id``, whose tokens came from one row to begin with.
+    The texts are read once. Only the distinct tokens of a row are looked up, each with its place in the row's list; the
+    occurrences stay with their row, as codes. The ``head`` lowest ids - the most frequent tokens, with a length limit,
+    so at most a few MB - are found in a broadcast, only the long tail is shuffled by token; of that a token that is in
+    no vocabulary can be frequent, and adaptive skew handling splits it.
     """
     short = F.octet_length("token") <= 256
     is_head = (F.col("id") < head) & short
-    words = df.select(
-        row_id,
-        F.posexplode(F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0))).alias("pos", "token"),
-    )
-    near = words.join(
-        F.broadcast(vocabulary.filter(is_head).select("token", F.col("id").alias("head_id"))), "token", "left"
+    coded = _distinct_tokens(df, row_id, text, pattern)
+    near = coded.select("id", "codes", F.posexplode_outer("distinct").alias("place", "token")).withColumn(
+        "codes", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("codes"))  # once per row
     )
+    near = near.join(F.broadcast(vocabulary.filter(is_head).select("token", F.col("id").alias("head_id"))), "token", "left")
     tail = vocabulary.filter(~is_head).select("token", F.col("id").alias("tail_id"))
-    far = near.filter(F.col("head_id").isNull()).join(tail, "token", "left")
-    found = near.filter(F.col("head_id").isNotNull()).select(row_id, "pos", F.col("head_id").alias("id")).union(
-        far.select(row_id, "pos", F.coalesce("tail_id", F.lit(unknown_id)).alias("id"))
+    missing = F.col("head_id").isNull() & F.col("token").isNotNull()
+    # a found token gets a key of its own row, so that it does not crowd the others' key
+    wanted = near.withColumn("key", F.when(missing, F.col("token")))
+    found = wanted.join(tail.withColumnRenamed("token", "key"), "key", "left")
+    ids = F.coalesce("head_id", "tail_id", F.lit(unknown_id))
+    grouped = found.groupBy("id").agg(
+        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("place", ids.alias("token_id"))))).alias("found"),
+        F.max("codes").alias("codes"),
     )
-    grouped = found.groupBy(row_id).agg(F.sort_array(F.collect_list(F.struct("pos", "id"))).alias("found"))
-    every = df.select(row_id)
-    return every.join(grouped, row_id, "left").select(
-        row_id,
-        F.coalesce(F.transform("found", lambda e: e["id"]), F.array().cast("array<int>")).alias("input_ids"),
+    return grouped.select(
+        F.col("id").alias(row_id), F.transform("codes", lambda c: F.get(F.col("found"), c)["token_id"]).alias("input_ids")
     )
+
+
+def encode_rows(
+    df: DataFrame, vocabulary: DataFrame, row_id: str = "row_id", text: str = "text", unknown_id: int = -1,
+    max_shipped: int = MAX_SHIPPED_TOKENS,
+) -> DataFrame:
+    """``(row_id, input_ids)``: the vocabulary is shipped if it is small enough, otherwise joined. Same ids either way."""
+    kept = vocabulary.select("token", "id")
+    n, size = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+    if n > max_shipped or (size or 0) > MAX_SHIPPED_BYTES:
+        return encode_by_join(df, kept, row_id, text, unknown_id=unknown_id)
+    encoder = RegexEncoder(collect_vocabulary(kept), unknown_id)
+    return df.select(row_id, encoder.ids(F.col(text)).alias("input_ids"))

@@ -1,8 +1,8 @@
 """Conversations stored one row per turn, keyed by ``(conversation, turn)``.
 
 A single conversation may hold a large share of all rows, so nothing here gathers a whole conversation. Rendering
-is per turn, totals are partial aggregates, and message lists are built per *span* of at most ``SPAN`` turn numbers.
-An ordinary conversation fits in one span and therefore in one row.
+is per turn, totals are partial aggregates, and message lists are built per *part*: at most ``PART`` messages that follow
+each other in the conversation. An ordinary conversation is one part and therefore one row.
 """
 
 from __future__ import annotations
@@ -12,19 +12,38 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.formats import message
 
-SPAN = 1024
-JOIN_SPAN = 1 << 20
-MAX_LARGE = 1 << 20  # spans a broadcast may list, about 32 MB
+PART = 1024
+MAX_LARGE = 1 << 20  # conversations a broadcast may list, about 32 MB
 
 
-def span_of(turn: Column, span: int = SPAN) -> Column:
-    return F.call_function("div", turn, F.lit(span))
+def _same(a: Column, b: Column) -> Column:
+    return a.eqNullSafe(b)
 
 
-def _slots(turns: DataFrame, conv: str, turn: str, span: int) -> DataFrame:
-    """``(conv, span_no, slots)`` of the spans with more rows than turn numbers, that is, with repeated turns."""
-    counts = turns.groupBy(F.col(conv), span_of(F.col(turn), span).alias("span_no")).agg(F.count(F.lit(1)).alias("n"))
-    return counts.filter(F.col("n") > span).select(conv, "span_no", F.ceil(F.col("n") / span).alias("slots"))
+def _placed(large: DataFrame, size: int) -> DataFrame:
+    """Rows of large conversations with ``place``, their position from 0, and ``copies``, how many equal rows they stand for.
+
+    The range of a conversation's turn numbers is cut into about as many steps as it has parts. Rows before a step are
+    sums over steps, and places in a step are sums over its distinct rows, so no task sees a whole conversation unless
+    nearly all of its turns share a few numbers; equal rows are counted before, and only counted.
+    """
+    bounds = large.groupBy("conv").agg(
+        F.min("turn").alias("low"), F.max("turn").alias("high"), F.ceil(F.count(F.lit(1)) / size).alias("steps")
+    )
+    rows = large.groupBy("conv", "turn", "role", "content").agg(F.count(F.lit(1)).alias("copies"))
+    width = F.greatest((F.col("high").cast("double") - F.col("low") + 1) / F.col("steps"), F.lit(1.0))
+    step = F.coalesce(F.floor((F.col("turn").cast("double") - F.col("low")) / width), F.lit(-1))  # turns without a number first
+    found = bounds.withColumnRenamed("conv", "of")
+    rows = rows.join(found, _same(F.col("conv"), F.col("of")), "left").withColumn("step", step).drop("of", "low", "high", "steps")
+    totals = rows.groupBy("conv", "step").agg(F.sum("copies").alias("n"))
+    earlier = Window.partitionBy("conv").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(
+        F.col("conv").alias("of"), F.col("step").alias("of_step"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before")
+    )
+    inside = Window.partitionBy("conv", "step").orderBy("turn", "role", "content").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("inside", F.coalesce(F.sum("copies").over(inside), F.lit(0)))
+    rows = rows.join(totals, _same(F.col("conv"), F.col("of")) & (F.col("step") == F.col("of_step")))
+    return rows.withColumn("place", F.col("before") + F.col("inside")).drop("of", "of_step", "before", "inside", "step")
 
 
 def messages_from_turns(
@@ -33,39 +52,60 @@ def messages_from_turns(
     turn: str = "turn",
     role: str = "role",
     content: str = "text",
-    span: int = SPAN,
+    part_size: int = PART,
 ) -> DataFrame:
-    """``(conv, span_no, slot, messages)`` with the messages of a span in turn order.
+    """``(conv, part, n_parts, messages)``: the messages of a conversation in the order of turn, role and text.
 
-    The group is ``(conv, span_no)``: where ``(conv, turn)`` is a key it holds at most ``span`` rows however long the
-    conversation is. Turn numbers that repeat can still make a span large. A count over the key columns alone looks
-    for such spans first; if there are any, their rows are dealt to slots of about ``span`` rows each. ``turns`` should
-    come from files, not from a shuffle, for the dealing to be repeatable when a task is run again.
+    A conversation of more than ``part_size`` messages comes in ``n_parts`` rows, cut by the position of the message and
+    never by its turn number, so the parts do not depend on numbering, partitions or repeated turns. Turns without a
+    number come first; turns without a conversation are one of their own.
     """
-    numbered = turns.withColumn("span_no", span_of(F.col(turn), span))
-    large = _slots(turns, conv, turn, span)
+    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
+    large = rows.groupBy("conv").count().filter(F.col("count") > part_size).select(F.col("conv").alias("of"))
     n_large = large.limit(MAX_LARGE + 1).count()
-    if n_large == 0:
-        dealt = numbered.withColumn("slot", F.lit(0).cast("bigint"))
-    else:
-        # by place in the input, so that copies of one turn are dealt out as well; a re-read split gives the same places
-        mix = F.xxhash64(F.monotonically_increasing_id())
-        hinted = F.broadcast(large) if n_large <= MAX_LARGE else large
-        dealt = (
-            numbered.withColumn("mix", mix)
-            .join(hinted, [conv, "span_no"], "left")
-            .withColumn("slot", F.coalesce(F.pmod("mix", "slots"), F.lit(0)).cast("bigint"))
-        )
-    ordered = F.sort_array(
-        F.collect_list(F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content")))
+    ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
+
+    def lists(grouped: Column) -> Column:
+        return F.transform(grouped, lambda t: message(t["role"], t["content"])).alias("messages")
+
+    whole = rows if n_large == 0 else rows.join(
+        F.broadcast(large) if n_large <= MAX_LARGE else large, _same(F.col("conv"), F.col("of")), "left_anti"
+    )
+    out = whole.groupBy("conv").agg(ordered.alias("ordered")).select(
+        F.col("conv").alias(conv), F.lit(0).cast("bigint").alias("part"), F.lit(1).cast("bigint").alias("n_parts"), lists(F.col("ordered"))
     )
+    if n_large == 0:
+        return out
+    kept = rows.join(F.broadcast(large) if n_large <= MAX_LARGE else large, _same(F.col("conv"), F.col("of")), "left_semi")
+    sizes = kept.groupBy("conv").agg(F.ceil(F.count(F.lit(1)) / part_size).alias("n_parts")).withColumnRenamed("conv", "of")
+    # copies that span parts are dealt to each of them by count, and only then written out one by one
+    last = F.col("place") + F.col("copies") - 1
+    pieces = _placed(kept, part_size).withColumn("part", F.explode(F.sequence(
+        F.call_function("div", F.col("place"), F.lit(part_size)), F.call_function("div", last, F.lit(part_size))
+    )))
+    first_here = F.greatest(F.col("place"), F.col("part") * part_size)
+    last_here = F.least(last, (F.col("part") + 1) * part_size - 1)
+    pieces = pieces.withColumn("times", (last_here - first_here + 1).cast("int"))
+    gathered = F.sort_array(F.collect_list(F.struct("turn", "role", "content", "times")))
+    repeated = F.flatten(F.transform(F.col("ordered"), lambda t: F.array_repeat(F.struct(t["role"].alias("role"), t["content"].alias("content")), t["times"])))
+    parts = pieces.groupBy("conv", "part").agg(gathered.alias("ordered")).join(sizes, _same(F.col("conv"), F.col("of")))
+    return out.unionByName(parts.select(F.col("conv").alias(conv), F.col("part").cast("bigint").alias("part"), "n_parts", lists(repeated)))
+
+
+def exchanges(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", content: str = "text") -> DataFrame:
+    """``(conv, turn, asked, answered, system)``: each user turn that the next turn number answers.
+
+    Turns meet by ``(conv, turn)``, so a large conversation is many join keys. ``system`` is the conversation's first
+    system text, empty if it has none. Turns without a number or a conversation answer nothing.
+    """
+    rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
+    asked = rows.filter("role = 'user'").select("conv", "turn", F.col("content").alias("asked"))
+    answered = rows.filter("role = 'assistant'").select("conv", (F.col("turn") - 1).alias("turn"), F.col("content").alias("answered"))
+    system = rows.filter("role = 'system'").groupBy("conv").agg(F.min(F.struct("turn", "content"))["content"].alias("system"))
     return (
-        dealt.groupBy(conv, "span_no", "slot")
-        .agg(ordered.alias("ordered"))
-        .select(
-            conv, "span_no", "slot",
-            F.transform("ordered", lambda t: message(t["role"], t["content"])).alias("messages"),
-        )
+        asked.join(answered, ["conv", "turn"])
+        .join(system, "conv", "left")
+        .select(F.col("conv").alias(conv), F.col("turn").alias(turn), "asked", "answered", F.coalesce("system", F.lit("")).alias("system"))
     )
 
 
@@ -76,28 +116,17 @@ def rendered_turns(
     return turns.withColumn("rendered", render_turn(F.col(role), F.col(content), template))
 
 
-def prompt_turns(
-    turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", span: int = JOIN_SPAN
-) -> DataFrame:
+def prompt_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
     """Turns before the first assistant turn; every turn of a conversation that has none.
 
-    First answers are partial aggregates per ``(conv, span)``, and the first of a conversation is a window over its
-    spans, not its turns. They are joined back on ``(conv, span)``, which cuts a giant conversation into many join
-    keys; what is left uneven, adaptive skew handling can split.
+    Answers are left where they are: only their first turn numbers, a partial aggregate, meet the other turns. A large
+    conversation is one key on the side of the turns, which adaptive skew handling splits. A turn without a number stays
+    if nothing in its conversation is an answer with a number; turns without a conversation are one of their own.
     """
-    numbered = turns.withColumn("join_span", span_of(F.col(turn), span))
-    spans = numbered.groupBy(conv, "join_span").agg(
-        F.min(F.when(F.col(role) == "assistant", F.col(turn))).alias("answer")
-    )
-    first = F.min("answer").over(Window.partitionBy(conv))
-    wanted = spans.select(conv, "join_span", first.alias("first_answer")).filter(
-        F.col("first_answer").isNull() | (F.col("join_span") <= span_of(F.col("first_answer"), span))
-    )
-    return (
-        numbered.join(wanted, [conv, "join_span"])
-        .filter(F.col("first_answer").isNull() | (F.col(turn) < F.col("first_answer")))
-        .drop("join_span", "first_answer")
-    )
+    answer = F.coalesce(F.col(role) == "assistant", F.lit(False))
+    firsts = turns.filter(answer).groupBy(F.col(conv).alias("of")).agg(F.min(turn).alias("first_answer"), F.lit(True).alias("answered"))
+    joined = turns.filter(~answer).join(firsts, _same(F.col(conv), F.col("of")), "left")
+    return joined.filter(F.col("first_answer").isNull() | (F.col(turn) < F.col("first_answer"))).drop("of", "first_answer", "answered")
 
 
 def first_answered(

@@ -10,17 +10,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from turnwise.functions import text as tx
+from turnwise.functions import result_json, text as tx
 from turnwise.operators import (
-    batches, chat, filters, formats, labels, metrics, scoring, splits, stats, tokens, turn_examples, turns,
+    batches, chat, contamination, filters, formats, labels, metrics, scoring, splits, stats, tokens, turn_examples, turns,
 )
 from turnwise.plans import prepare, report
 from turnwise.session import read_table
-from turnwise.sources import inventory
 from turnwise.sources.registry import instruction_spec, preference_spec
 
 MARKERS = ("<|im_start|>", "<|im_end|>")
-VOCABULARY = 2000
+TOP_TOKENS = 2000  # rows of the top-k report
 SEED = 42
 
 
@@ -43,12 +42,13 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return read_table(spark, d, "conversations")
 
 
+def _row_id() -> Column:
+    return F.concat_ws("-", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("row_id")
+
+
 def _answered(spark: SparkSession, d: str) -> DataFrame:
-    return (
-        turns.first_answered(_turns(spark, d))
-        .filter(F.col("asked").isNotNull() & F.col("answered").isNotNull())
-        .withColumnRenamed("conv_id", "row_id")
-    )
+    """Every exchange of every conversation."""
+    return turns.exchanges(_turns(spark, d)).select(_row_id(), "asked", "answered", "system")
 
 
 def _alpaca(spark: SparkSession, d: str) -> DataFrame:
@@ -71,12 +71,15 @@ def _sharegpt(spark: SparkSession, d: str) -> DataFrame:
         who = F.when(m["role"] == "user", F.lit("human")).when(m["role"] == "assistant", F.lit("gpt"))
         return F.struct(who.otherwise(m["role"]).alias("from"), m["content"].alias("value"))
 
-    row_id = F.concat_ws("-", "conv_id", "span_no", "slot")
+    row_id = F.concat_ws("-", "conv_id", "part")
     return lists.select(row_id.alias("row_id"), F.transform("messages", sender).alias("conversations"))
 
 
 def _paired(spark: SparkSession, d: str) -> DataFrame:
-    return _answered(spark, d).filter("n_answers >= 2")
+    """Every exchange with the one after it: its own answer is the better one."""
+    first = turns.exchanges(_turns(spark, d))
+    later = first.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("answered").alias("answered_later"))
+    return first.join(later, ["conv_id", "turn"]).select(_row_id(), "asked", "answered", "answered_later")
 
 
 def _ultrafeedback(spark: SparkSession, d: str) -> DataFrame:
@@ -87,7 +90,7 @@ def _ultrafeedback(spark: SparkSession, d: str) -> DataFrame:
 
     return _paired(spark, d).select(
         "row_id", F.col("asked").alias("prompt"), dialogue("answered").alias("chosen"),
-        dialogue("answered_last").alias("rejected"),
+        dialogue("answered_later").alias("rejected"),
     )
 
 
@@ -96,7 +99,7 @@ def _hh(spark: SparkSession, d: str) -> DataFrame:
         return F.concat(F.lit("\n\nHuman: "), F.col("asked"), F.lit("\n\nAssistant: "), F.col(answer))
 
     return _paired(spark, d).select(
-        "row_id", transcript("answered").alias("chosen"), transcript("answered_last").alias("rejected")
+        "row_id", transcript("answered").alias("chosen"), transcript("answered_later").alias("rejected")
     )
 
 
@@ -115,7 +118,7 @@ def _openorca_messages(spark: SparkSession, d: str) -> DataFrame:
 
 def conversation_messages(spark, d):
     return turns.messages_from_turns(_turns(spark, d)).select(
-        "conv_id", "span_no", _n(F.col("messages")).alias("n_messages"),
+        "conv_id", "part", "n_parts", _n(F.col("messages")).alias("n_messages"),
         _message_digest(F.col("messages")).alias("digest"),
     )
 
@@ -147,6 +150,33 @@ def hh_triples(spark, d):
     return formats.format_corpus(_hh(spark, d), preference_spec("anthropic_hh"))
 
 
+def hh_prompt_recovery(spark, d):
+    """Transcripts of the whole dialogue so far, which differ in the last answer or, after other questions, earlier."""
+    def transcript(system: Column, asked: str, answer: str) -> Column:
+        return F.concat(system, F.lit("\n\nHuman: "), F.col(asked), F.lit("\n\nAssistant: "), F.col(answer))
+
+    pairs = turns.exchanges(_turns(spark, d))
+    later = pairs.select("conv_id", (F.col("turn") - 2).alias("turn"), F.col("asked").alias("asked_later"), F.col("answered").alias("answered_later"))
+    other = F.when(F.col("turn") % 4 < 2, F.col("asked")).otherwise(F.col("asked_later"))
+    rows = pairs.join(later, ["conv_id", "turn"]).withColumn("other", other).select(
+        _row_id(), transcript(F.col("system"), "asked", "answered").alias("chosen"),
+        transcript(F.col("system"), "other", "answered_later").alias("rejected"),
+    )
+    return formats.recovered_triples(rows, preference_spec("anthropic_hh"))
+
+
+def rejected_instructions(spark, d):
+    """Questions without an answer, as preparing would leave them out."""
+    rows = _turns(spark, d).filter("role = 'user'").select(_row_id(), F.col("text").alias("instruction"))
+    answers = _answered(spark, d).select("row_id", F.col("answered").alias("output"))
+    spec = instruction_spec("alpaca")
+    return formats.quarantined_rows(rows.join(answers, "row_id", "left"), spec).select("row_id", "instruction")
+
+
+def contaminated_documents(spark, d):
+    return contamination.contaminated_documents(read_table(spark, d, "documents"), read_table(spark, d, "benchmark"))
+
+
 def helpsteer_unchanged(spark, d):
     return formats.format_corpus(read_table(spark, d, "labels"), preference_spec("helpsteer"))
 
@@ -175,13 +205,13 @@ def prompt_part(spark, d):
 
 
 def vocabulary_topk(spark, d):
-    return tokens.build_vocabulary(read_table(spark, d, "documents"), VOCABULARY).select(
+    return tokens.build_vocabulary(read_table(spark, d, "documents"), TOP_TOKENS).select(
         "token", "n", F.col("id").cast("bigint").alias("id")
     )
 
 
 def _document_vocabulary(spark, d) -> DataFrame:
-    return tokens.build_vocabulary(read_table(spark, d, "documents"), VOCABULARY)
+    return tokens.build_vocabulary(read_table(spark, d, "documents"), None)
 
 
 def _encoded(df: DataFrame, row_id: str) -> DataFrame:
@@ -193,9 +223,8 @@ def _encoded(df: DataFrame, row_id: str) -> DataFrame:
 
 
 def encode_regex(spark, d):
-    encoder = tokens.RegexEncoder(tokens.collect_vocabulary(_document_vocabulary(spark, d)))
     docs = read_table(spark, d, "documents")
-    return _encoded(docs.select("doc_id", encoder.ids(F.col("text")).alias("input_ids")), "doc_id")
+    return _encoded(tokens.encode_rows(docs, _document_vocabulary(spark, d), "doc_id", "text"), "doc_id")
 
 
 def encode_join(spark, d):
@@ -208,30 +237,6 @@ def encode_bytes(spark, d):
     return _encoded(docs.select("doc_id", tokens.ByteEncoder().ids(F.col("text")).alias("input_ids")), "doc_id")
 
 
-def _tokenizer_document(vocabulary: list[str]) -> str:
-    from tokenizers import Regex, Tokenizer
-    from tokenizers.models import WordLevel
-    from tokenizers.pre_tokenizers import Split
-
-    unknown = "\x00"  # never a token of the pattern's word class
-    ids = {t: i for i, t in enumerate(vocabulary)} | {unknown: len(vocabulary)}
-    tokenizer = Tokenizer(WordLevel(ids, unk_token=unknown))
-    tokenizer.pre_tokenizer = Split(Regex(tokens.TOKEN_PATTERN), "removed", invert=True)
-    return tokenizer.to_str()
-
-
-def encode_hf(spark, d):
-    vocabulary = tokens.collect_vocabulary(_document_vocabulary(spark, d))
-    encoder = tokens.TokenizerFileEncoder(_tokenizer_document(vocabulary))
-    docs = read_table(spark, d, "documents")
-    return _encoded(docs.select("doc_id", encoder.ids(F.col("text")).alias("input_ids")), "doc_id")
-
-
-def _chat_encoder(spark, d) -> tokens.RegexEncoder:
-    vocabulary = tokens.build_vocabulary(_turns(spark, d), VOCABULARY, reserved=MARKERS)
-    return tokens.RegexEncoder(tokens.collect_vocabulary(vocabulary, MARKERS))
-
-
 def _labelled(df: DataFrame) -> DataFrame:
     return df.select(
         "row_id",
@@ -245,21 +250,21 @@ def _labelled(df: DataFrame) -> DataFrame:
 
 
 def full_labels(spark, d):
-    return _labelled(labels.full_examples(_openorca_messages(spark, d), _chat_encoder(spark, d), 256))
+    return _labelled(labels.full_examples(_openorca_messages(spark, d), tokens.ByteEncoder(), 256))
 
 
 def completion_labels(spark, d):
-    return _labelled(labels.completion_examples(_openorca_messages(spark, d), _chat_encoder(spark, d), 256))
+    return _labelled(labels.completion_examples(_openorca_messages(spark, d), tokens.ByteEncoder(), 256))
 
 
 def completion_labels_compat(spark, d):
     return _labelled(
-        labels.completion_examples(_openorca_messages(spark, d), _chat_encoder(spark, d), 64, compat=True)
+        labels.completion_examples(_openorca_messages(spark, d), tokens.ByteEncoder(), 64, compat=True)
     )
 
 
 def conversation_labels(spark, d):
-    rows = turn_examples.examples_from_turns(_turns(spark, d), _chat_encoder(spark, d), 256)
+    rows = turn_examples.examples_from_turns(_turns(spark, d), tokens.ByteEncoder(), 256)
     return _labelled(rows.withColumnRenamed("conv_id", "row_id"))
 
 
@@ -329,11 +334,11 @@ def preference_split(spark, d):
 
 
 def split_stats(spark, d):
-    """Token counts per conversation, cut at 512, by split. Turns are counted where they are read."""
+    """Token counts per conversation, by split. Turns are counted where they are read."""
     counted = turns.rendered_turns(_turns(spark, d)).select(
         "conv_id", tokens.RegexEncoder(()).count(F.col("rendered")).alias("n")
     )
-    totals = counted.groupBy("conv_id").agg(F.least(F.sum("n"), F.lit(512)).alias("n_tokens"))
+    totals = counted.groupBy("conv_id").agg(F.sum("n").alias("n_tokens"))
     return _rounded(stats.length_stats(splits.hash_split(totals, "conv_id", 0.2, SEED), F.col("n_tokens"), "split"))
 
 
@@ -348,7 +353,7 @@ def corpus_rows(spark, d):
 def prepared_alpaca(spark, d):
     options = prepare.PrepareOptions(max_seq_length=256, validation_size=0.02, seed=SEED)
     spec = instruction_spec("alpaca")
-    rows = prepare.tokenised_rows(_alpaca(spark, d), spec, _chat_encoder(spark, d), options)
+    rows = prepare.tokenised_rows(_alpaca(spark, d), spec, tokens.ByteEncoder(), options)
     return prepare.with_split(rows, options).select(
         "row_id", "split", _n(F.col("input_ids")).alias("n_ids"), _digest(F.col("labels")).alias("labels_digest")
     )
@@ -367,10 +372,6 @@ def all_passed(spark, d):
     return stats.all_passed(table_checks(spark, d))
 
 
-def corpus_sizes(spark, d):
-    return inventory.corpus_sizes(spark, {"tables": d, "absent": f"{d}/absent"})
-
-
 # --- evaluation results ------------------------------------------------------------------------
 
 
@@ -390,9 +391,12 @@ def _predictions(spark, d) -> DataFrame:
 
 
 def _metrics(spark, d) -> DataFrame:
-    """Accuracy per model and task; one task is withheld from the last stage."""
-    scored = scoring.accuracy(_predictions(spark, d), ["model", "task"])
-    return scored.filter("NOT (model = 'dpo' AND task = 'error')").select("model", "task", F.col("acc").alias("value"))
+    """Accuracy per model and task; a task is an event type and a range of values, and few models have the rare ones."""
+    task = F.concat_ws("-", F.col("event_type"), F.floor(F.col("value") / 20).cast("string"))
+    rows = read_table(spark, d, "events").select(
+        _model(F.col("user_id")).alias("model"), task.alias("task"), (F.col("event_id") % 5 > 1).cast("double").alias("correct")
+    )
+    return scoring.accuracy(rows, ["model", "task"]).select("model", "task", F.col("acc").alias("value"))
 
 
 def _bodies(spark, d) -> DataFrame:
@@ -423,6 +427,12 @@ def primary_metric(spark, d):
     )
 
 
+def run_times(spark, d):
+    """The date inside a document holds microseconds here, so it is read as such and shown as a time."""
+    seconds = F.regexp_replace("body", r'"date":(\d+)(\d{6})\}', r'"date":$1.$2}')
+    return _bodies(spark, d).select("event_id", result_json.run_time(seconds).alias("run_at"))
+
+
 def latest_result(spark, d):
     """Equal modification times on purpose, so that the date inside the document decides."""
     documents = _bodies(spark, d).select(
@@ -507,11 +517,12 @@ def accuracy_stderr(spark, d):
 
 
 def multiple_choice(spark, d):
+    """One choice per component of a vector."""
     rows = read_table(spark, d, "embeddings").select(
         "vec_id",
-        F.slice(F.col("embedding"), 1, 4).cast("array<double>").alias("scores"),
-        F.array(*[F.lit(c) for c in ("yes", "no", "perhaps", "maybe so")]).alias("choices"),
-        (F.col("label") % 4).cast("bigint").alias("gold"),
+        F.col("embedding").cast("array<double>").alias("scores"),
+        F.transform(F.sequence(F.lit(1), F.size("embedding")), lambda k: F.concat(F.lit("choice "), k.cast("string"))).alias("choices"),
+        (F.col("label") % F.size("embedding")).cast("bigint").alias("gold"),
     )
     return scoring.multiple_choice(rows).select("vec_id", "acc", "acc_norm")
 
@@ -611,11 +622,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         conversation_messages, alpaca_messages, openorca_messages, sharegpt_messages, ultrafeedback_triples,
-        hh_triples, helpsteer_unchanged, chat_render, chat_render_lists, generation_prompt, prompt_part,
-        vocabulary_topk, encode_regex, encode_join, encode_bytes, encode_hf, full_labels, completion_labels,
+        hh_triples, hh_prompt_recovery, rejected_instructions, contaminated_documents, helpsteer_unchanged, chat_render, chat_render_lists, generation_prompt, prompt_part,
+        vocabulary_topk, encode_regex, encode_join, encode_bytes, full_labels, completion_labels,
         completion_labels_compat, conversation_labels, special_tokens, padded_batches_right, padded_batches_left, length_filter,
         overlong_count, preference_budget, allowed_tasks, exact_split, hash_split, preference_split, split_stats,
-        split_rows, corpus_rows, prepared_alpaca, preview, table_checks, all_passed, corpus_sizes, primary_metric,
+        split_rows, corpus_rows, prepared_alpaca, preview, table_checks, all_passed, primary_metric, run_times,
         latest_result, comparison, comparison_text, comparison_csv, comparison_markdown,
         metrics_json, run_names, complete_tasks, incomplete_tasks, stage_gains, model_averages, average_gains,
         tasks_per_model, task_names, task_labels, accuracy_stderr, multiple_choice, strict_extract,
