@@ -3,11 +3,14 @@
 A document's set is its distinct word shingles. Documents with equal sets are one node from the start. One hash of every
 shingle fills all places of a node's signature: the hash's upper bits name the place, the least remainder is its value; an
 empty place takes the value of a non-empty one found by a probe sequence that is the same for all. Places are banded, and
-nodes that agree on a band share a bucket. In a bucket every node is compared with a hub, the least node, instead of with
-every other; candidate pairs are confirmed on the full sets, and links are joined to components. Nodes of a bucket that
-are still in different components are then compared with further hubs, a few in each round, until no bucket holds an
-uncompared pair of different components. So no link between nodes that share a bucket is lost to the star shape, and the
-pairs of a round grow with the members of a bucket, not with their square.
+nodes that agree on a band share a bucket. In a bucket every node is compared with a hub, the node that meets most others
+in all its buckets, instead of with every other; candidate pairs are confirmed on the full sets, and links are joined to
+components.
+
+What the stars leave open is done exactly. Nodes of buckets that still hold several components are ordered by their rarest
+shingles; two sets as similar as asked must share one of the first few of them, so only nodes that do, and are in different
+components, are compared further, again by hubs, a few of a group in each round until no group holds an uncompared pair
+of different components. No link between nodes that share a bucket is lost to the star shape.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,7 +43,7 @@ class DedupOptions:
     percent: int = 80  # links: 100 * intersection >= percent * union
     bands: int = 32
     rows: int = 4  # places of a band; two sets of resemblance 0.8 miss all 32 bands once in ten million times
-    hubs: int = 32  # further hubs of a bucket in a round
+    hubs: int = 32  # further hubs of a group in a round
     slice_bytes: int = 2 << 20  # text signed at once in a task
 
 
@@ -191,16 +195,44 @@ def components(links: DataFrame) -> DataFrame:
     return stars.union(edges.select("b", "b").distinct())
 
 
-def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame]:
-    """Next hubs of buckets that hold more than one component beyond their last hub, and the pairs to compare."""
-    open_rows = (
-        buckets.select("bucket", "node").join(found, "node", "left")
-        .withColumn("component", F.coalesce("component", "node"))
-        .join(last, "bucket", "left")
-        .filter("last IS NULL OR node > last")
+def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
+    """(bucket, node, component) of the buckets that hold more than one component."""
+    rows = buckets.select("bucket", "node").join(found, "node", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "node"))
+    several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
+    return rows.join(several, "bucket", "left_semi").select("bucket", "node", "component")
+
+
+def _rare_groups(sets: DataFrame, nodes: DataFrame, o: DedupOptions) -> DataFrame:
+    """(bucket, node): the nodes by each of their rarest shingles, as many as a similar set cannot all be without.
+
+    Shingles are ordered by how many of the nodes have them, then by hash. Sets with `percent` of their union in common
+    share one of the first n - ceil(percent * n / 100) + 1 of either.
+    """
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            packed = batch.column("shingles")
+            sizes = pc.binary_length(packed).to_numpy(zero_copy_only=False) // 8
+            hashes = np.frombuffer(b"".join(packed.to_pylist()), np.int64)
+            node = np.repeat(batch.column("node").to_numpy(), sizes)
+            size = np.repeat(sizes, sizes).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size), pa.array(hashes)], names=["node", "size", "shingle"])
+
+    rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(listed, "node long, size long, shingle long")
+    rows = checkpointed(rows)
+    held = rows.groupBy("shingle").agg(F.count("*").alias("held"))
+    ranked = rows.join(held, "shingle").withColumn(
+        "place", F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
     )
-    several = open_rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    rows = checkpointed(open_rows.join(several, "bucket", "left_semi").select("bucket", "node", "component"))
+    longest = F.col("size") - F.ceil(F.col("size") * o.percent / 100) + 1
+    return ranked.filter((F.col("place") <= longest) & (F.col("held") > 1)).select(F.col("shingle").alias("bucket"), "node")
+
+
+def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame]:
+    """Next hubs of groups that hold more than one component beyond their last hub, and the pairs to compare."""
+    beyond = buckets.join(last, "bucket", "left").filter("last IS NULL OR node > last")
+    rows = checkpointed(_in_components(beyond, found))
     slot = Window.partitionBy("bucket", "slot").orderBy("node")
     least = rows.withColumn("slot", F.pmod("node", F.lit(64))).withColumn("place", F.row_number().over(slot))
     least = least.filter(F.col("place") <= o.hubs)
@@ -218,8 +250,9 @@ def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: Ded
 def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) per document: the least doc_id of its group, and whether it is that.
 
-    A null or empty text has no shingles and is a group of its own; so is a row without doc_id, which is kept. Rows are told apart by their sets: rows with equal
-    doc_ids and unlike texts can be in different groups, and equal rows share one (each is kept if its id is the least).
+    A null or empty text has no shingles and is a group of its own; so is a row without doc_id, which is kept. Rows are
+    told apart by their sets: rows with equal doc_ids and unlike texts can be in different groups, and equal rows share
+    one (each is kept if its id is the least).
     Intermediate tables are written to the shared folder. An empty table gives no rows.
     """
     o = options or DedupOptions()
@@ -232,10 +265,13 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
         shared_folder(spark, "dedup-sets-of-documents"),
     )
     spread = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = spread.groupBy("bucket").agg(F.min("node").alias("hub"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(spread.join(shared, "bucket"), shared_folder(spark, "dedup-buckets"))
     sizes = nodes.select("node", "size")
-    pairs = buckets.filter("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    degrees = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
+    ranked = buckets.join(degrees, "node")
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("a"))
+    pairs = buckets.join(hubs, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
     pairs = _sized(pairs, sizes, o.percent)
     # full sets of nodes that share a bucket, from one document each
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
@@ -244,9 +280,11 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     sets = written(sets, shared_folder(spark, "dedup-sets"))
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
     found = components(links)
-    last = buckets.select("bucket", F.col("hub").alias("last")).distinct()
+    groups = _rare_groups(sets, _in_components(buckets, found).select("node").distinct(), o)
+    groups = written(groups, shared_folder(spark, "dedup-groups"))
+    last = groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0)
     while True:
-        last_now, more = _further_pairs(buckets, found, last, o)
+        last_now, more = _further_pairs(groups, found, last, o)
         more = checkpointed(_sized(more, sizes, o.percent))
         if more.isEmpty() and last_now.isEmpty():
             break
@@ -254,9 +292,7 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
         if not new.isEmpty():
             stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
             found = components(stars.union(new))
-        last = checkpointed(last.join(last_now.withColumnRenamed("last", "later"), "bucket", "left").select(
-            "bucket", F.greatest("last", F.coalesce("later", "last")).alias("last")
-        ))
+        last = checkpointed(last.union(last_now).groupBy("bucket").agg(F.max("last").alias("last")))
     grouped = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = grouped.join(ids, "component").select("node", "component_id")
