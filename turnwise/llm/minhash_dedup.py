@@ -8,9 +8,9 @@ in all its buckets, instead of with every other; candidate pairs are confirmed o
 components.
 
 What the stars leave open is done exactly. Nodes of buckets that still hold several components are ordered by their rarest
-shingles; two sets as similar as asked must share one of the first few of them, so only nodes that do, and are in different
-components, are compared further, again by hubs, a few of a group in each round until no group holds an uncompared pair
-of different components. No link between nodes that share a bucket is lost to the star shape.
+shingles; two sets as similar as asked must share one of the first few of them, and the rarest they share must stand early
+enough in both for the sizes of both. Only nodes that meet so, and are in different components, are compared further,
+again by hubs, a few of a group in each round until no group holds an uncompared pair of different components. No link between nodes that share a bucket is lost to the star shape.
 """
 
 from __future__ import annotations
@@ -196,18 +196,19 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
-    """(bucket, node, component) of the buckets that hold more than one component."""
-    rows = buckets.select("bucket", "node").join(found, "node", "left")
+    """The rows of buckets that hold more than one component, with their `component`."""
+    rows = buckets.join(found, "node", "left")
     rows = rows.withColumn("component", F.coalesce("component", "node"))
     several = rows.groupBy("bucket").agg(F.min("component").alias("x"), F.max("component").alias("y")).filter("x <> y")
-    return rows.join(several, "bucket", "left_semi").select("bucket", "node", "component")
+    return rows.join(several, "bucket", "left_semi")
 
 
 def _rare_groups(sets: DataFrame, nodes: DataFrame, o: DedupOptions) -> DataFrame:
-    """(bucket, node): the nodes by each of their rarest shingles, as many as a similar set cannot all be without.
+    """(bucket, node, size, most): the nodes by each of their rarest shingles, as many as a similar set cannot all be without.
 
-    Shingles are ordered by how many of the nodes have them, then by hash. Sets with `percent` of their union in common
-    share one of the first n - ceil(percent * n / 100) + 1 of either.
+    Shingles are ordered by how many of the nodes have them, then by hash. If the first shingle that two sets share stands
+    at place i of n, they share at most n - i + 1; with `percent` of their union in common that bounds the other's size by
+    `most`. Rows whose group has no node as small as that are left out.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,22 +226,32 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame, o: DedupOptions) -> DataFram
     ranked = rows.join(held, "shingle").withColumn(
         "place", F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
     )
-    longest = F.col("size") - F.ceil(F.col("size") * o.percent / 100) + 1
-    return ranked.filter((F.col("place") <= longest) & (F.col("held") > 1)).select(F.col("shingle").alias("bucket"), "node")
+    most = F.floor((F.col("size") - F.col("place") + 1) * (100 + o.percent) / o.percent) - F.col("size")
+    ranked = ranked.withColumn("most", most).filter((F.col("held") > 1) & (F.col("most") * 100 >= F.col("size") * o.percent - 100))
+    return _with_partners(ranked.select(F.col("shingle").alias("bucket"), "node", "size", "most"))
+
+
+def _with_partners(groups: DataFrame) -> DataFrame:
+    """Rows in whose group there are two at least, and one small enough for this one."""
+    least = groups.groupBy("bucket").agg(F.min("size").alias("least"), F.count("*").alias("rows")).filter("rows > 1")
+    return groups.join(least, "bucket").filter("most >= least").drop("least", "rows")
 
 
 def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame]:
     """Next hubs of groups that hold more than one component beyond their last hub, and the pairs to compare."""
-    beyond = buckets.join(last, "bucket", "left").filter("last IS NULL OR node > last")
-    rows = checkpointed(_in_components(beyond, found))
+    beyond = buckets.join(last, "bucket", "left").filter("last IS NULL OR node > last").drop("last")
+    rows = checkpointed(_in_components(_with_partners(beyond), found))
     slot = Window.partitionBy("bucket", "slot").orderBy("node")
     least = rows.withColumn("slot", F.pmod("node", F.lit(64))).withColumn("place", F.row_number().over(slot))
     least = least.filter(F.col("place") <= o.hubs)
     hubs = least.withColumn("place", F.row_number().over(Window.partitionBy("bucket").orderBy("node"))).filter(F.col("place") <= o.hubs)
-    hubs = hubs.select("bucket", F.col("node").alias("a"), F.col("component").alias("of"))
+    hubs = hubs.select(
+        "bucket", F.col("node").alias("a"), F.col("component").alias("of"), F.col("size").alias("size_a"), F.col("most").alias("most_a")
+    )
     pairs = (
         rows.join(hubs, "bucket")
         .filter((F.col("node") > F.col("a")) & (F.col("component") != F.col("of")))
+        .filter("size <= most_a AND size_a <= most")
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
@@ -281,7 +292,7 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
     found = components(links)
     groups = _rare_groups(sets, _in_components(buckets, found).select("node").distinct(), o)
-    groups = written(groups, shared_folder(spark, "dedup-groups"))
+    groups = written(_with_partners(groups), shared_folder(spark, "dedup-groups"))
     last = groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0)
     while True:
         last_now, more = _further_pairs(groups, found, last, o)
