@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -49,6 +51,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Returns free memory to the system: a Python worker outlives its task, and the next stage needs the room."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library offers it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of bounded text; null texts become empty."""
     for batch in batches:
@@ -64,6 +73,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text", size: i
             stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    give_back()
 
 
 def sliced(text: pa.Array, size: int = SLICE_BYTES) -> Iterator[pa.Array]:
