@@ -24,7 +24,7 @@ def raw(tmp_path):
 
 
 def test_unknown_corpus_is_refused_first(spark):
-    with pytest.raises(ValueError, match="Unknown dataset"):
+    with pytest.raises(ValueError, match="no corpus is registered"):
         prepare.load_instruction_corpus(spark, "nope", BYTES)
     with pytest.raises(ValueError):
         prepare.PrepareOptions(on_overflow="wrap")
@@ -69,6 +69,33 @@ def test_intermediate_tables_are_never_stale(spark, raw, tmp_path):
         shutil.rmtree(f"{out}/alpaca_sft")
 
 
+def test_other_options_build_the_table_again(spark, raw, tmp_path):
+    out = str(tmp_path / "out")
+    for limit in (120, 16, 16):
+        options = prepare.PrepareOptions(max_seq_length=limit)
+        _, stats = prepare.prepare_instruction_corpus(spark, "alpaca", BYTES, out, options, raw)
+        assert max(r.max_tokens for r in stats.collect()) == limit
+    lost = prepare.losses(spark, "alpaca", BYTES, prepare.PrepareOptions(max_seq_length=120), raw).first()
+    whole = prepare.load_instruction_corpus(spark, "alpaca", BYTES, prepare.PrepareOptions(), raw)
+    assert (lost.n_rows, lost.n_rejected) == (101, 1)
+    assert lost.n_overlong == whole.filter(F.size("input_ids") > 120).count() > 0
+
+
+def test_preference_rows_without_an_answer(spark, tmp_path):
+    import pyarrow as pa
+
+    said = [{"role": "user", "content": "q"}, {"role": "assistant", "content": "a"}]
+    table = pa.table({"prompt": ["p", "p"], "chosen": pa.array([said, []], pa.list_(pa.struct([("role", pa.string()), ("content", pa.string())]))), "rejected": [said, said]})
+    save_split(tmp_path / "ultrafeedback", [table])
+    roots = [str(tmp_path)]
+    with pytest.raises(Exception, match="lacks a required field"):
+        prepare.load_preference_corpus(spark, "ultrafeedback", roots).collect()
+    assert prepare.load_preference_corpus(spark, "ultrafeedback", roots, strict=False).count() == 1
+    assert prepare.rejected_rows(spark, "ultrafeedback", roots).count() == 1
+    lost = prepare.losses(spark, "ultrafeedback", roots=roots).first()
+    assert (lost.n_rows, lost.n_rejected, lost.n_overlong) == (2, 1, 0)
+
+
 def test_preference_path(spark, raw, tmp_path):
     out = str(tmp_path / "out")
     rows, total = prepare.prepare_preference_corpus(spark, "ultrafeedback", out, raw)

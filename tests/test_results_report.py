@@ -117,7 +117,7 @@ def test_json_escapes_and_order(spark):
     df = spark.createDataFrame(rows, "model string, task string, value double")
     lines = report.json_lines(spark, df, now()).orderBy("section", "item").collect()
     got = json.loads("\n".join(r.line for r in lines))
-    assert got["base"] == {"a\n": 0.25, 'b"x': 0.5} and got["sft"] == {} and got["dpo"] == {"z": 1.0}
+    assert got["base"] == {"a\n": 0.25, 'b"x': 0.5, "skipped": None} and got["sft"] == {} and got["dpo"] == {"z": 1.0}
 
 
 def test_metric_choice(spark):

@@ -123,17 +123,17 @@ def test_json_array_cut_into_splits(spark, tmp_path, layout):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
     try:
-        cut = json_array.read_json_array(spark, str(path), ALPACA, whole_file=0)
+        cut = json_array.read_json_array(spark, str(path), ALPACA)
         assert cut.rdd.getNumPartitions() > 3
         got = [r.asDict() for r in cut.orderBy("row_id").collect()]
         assert got == [{"row_id": i, **r} for i, r in enumerate(rows)]
         spark.conf.set("spark.sql.files.maxPartitionNum", "3")  # several splits in a partition
-        packed = json_array.read_json_array(spark, str(path), ALPACA, whole_file=0)
+        packed = json_array.read_json_array(spark, str(path), ALPACA)
         assert [r.asDict() for r in packed.orderBy("row_id").collect()] == got
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
         spark.conf.unset("spark.sql.files.maxPartitionNum")
-    whole = json_array.read_json_array(spark, str(path), ALPACA)
+    whole = json_array.read_json_array(spark, str(path), ALPACA, head_bytes=10)  # too short to show two objects
     assert [r.asDict() for r in whole.orderBy("row_id").collect()] == got
 
 
@@ -154,7 +154,7 @@ def test_any_strings_survive_the_cut(spark, tmp_path, objects, layout, split):
     before = spark.conf.get("spark.sql.files.maxPartitionBytes")
     spark.conf.set("spark.sql.files.maxPartitionBytes", str(split))
     try:
-        got = json_array.read_json_array(spark, str(path), ALPACA, whole_file=0).orderBy("row_id").collect()
+        got = json_array.read_json_array(spark, str(path), ALPACA).orderBy("row_id").collect()
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert [r.asDict() for r in got] == [{"row_id": i, **r} for i, r in enumerate(rows)]
@@ -165,11 +165,18 @@ def test_json_array_of_uneven_layout(spark, tmp_path):
     a, b = '{"instruction": "%d", "input": "", "output": "o"}', ",\n\n"
     text = "[ " + a % 0 + ", " + a % 1 + b + a % 2 + " , " + a % 3 + ", " + a % 4 + " ]\n"
     (tmp_path / "alpaca_data.json").write_text(text)
-    df = json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA, whole_file=0)
+    df = json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA)
     assert [(r.row_id, r.instruction) for r in df.orderBy("row_id").collect()] == [(i, str(i)) for i in range(5)]
     (tmp_path / "alpaca_data.json").write_text("[]")
-    with pytest.raises(ValueError, match="one object per line"):
-        json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA, whole_file=0)
+    assert json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA).count() == 0
+
+
+@pytest.mark.parametrize("head", [10, 1 << 20])
+def test_json_array_with_other_columns_first_and_white_space_before(spark, tmp_path, head):
+    rows = [{"id": i, "instruction": str(i), "input": "", "output": "o"} for i in range(50)]
+    (tmp_path / "alpaca_data.json").write_text("\n\t " + json.dumps(rows))
+    df = json_array.read_json_array(spark, str(tmp_path / "alpaca_data.json"), ALPACA, head_bytes=head)
+    assert [(r.row_id, r.instruction) for r in df.orderBy("row_id").collect()] == [(i, str(i)) for i in range(50)]
 
 
 def test_parquet_without_ids_is_numbered_by_place(spark, tmp_path):

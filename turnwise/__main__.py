@@ -44,6 +44,7 @@ def _arguments(argv: list[str] | None) -> argparse.Namespace:
 def _prepare(spark: SparkSession, a: argparse.Namespace) -> bool:
     if a.dataset in PREFERENCE_CORPORA:
         _, stats = prepare.prepare_preference_corpus(spark, a.dataset, a.output_dir, [a.data_root])
+        lost = prepare.losses(spark, a.dataset, roots=[a.data_root])
     else:
         encoder = TokenizerFileEncoder.from_file(a.tokenizer) if a.tokenizer else ByteEncoder()
         options = prepare.PrepareOptions(
@@ -52,7 +53,9 @@ def _prepare(spark: SparkSession, a: argparse.Namespace) -> bool:
         _, stats = prepare.prepare_instruction_corpus(
             spark, a.dataset, encoder, a.output_dir, options, [a.data_root]
         )
+        lost = prepare.losses(spark, a.dataset, encoder, options, [a.data_root])
     stats.show()
+    lost.show()
     return True
 
 

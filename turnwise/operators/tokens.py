@@ -6,6 +6,7 @@ tokens, the worker maps a whole batch with one vectorised dictionary lookup.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
@@ -48,6 +49,14 @@ class Encoder:
     def count(self, text: Column) -> Column:
         return F.size(self.ids(text))
 
+    def identity(self) -> str:
+        """A short text that differs between encoders that give different ids."""
+        return type(self).__name__
+
+
+def _digest(parts: Sequence[str]) -> str:
+    return hashlib.sha256("\0".join(parts).encode()).hexdigest()
+
 
 @dataclass(frozen=True)
 class RegexEncoder(Encoder):
@@ -62,6 +71,9 @@ class RegexEncoder(Encoder):
         if len(self.vocabulary) > MAX_SHIPPED_TOKENS or size > MAX_SHIPPED_BYTES:
             raise ValueError("vocabulary too large to ship to every worker; use encode_by_join")
 
+    def identity(self) -> str:
+        return f"regex {self.pattern} {self.unknown_id} {_digest(self.vocabulary)}"
+
     def tokens(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
@@ -93,6 +105,9 @@ class TokenizerFileEncoder(Encoder):
         with open(path, encoding="utf-8") as f:
             return cls(f.read())
 
+    def identity(self) -> str:
+        return f"tokenizer file {_digest([self.document])}"
+
     def ids(self, text: Column) -> Column:
         return _tokenizer_ids(self.document)(text)
 

@@ -7,9 +7,9 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from turnwise.operators.chat import CHATML, ChatTemplate
+from turnwise.operators.chat import CHATML, ChatTemplate, render_messages
 from turnwise.operators.filters import within_length
-from turnwise.operators.formats import format_corpus, quarantined_rows, usable_rows
+from turnwise.operators.formats import format_corpus, quarantined_rows, required_rows, usable_rows
 from turnwise.operators.labels import MAX_SEQ_LENGTH, full_examples
 from turnwise.operators.splits import exact_split, preference_split
 from turnwise.operators.stats import length_stats
@@ -18,7 +18,7 @@ from turnwise.sources import files
 from turnwise.sources.corpora import (
     Layout, detect_layout, read_instruction_corpus, read_preference_corpus, resolve_source,
 )
-from turnwise.sources.registry import CorpusSpec, instruction_spec, preference_spec
+from turnwise.sources.registry import PREFERENCE_CORPORA, CorpusSpec, instruction_spec, preference_spec
 
 DATA_ROOT = "data/raw"
 
@@ -67,16 +67,51 @@ def load_instruction_corpus(
     return with_split(tokenised_rows(read_instruction_corpus(spark, spec, roots), spec, encoder, options), options)
 
 
-def load_preference_corpus(spark: SparkSession, name: str, roots: Sequence[str] = (DATA_ROOT,)) -> DataFrame:
-    """Triples (or the unchanged rows of a corpus without a layout). No tokenising happens here."""
+def load_preference_corpus(
+    spark: SparkSession, name: str, roots: Sequence[str] = (DATA_ROOT,), strict: bool = True
+) -> DataFrame:
+    """Triples (or the unchanged rows of a corpus without a layout). No tokenising happens here.
+
+    A row without a required field is an error; with ``strict=False`` it is left out, and ``rejected_rows`` has it.
+    """
     spec = preference_spec(name)
-    return format_corpus(usable_rows(read_preference_corpus(spark, spec, roots), spec), spec)
+    raw = read_preference_corpus(spark, spec, roots)
+    return format_corpus(required_rows(raw, spec) if strict else usable_rows(raw, spec), spec)
 
 
-def rejected_rows(spark: SparkSession, name: str, roots: Sequence[str] = (DATA_ROOT,)) -> DataFrame:
-    """Raw rows of an instruction corpus that preparing leaves out because a required field is missing."""
+def _raw_rows(spark: SparkSession, name: str, roots: Sequence[str]) -> tuple[DataFrame, CorpusSpec]:
+    if name in PREFERENCE_CORPORA:
+        spec = preference_spec(name)
+        return read_preference_corpus(spark, spec, roots), spec
     spec = instruction_spec(name)
-    return quarantined_rows(read_instruction_corpus(spark, spec, roots), spec)
+    return read_instruction_corpus(spark, spec, roots), spec
+
+
+def rejected_rows(spark: SparkSession, name: str, roots: Sequence[str] = (DATA_ROOT,)) -> DataFrame:
+    """Raw rows of a corpus of either kind that preparing leaves out because a required field is missing."""
+    return quarantined_rows(*_raw_rows(spark, name, roots))
+
+
+def losses(
+    spark: SparkSession,
+    name: str,
+    encoder: Encoder | None = None,
+    options: PrepareOptions = PrepareOptions(),
+    roots: Sequence[str] = (DATA_ROOT,),
+) -> DataFrame:
+    """``(n_rows, n_rejected, n_overlong)`` of a corpus: what preparing reads, and what it leaves out for either reason.
+
+    Rows are overlong if their whole text has more ids than the limit: these are cut, or dropped with ``drop``.
+    """
+    raw, spec = _raw_rows(spark, name, roots)
+    rejected = quarantined_rows(raw, spec).agg(F.count(F.lit(1)).alias("n_rejected"))
+    total = raw.agg(F.count(F.lit(1)).alias("n_rows"))
+    overlong = F.lit(0).cast("bigint")
+    if encoder is not None and name not in PREFERENCE_CORPORA:
+        text = render_messages(F.col("messages"), options.template)
+        long = format_corpus(usable_rows(raw, spec), spec).filter(encoder.count(text) > options.max_seq_length)
+        overlong = long.agg(F.count(F.lit(1))).scalar()
+    return total.select("n_rows", rejected.scalar().alias("n_rejected"), overlong.alias("n_overlong"))
 
 
 def prepared_path(out: str, name: str, kind: str) -> str:
@@ -84,8 +119,11 @@ def prepared_path(out: str, name: str, kind: str) -> str:
     return f"{out.rstrip('/')}/{name}_{kind}"
 
 
-def write_prepared(df: DataFrame, path: str, skip_existing: bool = False, even_files: bool = False) -> None:
-    """Parquet, one folder per split when there is one. ``skip_existing`` leaves an existing target alone.
+def write_prepared(
+    df: DataFrame, path: str, skip_existing: bool = False, even_files: bool = False, replace: bool = False
+) -> None:
+    """Parquet, one folder per split when there is one. ``skip_existing`` leaves an existing target alone, ``replace``
+    writes it anew; otherwise it is an error.
 
     By default each task writes what it holds, without a shuffle, which makes as many small validation files as there
     are tasks. ``even_files`` pays one adaptive shuffle for files of the advisory partition size in both folders; the
@@ -94,19 +132,31 @@ def write_prepared(df: DataFrame, path: str, skip_existing: bool = False, even_f
     parts = ["split"] if "split" in df.columns else []
     if even_files:
         df = df.hint("rebalance", *parts)
-    writer = df.write.mode("ignore" if skip_existing else "errorifexists")
+    writer = df.write.mode("ignore" if skip_existing else "overwrite" if replace else "errorifexists")
     if parts:
         writer = writer.partitionBy(*parts)
     writer.parquet(path)
 
 
-def read_or_build(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
-    """The prepared table if it is there and complete, otherwise built, written and read back."""
+def read_or_build(
+    spark: SparkSession, path: str, build: Callable[[], DataFrame], options: str | None = None
+) -> DataFrame:
+    """The prepared table if it is there, complete and made with the same options, otherwise built, written and read back.
+
+    ``options`` is kept next to the table, in ``{path}_options``; a table made with others is written anew.
+    """
+    noted = f"{path}_options"
     if files.exists(spark, path):
         if not files.exists(spark, f"{path}/_SUCCESS"):
             raise ValueError(f"{path} exists but was not written to the end; remove it to build it again")
-    else:
-        write_prepared(build(), path)
+        if options is None:
+            return spark.read.parquet(path)
+        before = spark.read.text(files.literal(noted), wholetext=True).first() if files.exists(spark, noted) else None
+        if before is not None and before[0].rstrip("\n") == options:
+            return spark.read.parquet(path)
+    write_prepared(build(), path, replace=True)
+    if options is not None:
+        spark.createDataFrame([(options,)], "value string").coalesce(1).write.mode("overwrite").text(noted)
     return spark.read.parquet(path)
 
 
@@ -149,7 +199,7 @@ def prepare_instruction_corpus(
         # which rows exist depends on their tokens: write them once
         return with_split(staged(spark, f"{path}_unsplit", rows), options)
 
-    rows = read_or_build(spark, path, build)
+    rows = read_or_build(spark, path, build, f"{name} {options} {encoder.identity()}")
     return rows, length_stats(rows, F.size("attention_mask"), by="split")
 
 
@@ -157,7 +207,7 @@ def prepare_preference_corpus(
     spark: SparkSession, name: str, out: str, roots: Sequence[str] = (DATA_ROOT,)
 ) -> tuple[DataFrame, DataFrame]:
     path = prepared_path(out, name, "preference")
-    rows = read_or_build(spark, path, lambda: load_preference_corpus(spark, name, roots))
+    rows = read_or_build(spark, path, lambda: load_preference_corpus(spark, name, roots), name)
     return rows, rows.agg(F.count(F.lit(1)).alias("n_rows"))
 
 

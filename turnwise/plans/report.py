@@ -108,20 +108,19 @@ def markdown_lines(
 def json_lines(
     spark: SparkSession, metrics: DataFrame, now: Column, stages: Sequence[str] = STAGES
 ) -> DataFrame:
-    """One JSON object, two spaces of indent: the timestamp and a ``task -> value`` map per stage."""
-    known = metrics.filter(F.col("value").isNotNull())
+    """One JSON object, two spaces of indent: the timestamp and a ``task -> value`` map per stage; no value is null."""
     is_last = F.lead("task").over(Window.partitionBy("model").orderBy("task")).isNull()
     quoted = F.substring(F.to_json(F.array("task")), F.lit(2), F.length(F.to_json(F.array("task"))) - 2)
     number = F.array_position(F.array(*[F.lit(s) for s in stages]), F.col("model"))
     entries = (
-        known.withColumn("last", is_last)
+        metrics.withColumn("last", is_last)
         .withColumn("stage_no", number)
         .filter(F.col("stage_no") > 0)
         .select(
             (F.col("stage_no") * 3).cast("int").alias("section"),
             F.col("task").alias("item"),
             F.concat(
-                F.lit("    "), quoted, F.lit(": "), F.col("value").cast("string"),
+                F.lit("    "), quoted, F.lit(": "), F.coalesce(F.col("value").cast("string"), F.lit("null")),
                 F.when(F.col("last"), F.lit("")).otherwise(F.lit(",")),
             ).alias("line"),
         )

@@ -15,14 +15,13 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types a
 
 from turnwise.sources import files
 
-WHOLE_FILE = 64 << 20
 HEAD = 4 << 20
 
 
-def object_separator(head: str, columns: list[str]) -> str | None:
+def object_separator(head: str) -> str | None:
     """The text between the first two objects, from the closing brace to the colon of the first key."""
     opening = re.match(r'\s*\[\s*\{(\s*)"([^"\\]+)"(\s*):', head)
-    if not opening or opening.group(2) not in columns:
+    if not opening:
         return None
     key = opening.group(2)
     between = re.search(r'\}\s*,\s*\{\s*"' + re.escape(key) + r'"\s*:', head)
@@ -49,23 +48,21 @@ def _numbered(pieces: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
 
 
 def read_json_array(
-    spark: SparkSession, path: str, schema: T.StructType, row_id: str = "row_id", whole_file: int = WHOLE_FILE
+    spark: SparkSession, path: str, schema: T.StructType, row_id: str = "row_id", head_bytes: int = HEAD
 ) -> DataFrame:
     """Rows of the array, numbered from 0 in file order."""
     if any(not isinstance(f.dataType, T.StringType) for f in schema):
         raise ValueError("a JSON array file holds flat objects of strings")
-    if files.children(spark, path)[0].length <= whole_file:
-        rows = spark.read.schema(schema).json(files.literal(path), multiLine=True, mode="FAILFAST")
-        return rows.select(F.monotonically_increasing_id().alias(row_id), "*")
     # a cut in the middle of a character only affects the end of the head
-    head = files.read_head(spark, path, HEAD).decode("utf-8", errors="replace")
-    separator = object_separator(head, schema.fieldNames())
+    head = files.read_head(spark, path, head_bytes).decode("utf-8", errors="replace")
+    separator = object_separator(head)
     if separator is None:
-        raise ValueError(f"{path}: no repeating text between objects; rewrite it as one object per line")
+        rows = spark.read.schema(schema).json(files.literal(path), multiLine=True, mode="FAILFAST")
+        return rows.select(F.monotonically_increasing_id().alias(row_id), "*")
     lead = separator[separator.index("{"):]
     piece = F.regexp_replace(F.regexp_replace("value", r"^\s*\[\s*\{", "{"), r"\}\s*\]\s*$", "")
     # every piece but the first lost its opening up to the colon of the first key
-    opened = F.when(F.ltrim("value").startswith("["), piece).otherwise(F.concat(F.lit(lead), piece))
+    opened = F.when(F.col("value").rlike(r"^\s*\["), piece).otherwise(F.concat(F.lit(lead), piece))
     parsed = F.from_json(F.concat(F.lit("["), opened, F.lit("}]")), T.ArrayType(schema), {"mode": "FAILFAST"})
     pieces = spark.read.option("lineSep", separator).text(files.literal(path)).select(
         F.col("_metadata.file_block_start").alias("split_start"), parsed.alias("rows")

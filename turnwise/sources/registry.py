@@ -55,7 +55,7 @@ PREFERENCE_SPLITS = ("train_prefs", "train")
 def corpus_spec(registry: Mapping[str, CorpusSpec], name: str) -> CorpusSpec:
     """The entry for ``name``; an unknown name is an error that lists the known ones."""
     if name not in registry:
-        raise ValueError(f"Unknown dataset: {name}. Available: {list(registry)}")
+        raise ValueError(f"no corpus is registered as {name!r}; there are {', '.join(registry)}")
     return registry[name]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from turnwise.operators.metrics import STAGES, latest_results
 from turnwise.sources import files
@@ -24,6 +24,12 @@ def result_paths(spark: SparkSession, model_dir: str) -> list[str]:
     return found
 
 
+def _document(body: Column, path: Column) -> Column:
+    """The body, if it is JSON; a cut or broken file is an error that names it."""
+    broken = F.raise_error(F.concat(F.lit("not a JSON document: "), path)).cast("string")
+    return F.when(F.try_parse_json(body).isNotNull(), body).otherwise(broken)
+
+
 def scan_results(spark: SparkSession, model_dirs: Mapping[str, str]) -> DataFrame:
     """``(model, modified, path, body)`` of all result files. Paths are listed first, as a recursive Spark scan would
     silently skip directories that begin with an underscore."""
@@ -36,7 +42,7 @@ def scan_results(spark: SparkSession, model_dirs: Mapping[str, str]) -> DataFram
                     F.lit(model).alias("model"),
                     F.col("_metadata.file_modification_time").alias("modified"),
                     F.col("_metadata.file_path").alias("path"),
-                    F.col("value").alias("body"),
+                    _document(F.col("value"), F.col("_metadata.file_path")).alias("body"),
                 )
             )
     return scanned
@@ -50,7 +56,7 @@ def find_latest_results(spark: SparkSession, model_dirs: Mapping[str, str]) -> D
 def load_metrics(spark: SparkSession, path: str, stages: Sequence[str] = STAGES) -> DataFrame:
     """``(model, task, value)`` from one metrics document holding a map per stage."""
     fields = ", ".join(f"`{s}`: map<string,double>" for s in stages)
-    body = spark.read.text(path, wholetext=True).select(F.from_json("value", f"struct<{fields}>").alias("m"))
+    body = spark.read.text(files.literal(path), wholetext=True).select(F.from_json("value", f"struct<{fields}>").alias("m"))
     per_stage = F.array(*[F.struct(F.lit(s).alias("model"), F.col("m")[s].alias("tasks")) for s in stages])
     return (
         body.select(F.explode(per_stage).alias("stage"))

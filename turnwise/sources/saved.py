@@ -20,7 +20,7 @@ SHARD_ROWS = 1 << 36  # rows a shard may hold before two row ids could meet
 
 
 def _text(spark: SparkSession, path: str) -> str:
-    return files.read_head(spark, path, 64 << 20).decode("utf-8")
+    return files.read_head(spark, path, (1 << 31) - 1).decode("utf-8")  # the whole file
 
 
 def saved_splits(spark: SparkSession, path: str) -> dict[str, str]:
@@ -37,7 +37,7 @@ def saved_splits(spark: SparkSession, path: str) -> dict[str, str]:
         if f.is_dir and files.exists(spark, f"{path}/{f.name}/state.json")
     }
     if not found:
-        raise ValueError(f"Unknown data format in {path}. Contents: {sorted(names)}")
+        raise ValueError(f"{path} holds no saved dataset; found only {sorted(names)}")
     return found
 
 
