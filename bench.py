@@ -14,7 +14,7 @@ from turnwise.session import local_session  # noqa: E402
 
 HEADLINE = (
     "split_stats", "conversation_messages", "chat_render", "prompt_part", "vocabulary_topk", "encode_regex",
-    "encode_bytes", "encode_hf", "full_labels", "completion_labels", "conversation_labels",
+    "encode_bytes", "encode_join", "contaminated_documents", "full_labels", "completion_labels", "conversation_labels",
     "padded_batches_right", "exact_split", "prepared_alpaca",
     "primary_metric", "comparison", "accuracy_stderr", "multiple_choice", "exact_match",
     "limit_per_task", "few_shot_context",

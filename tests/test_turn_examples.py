@@ -92,3 +92,23 @@ def test_byte_pair_ids_against_the_tokenizer(spark, tmp_path):
     got = {r[0]: r[1] for r in df.select("row_id", encoder.ids(F.col("text"))).collect()}
     assert got == {i: tokenizer.encode(t, add_special_tokens=False).ids for i, t in enumerate(texts)}
     assert max(len(v) for v in got.values()) > 3 and tokenizer.token_to_id("<|im_start|>") in got[len(texts) - 2]
+
+
+def test_encoders_that_join_turns_are_refused(spark):
+    from turnwise.operators.chat import ChatTemplate
+
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id bigint, turn bigint, role string, text string")
+    bare = ChatTemplate("", "", "")
+    with pytest.raises(ValueError, match="not those of its turns"):
+        turn_examples.examples_from_turns(df, tokens.RegexEncoder(()), template=bare)
+    assert turn_examples.examples_from_turns(df, tokens.ByteEncoder(), template=bare).count() == 1
+
+
+def test_marker_ids(spark):
+    df = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "assistant", "b")], "conv_id bigint, turn bigint, role string, text string")
+    marks = tokens.SpecialIds(bos=256, eos=257)
+    for limit in (20, 4096):
+        got = turn_examples.examples_from_turns(df, tokens.ByteEncoder(), limit, special=marks).first()
+        lists = turns.messages_from_turns(df).select("conv_id", "messages")
+        want = labels.completion_examples(lists, tokens.ByteEncoder(), limit, special=marks).first()
+        assert (got.input_ids, got.labels) == (want.input_ids, want.labels)

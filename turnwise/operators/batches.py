@@ -31,6 +31,24 @@ def assign_batches(
     return df.join(numbered, row_id)
 
 
+def padded_batches(
+    df: DataFrame, special: SpecialIds, side: str = "right", row_id: str = "row_id", batch_size: int = 128,
+    seed: int = 42, prefix: int = PREFIX,
+) -> DataFrame:
+    """Rows with their ``batch_id``, padded: as :func:`assign_batches` and :func:`pad_batches`, with one wide shuffle.
+
+    Numbers and widths of the batches are worked out on keys and sizes; the wide rows are shuffled once, by key, to
+    receive them. ``df`` is best a written table: its keys and sizes are read before.
+    """
+    sizes = df.select(row_id, F.size("input_ids").alias("_size"), F.size("labels").alias("_label_size"))
+    index = seeded_index(df, row_id, seed, prefix).join(sizes, row_id)
+    members = Window.partitionBy("batch_id")
+    placed = index.select(
+        row_id, "_size", "_label_size", F.call_function("div", F.col("index"), F.lit(batch_size)).alias("batch_id")
+    ).withColumns({"_width": F.max("_size").over(members), "_label_width": F.max("_label_size").over(members)})
+    return _filled(df.join(placed.drop("_size", "_label_size"), row_id), special, side)
+
+
 def _padded(values: Column, fill: int, width: Column, side: str) -> Column:
     gap = F.array_repeat(F.lit(fill), (width - F.size(values)).cast("int"))
     return F.concat(gap, values) if side == "left" else F.concat(values, gap)
@@ -44,12 +62,15 @@ def pad_batches(
     ``side`` is ``right`` for instruction tuning and ``left`` for preference tuning. Label lists are measured on their
     own, as they may be longer than the ids. A batch holds ``batch_size`` rows, which bounds the window.
     """
-    if side not in ("left", "right"):
-        raise ValueError(f"padding side must be left or right, not {side}")
     members = Window.partitionBy(batch)
     width = F.max(F.size("input_ids")).over(members)
     label_width = F.max(F.size("labels")).over(members)
-    measured = df.withColumns({"_width": width, "_label_width": label_width})
+    return _filled(df.withColumns({"_width": width, "_label_width": label_width}), special, side)
+
+
+def _filled(measured: DataFrame, special: SpecialIds, side: str) -> DataFrame:
+    if side not in ("left", "right"):
+        raise ValueError(f"padding side must be left or right, not {side}")
     return measured.withColumns(
         {
             "input_ids": _padded(F.col("input_ids"), special.pad_id, F.col("_width"), side),

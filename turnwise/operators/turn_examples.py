@@ -2,17 +2,18 @@
 
 A training row is the first ``max_seq_length`` ids of the rendered conversation. Every turn renders to at least one id,
 so no more than that many leading turns can matter; everything after the cut to those turns works on groups of that
-size. The ids of a conversation are as many as those of its turns together: true for bytes, for the pattern tokens (a
+size. The ids of a conversation must be as many as those of its turns together: true for bytes, for the pattern tokens (a
 ChatML turn ends in a blank and the next begins with a marker), and for a tokenizer that has the markers as special tokens.
+That is tried on turns with difficult borders when the plan is made; an encoder and template that fail are refused.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.labels import MAX_SEQ_LENGTH, attention_mask, masked_labels
-from turnwise.operators.tokens import Encoder
+from turnwise.operators.tokens import Encoder, SpecialIds, encode
 from turnwise.operators.turns import MAX_LARGE
 
 LARGE = 100_000  # turns of one conversation that a single task may sort
@@ -47,6 +48,20 @@ def _sliced(turns: DataFrame, n: int, conv: str, order: list[str], slices: int)
     return ranked.filter(F.col("place") <= n).drop("slice", "place")
 
 
+BORDERS = ("", "a", "1", " ", "\n", "é", ".", "a b", "<", "'s")  # contents whose ends could join with what follows
+
+
+def require_additive(spark: SparkSession, encoder: Encoder, template: ChatTemplate) -> None:
+    """Refuses an encoder whose ids of two turns together are not as many as those of each."""
+    pairs = spark.createDataFrame([(a, b) for a in BORDERS for b in BORDERS], "a string, b string")
+    one, two = (render_turn(F.lit(r), F.col(c), template) for r, c in (("user", "a"), ("assistant", "b")))
+    header = F.lit(template.generation_header)
+    whole = encoder.count(F.concat(one, two)) == encoder.count(one) + encoder.count(two)
+    opened = encoder.count(F.concat(one, header)) == encoder.count(one) + encoder.count(header)
+    if pairs.select((whole & opened).alias("same")).filter(~F.col("same")).count():
+        raise ValueError("with this template the encoder's ids of a conversation are not those of its turns together")
+
+
 def examples_from_turns(
     turns: DataFrame,
     encoder: Encoder,
@@ -58,12 +73,14 @@ def examples_from_turns(
     role: str = "role",
     content: str = "text",
     large: int = LARGE,
+    special: SpecialIds = SpecialIds(),
 ) -> DataFrame:
     """``(conv, input_ids, attention_mask, labels)``: the same rows as rendering and encoding whole conversations.
 
     Turns with the same number are taken in the order of their role and text. With ``completion_only`` the labels up
     to the first answer are ignored, otherwise they are the ids.
     """
+    require_additive(turns.sparkSession, encoder, template)
     earlier = Window.partitionBy(conv).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rendered = render_turn(F.col(role), F.col(content), template)
     pieces = (
@@ -79,7 +96,7 @@ def examples_from_turns(
         F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("parts"), answer.alias("answer")
     )
     text = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
-    examples = gathered.withColumn("input_ids", F.slice(encoder.ids(text), 1, max_seq_length))
+    examples = gathered.withColumn("input_ids", encode(text, encoder, max_seq_length, True, special))
     labels = F.col("input_ids")
     if completion_only:
         # without an answer among the kept ids, the prompt covers them all

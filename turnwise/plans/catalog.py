@@ -275,9 +275,7 @@ def special_tokens(spark, d):
 
 def _padded(spark, d, side: str) -> DataFrame:
     rows = labels.full_examples(_alpaca_messages(spark, d), tokens.ByteEncoder(), 400).drop("messages")
-    padded = batches.pad_batches(
-        batches.assign_batches(rows, batch_size=16, seed=SEED), tokens.SpecialIds(eos=256), side
-    )
+    padded = batches.padded_batches(rows, tokens.SpecialIds(eos=256), side, batch_size=16, seed=SEED)
     return padded.select(
         "row_id", "batch_id", _n(F.col("input_ids")).alias("width"), _digest(F.col("input_ids")).alias("ids_digest"),
         _digest(F.col("attention_mask")).alias("mask_digest"), _digest(F.col("labels")).alias("labels_digest"),
