@@ -31,12 +31,6 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def drop_folder(spark: SparkSession, folder: str) -> None:
-    """Removes an intermediate table this run has written."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def written(df: DataFrame, folder: str) -> DataFrame:
     """The rows as a table in a shared folder: cuts lineage, and a lost executor costs no recomputation."""
     df.write.mode("overwrite").parquet(folder)

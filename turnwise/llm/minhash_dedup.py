@@ -43,7 +43,7 @@ class DedupOptions:
     percent: int = 80  # links: 100 * intersection >= percent * union
     bands: int = 32
     rows: int = 4  # places of a band; two sets of resemblance 0.8 miss all 32 bands once in ten million times
-    hubs: int = 32  # further hubs of a group in a round
+    hubs: int = 256  # further hubs of a group in a round
     slice_bytes: int = 2 << 20  # text signed at once in a task
 
 
