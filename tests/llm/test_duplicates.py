@@ -98,6 +98,11 @@ def test_densified_signatures_estimate_resemblance():
         assert (two != 0).all() and (two[0] == two[1]).mean() == pytest.approx(true, abs=0.25)
 
 
+def test_shared_bands():
+    assert minhash_dedup.least_shared_bands(85, 32, 4) == 3
+    assert minhash_dedup.least_shared_bands(80, 32, 4) == 1
+
+
 def test_components_against_union_find(spark):
     r = random.Random(4)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1080)]

@@ -15,6 +15,7 @@ again by hubs, a few of a group in each round until no group holds an uncompared
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -37,6 +38,18 @@ from turnwise.llm.arrow_text import (
 )
 
 
+def least_shared_bands(percent: int, bands: int, rows: int, missed: float = 1e-7) -> int:
+    """As many bands as two sets that are similar enough share, but for a chance of `missed`; at least one."""
+    hit = (percent / 100) ** rows
+    chance, least = (1 - hit) ** bands, 1
+    while least < bands:
+        chance += math.comb(bands, least) * hit**least * (1 - hit) ** (bands - least)
+        if chance > missed:
+            break
+        least += 1
+    return least
+
+
 @dataclass(frozen=True)
 class DedupOptions:
     shingle: int = 5
@@ -203,12 +216,12 @@ def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(several, "bucket", "left_semi")
 
 
-def _rare_groups(sets: DataFrame, nodes: DataFrame, o: DedupOptions) -> DataFrame:
+def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOptions) -> DataFrame:
     """(bucket, node, size, most): the nodes by each of their rarest shingles, as many as a similar set cannot all be without.
 
     Shingles are ordered by how many of the nodes have them, then by hash. If the first shingle that two sets share stands
     at place i of n, they share at most n - i + 1; with `percent` of their union in common that bounds the other's size by
-    `most`. Rows whose group has no node as small as that are left out.
+    `most`. Groups of one component, and rows whose group has no node as small as that, are left out.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,7 +241,8 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame, o: DedupOptions) -> DataFram
     )
     most = F.floor((F.col("size") - F.col("place") + 1) * (100 + o.percent) / o.percent) - F.col("size")
     ranked = ranked.withColumn("most", most).filter((F.col("held") > 1) & (F.col("most") * 100 >= F.col("size") * o.percent - 100))
-    return _with_partners(ranked.select(F.col("shingle").alias("bucket"), "node", "size", "most"))
+    groups = ranked.select(F.col("shingle").alias("bucket"), "node", "size", "most")
+    return _with_partners(_in_components(groups, found).drop("component"))
 
 
 def _with_partners(groups: DataFrame) -> DataFrame:
@@ -291,8 +305,10 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     sets = written(sets, shared_folder(spark, "dedup-sets"))
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
     found = components(links)
-    groups = _rare_groups(sets, _in_components(buckets, found).select("node").distinct(), o)
-    groups = written(_with_partners(groups), shared_folder(spark, "dedup-groups"))
+    # a node that has a link open meets the other end in several buckets
+    several = least_shared_bands(o.percent, o.bands, o.rows)
+    left = _in_components(buckets, found).groupBy("node").count().filter(F.col("count") >= several).select("node")
+    groups = written(_rare_groups(sets, left, found, o), shared_folder(spark, "dedup-groups"))
     last = groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0)
     while True:
         last_now, more = _further_pairs(groups, found, last, o)
