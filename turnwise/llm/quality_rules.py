@@ -129,7 +129,7 @@ def text_statistics(text: Column) -> Column:
 
     @F.arrow_udf("struct<" + ", ".join(f"{c}: long" for c in STATISTICS) + ">")
     def statistics(texts: pa.Array) -> pa.Array:
-        found = [measure(piece) for piece in sliced(texts)]
+        found = [measure(piece) for piece in sliced(texts, 2 << 20)]
         columns = [pa.array(np.concatenate([m[c] for m in found]) if found else [], pa.int64()) for c in STATISTICS]
         return pa.StructArray.from_arrays(columns, names=list(STATISTICS))
 

@@ -220,7 +220,7 @@ def scored(text: Column, model: SubwordModel, spark: SparkSession) -> Column:
     @F.arrow_udf("struct<label: string, score: double, scores: array<double>, wordless: boolean>")
     def score(texts: pa.Array) -> pa.Array:
         m = shipped.value
-        found = [softmax(document_logits(m, piece) / m.temperature) for piece in sliced(texts)] if m.labels else []
+        found = [softmax(document_logits(m, piece) / m.temperature) for piece in sliced(texts, 1 << 20)] if m.labels else []
         p = np.concatenate(found) if found else np.zeros((len(texts), len(m.labels)))
         n, k = p.shape
         best = p.argmax(axis=1) if k else np.zeros(n, np.int64)
