@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from turnwise.llm.arrow_text import mixed, sliced, word_codes
 
-OPEN, CLOSE = 2, 3  # code points that mark a word's borders
+TOGETHER = 1 << 13  # words whose features are hashed at once
 
 
 @dataclass(frozen=True)
@@ -28,8 +28,8 @@ class SubwordOptions:
     shortest: int = 2  # character n-grams
     longest: int = 4
     lower: bool = False
-    sample: int = 3000  # labelled documents to learn from, at most
-    sample_chars: int = 12 << 20  # and characters of them
+    sample: int = 2000  # labelled documents to learn from, at most
+    sample_chars: int = 6 << 20  # and characters of them
     visits: int = 9000  # documents seen in training, repeats included; every document at least twice
     batch: int = 16
     rate: float = 2.0
@@ -51,9 +51,14 @@ class SubwordModel:
 
 def word_features(words: list[str], o: SubwordOptions) -> tuple[np.ndarray, np.ndarray]:
     """Feature rows of the distinct words one after another, and how many each has (the word itself included)."""
-    if not words:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    joined = "".join(f"\x02{w}\x03" for w in words)
+    parts = [_word_features(words[k : k + TOGETHER], o) for k in range(0, len(words), TOGETHER)]
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.int64)
+    return np.concatenate([rows for rows, _ in parts]), np.concatenate([counts for _, counts in parts])
+
+
+def _word_features(words: list[str], o: SubwordOptions) -> tuple[np.ndarray, np.ndarray]:
+    joined = "".join(f"\x02{w}\x03" for w in words)  # marks a word's borders
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words)), lengths)
@@ -74,7 +79,7 @@ def word_features(words: list[str], o: SubwordOptions) -> tuple[np.ndarray, np.n
                 owners.append(owner[fits])
     rows, of = np.concatenate(found), np.concatenate(owners)
     order = np.argsort(of, kind="stable")
-    return (rows[order] % np.uint64(o.buckets)).astype(np.int64), np.bincount(of, minlength=len(words))
+    return (rows[order] % np.uint64(o.buckets)).astype(np.int32), np.bincount(of, minlength=len(words))
 
 
 def text_terms(text: pa.Array, o: SubwordOptions) -> tuple[np.ndarray, np.ndarray, pa.Array]:
