@@ -52,6 +52,20 @@ def test_sample_is_bounded(documents):
     assert sum(map(len, texts)) <= 5000
 
 
+def test_long_texts_leave_room_for_the_others(spark):
+    """Texts above the budget, or that use most of it, at the first places."""
+    ids = [r[0] for r in spark.range(200).orderBy(F.xxhash64("id")).collect()]
+    sizes = {ids[0]: 20000, ids[1]: 6000, ids[2]: 3900}
+    rows = [(i, f"text {i} ".ljust(sizes.get(i, 40), "x"), "en" if i % 2 else "fr") for i in ids]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, label string")
+    o = subword.SubwordOptions(sample=150, sample_chars=12800)
+    texts, labels = subword.bounded_sample(docs, docs.select("doc_id", "label"), o)
+    assert len(texts) == 150 and set(labels) == {"en", "fr"}
+    some = docs.filter(F.col("doc_id").isin(ids[:10]))
+    texts, _ = subword.bounded_sample(some, some.select("doc_id", "label"), o)
+    assert sorted(map(len, texts)) == [40] * 7 + [3900, 6000]
+
+
 def test_language_of_odd_rows(odd, empty, documents):
     labels = documents.select("doc_id", F.col("lang").alias("label"))
     model = language_id.fit_language(documents, labels, SMALL)

@@ -192,24 +192,27 @@ def _calibrated(model: SubwordModel, texts: list[str], target: np.ndarray) -> Su
 def bounded_sample(documents: DataFrame, labels: DataFrame, o: SubwordOptions) -> tuple[list[str], list[str]]:
     """Texts and labels of at most `sample` labelled documents and `sample_chars` characters, by hashes of doc_id.
 
-    `labels` has doc_id and label. Null labels and texts do not count, and equal texts with equal labels count once. The
-    chosen ids, never more than `sample`, are broadcast to the documents, whose texts are not shuffled.
+    `labels` has doc_id and label. Null labels and texts do not count, and equal texts with equal labels count once. Texts
+    of more than a 256th of the characters come after all others, the shorter ones first; a text that no longer fits is
+    passed over. Ids, sizes and hashes meet by doc_id; of the texts only the chosen ones move.
     """
-    chosen = (
-        labels.select("doc_id", F.col("label").cast("string").alias("label"))
-        .filter("doc_id IS NOT NULL AND label IS NOT NULL")
-        .withColumn("place", F.xxhash64("doc_id"))
-        .orderBy("place", "label")
-        .limit(o.sample)
-    )
-    rows = documents.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id")
-    sizes = rows.select("place", F.length("text").alias("size")).orderBy("place").limit(o.sample).collect()
-    before = np.cumsum([0] + [r["size"] for r in sizes])[:-1]
-    places = [r["place"] for r, chars in zip(sizes, before.tolist(), strict=True) if chars + r["size"] <= o.sample_chars]
-    if not places:
+    wanted = labels.select("doc_id", F.col("label").cast("string").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
+    rows = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = rows.select(F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("hash"), "doc_id", "text")
+    size = F.length("text").cast("long")
+    sizes = rows.select("doc_id", "place", "hash", F.when(size > o.sample_chars // 256, size).otherwise(0).alias("late"), size.alias("size"))
+    keys = sizes.distinct().join(wanted.distinct(), "doc_id").drop("doc_id")
+    order = ["late", "place", "hash", "label"]
+    left, taken = o.sample_chars, []
+    for r in keys.orderBy(*order).limit(o.sample).collect():
+        if r["size"] <= left:
+            left -= r["size"]
+            taken.append((r["place"], r["hash"], r["label"]))
+    if not taken:
         return [], []
-    fitting = rows.filter(F.col("place") <= places[-1]).filter(F.length("text") <= o.sample_chars)
-    fetched = fitting.select("place", "text", "label").orderBy("place", "text", "label").limit(len(sizes)).collect()
+    chosen = documents.sparkSession.createDataFrame(taken, "place long, hash long, label string")
+    found = rows.join(F.broadcast(chosen), ["place", "hash"]).groupBy("place", "hash", "label").agg(F.min("text").alias("text"))
+    fetched = found.orderBy("place", "text", "label").collect()
     unique = dict.fromkeys((r["text"], r["label"]) for r in fetched)
     return [t for t, _ in unique], [x for _, x in unique]
 
