@@ -66,6 +66,17 @@ def test_long_texts_leave_room_for_the_others(spark):
     assert sorted(map(len, texts)) == [40] * 7 + [3900, 6000]
 
 
+def test_rare_labels_and_copies_in_the_sample(spark):
+    """One row in 500 has the rare label, a third of the rows are copies of one text."""
+    label = F.when(F.col("id") % 500 == 7, "rare").when(F.col("id") % 4 == 0, "b").otherwise("a")
+    text = F.when((F.col("id") % 3 == 0) & (label == "a"), "copy").otherwise(F.concat(F.lit("text "), F.col("id").cast("string")))
+    docs = spark.range(6000).select(F.col("id").alias("doc_id"), text.alias("text"), label.alias("label"))
+    texts, labels = subword.bounded_sample(docs, docs.select("doc_id", "label"), subword.SubwordOptions(sample=100))
+    assert len(texts) == 100 and texts.count("copy") <= 1
+    found = Counter(labels)
+    assert found["rare"] == min(100 // 6, 12) and found["a"] > found["b"] > 16
+
+
 def test_language_of_odd_rows(odd, empty, documents):
     labels = documents.select("doc_id", F.col("lang").alias("label"))
     model = language_id.fit_language(documents, labels, SMALL)

@@ -13,10 +13,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from turnwise.llm.arrow_text import mixed, sliced, word_codes
+from turnwise.llm.arrow_text import mixed, shared_folder, sliced, word_codes, written
 
 TOGETHER = 1 << 13  # words whose features are hashed at once
 
@@ -192,29 +192,41 @@ def _calibrated(model: SubwordModel, texts: list[str], target: np.ndarray) -> Su
 def bounded_sample(documents: DataFrame, labels: DataFrame, o: SubwordOptions) -> tuple[list[str], list[str]]:
     """Texts and labels of at most `sample` labelled documents and `sample_chars` characters, by hashes of doc_id.
 
-    `labels` has doc_id and label. Null labels and texts do not count, and equal texts with equal labels count once. Texts
+    `labels` has doc_id and label. Null labels and texts do not count, and equal texts with equal labels count once, before
+    the sample is drawn. Half of the places are dealt to the labels in equal parts (at least one, at most 1,000 each), so
+    that a rare label is learned at every size; the others go by hash alone, so that frequent labels keep their shares. Texts
     of more than a 256th of the characters come after all others, the shorter ones first; a text that no longer fits is
-    passed over. Ids, sizes and hashes meet by doc_id; of the texts only the chosen ones move.
+    passed over. Ids, sizes and hashes meet by doc_id and are written to the shared folder; of the texts only the chosen
+    ones move.
     """
+    spark = documents.sparkSession
     wanted = labels.select("doc_id", F.col("label").cast("string").alias("label")).filter("doc_id IS NOT NULL AND label IS NOT NULL")
     rows = documents.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
     rows = rows.select(F.xxhash64("doc_id").alias("place"), F.xxhash64("text").alias("hash"), "doc_id", "text")
     size = F.length("text").cast("long")
     sizes = rows.select("doc_id", "place", "hash", F.when(size > o.sample_chars // 256, size).otherwise(0).alias("late"), size.alias("size"))
-    keys = sizes.distinct().join(wanted.distinct(), "doc_id").drop("doc_id")
+    met = sizes.distinct().join(wanted.distinct(), "doc_id").groupBy("hash", "label")
+    keys = written(
+        met.agg(F.min("late").alias("late"), F.min("place").alias("place"), F.min("size").alias("size")),
+        shared_folder(spark, "sample-keys"),
+    )
     order = ["late", "place", "hash", "label"]
-    left, taken = o.sample_chars, []
-    for r in keys.orderBy(*order).limit(o.sample).collect():
-        if r["size"] <= left:
+    names = keys.select("label").distinct().limit(o.sample).count()
+    each = max(1, min(o.sample // max(2 * names, 1), 1000))  # Spark cuts ranks up to 1,000 before the shuffle
+    ranked = keys.withColumn("rank", F.row_number().over(Window.partitionBy("label").orderBy(*order))).filter(F.col("rank") <= each)
+    first = ranked.orderBy("rank", *order).limit(o.sample).drop("rank").collect()
+    left, taken = o.sample_chars, {}
+    for r in [*first, *keys.orderBy(*order).limit(o.sample).collect()]:
+        key = (r["place"], r["hash"], r["label"])
+        if key not in taken and len(taken) < o.sample and r["size"] <= left:
             left -= r["size"]
-            taken.append((r["place"], r["hash"], r["label"]))
+            taken[key] = True
     if not taken:
         return [], []
-    chosen = documents.sparkSession.createDataFrame(taken, "place long, hash long, label string")
+    chosen = spark.createDataFrame(list(taken), "place long, hash long, label string")
     found = rows.join(F.broadcast(chosen), ["place", "hash"]).groupBy("place", "hash", "label").agg(F.min("text").alias("text"))
     fetched = found.orderBy("place", "text", "label").collect()
-    unique = dict.fromkeys((r["text"], r["label"]) for r in fetched)
-    return [t for t, _ in unique], [x for _, x in unique]
+    return [r["text"] for r in fetched], [r["label"] for r in fetched]
 
 
 def scored(text: Column, model: SubwordModel, spark: SparkSession) -> Column:
