@@ -110,6 +110,12 @@ def test_word_features_against_brute_force():
     assert rows.tolist() == alone.tolist()
 
 
+def test_a_slice_without_words_has_the_bias_alone():
+    o = subword.SubwordOptions()
+    model = subword.SubwordModel(np.ones((o.buckets, 2), np.float32), np.array([0.25, -0.25]), ("a", "b"), o)
+    assert np.ptp(subword.document_logits(model, pa.array(["", " "], pa.large_string())), axis=0).tolist() == [0, 0]
+
+
 def base_counts(text):
     words = WORD.findall(text or "")
     windows = Counter(tuple(words[k : k + 3]) for k in range(len(words) - 2))

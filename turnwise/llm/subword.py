@@ -71,7 +71,7 @@ def _word_features(words: list[str], o: SubwordOptions) -> tuple[np.ndarray, np.
         whole = np.add.reduceat(mixed(points) * powers[place], starts)
         found, owners = [mixed(whole)], [np.arange(len(words))]
         rolling = np.zeros(len(points), np.uint64)
-        for n in range(1, o.longest + 1):
+        for n in range(1, min(o.longest, len(points)) + 1):  # a slice may have no word at all
             rolling[: len(points) - n + 1] = rolling[: len(points) - n + 1] * multiplier + points[n - 1 :]
             if n >= o.shortest:
                 fits = left >= n
