@@ -1,0 +1,37 @@
+"""Documents that share a run of words with an item, against brute force, with items of fewer words than a run."""
+
+import re
+
+from turnwise.operators.contamination import contaminated_documents
+
+ITEMS = [
+    (1, "Two words"), (2, "one"), (3, "the seven words of this item here"), (4, "a b c d e f g h i j"), (5, ""), (6, None), (7, "one"),
+]
+DOCUMENTS = [
+    (1, "There are two WORDS in the middle of a longer document, as one may see"),
+    (2, "two other words, in a document that is of more than eight of them"),
+    (3, "so the seven words of this item here, with others around them"),
+    (4, "two words"), (5, "x b c d e f g h i y"), (6, "x a b c d e f g h y"), (7, ""), (8, None), (9, "stone twoo words"),
+]
+
+
+def found(documents, items, n=8):
+    cut = {i: re.findall(r"\w+", (t or "").lower()) for i, t in items}
+
+    def shares(words, item):
+        size = min(n, len(item))
+        runs = {tuple(item[k : k + size]) for k in range(len(item) - size + 1)} if size else set()
+        return any(tuple(words[k : k + size]) in runs for k in range(len(words) - size + 1))
+
+    return {i: sum(shares(re.findall(r"\w+", (t or "").lower()), item) for item in cut.values()) for i, t in documents}
+
+
+def test_short_items_are_found_inside_documents(spark):
+    documents = spark.createDataFrame(DOCUMENTS, "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    want = found(DOCUMENTS, ITEMS)
+    assert want[1] == 3 and want[3] == 1 and want[4] == 1
+    for shipped in (1 << 20, 0):
+        got = contaminated_documents(documents, items, max_shipped=shipped).collect()
+        assert {r.doc_id: r.n_items for r in got} == want and all(r.contaminated == (r.n_items > 0) for r in got)
+    assert not any(r.contaminated for r in contaminated_documents(documents, items.limit(0)).collect())

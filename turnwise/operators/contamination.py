@@ -23,6 +23,20 @@ def word_runs(text: Column, n: int) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.array(words), runs)))
 
 
+def runs_of_sizes(text: Column, sizes: list[int]) -> Column:
+    """The distinct runs of each of these numbers of words, each joined by blanks; none of a size the text does not have."""
+    def runs(words: Column) -> Column:
+        def of_size(n: int) -> Column:
+            starts = F.sequence(F.lit(1), F.greatest(F.size(words) - n + 1, F.lit(1)))
+            whole = F.filter(starts, lambda k: F.size(words) >= n)
+            return F.transform(whole, lambda k: F.array_join(F.slice(words, k, n), " "))
+
+        return F.flatten(F.array(*map(of_size, sizes)))
+
+    words = F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
+    return F.array_distinct(F.flatten(F.transform(F.array(words), runs)))
+
+
 def contaminated_documents(
     documents: DataFrame,
     items: DataFrame,
@@ -34,12 +48,15 @@ def contaminated_documents(
 ) -> DataFrame:
     """``(doc_id, n_items, contaminated)``: one row per document, with how many items share a run with it.
 
-    The runs of the items are counted first. Up to ``max_shipped`` of them are broadcast, so that of the documents' runs
+    The runs of the items are counted by their number of words first: ``n``, and less for items that are shorter; the
+    documents' runs of these numbers are looked up. Up to ``max_shipped`` of them are broadcast, so that of the documents' runs
     only the hits are shuffled; more are joined, where adaptive skew handling splits frequent runs. A NULL text has none.
     """
     wanted = items.select(F.col(item_id).alias("item"), F.explode(word_runs(F.col(text), n)).alias("run"))
-    few = wanted.count() <= max_shipped
-    runs = documents.select(F.col(doc_id).alias("doc"), F.explode(word_runs(F.col(text), n)).alias("run"))
+    counts = wanted.groupBy(F.size(F.split("run", " ")).alias("size")).count().collect()
+    few = sum(r["count"] for r in counts) <= max_shipped
+    sizes = sorted(r["size"] for r in counts) or [n]
+    runs = documents.select(F.col(doc_id).alias("doc"), F.explode(runs_of_sizes(F.col(text), sizes)).alias("run"))
     hits = runs.join(F.broadcast(wanted) if few else wanted, "run").groupBy("doc").agg(F.countDistinct("item").alias("n_items"))
     found = documents.select(F.col(doc_id).alias("id")).join(hits, F.col("id").eqNullSafe(F.col("doc")), "left")
     count = F.coalesce("n_items", F.lit(0))
