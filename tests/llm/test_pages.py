@@ -43,6 +43,12 @@ def test_markup(page, text):
     assert main_text(page) == text
 
 
+def test_letters_that_grow_in_lower_case_before_a_script():
+    """U+0130 is two code points in lower case; places must be those of the page itself."""
+    page = "<article><p>" + "\u0130" * 200 + "</p><ScrIpt>var a = '<p>no</p>';</sCRIPT ><p>The text after it, all of it.</p>" + "</article>"
+    assert main_text(page) == "\u0130" * 200 + "\n\nThe text after it, all of it."
+
+
 def test_op7_against_the_pages_articles(spark, folder):
     pages = {r.page_id: r for r in spark.read.parquet(f"{folder}/pages.parquet").collect()}
     for r in op7_html_mincut(spark, folder).collect():

@@ -50,6 +50,7 @@ STOPS_AT = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"tabl
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>?", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|\b(hidden)\b")
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+RAW_END = {name: re.compile("</" + name, re.IGNORECASE | re.ASCII) for name in RAW}
 
 
 @dataclass(frozen=True)
@@ -116,7 +117,6 @@ def page_blocks(page: str) -> list[Block]:
     blocks: list[Block] = []
     block = Block()
     links = 0
-    low = None
     position, end = 0, len(page)
 
     def text(piece: str) -> None:
@@ -186,9 +186,8 @@ def page_blocks(page: str) -> list[Block]:
             links += 1
         closed = tag.group(3).endswith("/") and name not in BLOCK and name != "a"
         if name in RAW:  # its content is not markup
-            low = low or page.lower()
-            stop = low.find("</" + name, position)
-            position = end if stop < 0 else max(low.find(">", stop) + 1, stop + 2)
+            closing = RAW_END[name].search(page, position)
+            position = end if closing is None else max(page.find(">", closing.start()) + 1, closing.start() + 2)
             continue
         if not closed:
             current = _child(current, name, tag.group(3))
