@@ -113,6 +113,16 @@ def test_token_files_format_and_selective_reads(spark, odd, empty, tmp_path):
     assert token_files.read_starts(spark, none).count() == 0
 
 
+def test_op4_of_odd_rows(spark, odd, library, tmp_path):
+    """Null and repeated doc_ids: one row each, in the order of the files."""
+    odd.select("doc_id", "text").write.parquet(str(tmp_path / "documents.parquet"))
+    got = op4_token_files(spark, str(tmp_path)).orderBy("start").collect()
+    rows = sorted(((r.doc_id or 0, r.text or "") for r in odd.collect()))
+    ids = [[*library(text), 2] for _, text in rows]
+    assert [(r.doc_id or 0, r.n_tokens, r.ids_crc32) for r in got] == [(k, len(i), crc(i)) for (k, _), i in zip(rows, ids, strict=True)]
+    assert [r.start for r in got] == np.cumsum([0] + [len(i) for i in ids])[:-1].tolist()
+
+
 def least_cost(positions, prices, window):
     """By trying every earlier cut."""
     half = window // 2

@@ -18,7 +18,7 @@ from turnwise.llm.packing import pack_documents
 from turnwise.llm.quality_classifier import fit_quality, quality_scores
 from turnwise.llm.quality_rules import judge_documents
 from turnwise.llm.subword import SubwordModel
-from turnwise.llm.token_files import digests, read_starts, read_tokens, write_token_files
+from turnwise.llm.token_files import digests_with_starts, write_token_files
 
 BYTE_BPE, MULTI_RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
 
@@ -52,8 +52,7 @@ def op2_packing(spark: SparkSession, folder: str) -> DataFrame:
 def op4_token_files(spark: SparkSession, folder: str) -> DataFrame:
     files = shared_folder(spark, "token-files")
     write_token_files(table(spark, folder, "documents"), files, public_tokenizers.path(BYTE_BPE), end_id=2)
-    starts = read_starts(spark, files).select("doc_id", "start")
-    return digests(read_tokens(spark, files)).join(starts, "doc_id").select("doc_id", "start", "n_tokens", "ids_crc32")
+    return digests_with_starts(spark, files)
 
 
 def op5_pitman_yor(spark: SparkSession, folder: str) -> DataFrame:

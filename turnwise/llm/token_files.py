@@ -69,12 +69,13 @@ def write_token_files(
     """
     ordered = documents.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     encoded = encode_documents(ordered, tokenizer_path, end_id).withColumn("part", F.spark_partition_id())
+    encoded = encoded.withColumn("place", F.monotonically_increasing_id())
     encoded.write.mode("overwrite").options(**(layout or FileLayout()).options()).parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str, first: int | None = None, last: int | None = None) -> DataFrame:
     """Documents of the id range with their tokens; the range is pushed to row groups and pages."""
-    rows = spark.read.schema("doc_id long, n_tokens long, tokens array<int>, part int").parquet(folder)
+    rows = spark.read.schema("doc_id long, n_tokens long, tokens array<int>, part int, place long").parquet(folder)
     if first is not None:
         rows = rows.filter(F.col("doc_id") >= first)
     return rows.filter(F.col("doc_id") <= last) if last is not None else rows
@@ -87,18 +88,33 @@ def read_starts(spark: SparkSession, folder: str) -> DataFrame:
     doc_id are placed by length among themselves.
     """
     rows = read_tokens(spark, folder).select("part", "doc_id", "n_tokens")
-    parts = rows.groupBy("part").agg(F.sum("n_tokens").alias("total"))
+    return _with_starts(rows, rows, "doc_id", "n_tokens").select("doc_id", "n_tokens", "start")
+
+
+def _with_starts(rows: DataFrame, sizes: DataFrame, *order: str) -> DataFrame:
+    """The rows, which have part and n_tokens, and start. `sizes` has part and n_tokens of the same documents."""
+    parts = sizes.groupBy("part").agg(F.sum("n_tokens").alias("total"))
     before = F.coalesce(F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    inside = Window.partitionBy("part").orderBy("doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         rows.withColumn("inside", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)))
         .join(F.broadcast(parts.select("part", before.alias("before"))), "part")
-        .select("doc_id", "n_tokens", (F.col("before") + F.col("inside")).alias("start"))
+        .withColumn("start", F.col("before") + F.col("inside"))
     )
 
 
-def digests(tokens: DataFrame) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32): unsigned crc32 of the ids as little-endian unsigned 32-bit integers."""
+def digests_with_starts(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, start, n_tokens, ids_crc32) of every row of the files, in the order of the files: null and repeated doc_ids
+    too, as nothing is joined by doc_id. The ids are read once, the sizes of the parts from the metadata columns."""
+    rows = read_tokens(spark, folder)
+    found = _with_starts(digests(rows, "part int, place long"), rows.select("part", "n_tokens"), "place")
+    return found.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+def digests(tokens: DataFrame, others: str = "") -> DataFrame:
+    """(doc_id, n_tokens, ids_crc32): unsigned crc32 of the ids as little-endian unsigned 32-bit integers. `others` names
+    columns to keep, with their types."""
+    kept = [c.split()[0] for c in others.split(",") if c]
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -108,8 +124,9 @@ def digests(tokens: DataFrame) -> DataFrame:
             ends = np.cumsum(counts)
             crc = [zlib.crc32(ids[e - n : e].tobytes()) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
-                names=["doc_id", "n_tokens", "ids_crc32"],
+                [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(crc, pa.int64()), *map(batch.column, kept)],
+                names=["doc_id", "n_tokens", "ids_crc32", *kept],
             )
 
-    return tokens.select("doc_id", "tokens").mapInArrow(digest, "doc_id long, n_tokens long, ids_crc32 long")
+    schema = "doc_id long, n_tokens long, ids_crc32 long" + (f", {others}" if others else "")
+    return tokens.select("doc_id", "tokens", *kept).mapInArrow(digest, schema)
