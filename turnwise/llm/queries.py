@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, with production parameters, and SQL where SQL can express them."""
+"""The operators as queries over the given tables, with production parameters, and SQL where SQL can express them."""
 
 from __future__ import annotations
 
@@ -14,7 +14,10 @@ from turnwise.llm.fingerprints import fingerprint_documents
 from turnwise.llm.html_mincut import extract_pages
 from turnwise.llm.language_id import fit_language, identify
 from turnwise.llm.minhash_dedup import DedupOptions, near_duplicates
+from turnwise.llm.mixing import mix_documents
+from turnwise.llm.oracles import MIX, PHRASES
 from turnwise.llm.packing import pack_documents
+from turnwise.llm.phrase_mining import mine_phrases
 from turnwise.llm.quality_classifier import fit_quality, quality_scores
 from turnwise.llm.quality_rules import judge_documents
 from turnwise.llm.subword import SubwordModel
@@ -89,6 +92,15 @@ def op10_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint_documents(table(spark, folder, "documents"))
 
 
+def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
+    return mine_phrases(table(spark, folder, "documents"))
+
+
+def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    mix = mix_documents(table(spark, folder, "documents"))
+    return mix.select("doc_id", "size", "source_size", "target", "taken")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_packing": op2_packing,
@@ -100,5 +112,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_rules": op8_quality_rules,
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_fingerprints": op10_fingerprints,
+    "op11_phrases": op11_phrases,
+    "op13_mixing": op13_mixing,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op11_phrases": PHRASES, "op13_mixing": MIX}
