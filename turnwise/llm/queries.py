@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from turnwise.llm import byte_bpe, pitman_yor
+from turnwise.llm.alignment import align_documents
 from turnwise.llm.arrow_text import remainder, shared_folder, table
 from turnwise.llm.fingerprints import fingerprint_documents
 from turnwise.llm.html_mincut import extract_pages
@@ -23,7 +24,7 @@ from turnwise.llm.quality_rules import judge_documents
 from turnwise.llm.subword import SubwordModel
 from turnwise.llm.token_files import digests_with_starts, write_token_files
 
-BYTE_BPE, MULTI_RANKS = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken"
+BYTE_BPE, MULTI_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoken", "piece_bpe_32k.model"
 
 
 def _fold(divisor: int) -> Column:
@@ -96,6 +97,10 @@ def op11_phrases(spark: SparkSession, folder: str) -> DataFrame:
     return mine_phrases(table(spark, folder, "documents"))
 
 
+def op12_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    return align_documents(table(spark, folder, "documents"), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(PIECES))
+
+
 def op13_mixing(spark: SparkSession, folder: str) -> DataFrame:
     mix = mix_documents(table(spark, folder, "documents"))
     return mix.select("doc_id", "size", "source_size", "target", "taken")
@@ -113,6 +118,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_minhash_dedup": op9_minhash_dedup,
     "op10_fingerprints": op10_fingerprints,
     "op11_phrases": op11_phrases,
+    "op12_alignment": op12_alignment,
     "op13_mixing": op13_mixing,
 }
 ORACLES: dict[str, str] = {"op11_phrases": PHRASES, "op13_mixing": MIX}
