@@ -395,15 +395,15 @@ def align_documents(
     aligned = written(aligned_texts(docs, path_a, path_b, carry, spans), shared_folder(spark, "aligned"))
     counts = written(pair_counts(aligned, piece_vocabulary(path_b).size), shared_folder(spark, "pairs"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # at most `large` pairs have a share of 1/large of all links
-    near = counts.filter(F.col("n") * large >= total).orderBy("pair").toArrow()
+    share = -(-total // large)  # at most `large` pairs are linked as often
+    near = counts.filter(F.col("n") >= share).orderBy("pair").toArrow()
     look_up = _known_pairs(*(near.column(c).to_numpy().astype(np.int64) for c in ("pair", "n", "best")))
     kept = [f for f in aligned.schema.fields if f.name not in ("pairs", "times")]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
     looked = aligned.mapInArrow(look_up, f"{schema}, near_sum long, near_best long, pairs array<long>, times array<int>")
     looked = written(looked, shared_folder(spark, "looked-up"))
     rest = looked.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("link")).select("row", "link.pairs", "link.times")
-    far = counts.filter(F.col("n") * large < total)
+    far = counts.filter(F.col("n") < share)
     rest = rest.join(far, F.col("pairs") == F.col("pair")).groupBy("row")
     rest = rest.agg(
         F.sum(F.col("times") * F.col("n")).alias("far_sum"), F.sum(F.when(F.col("best"), F.col("times")).otherwise(0)).alias("far_best")

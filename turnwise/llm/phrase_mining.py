@@ -332,7 +332,8 @@ def scored(counts: DataFrame, options: PhraseOptions) -> DataFrame:
     """``lang, phrase, words, a, l, r, score`` of all candidates, by their worst cut."""
     total = counts.filter(F.col("words") == 0).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     parts = counts.filter((F.col("words") > 0) & (F.col("words") < options.max_words))
-    large = parts.filter((F.col("n") * LARGE >= total) & (F.octet_length("phrase") <= SHORT))  # at most LARGE of each size
+    share = -(-total // LARGE)  # at most LARGE phrases of each size occur as often
+    large = parts.filter((F.col("n") >= share) & (F.octet_length("phrase") <= SHORT))
     split = F.split("phrase", " ")
     cuts = counts.filter(F.col("words") > 1).select("lang", "phrase", "words", F.col("n").alias("a"), split.alias("word"))
     cuts = cuts.withColumn("cut", F.explode(F.sequence(F.lit(1), F.col("words") - 1)))
