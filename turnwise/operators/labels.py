@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from turnwise.operators.chat import CHATML, ChatTemplate, prompt_messages, render_messages
-from turnwise.operators.tokens import Encoder, SpecialIds, encode
+from turnwise.operators.tokens import Encoder, SpecialIds, with_ids
 
 IGNORE_INDEX = -100  # fixed value: label the loss skips
 MAX_SEQ_LENGTH = 4096
@@ -35,12 +35,10 @@ def full_examples(
     template: ChatTemplate = CHATML,
     messages: str = "messages",
 ) -> DataFrame:
-    """Render, tokenise and copy the ids to the labels. One narrow stage; ``messages`` stays."""
+    """Render, tokenise and copy the ids to the labels; ``messages`` stays. One narrow stage, unless the ids are a join."""
     text = render_messages(F.col(messages), template)
-    return (
-        df.withColumn("input_ids", encode(text, encoder, max_seq_length, add_special_tokens, special))
-        .withColumn("attention_mask", attention_mask(F.col("input_ids")))
-        .withColumn("labels", F.col("input_ids"))
+    return with_ids(df, text, encoder, max_seq_length, add_special_tokens, special).select(
+        *df.columns, "input_ids", attention_mask(F.col("input_ids")).alias("attention_mask"), F.col("input_ids").alias("labels")
     )
 
 
@@ -61,9 +59,8 @@ def completion_examples(
     text = render_messages(F.col(messages), template)
     kept = df.columns
     return (
-        df.withColumns(
-            {"input_ids": encode(text, encoder, max_seq_length, True, special), "prompt_size": encoder.count(prompt)}
-        )
+        with_ids(df, text, encoder, max_seq_length, True, special)
+        .withColumn("prompt_size", encoder.count(prompt))
         .withColumns(
             {
                 "attention_mask": attention_mask(F.col("input_ids")),

@@ -14,6 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import arrow_udf
 
+from turnwise.operators.hot import PARTS, hot_join
+from turnwise.operators.ordering import dense_positions
+from turnwise.sources.kept import kept_table
+
 # Letter/digit runs, whole chat markers, or single other characters; blanks separate. The common case is tried first.
 TOKEN_PATTERN = (
     r"[\p{L}\p{M}\p{N}_]+"
@@ -22,6 +26,7 @@ TOKEN_PATTERN = (
 )
 MAX_SHIPPED_TOKENS = 1 << 20
 MAX_SHIPPED_BYTES = 64 << 20
+BLOCK_TOKENS = 1 << 16  # tokens whose distinct ones are looked up together
 
 
 @dataclass(frozen=True)
@@ -213,14 +218,15 @@ def build_vocabulary(
     """``(token, n, id)`` of the ``size`` most frequent tokens, or of all; ids by falling count, then token.
 
     Reserved tokens are not counted as candidates: their ids come first and are the caller's. Before the top-k a
-    histogram over powers of two of the count finds the smallest count that can still matter, so the top-k sees about
-    ``size`` rows instead of every distinct token. Ids are offsets of buckets of one count and one beginning plus ranks
-    inside a bucket: only the totals of the buckets meet in one task.
+    histogram over powers of two of the count finds the smallest count that can still matter, so that about ``size``
+    rows are sorted instead of every distinct token. The sorted tokens are a table in the shared folder: the texts are
+    read once here, and not again where the vocabulary is used.
     """
     counts = token_counts(df, text, pattern)
     if reserved:
         counts = counts.filter(~F.col("token").isin(*reserved))
     if size is not None:
+        counts = kept_table(counts, "token-counts")
         octave = F.floor(F.log2("n")).cast("int")
         falling = Window.orderBy(F.col("octave").desc())
         # at most 63 octaves, so this window is a constant-size task
@@ -231,92 +237,126 @@ def build_vocabulary(
             .filter(F.col("reached") >= size)
             .agg(F.coalesce(F.max("octave"), F.lit(0)).alias("octave"))
         )
-        counts = counts.filter(octave >= enough.scalar()).orderBy(F.desc("n"), "token").limit(size)
-    counts = counts.withColumn("beginning", F.substring("token", 1, 2))
-    running = Window.orderBy(F.desc("n"), "beginning").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.groupBy("n", "beginning").agg(F.count(F.lit(1)).alias("held"))
-    offsets = offsets.select("n", "beginning", F.coalesce(F.sum("held").over(running), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("n", "beginning").orderBy("token")) - 1
-    return counts.withColumn("place", place).join(offsets, ["n", "beginning"]).select(
-        "token", "n", (F.col("before") + F.col("place") + len(reserved)).cast("int").alias("id")
-    )
+        counts = counts.filter(octave >= enough.scalar())
+    ranked = dense_positions(counts, [F.desc("n"), F.asc("token")], "place", "vocabulary")
+    if size is not None:
+        ranked = ranked.filter(F.col("place") < size)
+    return ranked.select("token", "n", (F.col("place") + len(reserved)).cast("int").alias("id"))
+
+
+def vocabulary_size(vocabulary: DataFrame) -> tuple[int, int]:
+    """Tokens and bytes of a vocabulary."""
+    n, size = vocabulary.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
+    return n, size or 0
 
 
 def collect_vocabulary(vocabulary: DataFrame, reserved: Sequence[str] = ()) -> list[str]:
     """The token list in id order, for :class:`RegexEncoder`. Its size is checked before anything is fetched."""
-    kept = vocabulary.select("token", "id").persist()
-    try:
-        n, size = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
-        if n > MAX_SHIPPED_TOKENS or (size or 0) > MAX_SHIPPED_BYTES:
-            raise ValueError("vocabulary too large to ship to every worker; use encode_by_join")
-        return list(reserved) + [r.token for r in sorted(kept.collect(), key=lambda r: r.id)]
-    finally:
-        kept.unpersist()
+    n, size = vocabulary_size(vocabulary)
+    if n > MAX_SHIPPED_TOKENS or size > MAX_SHIPPED_BYTES:
+        raise ValueError("vocabulary too large to ship to every worker; use encode_by_join")
+    found = vocabulary.select("token", "id").toArrow().sort_by("id")
+    return list(reserved) + found.column("token").to_pylist()
 
 
-def _distinct_tokens(df: DataFrame, row_id: str, text: str, pattern: str) -> DataFrame:
-    """``(row_id, codes, distinct)``: the tokens of each row as places in the list of its distinct ones. NULL stays NULL."""
+def _token_blocks(df: DataFrame, row_id: str, tokens: Column, size: int = BLOCK_TOKENS) -> DataFrame:
+    """Rows in blocks of at most ``size`` tokens (a larger row is a block by itself).
+
+    ``block, ids, sizes, codes, words``: the rows' ids and numbers of tokens (-1 of a NULL), their tokens as places in the
+    list of the block's distinct ones. The blocks are a table in the shared folder: the texts are read once.
+    """
     kind = df.schema[row_id].dataType.simpleString()
 
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
         import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def one(values: pa.Array) -> pa.Array:
+            return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
         for batch in batches:
-            codes, distinct = [], []
-            for row in batch.column("tokens"):
-                if not row.is_valid:
-                    codes.append(None)
-                    distinct.append(None)
-                else:
-                    coded = row.values.dictionary_encode()
-                    codes.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int32))
-                    distinct.append(coded.dictionary.to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), pa.array(codes, pa.list_(pa.int32())), pa.array(distinct, pa.list_(pa.string()))],
-                names=["id", "codes", "distinct"],
-            )
-
-    cut = df.select(F.col(row_id).alias("id"), F.regexp_extract_all(F.col(text), F.lit(pattern), F.lit(0)).alias("tokens"))
-    return cut.mapInArrow(code, f"id {kind}, codes array<int>, distinct array<string>")
+            lists = batch.column("tokens")
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+            sizes = pc.fill_null(pc.list_value_length(lists), -1).cast(pa.int32())
+            ends = np.cumsum(lengths)
+            start = 0
+            while start < len(ends):
+                before = ends[start - 1] if start else 0
+                stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
+                coded = lists.slice(start, stop - start).flatten().cast(pa.string()).dictionary_encode()
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        one(batch.column("id").slice(start, stop - start)),
+                        one(sizes.slice(start, stop - start)),
+                        one(coded.indices.cast(pa.int32())),
+                        one(coded.dictionary),
+                    ],
+                    names=["ids", "sizes", "codes", "words"],
+                )
+                start = stop
+
+    cut = df.select(F.col(row_id).alias("id"), tokens.alias("tokens"))
+    blocks = cut.mapInArrow(block, f"ids array<{kind}>, sizes array<int>, codes array<int>, words array<string>")
+    return kept_table(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks")
 
 
 def encode_by_join(
     df: DataFrame,
     vocabulary: DataFrame,
     row_id: str = "row_id",
-    text: str = "text",
+    text: str | Column = "text",
     pattern: str = TOKEN_PATTERN,
     unknown_id: int = -1,
     head: int = 4096,
+    max_length: int | None = None,
+    block: int = BLOCK_TOKENS,
 ) -> DataFrame:
     """``(row_id, input_ids)`` for a vocabulary of any size; a NULL text has NULL ids.
 
-    The texts are read once. Only the distinct tokens of a row are looked up, each with its place in the row's list; the
-    occurrences stay with their row, as codes. The ``head`` lowest ids - the most frequent tokens, with a length limit,
-    so at most a few MB - are found in a broadcast, only the long tail is shuffled by token; of that a token that is in
-    no vocabulary can be frequent, and adaptive skew handling splits it.
+    The texts are read once and become blocks of codes; only the distinct tokens of a block are looked up. The ``head``
+    lowest ids - the most frequent tokens, with a length limit, so at most a few MB - are found in a broadcast, only the
+    others are shuffled by token. Of those a token that many blocks hold (one that is in no vocabulary, say) is dealt over
+    several tasks. Ids go back to their block by its number, and a block's rows are cut out of them by offsets.
+    With ``max_length`` tokens beyond it are never looked up.
     """
-    short = F.octet_length("token") <= 256
-    is_head = (F.col("id") < head) & short
-    coded = _distinct_tokens(df, row_id, text, pattern)
-    near = coded.select("id", "codes", F.posexplode_outer("distinct").alias("place", "token")).withColumn(
-        "codes", F.when(F.coalesce("place", F.lit(0)) == 0, F.col("codes"))  # once per row
-    )
-    near = near.join(F.broadcast(vocabulary.filter(is_head).select("token", F.col("id").alias("head_id"))), "token", "left")
-    tail = vocabulary.filter(~is_head).select("token", F.col("id").alias("tail_id"))
-    missing = F.col("head_id").isNull() & F.col("token").isNotNull()
-    # a found token gets a key of its own row, so that it does not crowd the others' key
-    wanted = near.withColumn("key", F.when(missing, F.col("token")))
-    found = wanted.join(tail.withColumnRenamed("token", "key"), "key", "left")
-    ids = F.coalesce("head_id", "tail_id", F.lit(unknown_id))
-    grouped = found.groupBy("id").agg(
-        F.sort_array(F.collect_list(F.when(F.col("token").isNotNull(), F.struct("place", ids.alias("token_id"))))).alias("found"),
-        F.max("codes").alias("codes"),
-    )
-    return grouped.select(
-        F.col("id").alias(row_id), F.transform("codes", lambda c: F.get(F.col("found"), c)["token_id"]).alias("input_ids")
-    )
+    tokens = F.regexp_extract_all(F.col(text) if isinstance(text, str) else text, F.lit(pattern), F.lit(0))
+    if max_length is not None:
+        tokens = F.slice(tokens, 1, max(max_length, 0))
+    blocks = _token_blocks(df, row_id, tokens, block)
+    kind = df.schema[row_id].dataType.simpleString()
+    is_head = (F.col("id") < head) & (F.octet_length("token") <= 256)
+    wanted = blocks.select("block", F.posexplode("words").alias("place", "token"))
+    near = wanted.join(F.broadcast(vocabulary.filter(is_head).select("token", "id")), "token", "left")
+    found = near.filter(F.col("id").isNotNull()).select("block", "place", "id")
+    missing = near.filter(F.col("id").isNull()).select("block", "place", "token")
+    tail = vocabulary.filter(~is_head).select("token", "id")
+    n_blocks, n_wanted = blocks.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    # a block names a token once, so with few blocks none can be hot
+    hot = None if n_blocks * PARTS > (n_wanted or 0) else missing.select("token").limit(0)
+    ids = found.unionByName(hot_join(missing, tail, ["token"], hot=hot).select("block", "place", "id"))
+    ids = ids.withColumnRenamed("block", "of")
+
+    def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        out = [pa.table({row_id: pa.array([], left.schema.field("ids").type.value_type), "input_ids": pa.array([], pa.list_(pa.int32()))})]
+        for row in left.to_batches():
+            for k in range(row.num_rows):
+                table = np.full(max(pc.list_value_length(row.column("words"))[k].as_py(), 1), unknown_id, np.int32)
+                table[right.column("place").to_numpy()] = right.column("id").to_numpy()
+                codes = row.column("codes")[k].values.to_numpy(zero_copy_only=False)
+                sizes = row.column("sizes")[k].values.to_numpy(zero_copy_only=False)
+                starts = np.zeros(len(sizes) + 1, np.int32)
+                np.cumsum(np.maximum(sizes, 0), out=starts[1:])
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(table[codes]), mask=pa.array(sizes < 0))
+                out.append(pa.table({row_id: row.column("ids")[k].values, "input_ids": lists}))
+        return pa.concat_tables(out)
+
+    pairs = blocks.groupBy("block").cogroup(ids.groupBy("of"))
+    return pairs.applyInArrow(cut, f"`{row_id}` {kind}, input_ids array<int>")
 
 
 def encode_rows(
@@ -324,9 +364,58 @@ def encode_rows(
     max_shipped: int = MAX_SHIPPED_TOKENS,
 ) -> DataFrame:
     """``(row_id, input_ids)``: the vocabulary is shipped if it is small enough, otherwise joined. Same ids either way."""
-    kept = vocabulary.select("token", "id")
-    n, size = kept.agg(F.count(F.lit(1)), F.sum(F.octet_length("token"))).first()
-    if n > max_shipped or (size or 0) > MAX_SHIPPED_BYTES:
-        return encode_by_join(df, kept, row_id, text, unknown_id=unknown_id)
-    encoder = RegexEncoder(collect_vocabulary(kept), unknown_id)
+    n, size = vocabulary_size(vocabulary)
+    if n > max_shipped or size > MAX_SHIPPED_BYTES:
+        return encode_by_join(df, vocabulary, row_id, text, unknown_id=unknown_id)
+    encoder = RegexEncoder(collect_vocabulary(vocabulary), unknown_id)
     return df.select(row_id, encoder.ids(F.col(text)).alias("input_ids"))
+
+
+@dataclass(frozen=True)
+class TableEncoder(Encoder):
+    """Pattern tokens with the ids of a vocabulary table of any size, looked up by a join: see :func:`with_ids`.
+
+    ``row_id`` names the column that tells rows apart. Counting stays a column expression.
+    """
+
+    vocabulary: DataFrame = field(repr=False)
+    row_id: str = "row_id"
+    unknown_id: int = -1
+    pattern: str = TOKEN_PATTERN
+    head: int = 4096
+
+    def identity(self) -> str:
+        n, checksum = self.vocabulary.agg(
+            F.count(F.lit(1)), F.sum(F.xxhash64("token", F.col("id").cast("long")).cast("decimal(20,0)"))
+        ).first()
+        return f"regex {self.pattern} {self.unknown_id} table {n} {checksum}"
+
+    def ids(self, text: Column) -> Column:
+        raise TypeError("ids of a vocabulary table are a join, not a column; use with_ids")
+
+    def count(self, text: Column) -> Column:
+        return F.regexp_count(text, F.lit(self.pattern))
+
+
+def with_ids(
+    df: DataFrame,
+    text: Column,
+    encoder: Encoder,
+    max_length: int | None = None,
+    add_special_tokens: bool = True,
+    special: SpecialIds = SpecialIds(),
+    out: str = "input_ids",
+) -> DataFrame:
+    """The rows with their ids: a column of :func:`encode`, or a join by the row's id for a vocabulary table."""
+    if not isinstance(encoder, TableEncoder):
+        return df.withColumn(out, encode(text, encoder, max_length, add_special_tokens, special))
+    marks = sum(m is not None for m in (special.bos, special.eos)) if add_special_tokens else 0
+    keep = None if max_length is None else max(max_length - marks, 0)
+    found = encode_by_join(
+        df.select(encoder.row_id, text.alias("text")), encoder.vocabulary, encoder.row_id, "text", encoder.pattern,
+        encoder.unknown_id, encoder.head, keep,
+    )
+    front = [special.bos] if add_special_tokens and special.bos is not None else []
+    back = [special.eos] if add_special_tokens and special.eos is not None else []
+    ids = F.concat(F.array(*map(F.lit, front)).cast("array<int>"), "input_ids", F.array(*map(F.lit, back)).cast("array<int>"))
+    return df.join(found.select(encoder.row_id, ids.alias(out)), encoder.row_id)

@@ -9,11 +9,14 @@ That is tried on turns with difficult borders when the plan is made; an encoder
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
+from turnwise.operators.hot import hot_join
 from turnwise.operators.labels import MAX_SEQ_LENGTH, attention_mask, masked_labels
-from turnwise.operators.tokens import Encoder, SpecialIds, encode
+from turnwise.operators.tokens import Encoder, SpecialIds, TableEncoder, with_ids
 from turnwise.operators.turns import MAX_LARGE
 
 LARGE = 100_000  # turns of one conversation that a single task may sort
@@ -62,6 +65,19 @@ def require_additive(spark: SparkSession, encoder: Encoder, template: ChatTempla
         raise ValueError("with this template the encoder's ids of a conversation are not those of its turns together")
 
 
+def prompt_sizes(turns: DataFrame, encoder: Encoder, template: ChatTemplate, conv: str, order: list[str], role: str, content: str) -> DataFrame:
+    """``(conv, whole_prompt)``: ids of all the turns before the first answer, or of all if there is none.
+
+    Sums over each conversation; first answers meet the turns by a join that deals a large conversation over tasks.
+    """
+    key = F.struct(*[F.col(c).alias(f"o{k}") for k, c in enumerate(order)])
+    sized = turns.select(conv, key.alias("key"), role, encoder.count(render_turn(F.col(role), F.col(content), template)).alias("n"))
+    firsts = sized.filter(F.col(role) == "assistant").groupBy(conv).agg(F.min("key").alias("first"))
+    met = hot_join(sized.select(conv, "key", "n"), firsts, [conv], "left", null_safe=True)
+    before = F.when(F.col("first").isNull() | (F.col("key") < F.col("first")), F.col("n")).otherwise(0)
+    return met.groupBy(conv).agg(F.sum(before).alias("whole_prompt"))
+
+
 def examples_from_turns(
     turns: DataFrame,
     encoder: Encoder,
@@ -74,12 +90,17 @@ def examples_from_turns(
     content: str = "text",
     large: int = LARGE,
     special: SpecialIds = SpecialIds(),
+    compat: bool = False,
 ) -> DataFrame:
     """``(conv, input_ids, attention_mask, labels)``: the same rows as rendering and encoding whole conversations.
 
     Turns with the same number are taken in the order of their role and text. With ``completion_only`` the labels up
-    to the first answer are ignored, otherwise they are the ids.
+    to the first answer are ignored, otherwise they are the ids. ``compat`` keeps a label list that is longer than the ids
+    where the prompt is: one number per conversation says how long it is, however much of it was cut off. With a vocabulary
+    table the conversations need a key each, as the ids meet them by it.
     """
+    if isinstance(encoder, TableEncoder):
+        encoder = replace(encoder, row_id=conv)
     require_additive(turns.sparkSession, encoder, template)
     earlier = Window.partitionBy(conv).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     rendered = render_turn(F.col(role), F.col(content), template)
@@ -96,14 +117,19 @@ def examples_from_turns(
         F.sort_array(F.collect_list(F.struct("place", "piece"))).alias("parts"), answer.alias("answer")
     )
     text = F.array_join(F.transform("parts", lambda p: p["piece"]), "")
-    examples = gathered.withColumn("input_ids", encode(text, encoder, max_seq_length, True, special))
+    examples = with_ids(gathered, text, encoder, max_seq_length, True, special)
     labels = F.col("input_ids")
     if completion_only:
         # without an answer among the kept ids, the prompt covers them all
         header = encoder.count(F.lit(template.generation_header))
         prompt = F.coalesce(F.col("answer"), F.lit(max_seq_length)) + header
+        if compat:
+            sizes = prompt_sizes(turns, encoder, template, conv, [turn, role, content], role, content)
+            sizes = sizes.withColumnRenamed(conv, "of")
+            examples = examples.join(sizes, F.col(conv).eqNullSafe(F.col("of"))).drop("of")
+            prompt = F.col("whole_prompt") + header
         examples = examples.withColumn("prompt_size", prompt.cast("int"))
-        labels = masked_labels(F.col("input_ids"), F.col("prompt_size"))
+        labels = masked_labels(F.col("input_ids"), F.col("prompt_size"), compat)
     return examples.withColumn("attention_mask", attention_mask(F.col("input_ids"))).select(
         conv, "input_ids", "attention_mask", labels.alias("labels")
     )

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.formats import message
+from turnwise.operators.hot import hot_join
 
 PART = 1024
 MAX_LARGE = 1 << 20  # conversations a broadcast may list, about 32 MB
@@ -102,9 +103,9 @@ def exchanges(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     asked = rows.filter("role = 'user'").select("conv", "turn", F.col("content").alias("asked"))
     answered = rows.filter("role = 'assistant'").select("conv", (F.col("turn") - 1).alias("turn"), F.col("content").alias("answered"))
     system = rows.filter("role = 'system'").groupBy("conv").agg(F.min(F.struct("turn", "content"))["content"].alias("system"))
+    # a large conversation is dealt over several tasks
     return (
-        asked.join(answered, ["conv", "turn"])
-        .join(system, "conv", "left")
+        hot_join(asked.join(answered, ["conv", "turn"]), system, ["conv"], "left")
         .select(F.col("conv").alias(conv), F.col("turn").alias(turn), "asked", "answered", F.coalesce("system", F.lit("")).alias("system"))
     )
 
@@ -119,14 +120,14 @@ def rendered_turns(
 def prompt_turns(turns: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role") -> DataFrame:
     """Turns before the first assistant turn; every turn of a conversation that has none.
 
-    Answers are left where they are: only their first turn numbers, a partial aggregate, meet the other turns. A large
-    conversation is one key on the side of the turns, which adaptive skew handling splits. A turn without a number stays
+    Answers are left where they are: only their first turn numbers, a partial aggregate, meet the other turns. Large
+    conversations are found by a count and dealt over several tasks. A turn without a number stays
     if nothing in its conversation is an answer with a number; turns without a conversation are one of their own.
     """
     answer = F.coalesce(F.col(role) == "assistant", F.lit(False))
-    firsts = turns.filter(answer).groupBy(F.col(conv).alias("of")).agg(F.min(turn).alias("first_answer"), F.lit(True).alias("answered"))
-    joined = turns.filter(~answer).join(firsts, _same(F.col(conv), F.col("of")), "left")
-    return joined.filter(F.col("first_answer").isNull() | (F.col(turn) < F.col("first_answer"))).drop("of", "first_answer", "answered")
+    firsts = turns.filter(answer).groupBy(conv).agg(F.min(turn).alias("first_answer"))
+    joined = hot_join(turns.filter(~answer), firsts, [conv], "left", null_safe=True)
+    return joined.filter(F.col("first_answer").isNull() | (F.col(turn) < F.col("first_answer"))).drop("first_answer")
 
 
 def first_answered(
