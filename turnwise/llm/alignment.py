@@ -31,10 +31,10 @@ from turnwise.llm.arrow_text import give_back, shared_folder, text_slices, writt
 from turnwise.llm.token_chunks import Encode, library_encoder
 
 STRIDE = 64  # every so many ends is found first, the ends between them gallop from there
-CACHE = 400_000  # distinct pieces a worker remembers
-CACHE_CHARS = 16 << 20
+CACHE = 160_000  # distinct pieces a worker remembers
+CACHE_CHARS = 8 << 20
 LARGE = 1 << 20  # pairs with at least this part of all links are sent to the tasks
-SLICE = 2 << 20  # bytes of text handled at once
+SLICE = 1 << 20  # bytes of text handled at once
 
 
 def gallop(short: np.ndarray, long: np.ndarray) -> np.ndarray:
