@@ -14,7 +14,8 @@ def folder():
 
 @pytest.fixture(scope="session")
 def documents(spark, folder):
-    return spark.read.parquet(f"{folder}/documents.parquet").cache()
+    """The rows of the given table as a table of their own: caching the given one would change the plans of other tests."""
+    return spark.createDataFrame(spark.read.parquet(f"{folder}/documents.parquet").toArrow()).cache()
 
 
 LONG = "one two three four five six seven eight nine ten. " * 3000

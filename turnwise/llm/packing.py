@@ -12,6 +12,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -81,8 +82,9 @@ def cut_places(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, opt
     return places, prices
 
 
+@lru_cache(4)
 def sentence_ends(tokenizer_path: str) -> np.ndarray:
-    """Per id: whether its text closes a sentence or a line."""
+    """Per id: whether its text closes a sentence or a line. Kept by the worker for its next tasks."""
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_path)

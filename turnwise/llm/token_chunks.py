@@ -16,8 +16,9 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CACHE = 600_000  # distinct pieces remembered by a worker; beyond it the memory is started anew
-CACHE_CHARS = 32 << 20  # and characters of them
+CACHE = 400_000  # distinct pieces remembered by a worker; beyond it those stay that more than one slice has used
+CACHE_CHARS = 16 << 20  # and characters of them
+CLOSERS = frozenset(".,;:!?")  # a match by itself behind letters, at the end of a text
 
 Encode = Callable[[Iterable[str]], tuple[np.ndarray, np.ndarray]]  # ids one after another, and how many each text has
 
@@ -44,12 +45,21 @@ def library_encoder(path: str) -> Encode:
     stands = {b: b if b in set(own) else next(rest) for b in range(256)}
     matches, model = regex.compile(PATTERN).findall, tokenizer.model.tokenize
 
+    space = chr(stands[32])
+
     def merged(match: str) -> list[int]:
+        if match.isascii() and match.isprintable():  # of these only the space is shown by another character
+            return [t.id for t in model(match.replace(" ", space))]
         return [t.id for t in model(match.encode().decode("latin-1").translate(stands))]
 
     often = lru_cache(1 << 16)(merged)  # short matches such as punctuation recur in different pieces
 
     def ids(text: str) -> list[int]:
+        body = text.removeprefix(" ")
+        if body.isalpha():  # letters with or without a space before them are one match
+            return merged(text)
+        if body[:-1].isalpha() and body[-1] in CLOSERS:
+            return merged(text[:-1]) + often(body[-1])
         found = matches(text)
         if len(found) == 1:
             return merged(found[0])
@@ -71,12 +81,41 @@ class PieceTable:
         self.flat = np.zeros(1 << 20, np.uint32)
         self.ends = np.zeros(1 << 17, np.int64)
         self.loose = np.zeros(1 << 17, bool)
+        self.uses = np.zeros(1 << 17, np.int32)  # slices that asked for the row
         self.used = self.size = self.chars = 0
 
     def make_room(self) -> None:
-        """Called between slices only, as it forgets all rows."""
-        if self.size > CACHE or self.chars > CACHE_CHARS:
-            self.clear()
+        """Called between slices only, as it numbers the rows anew. A full table keeps what more than one slice has used
+        since the last time, or nothing if that alone half fills it."""
+        if self.size <= CACHE and self.chars <= CACHE_CHARS:
+            return
+        kept = np.flatnonzero(self.uses[: self.size] > 1)
+        place = np.full(self.size, -1, np.int64)
+        place[kept] = np.arange(len(kept))
+        ids, counts = self.gather(kept)
+        loose, places = self.loose[kept], place.tolist()
+        known = [{p: places[r] for p, r in table.items() if places[r] >= 0} for table in (self.after_space, self.plain)]
+        chars = sum(len(p) for table in known for p in table)
+        self.clear()
+        if len(kept) <= CACHE // 2 and chars <= CACHE_CHARS // 2:
+            self.after_space, self.plain = known
+            self.store(ids, counts, loose, chars)
+
+    def store(self, ids: np.ndarray, counts: np.ndarray, loose: np.ndarray, chars: int) -> None:
+        """Adds rows."""
+        total, n = len(ids), len(counts)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.size + n > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+            self.loose = np.concatenate([self.loose, np.zeros_like(self.loose)])
+            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
+        self.flat[self.used : self.used + total] = ids
+        self.ends[self.size : self.size + n] = self.used + np.cumsum(counts)
+        self.loose[self.size : self.size + n] = loose
+        self.used += total
+        self.size += n
+        self.chars += chars
 
     def rows(self, pieces: list[str], after_space: bool) -> np.ndarray:
         """Row of each distinct piece, encoded with a space before it or as it is."""
@@ -85,20 +124,12 @@ class PieceTable:
         if new:
             known.update(zip(new, range(self.size, self.size + len(new)), strict=True))
             ids, counts = self.encode(" " + p for p in new) if after_space else self.encode(new)
-            total, n = len(ids), len(new)
-            while self.used + total > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            while self.size + n > len(self.ends):
-                self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-                self.loose = np.concatenate([self.loose, np.zeros_like(self.loose)])
-            self.flat[self.used : self.used + total] = ids
-            self.ends[self.size : self.size + n] = self.used + np.cumsum(counts)
             # a piece at whose edge there is white space, or an empty one, does not stand by itself
-            self.loose[self.size : self.size + n] = [not p or p[0].isspace() or p[-1].isspace() for p in new]
-            self.used += total
-            self.size += n
-            self.chars += sum(map(len, new))
-        return np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            loose = np.array([not p or p[0].isspace() or p[-1].isspace() for p in new])
+            self.store(ids, counts, loose, sum(map(len, new)))
+        rows = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+        self.uses[rows] += 1
+        return rows
 
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, and how many each has."""
