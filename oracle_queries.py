@@ -81,6 +81,11 @@ CHAT_IDS = f"""{ANSWERED},
    source AS (SELECT row_id, {_bytes(f'({ORCA_TEXT})')} AS ids, octet_length(encode({ORCA_PROMPT} || {HEADER})) AS p
               FROM answered)"""
 
+CHAT_WORDS = f"""{ANSWERED},
+   chats AS (SELECT row_id, {ORCA_TEXT} AS text, len({_cut(f'({ORCA_PROMPT} || {HEADER})')}) AS p FROM answered),
+   {_vocabulary('chats')}, {_ids('chats', 'row_id', 'text')},
+   source AS (SELECT row_id, ids, p FROM ids JOIN chats USING (row_id))"""
+
 CONVERSATION_IDS = f"""
    firsts AS (SELECT conv_id, min(turn) FILTER (role = 'assistant') AS f FROM conversations GROUP BY conv_id),
    texts AS (SELECT conv_id AS row_id, string_agg({_turn('role', 'text')}, '' ORDER BY turn) AS text,
@@ -214,10 +219,13 @@ ORACLES: dict[str, str] = {
       WITH d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM documents),
       b AS (SELECT item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{M}\\p{N}]+') AS w FROM benchmark),
       runs AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 7], ' ') AS run
-               FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM d WHERE len(w) > 0)),
+               FROM (SELECT doc_id, w, unnest(range(1, len(w) - 7 + 1)) AS k FROM d WHERE len(w) >= 8)),
       wanted AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 7], ' ') AS run
-                 FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 7, 1) + 1)) AS k FROM b WHERE len(w) > 0)),
-      hits AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM runs JOIN wanted USING (run) GROUP BY doc_id)
+                 FROM (SELECT item_id, w, unnest(range(1, len(w) - 7 + 1)) AS k FROM b WHERE len(w) >= 8)),
+      short AS (SELECT item_id, ' ' || array_to_string(w, ' ') || ' ' AS run FROM b WHERE len(w) BETWEEN 1 AND 7),
+      met AS (SELECT doc_id, item_id FROM runs JOIN wanted USING (run)
+              UNION SELECT doc_id, item_id FROM d JOIN short ON contains(' ' || array_to_string(w, ' ') || ' ', run)),
+      hits AS (SELECT doc_id, count(DISTINCT item_id) AS n FROM met GROUP BY doc_id)
       SELECT doc_id, coalesce(n, 0) AS n_items, coalesce(n, 0) > 0 AS contaminated FROM documents LEFT JOIN hits USING (doc_id)""",
     "helpsteer_unchanged": "SELECT * FROM labels",
     "chat_render": f"SELECT conv_id, turn, {_turn('role', 'text')} AS rendered FROM conversations",
@@ -235,6 +243,17 @@ ORACLES: dict[str, str] = {
     "completion_labels": _labelled(CHAT_IDS, "ids[:256]", "least(p, len(ids[:256]))"),
     "completion_labels_compat": _labelled(CHAT_IDS, "ids[:64]", "p"),
     "conversation_labels": _labelled(CONVERSATION_IDS, "ids[:256]", "least(p, len(ids[:256]))"),
+    "conversation_labels_compat": _labelled(CONVERSATION_IDS, "ids[:64]", "p"),
+    "completion_labels_join": _labelled(CHAT_WORDS, "ids[:40]", "least(p, len(ids[:40]))"),
+    "saved_corpus_read": f"""WITH {ANSWERED}
+      SELECT row_id, asked AS instruction, system AS input, answered AS output FROM answered WHERE length(asked) % 5 <> 0""",
+    "json_corpus_read": f"""WITH {ANSWERED}
+      SELECT 'json' AS found_as, row_number() OVER (ORDER BY row_id) - 1 AS row_id, asked AS instruction, system AS input,
+             answered AS output FROM answered""",
+    "preference_corpus_read": f"WITH {TRIPLES} SELECT * FROM triples WHERE length(prompt) % 3 = 1",
+    "prepared_preference_files": f"WITH {TRIPLES} SELECT * FROM triples",
+    "result_files_read": f"WITH {METRICS} SELECT model, task, round(value, 6) AS value FROM metrics",
+    "metrics_file_read": f"WITH {METRICS} SELECT model, task, round(value, 6) AS value FROM metrics",
     "special_tokens": _labelled(BYTE_IDS, "list_concat([256], ids[:298], [257])", "0"),
     "padded_batches_right": _padded("right"),
     "padded_batches_left": _padded("left"),
@@ -370,3 +389,4 @@ ORACLES: dict[str, str] = {
         || o_orderpriority AS contexts, 'today' AS continuation,
         CASE o_orderkey % 3 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END::BIGINT AS gold FROM orders""",
 }
+ORACLES["prepared_instruction_files"] = ORACLES["prepared_alpaca"]

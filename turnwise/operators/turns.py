@@ -1,8 +1,8 @@
 """Conversations stored one row per turn, keyed by ``(conversation, turn)``.
 
-A single conversation may hold a large share of all rows, so nothing here gathers a whole conversation. Rendering
-is per turn, totals are partial aggregates, and message lists are built per *part*: at most ``PART`` messages that follow
-each other in the conversation. An ordinary conversation is one part and therefore one row.
+A single conversation may hold a large share of all rows. Rendering is per turn and totals are partial aggregates. A
+message list is one row as long as the conversation fits one (``ROW_BYTES``); a larger conversation, or one of more
+messages than the caller allows, comes in *parts* of messages that follow each other.
 """
 
 from __future__ import annotations
@@ -13,7 +13,9 @@ from turnwise.operators.chat import CHATML, ChatTemplate, render_turn
 from turnwise.operators.formats import message
 from turnwise.operators.hot import hot_join
 
-PART = 1024
+PART = 1024  # messages of a part of a conversation that does not fit a row
+ROW_BYTES = 64 << 20  # of text, with MESSAGE_BYTES for each message
+MESSAGE_BYTES = 64
 MAX_LARGE = 1 << 20  # conversations a broadcast may list, about 32 MB
 
 
@@ -53,16 +55,21 @@ def messages_from_turns(
     turn: str = "turn",
     role: str = "role",
     content: str = "text",
-    part_size: int = PART,
+    part_size: int | None = None,
+    row_bytes: int = ROW_BYTES,
 ) -> DataFrame:
     """``(conv, part, n_parts, messages)``: the messages of a conversation in the order of turn, role and text.
 
-    A conversation of more than ``part_size`` messages comes in ``n_parts`` rows, cut by the position of the message and
-    never by its turn number, so the parts do not depend on numbering, partitions or repeated turns. Turns without a
-    number come first; turns without a conversation are one of their own.
+    A conversation is one row if its messages take up to ``row_bytes``. A larger one, and with a ``part_size`` every one
+    of more messages, comes in ``n_parts`` rows of at most ``part_size`` (or ``PART``) messages. Parts are cut by the
+    position of the message and never by its turn number, so they do not depend on numbering, partitions or repeated
+    turns. Turns without a number come first; turns without a conversation are one of their own.
     """
     rows = turns.select(F.col(conv).alias("conv"), F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
-    large = rows.groupBy("conv").count().filter(F.col("count") > part_size).select(F.col("conv").alias("of"))
+    weight = F.sum(F.coalesce(F.octet_length("content"), F.lit(0)) + MESSAGE_BYTES)
+    too_large = weight > row_bytes if part_size is None else (weight > row_bytes) | (F.count(F.lit(1)) > part_size)
+    part_size = part_size or PART
+    large = rows.groupBy("conv").agg(too_large.alias("large")).filter("large").select(F.col("conv").alias("of"))
     n_large = large.limit(MAX_LARGE + 1).count()
     ordered = F.sort_array(F.collect_list(F.struct("turn", "role", "content")))
 

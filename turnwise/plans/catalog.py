@@ -16,6 +16,8 @@ from turnwise.operators import (
 )
 from turnwise.plans import prepare, report
 from turnwise.session import read_table
+from turnwise.sources import corpora, files, results, saved
+from turnwise.sources.kept import work_folder
 from turnwise.sources.registry import instruction_spec, preference_spec
 
 MARKERS = ("<|im_start|>", "<|im_end|>")
@@ -290,6 +292,80 @@ def padded_batches_left(spark, d):
     return _padded(spark, d, "left")
 
 
+def _chat_vocabulary(spark, d) -> tokens.TableEncoder:
+    rendered = _openorca_messages(spark, d).select(chat.render_messages(F.col("messages")).alias("text"))
+    return tokens.TableEncoder(tokens.build_vocabulary(rendered, None), head=64)
+
+
+def completion_labels_join(spark, d):
+    """Ids of a vocabulary table, which is joined and not shipped."""
+    return _labelled(labels.completion_examples(_openorca_messages(spark, d), _chat_vocabulary(spark, d), 40))
+
+
+def conversation_labels_compat(spark, d):
+    rows = turn_examples.examples_from_turns(_turns(spark, d), tokens.ByteEncoder(), 64, compat=True)
+    return _labelled(rows.withColumnRenamed("conv_id", "row_id"))
+
+
+# --- corpora on disk: the rows are written in a layout and read back through the library -------
+
+
+def saved_corpus_read(spark, d):
+    """Arrow shards of two splits; the loader resolves the folder, detects the layout and takes the training split."""
+    root, rows = work_folder(spark, "saved"), _alpaca(spark, d)
+    apart = F.length("instruction") % 5 == 0
+    saved.write_saved({"test": rows.filter(apart), "train": rows.filter(~apart)}, f"{root}/alpaca")
+    found = corpora.read_instruction_corpus(spark, instruction_spec("alpaca"), [f"{root}/none", root])
+    return found.select("row_id", "instruction", "input", "output")
+
+
+def json_corpus_read(spark, d):
+    """One JSON array, as a single file of the corpus is, found after a source that cannot be read."""
+    root = work_folder(spark, "json")
+    spec = instruction_spec("alpaca")
+    lines = _alpaca(spark, d).select(F.col("row_id").alias("item"), F.concat(F.to_json(F.struct("instruction", "input", "output")), F.lit(",")).alias("object"))
+    edges = spark.createDataFrame([("", "[{},"), ("~", "{}]")], "item string, object string")  # ids begin with a digit
+    lines.unionByName(edges).orderBy("item").select("object").coalesce(1).write.text(f"{root}/parts")
+    part = next(f for f in files.children(spark, f"{root}/parts") if f.name.startswith("part-"))
+    files.move(spark, part.path, f"{root}/alpaca_data.json")
+    readers = [
+        ("saved", lambda: corpora.read_corpus_folder(spark, f"{root}/none", spec, ["train"])),
+        ("json", lambda: corpora.read_corpus_folder(spark, root, spec, ["train"])),
+    ]
+    name, found = corpora.read_first_available(readers, ["instruction"])
+    return found.filter("instruction is not null").select(F.lit(name).alias("found_as"), F.col("row_id") - 1, "instruction", "input", "output").toDF(
+        "found_as", "row_id", "instruction", "input", "output"
+    )
+
+
+def preference_corpus_read(spark, d):
+    """Parquet by split; the loader takes the preferred one of three and makes triples."""
+    root = work_folder(spark, "preference")
+    split = F.element_at(F.array(*map(F.lit, ("train", "train_prefs", "test_prefs"))), (F.length("prompt") % 3 + 1).cast("int"))
+    _ultrafeedback(spark, d).withColumn("split", split).write.partitionBy("split").parquet(f"{root}/ultrafeedback")
+    return prepare.load_preference_corpus(spark, "ultrafeedback", [f"{root}/none", root])
+
+
+def prepared_instruction_files(spark, d):
+    """A corpus prepared from Arrow shards: built once, the second time read back."""
+    root = work_folder(spark, "instruction")
+    saved.write_saved_split(_alpaca(spark, d), f"{root}/raw/alpaca")
+    options = prepare.PrepareOptions(max_seq_length=256, validation_size=0.02, seed=SEED)
+    for _ in range(2):
+        rows, _ = prepare.prepare_instruction_corpus(spark, "alpaca", tokens.ByteEncoder(), f"{root}/out", options, [f"{root}/raw"])
+    return rows.select("row_id", "split", _n(F.col("input_ids")).alias("n_ids"), _digest(F.col("labels")).alias("labels_digest"))
+
+
+def prepared_preference_files(spark, d):
+    """Prepared triples; a second writer finds the table there and leaves it alone."""
+    root = work_folder(spark, "triples")
+    _ultrafeedback(spark, d).write.parquet(f"{root}/raw/ultrafeedback")
+    prepare.prepare_preference_corpus(spark, "ultrafeedback", f"{root}/out", [f"{root}/raw"])
+    path = prepare.prepared_path(f"{root}/out", "ultrafeedback", "preference")
+    prepare.write_prepared(_hh(spark, d), path, skip_existing=True)
+    return spark.read.parquet(path)
+
+
 # --- filters, splits, statistics ---------------------------------------------------------------
 
 
@@ -464,6 +540,31 @@ def metrics_json(spark, d):
     return report.json_lines(spark, _metrics(spark, d), _now()).select("section", "item", "line")
 
 
+def result_files_read(spark, d):
+    """A result file per model below a folder with an underscore, and an older one of another level, scanned together."""
+    root = work_folder(spark, "results")
+    entries = F.map_from_entries(F.collect_list(F.struct("task", F.create_map(F.lit("acc,none"), "value"))))
+    bodies = _metrics(spark, d).groupBy("model").agg(F.to_json(F.struct(entries.alias("results"), F.lit(2).alias("date"))).alias("body"))
+    bodies.write.partitionBy("model").text(f"{root}/written")
+    dirs = {}
+    for folder in files.children(spark, f"{root}/written"):
+        if folder.is_dir:
+            dirs[folder.name.removeprefix("model=")] = folder.path
+            part = next(f for f in files.children(spark, folder.path) if f.name.startswith("part-"))
+            files.write_text(spark, f"{folder.path}/results_1.json", '{"results": {"old": {"acc,none": 1.0}}, "date": 1}')
+            files.write_text(spark, f"{folder.path}/__run/x/samples.json", "no result")
+            files.move(spark, part.path, f"{folder.path}/__run/results_2.json")
+    newest = results.scan_results(spark, dirs).withColumn("modified", F.lit(0).cast("timestamp"))
+    return _rounded(metrics.extract_metrics(metrics.latest_results(newest)))
+
+
+def metrics_file_read(spark, d):
+    """The metrics document, written and read back."""
+    path = f"{work_folder(spark, 'metrics')}/metrics.json"
+    report.write_lines(report.json_lines(spark, _metrics(spark, d), _now()), path)
+    return _rounded(results.load_metrics(spark, path))
+
+
 def run_names(spark, d):
     ts = F.col("ts")
     return read_table(spark, d, "events").select(
@@ -622,7 +723,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         conversation_messages, alpaca_messages, openorca_messages, sharegpt_messages, ultrafeedback_triples,
         hh_triples, hh_prompt_recovery, rejected_instructions, contaminated_documents, helpsteer_unchanged, chat_render, chat_render_lists, generation_prompt, prompt_part,
         vocabulary_topk, encode_regex, encode_join, encode_bytes, full_labels, completion_labels,
-        completion_labels_compat, conversation_labels, special_tokens, padded_batches_right, padded_batches_left, length_filter,
+        completion_labels_compat, completion_labels_join, conversation_labels, conversation_labels_compat, saved_corpus_read,
+        json_corpus_read, preference_corpus_read, prepared_instruction_files, prepared_preference_files, result_files_read,
+        metrics_file_read, special_tokens, padded_batches_right, padded_batches_left, length_filter,
         overlong_count, preference_budget, allowed_tasks, exact_split, hash_split, preference_split, split_stats,
         split_rows, corpus_rows, prepared_alpaca, preview, table_checks, all_passed, primary_metric, run_times,
         latest_result, comparison, comparison_text, comparison_csv, comparison_markdown,

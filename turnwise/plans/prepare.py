@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
@@ -21,6 +22,8 @@ from turnwise.sources.corpora import (
 from turnwise.sources.registry import PREFERENCE_CORPORA, CorpusSpec, instruction_spec, preference_spec
 
 DATA_ROOT = "data/raw"
+OPTIONS = "_options"  # file in a prepared table, which Spark does not read
+MAX_OPTIONS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -143,20 +146,26 @@ def read_or_build(
 ) -> DataFrame:
     """The prepared table if it is there, complete and made with the same options, otherwise built, written and read back.
 
-    ``options`` is kept next to the table, in ``{path}_options``; a table made with others is written anew.
+    A table is built in a folder of its own, with its ``options`` in it, and takes the place of the old one when it is
+    complete: until then, and after a build that fails, the old table is there and readable.
     """
-    noted = f"{path}_options"
+    files.restore_folder(spark, path)
     if files.exists(spark, path):
         if not files.exists(spark, f"{path}/_SUCCESS"):
             raise ValueError(f"{path} exists but was not written to the end; remove it to build it again")
         if options is None:
             return spark.read.parquet(path)
-        before = spark.read.text(files.literal(noted), wholetext=True).first() if files.exists(spark, noted) else None
-        if before is not None and before[0].rstrip("\n") == options:
+        noted = f"{path}/{OPTIONS}"
+        if files.exists(spark, noted) and files.read_head(spark, noted, MAX_OPTIONS).decode("utf-8") == options:
             return spark.read.parquet(path)
-    write_prepared(build(), path, replace=True)
-    if options is not None:
-        spark.createDataFrame([(options,)], "value string").coalesce(1).write.mode("overwrite").text(noted)
+    building = f"{path}_building-{uuid.uuid4().hex}"
+    try:
+        write_prepared(build(), building)
+        if options is not None:
+            files.write_text(spark, f"{building}/{OPTIONS}", options)
+        files.replace_folder(spark, building, path)
+    finally:
+        files.remove(spark, building)  # what a failure left
     return spark.read.parquet(path)
 
 

@@ -61,7 +61,7 @@ def read_corpus_folder(spark: SparkSession, path: str, spec: CorpusSpec, preferr
         return read_json_array(spark, f"{path}/{layout.value}", schema)
     if layout is Layout.PARQUET:
         return _read_parquet(spark, path, preferred)
-    return load_saved(spark, path, preferred)
+    return load_saved(spark, path, preferred, list(spec.columns.values()) or None)  # of the shards only what plays a role
 
 
 def read_instruction_corpus(spark: SparkSession, spec: CorpusSpec, roots: Sequence[str]) -> DataFrame:

@@ -8,6 +8,9 @@ from dataclasses import dataclass
 from pyspark.sql import SparkSession
 
 
+REPLACED = "_replaced"  # ending of a folder that is being replaced
+
+
 @dataclass(frozen=True)
 class FileEntry:
     path: str
@@ -60,3 +63,65 @@ def read_head(spark: SparkSession, path: str, size: int) -> bytes:
         return bytes(stream.readNBytes(size))
     finally:
         stream.close()
+
+
+def matches(spark: SparkSession, pattern: str) -> int:
+    """How many paths a pattern has."""
+    fs, target = _open(spark, pattern)
+    return len(fs.globStatus(target) or [])
+
+
+def uri(spark: SparkSession, path: str) -> str:
+    """The path as Spark's file metadata writes it, encoded; of local files with one slash."""
+    fs, target = _open(spark, path)
+    return re.sub("^file:/+", "file:/", fs.makeQualified(target).toUri().toString()).rstrip("/")
+
+
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    fs, target = _open(spark, path)
+    stream = fs.create(target, True)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    write_bytes(spark, path, text.encode("utf-8"))
+
+
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Renames a folder; the target must not be there."""
+    fs, path = _open(spark, source)
+    to = _open(spark, target)[1]
+    if fs.exists(to) or not fs.rename(path, to):
+        raise OSError(f"{source} could not be renamed to {target}")
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, target = _open(spark, path)
+    fs.delete(target, True)
+
+
+def replace_folder(spark: SparkSession, new: str, path: str) -> None:
+    """Puts a complete folder in the place of another one, which is kept aside until the new one stands there."""
+    if not exists(spark, path):
+        move(spark, new, path)
+        return
+    aside = f"{path}{REPLACED}"
+    if exists(spark, aside):
+        remove(spark, aside)
+    move(spark, path, aside)
+    try:
+        move(spark, new, path)
+    except Exception:
+        move(spark, aside, path)
+        raise
+    remove(spark, aside)
+
+
+def restore_folder(spark: SparkSession, path: str) -> None:
+    """Puts back what a replacement that was interrupted between its two renames has left aside."""
+    aside = f"{path}{REPLACED}"
+    if not exists(spark, path) and exists(spark, aside):
+        move(spark, aside, path)
