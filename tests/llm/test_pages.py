@@ -37,12 +37,43 @@ def test_boilerplate_goes_and_content_stays():
         ("<article><p>kept</p><div class='ad'>Buy now!</div><p>also kept</p></article>", "kept\n\nalso kept"),
         ("<nav><a href=a>One link</a></nav>", ""),
         ("<article><!-- <p>no</p> --><p title='a > b'>yes</p></article>", "yes"),
+        ("<article><p>The sum <math><mi>a</mi>+<mi>b</mi></math> is small.</p></article>", "The sum a+b is small."),
     ],
 )
 def test_markup(page, text):
     assert main_text(page) == text
 
 
+ARTICLE = "<h1>A title</h1><p>The first paragraph of it, with many words to read.</p><p>And the second one, as long as that.</p>"
+TEXT = "A title\n\nThe first paragraph of it, with many words to read.\n\nAnd the second one, as long as that."
+AROUND = "<nav><a href=a>Home</a></nav>{}<div class='sidebar'><p>Popular posts of this week.</p></div><footer><p>All rights.</p></footer>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<form id='aspnetForm'>" + AROUND.format(f"<article>{ARTICLE}</article>") + "</form>",
+        AROUND.format(f"<article class='share-story'>{ARTICLE}</article>"),
+        AROUND.format(f"<article id='form-1040-tax'>{ARTICLE}</article>"),
+        AROUND.format(f"<div class='header-widget'><main>{ARTICLE}</main></div>"),
+        AROUND.format(f"<article>{ARTICLE}<form><p>Send us your opinion of this, please.</p></form></article>"),
+        AROUND.format(f"<article>{ARTICLE}</article><section id='comments'>" + "<article class='comment'><p>I liked it a lot, thanks.</p></article>" * 9 + "</section>"),
+    ],
+)
+def test_what_holds_the_article_is_not_dropped_for_a_word(page):
+    assert main_text(page) == TEXT
+
+
+def test_pages_of_many_alternating_blocks():
+    import time
+
+    one = "<p>A sentence of an article with some words in it.</p><div class='ad'>Buy this thing now!</div>"
+    start = time.process_time()
+    text = main_text("<article>" + one * 10_000 + "</article>")
+    assert time.process_time() - start < 10
+    assert text == "\n\n".join(["A sentence of an article with some words in it."] * 10_000)
+
+
 def test_letters_that_grow_in_lower_case_before_a_script():
     """U+0130 is two code points in lower case; places must be those of the page itself."""
     page = "<article><p>" + "\u0130" * 200 + "</p><ScrIpt>var a = '<p>no</p>';</sCRIPT ><p>The text after it, all of it.</p>" + "</article>"

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from turnwise.llm.arrow_text import text_slices
 
 # Element names and words of class, id and role attributes.
-SILENT = set("script style noscript template head title svg math iframe object canvas audio video select option datalist textarea button".split())
+SILENT = set("script style noscript template head title svg annotation iframe object canvas audio video select option datalist textarea button".split())
 RAW = set("script style textarea title noscript iframe template".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = set(
@@ -70,15 +70,24 @@ class CutWeights:
     next: float = 0.2  # merely next to each other
 
 
+COMMENT_WORDS = set("comment comments disqus respond reply replies".split())
+DOUBTFUL = set("form fieldset".split())  # some pages are one form
+
+
 @dataclass
 class Element:
+    """``signs`` are its own: against content by its name, by a word, and whether these hold however much is in it."""
+
     name: str
     parent: Element | None
-    away: int = 0  # signs against and for content on the way to the root
-    away_words: int = 0
-    within: int = 0
+    within: int = 0  # signs for content on the way to the root
     within_words: int = 0
     silent: bool = False
+    signs: tuple[int, int, bool] = (0, 0, True)
+    away: int = 0  # signs against content on the way to the root, once the page is read
+    away_words: int = 0
+    prose: int = 0  # characters outside links in it
+    holds: bool = False  # an article or main element, itself or below it
 
 
 @dataclass
@@ -90,30 +99,54 @@ class Block:
 
 
 def _child(parent: Element, name: str, attributes: str) -> Element:
-    e = Element(name, parent, parent.away, parent.away_words, parent.within, parent.within_words, parent.silent or name in SILENT)
+    e = Element(name, parent, parent.within, parent.within_words, parent.silent or name in SILENT)
+    away, away_words, certain = 0, 0, name not in DOUBTFUL
     if name in AWAY or (name == "header" and not parent.within):
-        e.away += 1
+        away += 1
     elif name in WITHIN:
         e.within += 1
+        e.holds = True
     if attributes and "=" in attributes or "hidden" in attributes:
         for key, a, b, c, bare in ATTRIBUTE.findall(attributes):
             key, value = key.lower(), a or b or c
             if bare or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", ""):
-                e.away += 1
+                away, certain = away + 1, True
             elif key in ("class", "id", "role") and name not in ("html", "body"):
                 words = {w.lower() for w in WORD.findall(value)}
                 if e.within:
                     words -= {"header"}  # an article's own head holds its title
                 if words & AWAY_WORDS:
-                    e.away_words += 1
+                    away_words += 1
+                    certain = certain and (name in AWAY or bool(words & COMMENT_WORDS))
                 elif words & WITHIN_WORDS:
                     e.within_words += 1
+    e.signs = (away, away_words, certain)
     return e
 
 
+def _weigh_signs(elements: list[Element], blocks: list[Block]) -> None:
+    """Adds up the signs against content from the root down. A doubtful one - a form, a word of a class - is void for an
+    element that holds the article and more than half of the page's prose: the page would lose its text by it."""
+    for b in blocks:
+        b.element.prose += len(b.text) - min(b.linked, len(b.text))
+    total = sum(b.element.prose for b in {id(b.element): b for b in blocks}.values())
+    for e in reversed(elements):  # children stand behind their parents
+        if e.parent is not None:
+            e.parent.prose += e.prose
+            e.parent.holds |= e.holds
+    for e in elements:
+        away, words, certain = e.signs
+        if not certain and e.holds and 2 * e.prose > total:
+            away = words = 0
+        if e.parent is not None:
+            away, words = away + e.parent.away, words + e.parent.away_words
+        e.away, e.away_words = away, words
+
+
 def page_blocks(page: str) -> list[Block]:
     """Blocks with text in page order. Unclosed, stray and wrongly nested tags are taken as browsers would."""
     current = Element("", None)
+    elements = [current]
     blocks: list[Block] = []
     block = Block()
     links = 0
@@ -191,10 +224,13 @@ def page_blocks(page: str) -> list[Block]:
             continue
         if not closed:
             current = _child(current, name, tag.group(3))
+            elements.append(current)
     flush()
     for b in blocks:
         b.text = " ".join("".join(b.parts).split())
-    return [b for b in blocks if b.text]
+    blocks = [b for b in blocks if b.text]
+    _weigh_signs(elements, blocks)
+    return blocks
 
 
 def block_score(block: Block, w: CutWeights) -> float:
@@ -234,33 +270,52 @@ def minimum_cut(scores: list[float], edges: list[tuple[int, int, float]]) -> lis
         target += (b, a)
         room += (weight, weight)
     least = 1e-9
-    while True:
-        came: dict[int, int] = {k: -1 for k, x in enumerate(excess) if x > least}
-        queue = deque(came)
-        found = -1
+    while True:  # flows along all shortest ways at once, then along longer ones
+        sources = [k for k, x in enumerate(excess) if x > least]
+        level = [-1] * len(excess)
+        for k in sources:
+            level[k] = 0
+        queue, found = deque(sources), False
         while queue:
             k = queue.popleft()
             for e in out[k]:
                 to = target[e]
-                if room[e] > least and to not in came:
-                    came[to] = e
-                    if excess[to] < -least:
-                        found = to
-                        queue.clear()
-                        break
+                if level[to] < 0 and room[e] > least:
+                    level[to] = level[k] + 1
+                    found |= excess[to] < -least
                     queue.append(to)
-        if found < 0:
-            return [k in came for k in range(len(scores))]
-        path, k = [], found
-        while came[k] >= 0:
-            path.append(came[k])
-            k = target[came[k] ^ 1]
-        flow = min(excess[k], -excess[found], *(room[e] for e in path))
-        excess[k] -= flow
-        excess[found] += flow
-        for e in path:
-            room[e] -= flow
-            room[e ^ 1] += flow
+        if not found:
+            return [x >= 0 for x in level]
+        tried = [0] * len(excess)
+        for source in sources:
+            path: list[int] = []
+            k = source
+            while excess[source] > least:
+                if excess[k] < -least:
+                    flow = min(excess[source], -excess[k], *(room[e] for e in path))
+                    excess[source] -= flow
+                    excess[k] += flow
+                    for e in path:
+                        room[e] -= flow
+                        room[e ^ 1] += flow
+                    full = next((i for i, e in enumerate(path) if room[e] <= least), len(path))
+                    k = target[path[full] ^ 1] if full < len(path) else k  # back to before the first full edge
+                    del path[full:]
+                    continue
+                edges_of = out[k]
+                while tried[k] < len(edges_of):
+                    e = edges_of[tried[k]]
+                    if room[e] > least and level[target[e]] == level[k] + 1:
+                        break
+                    tried[k] += 1
+                else:
+                    if not path:
+                        break
+                    k = target[path.pop() ^ 1]
+                    tried[k] += 1
+                    continue
+                path.append(e)
+                k = target[e]
 
 
 def smoothness(blocks: list[Block], w: CutWeights) -> list[tuple[int, int, float]]:

@@ -28,8 +28,8 @@ BYTE_BPE, MULTI_RANKS, PIECES = "byte_bpe_50k.json", "byte_bpe_multi_50k.tiktoke
 
 
 def _fold(divisor: int) -> Column:
-    """Whether a document is held out from learning."""
-    return remainder(F.col("doc_id"), divisor) == 2
+    """Whether a document is held out from learning; one without an id is not."""
+    return F.coalesce(remainder(F.col("doc_id"), divisor) == 2, F.lit(False))
 
 
 def op1_quality(spark: SparkSession, folder: str) -> DataFrame:
