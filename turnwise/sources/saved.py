@@ -221,8 +221,8 @@ def read_saved_split(
     if generated:
         schema = T.StructType([T.StructField(ROW_ID, T.LongType()), *schema.fields])
     spark.dataSource.register(_source_class(_opener()))
-    slices = json.dumps(_slices(spark, folder, slice_bytes))
-    return spark.read.format("arrow_shards").schema(schema).options(slices=slices, row_id=generated).load()
+    slices = _slices(spark, folder, slice_bytes) or [(_uri(found[names[0]]), 0, 0, 0)]  # no batch: a slice without any
+    return spark.read.format("arrow_shards").schema(schema).options(slices=json.dumps(slices), row_id=generated).load()
 
 
 def write_saved_split(df: DataFrame, folder: str, batch_rows: int = 1000) -> int:
