@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.sources.kept import work_folder
+
 SLICE_BYTES = 4 << 20  # text handled at once inside a task; a single longer text is handled alone
 
 
@@ -26,9 +27,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, purpose: str) -> str:
-    """A new folder in the cluster's shared place; a folder of the working directory where none is named, as in tests."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/llm"
-    return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    """A new folder in the cluster's shared place: below spark.checkpoint.dir, or the warehouse, which is shared as well."""
+    return work_folder(spark, purpose)
 
 
 def written(df: DataFrame, folder: str) -> DataFrame:
@@ -41,7 +41,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the session's shared folder."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "spark-warehouse/checkpoints")
+        context.setCheckpointDir(work_folder(df.sparkSession, "checkpoints"))
     return df.checkpoint()
 
 
