@@ -116,7 +116,7 @@ def test_components_against_union_find(spark):
     for a, b in links:
         p, q = find(a), find(b)
         parent[max(p, q)] = min(p, q)
-    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long"))[0].collect()}
     assert got == {k: find(k) for k in parent if any(k in link and link[0] != link[1] for link in links)}
 
 

@@ -12,6 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from turnwise.sources.files import remove
 from turnwise.sources.kept import work_folder
 
 SLICE_BYTES = 4 << 20  # text handled at once inside a task; a single longer text is handled alone
@@ -37,12 +38,17 @@ def written(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's shared folder."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(work_folder(df.sparkSession, "checkpoints"))
-    return df.checkpoint()
+def stored(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
+    """The rows as a table in a new shared folder, and the folder, for a step whose table is superseded later."""
+    folder = shared_folder(df.sparkSession, purpose)
+    return written(df, folder), folder
+
+
+def superseded(spark: SparkSession, *folders: str) -> None:
+    """Removes tables that no row is read from any more. The JVM's collector then lets go of the shuffles behind them."""
+    for folder in folders:
+        remove(spark, folder)
+    spark.sparkContext._jvm.System.gc()
 
 
 def give_back() -> None:

@@ -26,11 +26,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from turnwise.llm.arrow_text import (
-    checkpointed,
     distinct_per_owner,
     mixed,
     shared_folder,
     shingle_hashes,
+    stored,
+    superseded,
     text_slices,
     word_codes,
     word_hashes,
@@ -176,8 +177,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "left", "right").mapInArrow(compare, "a long, b long")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): the least node reachable over links (a, b), for every node in a link.
+def components(links: DataFrame) -> tuple[DataFrame, str]:
+    """(node, component): the least node reachable over links (a, b), for every node in a link; and its table's folder.
 
     Stars are turned in alternation: large stars hang greater neighbours on the least one, small stars the smaller ones,
     until nothing changes; the rounds grow with the logarithm of the longest path.
@@ -196,16 +197,18 @@ def components(links: DataFrame) -> DataFrame:
     def state(edges: DataFrame) -> tuple:
         return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
-    edges = checkpointed(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct())
+    either = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
+    edges, folder = stored(either, "dedup-stars")
     before = state(edges)
     while before[0]:
-        edges = checkpointed(turned(turned(edges, True), False))
-        after = state(edges)
+        edges, next_folder = stored(turned(turned(edges, True), False), "dedup-stars")
+        superseded(links.sparkSession, folder)
+        folder, after = next_folder, state(edges)
         if after == before:
             break
         before = after
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    return stars.union(edges.select("b", "b").distinct())
+    return stars.union(edges.select("b", "b").distinct()), folder
 
 
 def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
@@ -216,8 +219,8 @@ def _in_components(buckets: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(several, "bucket", "left_semi")
 
 
-def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOptions) -> DataFrame:
-    """(bucket, node, size, most): the nodes by each of their rarest shingles, as many as a similar set cannot all be without.
+def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOptions) -> tuple[DataFrame, str]:
+    """(bucket, node, size, most), and the folder of a table it reads: the nodes by each of their rarest shingles, as many as a similar set cannot all be without.
 
     Shingles are ordered by how many of the nodes have them, then by hash. If the first shingle that two sets share stands
     at place i of n, they share at most n - i + 1; with `percent` of their union in common that bounds the other's size by
@@ -234,7 +237,7 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOp
             yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(size), pa.array(hashes)], names=["node", "size", "shingle"])
 
     rows = sets.join(nodes, "node", "left_semi").select("node", "shingles").mapInArrow(listed, "node long, size long, shingle long")
-    rows = checkpointed(rows)
+    rows, folder = stored(rows, "dedup-shingles")
     held = rows.groupBy("shingle").agg(F.count("*").alias("held"))
     ranked = rows.join(held, "shingle").withColumn(
         "place", F.row_number().over(Window.partitionBy("node").orderBy("held", "shingle"))
@@ -242,7 +245,7 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOp
     most = F.floor((F.col("size") - F.col("place") + 1) * (100 + o.percent) / o.percent) - F.col("size")
     ranked = ranked.withColumn("most", most).filter((F.col("held") > 1) & (F.col("most") * 100 >= F.col("size") * o.percent - 100))
     groups = ranked.select(F.col("shingle").alias("bucket"), "node", "size", "most")
-    return _with_partners(_in_components(groups, found).drop("component"))
+    return _with_partners(_in_components(groups, found).drop("component")), folder
 
 
 def _with_partners(groups: DataFrame) -> DataFrame:
@@ -251,10 +254,11 @@ def _with_partners(groups: DataFrame) -> DataFrame:
     return groups.join(least, "bucket").filter("most >= least").drop("least", "rows")
 
 
-def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame]:
-    """Next hubs of groups that hold more than one component beyond their last hub, and the pairs to compare."""
+def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: DedupOptions) -> tuple[DataFrame, DataFrame, str]:
+    """Next hubs of groups that hold more than one component beyond their last hub, the pairs to compare, and the folder
+    of a table both read."""
     beyond = buckets.join(last, "bucket", "left").filter("last IS NULL OR node > last").drop("last")
-    rows = checkpointed(_in_components(_with_partners(beyond), found))
+    rows, folder = stored(_in_components(_with_partners(beyond), found), "dedup-open")
     slot = Window.partitionBy("bucket", "slot").orderBy("node")
     least = rows.withColumn("slot", F.pmod("node", F.lit(64))).withColumn("place", F.row_number().over(slot))
     least = least.filter(F.col("place") <= o.hubs)
@@ -269,7 +273,7 @@ def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: Ded
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
-    return hubs.groupBy("bucket").agg(F.max("a").alias("last")), pairs
+    return hubs.groupBy("bucket").agg(F.max("a").alias("last")), pairs, folder
 
 
 def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -> DataFrame:
@@ -304,22 +308,29 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     sets = shingle_sets(texts, o).dropDuplicates(["node"])
     sets = written(sets, shared_folder(spark, "dedup-sets"))
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
-    found = components(links)
+    found, stars_folder = components(links)
     # a node that has a link open meets the other end in several buckets
     several = least_shared_bands(o.percent, o.bands, o.rows)
     left = _in_components(buckets, found).groupBy("node").count().filter(F.col("count") >= several).select("node")
-    groups = written(_rare_groups(sets, left, found, o), shared_folder(spark, "dedup-groups"))
-    last = groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0)
+    groups, shingles_folder = _rare_groups(sets, left, found, o)
+    groups = written(groups, shared_folder(spark, "dedup-groups"))
+    superseded(spark, shingles_folder)
+    last, last_folder = stored(groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0), "dedup-last")
     while True:
-        last_now, more = _further_pairs(groups, found, last, o)
-        more = checkpointed(_sized(more, sizes, o.percent))
+        last_now, more, open_folder = _further_pairs(groups, found, last, o)
+        more, more_folder = stored(_sized(more, sizes, o.percent), "dedup-pairs")
         if more.isEmpty() and last_now.isEmpty():
+            superseded(spark, open_folder, more_folder)
             break
-        new = checkpointed(confirmed(more, sets, o.percent))
+        new, new_folder = stored(confirmed(more, sets, o.percent), "dedup-new")
         if not new.isEmpty():
             stars = found.filter("node <> component").select(F.col("node").alias("a"), F.col("component").alias("b"))
-            found = components(stars.union(new))
-        last = checkpointed(last.union(last_now).groupBy("bucket").agg(F.max("last").alias("last")))
+            found, next_folder = components(stars.union(new))
+            superseded(spark, stars_folder)
+            stars_folder = next_folder
+        last, next_folder = stored(last.union(last_now).groupBy("bucket").agg(F.max("last").alias("last")), "dedup-last")
+        superseded(spark, open_folder, more_folder, new_folder, last_folder)
+        last_folder = next_folder
     grouped = nodes.select("node", "doc_id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     ids = grouped.groupBy("component").agg(F.min("doc_id").alias("component_id"))
     named = grouped.join(ids, "component").select("node", "component_id")
