@@ -10,7 +10,9 @@ components.
 What the stars leave open is done exactly. Nodes of buckets that still hold several components are ordered by their rarest
 shingles; two sets as similar as asked must share one of the first few of them, and the rarest they share must stand early
 enough in both for the sizes of both. Only nodes that meet so, and are in different components, are compared further,
-again by hubs, a few of a group in each round until no group holds an uncompared pair of different components. No link between nodes that share a bucket is lost to the star shape.
+again by hubs, a few of a group in each round until no group holds an uncompared pair of different components. Looked at
+are the nodes that share open buckets in at least `least_shared_bands` bands: a pair as similar as asked shares fewer less
+than once in ten million. Between nodes that share as many, no link is lost to the star shape.
 """
 
 from __future__ import annotations
