@@ -45,9 +45,13 @@ def stored(df: DataFrame, purpose: str) -> tuple[DataFrame, str]:
 
 
 def superseded(spark: SparkSession, *folders: str) -> None:
-    """Removes tables that no row is read from any more. The JVM's collector then lets go of the shuffles behind them."""
+    """Removes tables that no row is read from any more."""
     for folder in folders:
         remove(spark, folder)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Has the driver's collector let go of the shuffles of tables that are gone; it takes a moment, so not in each round."""
     spark.sparkContext._jvm.System.gc()
 
 

@@ -17,6 +17,7 @@ than once in ten million. Between nodes that share as many, no link is lost to t
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,6 +31,7 @@ from pyspark.sql import functions as F
 from turnwise.llm.arrow_text import (
     distinct_per_owner,
     mixed,
+    release_shuffles,
     shared_folder,
     shingle_hashes,
     stored,
@@ -318,7 +320,9 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     groups = written(groups, shared_folder(spark, "dedup-groups"))
     superseded(spark, shingles_folder)
     last, last_folder = stored(groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0), "dedup-last")
-    while True:
+    for rounds in itertools.count(1):
+        if rounds % 8 == 0:
+            release_shuffles(spark)
         last_now, more, open_folder = _further_pairs(groups, found, last, o)
         more, more_folder = stored(_sized(more, sizes, o.percent), "dedup-pairs")
         if more.isEmpty() and last_now.isEmpty():
