@@ -1,0 +1,44 @@
+"""What a task holds at once does not grow with the input."""
+
+import glob
+
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
+from turnwise.operators import tokens
+
+
+def many_words(spark, rows=120):
+    words = F.transform(F.sequence(F.lit(0), F.lit(499)), lambda k: F.concat(F.lit("w"), ((F.col("id") * 37 + k * k) % 9001).cast("string")))
+    return spark.range(0, rows, 1, 1).select(F.col("id").alias("row_id"), F.array_join(words, " ").alias("text"))
+
+
+def test_token_blocks_are_read_in_small_row_groups(spark, monkeypatch):
+    monkeypatch.setattr(tokens, "BLOCK_GROUP_BYTES", 1 << 14)
+    df = many_words(spark)
+    words = F.regexp_extract_all("text", F.lit(tokens.TOKEN_PATTERN), F.lit(0))
+    blocks = tokens._token_blocks(df, "row_id", words, 1000)
+    found = [pq.ParquetFile(f).metadata for x in blocks.inputFiles() for f in glob.glob(x.removeprefix("file://"))]
+    groups = [m.row_group(k).total_byte_size for m in found for k in range(m.num_row_groups)]
+    assert len(groups) > 10 and max(groups) < 4 << 14
+    assert blocks.schema["codes"].dataType.simpleString() == "binary"  # an array takes three times as much in a reader
+
+
+def test_only_codes_go_back_to_their_block(spark):
+    df = many_words(spark)
+    table = tokens.build_vocabulary(df, None)
+    got = tokens.encode_by_join(df, table, head=16, block=4096)
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("FlatMapCoGroups") :]
+    scans = [line for line in left.splitlines() if "Relation" in line or "Project" in line]
+    assert " words#" not in scans[0] and " codes#" in scans[0]
+    native = df.select("row_id", tokens.RegexEncoder(tokens.collect_vocabulary(table)).ids(F.col("text")).alias("input_ids"))
+    assert {r.row_id: r.input_ids for r in got.collect()} == {r.row_id: r.input_ids for r in native.collect()}
+
+
+def test_a_shipped_vocabulary_is_one_array(spark):
+    df = spark.createDataFrame([(1, "b a c"), (2, ""), (3, None)], "row_id long, text string")
+    ids = tokens.RegexEncoder(["a", "b", "a"], unknown_id=-7).ids(F.col("text"))
+    assert [r[0] for r in df.orderBy("row_id").select(ids).collect()] == [[1, 0, -7], [], None]
+    empty = tokens.RegexEncoder([], unknown_id=-7).ids(F.col("text"))
+    assert [r[0] for r in df.orderBy("row_id").select(empty).collect()] == [[-7, -7, -7], [], None]

@@ -26,7 +26,8 @@ TOKEN_PATTERN = (
 )
 MAX_SHIPPED_TOKENS = 1 << 20
 MAX_SHIPPED_BYTES = 64 << 20
-BLOCK_TOKENS = 1 << 16  # tokens whose distinct ones are looked up together
+BLOCK_TOKENS = 1 << 20  # tokens whose distinct ones are looked up together
+BLOCK_GROUP_BYTES = 16 << 20  # of a row group of blocks
 
 
 @dataclass(frozen=True)
@@ -262,8 +263,9 @@ def collect_vocabulary(vocabulary: DataFrame, reserved: Sequence[str] = ()) -> l
 def _token_blocks(df: DataFrame, row_id: str, tokens: Column, size: int = BLOCK_TOKENS) -> DataFrame:
     """Rows in blocks of at most ``size`` tokens (a larger row is a block by itself).
 
-    ``block, ids, sizes, codes, words``: the rows' ids and numbers of tokens (-1 of a NULL), their tokens as places in the
-    list of the block's distinct ones. The blocks are a table in the shared folder: the texts are read once.
+    ``block, ids, sizes, n_words, codes, words``: the rows' ids and numbers of tokens (-1 of a NULL), their tokens as places
+    in the list of the block's distinct ones. The places are packed (byte by byte, zstd). The blocks are a table in the
+    shared folder, in row groups of bounded size: the texts are read once, and a reader holds one row group.
     """
     kind = df.schema[row_id].dataType.simpleString()
 
@@ -275,6 +277,10 @@ def _token_blocks(df: DataFrame, row_id: str, tokens: Column, size: int = BLOCK_
         def one(values: pa.Array) -> pa.Array:
             return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
 
+        def packed(codes: np.ndarray) -> bytes:
+            planes = codes.astype("<u4").view(np.uint8).reshape(-1, 4).T
+            return pa.compress(planes.tobytes(), codec="zstd", asbytes=True)
+
         for batch in batches:
             lists = batch.column("tokens")
             lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
@@ -289,16 +295,18 @@ def _token_blocks(df: DataFrame, row_id: str, tokens: Column, size: int = BLOCK_
                     [
                         one(batch.column("id").slice(start, stop - start)),
                         one(sizes.slice(start, stop - start)),
-                        one(coded.indices.cast(pa.int32())),
+                        pa.array([len(coded.dictionary)], pa.int32()),
+                        pa.array([packed(coded.indices.to_numpy(zero_copy_only=False))], pa.binary()),
                         one(coded.dictionary),
                     ],
-                    names=["ids", "sizes", "codes", "words"],
+                    names=["ids", "sizes", "n_words", "codes", "words"],
                 )
                 start = stop
 
     cut = df.select(F.col(row_id).alias("id"), tokens.alias("tokens"))
-    blocks = cut.mapInArrow(block, f"ids array<{kind}>, sizes array<int>, codes array<int>, words array<string>")
-    return kept_table(blocks.withColumn("block", F.monotonically_increasing_id()), "token-blocks")
+    schema = f"ids array<{kind}>, sizes array<int>, n_words int, codes binary, words array<string>"
+    blocks = cut.mapInArrow(block, schema).withColumn("block", F.monotonically_increasing_id())
+    return kept_table(blocks, "token-blocks", {"parquet.block.size": BLOCK_GROUP_BYTES, "parquet.page.size.row.check.min": 1})
 
 
 def encode_by_join(
@@ -331,7 +339,7 @@ def encode_by_join(
     found = near.filter(F.col("id").isNotNull()).select("block", "place", "id")
     missing = near.filter(F.col("id").isNull()).select("block", "place", "token")
     tail = vocabulary.filter(~is_head).select("token", "id")
-    n_blocks, n_wanted = blocks.agg(F.count(F.lit(1)), F.sum(F.size("words"))).first()
+    n_blocks, n_wanted = blocks.agg(F.count(F.lit(1)), F.sum("n_words")).first()
     # a block names a token once, so with few blocks none can be hot
     hot = None if n_blocks * PARTS > (n_wanted or 0) else missing.select("token").limit(0)
     ids = found.unionByName(hot_join(missing, tail, ["token"], hot=hot).select("block", "place", "id"))
@@ -345,17 +353,18 @@ def encode_by_join(
         out = [pa.table({row_id: pa.array([], left.schema.field("ids").type.value_type), "input_ids": pa.array([], pa.list_(pa.int32()))})]
         for row in left.to_batches():
             for k in range(row.num_rows):
-                table = np.full(max(pc.list_value_length(row.column("words"))[k].as_py(), 1), unknown_id, np.int32)
+                table = np.full(max(row.column("n_words")[k].as_py(), 1), unknown_id, np.int32)
                 table[right.column("place").to_numpy()] = right.column("id").to_numpy()
-                codes = row.column("codes")[k].values.to_numpy(zero_copy_only=False)
                 sizes = row.column("sizes")[k].values.to_numpy(zero_copy_only=False)
                 starts = np.zeros(len(sizes) + 1, np.int32)
                 np.cumsum(np.maximum(sizes, 0), out=starts[1:])
+                raw = pa.decompress(row.column("codes")[k].as_py(), int(starts[-1]) * 4, codec="zstd", asbytes=True) if starts[-1] else b""
+                codes = np.frombuffer(raw, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel()
                 lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(table[codes]), mask=pa.array(sizes < 0))
                 out.append(pa.table({row_id: row.column("ids")[k].values, "input_ids": lists}))
         return pa.concat_tables(out)
 
-    pairs = blocks.groupBy("block").cogroup(ids.groupBy("of"))
+    pairs = blocks.drop("words").groupBy("block").cogroup(ids.groupBy("of"))  # the words stay where they are
     return pairs.applyInArrow(cut, f"`{row_id}` {kind}, input_ids array<int>")
 
 

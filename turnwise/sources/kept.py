@@ -13,8 +13,8 @@ def work_folder(spark: SparkSession, purpose: str) -> str:
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def kept_table(df: DataFrame, purpose: str) -> DataFrame:
+def kept_table(df: DataFrame, purpose: str, options: dict[str, int] | None = None) -> DataFrame:
     """The rows, written once: whatever is built on them reads the table, and a lost executor costs no recomputation."""
     folder = work_folder(df.sparkSession, purpose)
-    df.write.parquet(folder)
+    df.write.options(**(options or {})).parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
