@@ -1,0 +1,41 @@
+"""Runs of words: the memory of a worker does not grow with the words of a batch, and slices cut no run."""
+
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
+
+from turnwise.operators import contamination
+
+
+def lists(counts, seed=3):
+    values = np.random.default_rng(seed).integers(-9, 9, sum(counts))
+    starts = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(values, pa.int64()))
+
+
+def test_memory_of_runs_does_not_grow_with_the_batch(spark):
+    bits = np.zeros(16, np.uint64)
+    peaks = []
+    for documents in (1000, 6000):
+        batch = lists([700] * documents)
+        function = contamination._runs([8], bits, 10).func
+        tracemalloc.start()
+        try:
+            (got,) = function(iter([batch]))
+            peaks.append(tracemalloc.get_traced_memory()[1] / 1e6)
+        finally:
+            tracemalloc.stop()
+        assert len(got) == documents and len(got.flatten()) == 0
+    assert peaks[1] < peaks[0] + 5 and peaks[1] < 40
+
+
+def test_slices_cut_no_run(spark):
+    batch = lists([0, 3, 1, 40, 0, 9, 8, 0])
+    whole = next(contamination._runs([2, 8], None, 0).func(iter([batch])))
+    assert [len(x) for x in whole] == [0, 2, 0, 39 + 33, 0, 8 + 2, 7 + 1, 0]
+    for at_once in (1, 3, 7):
+        assert next(contamination._runs([2, 8], None, 0, at_once).func(iter([batch]))).to_pylist() == whole.to_pylist()
+    full = np.full(16, 2**64 - 1, np.uint64)
+    assert next(contamination._runs([2, 8], full, 10, 5).func(iter([batch]))).to_pylist() == whole.to_pylist()
+    assert next(contamination._runs([2], None, 0).func(iter([lists([])]))).to_pylist() == []
