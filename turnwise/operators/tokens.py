@@ -84,7 +84,7 @@ class RegexEncoder(Encoder):
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
     def ids(self, text: Column) -> Column:
-        return _lookup(tuple(self.vocabulary), self.unknown_id)(self.tokens(text))
+        return _lookup(pa.array(self.vocabulary, pa.string()), self.unknown_id)(self.tokens(text))
 
     def count(self, text: Column) -> Column:
         return F.regexp_count(text, F.lit(self.pattern))
@@ -121,19 +121,21 @@ class TokenizerFileEncoder(Encoder):
 # The functions below are closures with their own imports, so workers need no copy of this package.
 
 
-def _lookup(vocabulary: tuple[str, ...], unknown_id: int):
+def _lookup(vocabulary: pa.Array, unknown_id: int):
+    """The vocabulary stays one Arrow array, in the driver and in the workers: no object per token."""
+
     @arrow_udf("array<int>")
     def lookup(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
 
-        places = {t: i for i, t in reversed(list(enumerate(vocabulary)))}  # once per task; a repeated token keeps its first
         for tokens in batches:
             sizes = pc.fill_null(pc.list_value_length(tokens), 0)
             ends = np.cumsum(sizes.to_numpy(zero_copy_only=False), dtype=np.int32)
             coded = tokens.flatten().cast(pa.string()).dictionary_encode()
-            distinct = np.array([places.get(t, unknown_id) for t in coded.dictionary.to_pylist()], np.int32)
+            found = pc.index_in(coded.dictionary, value_set=vocabulary)  # the first place of a repeated token
+            distinct = pc.fill_null(found, unknown_id).to_numpy(zero_copy_only=False).astype(np.int32)
             ids = distinct[coded.indices.to_numpy(zero_copy_only=False)]
             starts = pa.array(np.concatenate([np.zeros(1, np.int32), ends]), pa.int32())
             yield pa.ListArray.from_arrays(starts, pa.array(ids, pa.int32()), mask=tokens.is_null())
