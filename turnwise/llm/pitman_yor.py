@@ -1,17 +1,18 @@
 """Language-model scores by a hierarchical Pitman-Yor model learned from the corpus itself.
 
-The token before a token chooses its restaurant. Each of the most frequent tokens has a restaurant of its own; behind it,
-and for all other tokens before, stands a restaurant shared by the tokens with the same ending; behind those stands one for
-the whole corpus, and behind that the uniform distribution over the vocabulary and one unknown token. Tables of a
-restaurant are customers of the one behind it.
+The token before a token chooses its restaurant: each distinct token has one of its own, however rare. Behind it stands a
+restaurant shared by the tokens with the same ending; behind those stands one for the whole corpus, and behind that the
+uniform distribution over the vocabulary and one unknown token. Tables of a restaurant are customers of the one behind it.
 
 Dishes (tokens) are dealt to buckets by hash, and a bucket holds all restaurants' customers for its dishes, so tables
 and customers of all levels meet in one task; a restaurant's total over all buckets is estimated from the bucket's hashed
-share while seating, and exact when predicting. Seating is sampled by Gibbs sweeps: the customers of a dish leave a
+share, a dish's own tables counted once, while seating, and exact when predicting: a token's own restaurant has as many customers
+as the token has learned occurrences, and its tables are summed in the bucket of that token as a dish. Seating is sampled by Gibbs sweeps: the customers of a dish leave a
 restaurant together and the number of their tables is drawn anew given all else - up to 64 customers from the exact
 conditional, with generalised Stirling numbers, more of them in the order of the Chinese restaurant, in groups of a
 sixteenth. The discount of a level is found in each bucket from dishes served once and twice; as discounts belong to
-dishes, the probabilities still sum to one. Predictive probabilities are averaged over the last sweeps.
+dishes, the probabilities still sum to one. Customers and tables of a token's own restaurant, and the probabilities behind it,
+are averaged over the last sweeps.
 
 Documents are cut into blocks of bounded text. A block sends each bucket its distinct (dish, restaurant) pairs with counts,
 and gets back what its tokens need. All pairs of all documents are counted.
@@ -28,14 +29,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.arrow_text import mixed, shared_folder, text_slices, word_codes, word_hashes, written
+from turnwise.llm.arrow_text import mixed, release_shuffles, shared_folder, stored, superseded, text_slices, word_codes, word_hashes, written
 
 EXACT = 64  # customers of a dish up to which the number of tables is drawn from its exact conditional
 
 
 @dataclass(frozen=True)
 class ModelOptions:
-    frequent: int = 512  # tokens with a restaurant of their own
+    frequent: int = 512  # without effect, for older callers: every token has a restaurant of its own
     endings: int = 64  # restaurants by ending
     strength: float = 1.0
     burn_in: int = 2
@@ -87,7 +88,7 @@ END = np.uint64(word_hashes(pa.array([""]))[0])  # no word is empty
 
 
 def _block_rows(documents: DataFrame, held_out: Column, o: ModelOptions) -> DataFrame:
-    """Blocks of documents: ids, token counts, and packed tokens; with the block's most frequent tokens."""
+    """Blocks of documents: ids, token counts, and packed tokens."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -111,9 +112,7 @@ def _block_rows(documents: DataFrame, held_out: Column, o: ModelOptions) -> Data
             place = np.empty(len(order), np.int32)
             place[order] = np.arange(len(order), dtype=np.int32)
             codes, hashes, endings = place[codes], hashes[order], endings[order]
-            learned = np.bincount(codes[np.repeat(~unknown, n)], minlength=len(hashes))
-            top = np.argsort(-learned, kind="stable")[: 2 * o.frequent]
-            top = top[learned[top] > 0]
+            learned = int(n[~unknown].sum())
             out = pa.RecordBatch.from_pydict(
                 {
                     "block": pa.array([number], pa.int64()),
@@ -121,10 +120,7 @@ def _block_rows(documents: DataFrame, held_out: Column, o: ModelOptions) -> Data
                     "held_out": pa.array([unknown.tolist()], pa.list_(pa.bool_())),
                     "counts": pa.array([n.tolist()], pa.list_(pa.int64())),
                     "n_tokens": pa.array([len(codes)], pa.int64()),
-                    "n_learned": pa.array([int(learned.sum())], pa.int64()),
-                    "top": pa.array([hashes[top].view(np.int64).tolist()], pa.list_(pa.int64())),
-                    "top_counts": pa.array([learned[top].tolist()], pa.list_(pa.int64())),
-                    "top_endings": pa.array([endings[top].tolist()], pa.list_(pa.int64())),
+                    "n_learned": pa.array([learned], pa.int64()),
                     "tokens": pa.array([_pack([hashes, endings, codes])], pa.binary()),
                 }
             )
@@ -142,68 +138,58 @@ def _block_rows(documents: DataFrame, held_out: Column, o: ModelOptions) -> Data
     rows = documents.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return rows.mapInArrow(
         cut,
-        "block long, doc_ids array<long>, held_out array<boolean>, counts array<long>, n_tokens long, n_learned long, "
-        "top array<long>, top_counts array<long>, top_endings array<long>, tokens binary",
+        "block long, doc_ids array<long>, held_out array<boolean>, counts array<long>, n_tokens long, n_learned long, tokens binary",
     )
 
 
 @dataclass(frozen=True)
 class Layout:
-    """Restaurants: one per ending, then one per frequent token with the ending that stands behind it."""
+    """Restaurants in a bucket: one per ending, then one per token before its dishes, with the ending behind it."""
 
-    frequent: np.ndarray  # hashes, ascending
+    frequent: np.ndarray  # hashes of the tokens before, ascending
     behind: np.ndarray
     endings: int
     buckets: int
 
-    @property
-    def restaurants(self) -> int:
-        return self.endings + len(self.frequent)
-
 
 class Block:
-    """A block's tokens as pairs of dish and restaurant, in an order both its senders and its receivers know."""
-
-    def __init__(self, tokens: bytes, counts: np.ndarray, layout: Layout):
-        hashes, endings, codes = _unpack(tokens)
-        bucket = (mixed(hashes) % np.uint64(layout.buckets)).astype(np.int64)
-        order = np.lexsort((hashes, bucket))
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        self.hashes, self.bucket = hashes[order], bucket[order]
-        own = endings.astype(np.int64)
-        at = np.searchsorted(layout.frequent, hashes)
-        if len(layout.frequent):
-            often = layout.frequent[np.minimum(at, len(layout.frequent) - 1)] == hashes
-            own = np.where(often, layout.endings + at, own)
+    """A block's tokens as pairs of dish and token before, in an order both its senders and its receivers know."""
+
+    def __init__(self, tokens: bytes, counts: np.ndarray, buckets: int):
+        self.ascending, self.endings, codes = _unpack(tokens)
+        bucket = (mixed(self.ascending) % np.uint64(buckets)).astype(np.int64)
+        order = np.lexsort((self.ascending, bucket))
+        self.place = np.empty(len(order), np.int64)  # of a hash, by bucket
+        self.place[order] = np.arange(len(order))
+        self.hashes, self.bucket = self.ascending[order], bucket[order]
         before = np.empty_like(codes)
         before[1:] = codes[:-1]
         first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        before[first] = np.searchsorted(hashes, END)  # a document begins after an end
-        key = place[codes] * layout.restaurants + own[before]
-        self.pairs, self.pair_of = np.unique(key, return_inverse=True)
-        self.dish, self.restaurant = np.divmod(self.pairs, layout.restaurants)
+        before[first] = np.searchsorted(self.ascending, END)  # a document begins after an end
+        pairs, self.pair_of = np.unique(self.place[codes] * max(len(order), 1) + before, return_inverse=True)
+        self.dish, self.before = np.divmod(pairs, max(len(order), 1))
         self.word_of = self.dish[self.pair_of]
 
 
-def _requests(blocks: DataFrame, layout: Layout) -> DataFrame:
+def _requests(blocks: DataFrame, buckets: int) -> DataFrame:
     """(bucket, block, pairs): what each block sends to each bucket."""
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(len(batch)):
                 counts = batch.column("counts")[k].values.to_numpy()
-                block = Block(batch.column("tokens")[k].as_py(), counts, layout)
+                block = Block(batch.column("tokens")[k].as_py(), counts, buckets)
                 learned = ~batch.column("held_out")[k].values.to_numpy(zero_copy_only=False)
-                seen = np.bincount(block.pair_of[np.repeat(learned, counts)], minlength=len(block.pairs))
+                seen = np.bincount(block.pair_of[np.repeat(learned, counts)], minlength=len(block.dish))
                 per_dish = np.bincount(block.dish, minlength=len(block.hashes))
-                words = np.searchsorted(block.bucket, np.arange(layout.buckets + 1))
+                words = np.searchsorted(block.bucket, np.arange(buckets + 1))
                 ends = np.concatenate([[0], np.cumsum(per_dish)])[words]
                 rows = []
-                for b in range(layout.buckets):
+                for b in range(buckets):
                     w, p = slice(words[b], words[b + 1]), slice(ends[b], ends[b + 1])
                     if words[b] < words[b + 1]:
-                        parts = [block.hashes[w], _narrow(per_dish[w]), block.restaurant[p].astype(np.uint16), _narrow(seen[p])]
+                        before, at = np.unique(block.before[p], return_inverse=True)
+                        parts = [block.hashes[w], _narrow(per_dish[w]), block.ascending[before], block.endings[before], _narrow(at), _narrow(seen[p])]
                         rows.append((b, _pack(parts)))
                 number = batch.column("block")[k].as_py()
                 yield pa.RecordBatch.from_pydict(
@@ -293,7 +279,8 @@ def seat_bucket(dish: np.ndarray, restaurant: np.ndarray, seen: np.ndarray, dish
     kept: list[dict] = []
     for sweep in range(o.burn_in + o.samples):
         open3 = share * np.bincount(fine_restaurant, weights=tables3, minlength=len(layout.frequent))
-        tables3 = draw_tables(fine_seen, (o.strength + d3 * open3[fine_restaurant]) * near[fine_to], d3, random)
+        others = open3[fine_restaurant] - (share - 1) * tables3  # a dish's own tables are no sample of other buckets
+        tables3 = draw_tables(fine_seen, (o.strength + d3 * others) * near[fine_to], d3, random)
         customers2 = direct + np.bincount(fine_to, weights=tables3, minlength=len(shared)).astype(np.int64)
         d2 = _discount(customers2)
         if tables2 is None:
@@ -329,73 +316,106 @@ def seat_bucket(dish: np.ndarray, restaurant: np.ndarray, seen: np.ndarray, dish
 
 @dataclass(frozen=True)
 class Totals:
-    """Of all buckets: distinct learned tokens, and per sample customers and discounted tables of every restaurant."""
+    """Of all buckets: distinct learned tokens, and per sample customers and discounted tables of the shared restaurants."""
 
     vocabulary: int
     samples: np.ndarray
 
-    def chances(self, seated: dict, dish: np.ndarray, restaurant: np.ndarray, layout: Layout, o: ModelOptions) -> np.ndarray:
-        """Predictive probability of each pair (dish, restaurant) of a bucket, averaged over the samples."""
-        e, f = layout.endings, len(layout.frequent)
-        own = restaurant >= e
-        at = np.maximum(restaurant - e, 0)
-        behind = np.where(own, layout.behind[at] if f else 0, restaurant)
-        chance = np.zeros(len(dish))
+    def parts(self, seated: dict, dish: np.ndarray, restaurant: np.ndarray, layout: Layout, o: ModelOptions) -> list[np.ndarray]:
+        """Of each pair of a bucket, averaged over the samples: discounted customers, and the probability behind."""
+        e = layout.endings
+        behind = layout.behind[restaurant - e]
+        seats, chance = np.zeros(len(dish)), np.zeros(len(dish))
         for sample, total in zip(seated["samples"], self.samples, strict=True):
             root = (sample["root"] + (o.strength + total[1]) / (self.vocabulary + 1)) / (o.strength + total[0])
             sat2, open2 = total[2 : 2 + e], total[2 + e : 2 + 2 * e]
             p = sample["shared"][seated["to_shared"]] + (o.strength + open2[behind]) * root[dish]
-            p /= o.strength + sat2[behind]
-            if f:
-                sat3, open3 = total[2 + 2 * e : 2 + 2 * e + f], total[2 + 2 * e + f :]
-                fine = np.zeros(len(dish))
-                fine[seated["fine"]] = sample["fine"]
-                p = np.where(own, (fine + (o.strength + open3[at]) * p) / (o.strength + sat3[at]), p)
-            chance += p / o.samples
-        return chance
-
-
-def _seated(requests: DataFrame, layout: Layout, o: ModelOptions, totals: Totals | None) -> DataFrame:
-    """(block, bucket, answer, totals) from seating every bucket: its totals at first, and once those of all buckets are
-    known, what each block asked for. The seating is the same both times, as it depends on the counts and a seed alone."""
+            chance += p / (o.strength + sat2[behind]) / o.samples
+            seats += sample["fine"] / o.samples
+        return [seats.astype(np.float32), chance.astype(np.float32)]
+
+
+def _bucket(table: pa.Table, buckets: int, o: ModelOptions) -> dict:
+    """A bucket's pairs from what the blocks sent, and its seating, which is the same each time: it depends on the counts
+    and a seed alone."""
+    bucket = table["bucket"][0].as_py()
+    sent = [_unpack(p.as_py()) for p in table["pairs"]]
+    hashes, to_dish = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
+    before, first, to_before = np.unique(np.concatenate([s[2] for s in sent]), return_index=True, return_inverse=True)
+    layout = Layout(before, np.concatenate([s[3] for s in sent])[first].astype(np.int64), o.endings, buckets)
+    words, lists = np.cumsum([0] + [len(s[0]) for s in sent]), np.cumsum([0] + [len(s[2]) for s in sent])
+    dish = np.concatenate([np.repeat(to_dish[a:b], s[1]) for s, a, b in zip(sent, words[:-1], words[1:], strict=True)])
+    where = np.concatenate([to_before[a:b][s[4]] for s, a, b in zip(sent, lists[:-1], lists[1:], strict=True)])
+    seen = np.concatenate([s[5].astype(np.int64) for s in sent])
+    bounds = np.cumsum([0] + [len(s[4]) for s in sent])
+    del sent, to_before, first
+    dish *= len(before)
+    dish += where
+    del where
+    pairs, to_pair = np.unique(dish, return_inverse=True)
+    to_pair, to_dish = to_pair.astype(np.int32), to_dish.astype(np.int32)
+    dish, restaurant = np.divmod(pairs, len(before))
+    restaurant += o.endings
+    seen = np.bincount(to_pair, weights=seen, minlength=len(pairs)).astype(np.int64)
+    return {
+        "bucket": bucket, "hashes": hashes, "layout": layout, "dish": dish, "restaurant": restaurant,
+        "words": [to_dish[a:b] for a, b in zip(words[:-1], words[1:], strict=True)],
+        "pairs": [to_pair[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)],
+        "seated": seat_bucket(dish, restaurant, seen, len(hashes), layout, o, bucket),
+    }
+
+
+def _totals(requests: DataFrame, buckets: int, o: ModelOptions) -> DataFrame:
+    """(bucket, origin, opened, totals) from seating every bucket. The discounted tables of a token's own restaurant go to the
+    bucket of that token; the shared restaurants' totals stand in a row of bucket -1."""
 
     def seat(table: pa.Table) -> pa.Table:
-        bucket = table["bucket"][0].as_py()
-        table = table.sort_by("block")
-        sent = [_unpack(p.as_py()) for p in table["pairs"]]
-        hashes, to_dish = np.unique(np.concatenate([s[0] for s in sent]), return_inverse=True)
-        words = np.cumsum([0] + [len(s[0]) for s in sent])
-        dish = np.concatenate([np.repeat(to_dish[a:b], s[1]) for s, a, b in zip(sent, words[:-1], words[1:], strict=True)])
-        where = np.concatenate([s[2] for s in sent]).astype(np.int64)
-        seen = np.concatenate([s[3].astype(np.int64) for s in sent])
-        bounds = np.cumsum([0] + [len(s[2]) for s in sent])
-        del sent
-        pairs, to_pair = np.unique(dish * layout.restaurants + where, return_inverse=True)
-        dish, restaurant = np.divmod(pairs, layout.restaurants)
-        seen = np.bincount(to_pair, weights=seen, minlength=len(pairs)).astype(np.int64)
-        s = seat_bucket(dish, restaurant, seen, len(hashes), layout, o, bucket)
-        if totals is None:
-            learned = float((s["count"] > 0).sum())
-            found = np.concatenate([[learned], *(x["totals"] for x in s["samples"])]).tolist()
-            blocks, answers, sums = [None], [None], [found]
-        else:
-            count, chance = s["count"].astype(np.uint64), totals.chances(s, dish, restaurant, layout, o).astype(np.float32)
-            blocks = table["block"].to_pylist()
-            answers = [
-                _pack([_narrow(count[to_dish[words[k] : words[k + 1]]]), chance[to_pair[bounds[k] : bounds[k + 1]]]])
-                for k in range(len(blocks))
-            ]
-            sums = [[]] * len(blocks)
+        b = _bucket(table.sort_by("block"), buckets, o)
+        shared, f = 2 + 2 * o.endings, len(b["layout"].frequent)
+        totals = [x["totals"] for x in b["seated"]["samples"]]
+        opened = np.sum([x[shared + f :] for x in totals], axis=0) / o.samples
+        some = np.flatnonzero(opened > 0)
+        hashes, opened = b["layout"].frequent[some], opened[some].astype(np.float32)
+        target = (mixed(hashes) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(target, kind="stable")  # hashes still ascend within a target
+        hashes, opened, target = hashes[order], opened[order], target[order]
+        ends = np.searchsorted(target, np.arange(buckets + 1))
+        sent = [k for k in range(buckets) if ends[k] < ends[k + 1]]
+        learned = float((b["seated"]["count"] > 0).sum())
+        sums = np.concatenate([[learned], *(x[:shared] for x in totals)]).tolist()
         return pa.table(
             {
-                "block": pa.array(blocks, pa.int64()),
-                "bucket": pa.array([bucket] * len(blocks), pa.int32()),
-                "answer": pa.array(answers, pa.binary()),
-                "totals": pa.array(sums, pa.list_(pa.float64())),
+                "bucket": pa.array([-1, *sent], pa.int32()),
+                "origin": pa.array([b["bucket"]] * (len(sent) + 1), pa.int32()),
+                "opened": pa.array([None, *(_pack([hashes[ends[k] : ends[k + 1]], opened[ends[k] : ends[k + 1]]]) for k in sent)], pa.binary()),
+                "totals": pa.array([sums, *([[]] * len(sent))], pa.list_(pa.float64())),
             }
         )
 
-    return requests.groupBy("bucket").applyInArrow(seat, "block long, bucket int, answer binary, totals array<double>")
+    return requests.groupBy("bucket").applyInArrow(seat, "bucket int, origin int, opened binary, totals array<double>")
+
+
+def _answers(requests: DataFrame, opened: DataFrame, buckets: int, o: ModelOptions, totals: Totals) -> DataFrame:
+    """(block, bucket, answer): learned occurrences and own tables of a block's dishes, and the parts of its pairs."""
+
+    def answer(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows:  # a token before stands in a block, so its bucket is always asked
+            return pa.table({"block": pa.array([], pa.int64()), "bucket": pa.array([], pa.int32()), "answer": pa.array([], pa.binary())})
+        left = left.sort_by("block")
+        b = _bucket(left, buckets, o)
+        tables = np.zeros(len(b["hashes"]))
+        for row in right.sort_by("origin")["opened"]:
+            hashes, n = _unpack(row.as_py())
+            tables[np.searchsorted(b["hashes"], hashes)] += n
+        count, tables = b["seated"]["count"].astype(np.uint64), tables.astype(np.float32)
+        seats, chance = totals.parts(b["seated"], b["dish"], b["restaurant"], b["layout"], o)
+        found = [_pack([_narrow(count[w]), tables[w], seats[p], chance[p]]) for w, p in zip(b["words"], b["pairs"], strict=True)]
+        return pa.table(
+            {"block": left["block"], "bucket": pa.array([b["bucket"]] * len(found), pa.int32()), "answer": pa.array(found, pa.binary())}
+        )
+
+    pairs = requests.groupBy("bucket").cogroup(opened.groupBy("bucket"))
+    return pairs.applyInArrow(answer, "block long, bucket int, answer binary")
 
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -414,38 +434,38 @@ def score_documents(documents: DataFrame, held_out: Column, options: ModelOption
     Learns from documents that are not held out (a null `held_out` is learned from), scores all whole texts. A null or
     empty text is one token, its end. `score` and `base_score` are logarithms to the base 10. Equal texts of one fold have
     equal scores. An empty table gives no rows; with nothing to learn from every token is unknown. Blocks and answers are
-    written to the shared folder; the driver sees the frequent tokens and the restaurants' totals, both of bounded number.
-    Buckets are seated twice, alike, for the totals and then for the answers, so that no seating has to be stored.
+    written to the shared folder; the driver sees the shared restaurants' totals, which are of bounded number. Buckets are
+    seated twice, alike, for the totals and then for the answers, so that no seating has to be stored.
     """
     o = options or ModelOptions()
     spark = documents.sparkSession
     blocks = written(_block_rows(documents, held_out, o), shared_folder(spark, "lm-blocks"))
     sums = blocks.agg(F.sum("n_tokens"), F.sum("n_learned")).first()
     tokens, learned = int(sums[0] or 0), int(sums[1] or 0)
-    top = blocks.select(F.explode(F.arrays_zip("top", "top_counts", "top_endings")).alias("x")).groupBy("x.top")
-    top = top.agg(F.sum("x.top_counts").alias("n"), F.min("x.top_endings").alias("ending"))
-    rows = sorted((np.int64(r[0]).astype(np.uint64), r[2]) for r in top.orderBy(F.desc("n"), "top").limit(o.frequent).collect())
-    layout = Layout(
-        np.array([h for h, _ in rows], np.uint64), np.array([e for _, e in rows], np.int64), o.endings,
-        max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // o.bucket_tokens)),
-    )
-    requests = _requests(blocks, layout)
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-tokens // o.bucket_tokens))
+    found, folder = stored(_totals(_requests(blocks, buckets), buckets, o), "lm-totals")
     # summed in a few tasks and then here: one list from each
-    parts = _seated(requests, layout, o, None).select("totals").repartition(16).mapInArrow(_summed, "totals array<double>").collect()
+    parts = found.filter("bucket < 0").select("totals").repartition(16).mapInArrow(_summed, "totals array<double>").collect()
     summed = np.sum([r["totals"] for r in parts], axis=0).tolist() if parts else []
     vocabulary = int(summed[0]) if summed else 0
     totals = Totals(vocabulary, np.array(summed[1:]).reshape(o.samples, -1) if summed else np.zeros((o.samples, 0)))
-    answers = written(_seated(requests, layout, o, totals).drop("totals"), shared_folder(spark, "lm-answers"))
+    release_shuffles(spark)  # the shuffle of the first seating goes before the second one is written
+    opened = found.filter("bucket >= 0").select("bucket", "origin", "opened")
+    answers = written(_answers(_requests(blocks, buckets), opened, buckets, o, totals), shared_folder(spark, "lm-answers"))
+    superseded(spark, folder)
+    release_shuffles(spark)  # that of the second seating, before blocks meet their answers
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
         ids, held, scores = [], [], []
         for k in range(left.num_rows):
             counts = left["counts"][k].values.to_numpy()
-            block = Block(left["tokens"][k].as_py(), counts, layout)
+            block = Block(left["tokens"][k].as_py(), counts, buckets)
             parts = [_unpack(a.as_py()) for a in right["answer"]]
             count = np.concatenate([p[0] for p in parts]).astype(np.float64)
-            chance = np.concatenate([p[1] for p in parts]).astype(np.float64)
+            tables, seats, chance = (np.concatenate([p[i] for p in parts]).astype(np.float64) for i in (1, 2, 3))
+            own = block.place[block.before]  # the token before, as a dish: its occurrences are its restaurant's customers
+            chance = (seats + (o.strength + tables[own]) * chance) / (o.strength + count[own])
             owner = np.repeat(np.arange(len(counts)), counts)
             base = np.log10((count + 1) / (learned + 1 * (vocabulary + 1)))[block.word_of]
             model = np.log10(chance)[block.pair_of]
