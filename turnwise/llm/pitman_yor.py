@@ -29,7 +29,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from turnwise.llm.arrow_text import mixed, release_shuffles, shared_folder, stored, superseded, text_slices, word_codes, word_hashes, written
+from turnwise.llm.arrow_text import (
+    mixed, release_shuffles, shared_folder, stored, superseded, text_slices, word_codes, word_hashes, written,
+)
 
 EXACT = 64  # customers of a dish up to which the number of tables is drawn from its exact conditional
 
@@ -42,7 +44,7 @@ class ModelOptions:
     burn_in: int = 2
     samples: int = 3
     block_bytes: int = 8 << 20
-    bucket_tokens: int = 4 << 20
+    bucket_tokens: int = 2 << 20
     seed: int = 11
 
 
