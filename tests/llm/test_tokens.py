@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from turnwise.llm import byte_bpe, packing, token_files
 from turnwise.llm.arrow_text import shared_folder
 from turnwise.llm.queries import op2_packing, op4_token_files, op6_byte_bpe
-from turnwise.llm.token_chunks import PieceTable, library_encoder, token_ids
+from turnwise.llm.token_chunks import MatchEncoder, PieceTable, library_encoder, token_ids
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -55,6 +55,23 @@ def test_pieces_give_the_ids_of_whole_texts(library):
     assert ids.tolist() == [i for t in texts for i in library(t)]
 
 
+def test_a_match_goes_to_the_library_once_and_with_others():
+    """Also if it stands in several pieces; a call's ids are dealt to its matches."""
+    from tokenizers import Tokenizer
+
+    tokenizer, calls = Tokenizer.from_file(BYTE_BPE), []
+    encoder = MatchEncoder(tokenizer.model)
+    encoded = encoder._encoded
+    encoder._encoded = lambda matches: calls.append(matches.to_pylist()) or encoded(matches)
+    matches = [" some", ".", "\n", "some", " \n\t", "\U0001f600!", "\u65e5\u672c", " some", "."]
+    got = [encoder.lists.gather(encoder.rows([m]))[0].tolist() for m in matches]
+    assert got == [tokenizer.encode(m).ids for m in matches]
+    encoder.clear()
+    ids, n = encoder.lists.gather(encoder.rows([*matches, "x" * 900]))
+    assert np.split(ids, np.cumsum(n)[:-1])[6].tolist() == got[6] and n.tolist()[:9] == list(map(len, got))
+    assert [len(c) for c in calls] == [1] * 7 + [8]
+
+
 def test_segment_trees_give_the_library_s_ids(tiktoken_ids):
     texts = [*odd_texts(), "a" * 3000, "ab" * 1500, " " * 700, "xyzzy" * 999]
     ids, n = token_ids(pa.array(texts, pa.large_string()), PieceTable(byte_bpe.rank_encoder(RANKS, public_tokenizers.PATTERN)))

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import os
 from collections.abc import Callable, Iterable
-from functools import lru_cache
+from itertools import compress, repeat
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +19,8 @@ import pyarrow.compute as pc
 
 CACHE = 400_000  # distinct pieces remembered by a worker; beyond it those stay that more than one slice has used
 CACHE_CHARS = 16 << 20  # and characters of them
+MATCHES = 1 << 17  # the pattern's matches remembered, of which pieces consist
+TOGETHER = 1 << 12  # matches that one call of the library encodes
 CLOSERS = frozenset(".,;:!?")  # a match by itself behind letters, at the end of a text
 
 Encode = Callable[[Iterable[str]], tuple[np.ndarray, np.ndarray]]  # ids one after another, and how many each text has
@@ -27,6 +30,96 @@ def flattened(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array([i for x in ids for i in x], np.uint32), np.fromiter(map(len, ids), np.int64, len(ids))
 
 
+def strings(texts: pa.Array) -> list[str]:
+    return texts.to_numpy(zero_copy_only=False).tolist()
+
+
+class IdLists:
+    """Lists of ids that grow in number."""
+
+    def __init__(self):
+        self.flat = np.zeros(1 << 20, np.uint32)
+        self.ends = np.zeros(1 << 17, np.int64)
+        self.used = self.size = 0
+
+    def add(self, ids: np.ndarray, counts: np.ndarray) -> None:
+        total, n = len(ids), len(counts)
+        while self.used + total > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while self.size + n > len(self.ends):
+            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
+        self.flat[self.used : self.used + total] = ids
+        self.ends[self.size : self.size + n] = self.used + np.cumsum(counts)
+        self.used += total
+        self.size += n
+
+    def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the rows one after another, and how many each has."""
+        stop = self.ends[rows]
+        start = np.where(rows > 0, self.ends[rows - 1], 0)
+        counts = stop - start
+        ends = np.cumsum(counts)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - counts), counts)
+        return self.flat[at], counts
+
+
+def rows_or_new(texts: list[str], known: dict[str, int], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row of each of the distinct texts, and which were new: those are given the rows from `size` up."""
+    rows = np.array(list(map(known.get, texts, repeat(-1))), np.int64)
+    new = np.flatnonzero(rows < 0)
+    if len(new):
+        rows[new] = size + np.arange(len(new))
+        known.update(zip([texts[k] for k in new.tolist()], range(size, size + len(new)), strict=True))
+    return rows, new
+
+
+class MatchEncoder:
+    """Ids of matches of the pattern by a byte-level model, many in one call of the library; each distinct one once while
+    it is remembered. A call's ids are dealt to the matches by the bytes that they stand for."""
+
+    def __init__(self, model: Any):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        # the library's pre-tokeniser stands for bytes by printable characters: 33-126, 161-172 and 174-255 by themselves,
+        # the others by 256 and up; a line feed is none of them
+        own = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        rest = iter(range(256, 512))
+        self.stands = np.array([b if b in own else next(rest) for b in range(256)], "<u2")
+        self.tokenizer = Tokenizer(model)
+        self.tokenizer.pre_tokenizer = pre_tokenizers.CharDelimiterSplit("\n")
+        vocabulary = self.tokenizer.get_vocab()
+        self.widths = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        self.widths[list(vocabulary.values())] = list(map(len, vocabulary))
+        self.clear()
+
+    def clear(self) -> None:
+        self.known: dict[str, int] = {}
+        self.lists = IdLists()
+
+    def rows(self, matches: list[str]) -> np.ndarray:
+        """Place in the lists of each match, none of which is empty; valid until the next call."""
+        if self.lists.size > MATCHES:
+            self.clear()
+        coded = pa.array(matches, pa.large_string()).dictionary_encode()
+        rows, new = rows_or_new(strings(coded.dictionary), self.known, self.lists.size)
+        unknown = coded.dictionary.take(pa.array(new))
+        for k in range(0, len(unknown), TOGETHER):
+            self.lists.add(*self._encoded(unknown.slice(k, TOGETHER)))
+        return rows[coded.indices.to_numpy(zero_copy_only=False)]
+
+    def _encoded(self, matches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.frombuffer(matches.buffers()[1], np.int64, len(matches) + 1, matches.offset * 8)
+        data = np.frombuffer(matches.buffers()[2], np.uint8, int(ends[-1] - ends[0]), int(ends[0]))
+        ends = ends - ends[0]
+        text = np.insert(self.stands[data], ends[1:-1], 10).tobytes().decode("utf-16-le")
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+        reach = np.cumsum(self.widths[ids])
+        cuts = np.searchsorted(reach, ends[1:])
+        if not np.array_equal(reach[cuts], ends[1:]):
+            raise ValueError("the model's tokens do not cover every byte")
+        return ids, np.diff(cuts, prepend=-1)
+
+
 def library_encoder(path: str) -> Encode:
     """Ids by a byte-level BPE file of the tokenizers library: its pattern's matches, each by the library's model."""
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -38,34 +131,32 @@ def library_encoder(path: str) -> Encode:
     if not isinstance(tokenizer.pre_tokenizer, pre_tokenizers.ByteLevel) or tokenizer.normalizer is not None:
         tokenizer.encode_special_tokens = True
         return lambda texts: flattened([e.ids for e in tokenizer.encode_batch_fast(list(texts), add_special_tokens=False)])
-    # the library's pre-tokeniser stands for bytes by printable characters: 33-126, 161-172 and 174-255 by themselves,
-    # the others by 256 and up
-    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = iter(range(256, 512))
-    stands = {b: b if b in set(own) else next(rest) for b in range(256)}
-    matches, model = regex.compile(PATTERN).findall, tokenizer.model.tokenize
-
-    space = chr(stands[32])
-
-    def merged(match: str) -> list[int]:
-        if match.isascii() and match.isprintable():  # of these only the space is shown by another character
-            return [t.id for t in model(match.replace(" ", space))]
-        return [t.id for t in model(match.encode().decode("latin-1").translate(stands))]
-
-    often = lru_cache(1 << 16)(merged)  # short matches such as punctuation recur in different pieces
-
-    def ids(text: str) -> list[int]:
-        body = text.removeprefix(" ")
-        if body.isalpha():  # letters with or without a space before them are one match
-            return merged(text)
-        if body[:-1].isalpha() and body[-1] in CLOSERS:
-            return merged(text[:-1]) + often(body[-1])
-        found = matches(text)
-        if len(found) == 1:
-            return merged(found[0])
-        return [i for match in found for i in (often(match) if len(match) < 4 else merged(match))]
-
-    return lambda texts: flattened(list(map(ids, texts)))
+    matches, encoder = regex.compile(PATTERN).findall, MatchEncoder(tokenizer.model)
+
+    def encode(texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray]:
+        texts = list(texts)
+        bodies = [text.removeprefix(" ") for text in texts]
+        single = np.fromiter(map(str.isalpha, bodies), bool, len(texts))  # letters with or without a space are one match
+        counts = np.ones(len(texts), np.int64)
+        found: list[str] = []
+        for k in np.flatnonzero(~single).tolist():
+            text, body = texts[k], bodies[k]
+            if body[:-1].isalpha() and body[-1] in CLOSERS:
+                found += (text[:-1], body[-1])
+                counts[k] = 2
+            else:
+                several = matches(text)
+                found += several
+                counts[k] = len(several)
+        known = encoder.rows([*compress(texts, single.tolist()), *found])
+        rows = np.empty(len(known), np.int64)
+        alone = np.repeat(single, counts)
+        rows[alone], rows[~alone] = np.split(known, [int(single.sum())])
+        ids, sizes = encoder.lists.gather(rows)
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        return ids, np.diff(ends[np.cumsum(counts)], prepend=0)
+
+    return encode
 
 
 class PieceTable:
@@ -76,69 +167,59 @@ class PieceTable:
         self.clear()
 
     def clear(self) -> None:
-        self.after_space: dict[str, int] = {}
-        self.plain: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.ends = np.zeros(1 << 17, np.int64)
-        self.loose = np.zeros(1 << 17, bool)
-        self.uses = np.zeros(1 << 17, np.int32)  # slices that asked for the row
-        self.used = self.size = self.chars = 0
+        self.known: tuple[dict[str, int], dict[str, int]] = ({}, {})  # rows of pieces as they are, and after a space
+        self.lists = IdLists()
+        self.loose = np.zeros(0, bool)
+        self.uses = np.zeros(0, np.int32)  # slices that asked for the row
+        self.chars = 0
 
     def make_room(self) -> None:
         """Called between slices only, as it numbers the rows anew. A full table keeps what more than one slice has used
         since the last time, or nothing if that alone half fills it."""
-        if self.size <= CACHE and self.chars <= CACHE_CHARS:
+        if self.lists.size <= CACHE and self.chars <= CACHE_CHARS:
             return
-        kept = np.flatnonzero(self.uses[: self.size] > 1)
-        place = np.full(self.size, -1, np.int64)
+        kept = np.flatnonzero(self.uses > 1)
+        place = np.full(self.lists.size, -1, np.int64)
         place[kept] = np.arange(len(kept))
-        ids, counts = self.gather(kept)
-        loose, places = self.loose[kept], place.tolist()
-        known = [{p: places[r] for p, r in table.items() if places[r] >= 0} for table in (self.after_space, self.plain)]
-        chars = sum(len(p) for table in known for p in table)
+        ids, counts = self.lists.gather(kept)
+        loose = self.loose[kept]
+        stay = place.tolist()
+        known = tuple({p: stay[r] for p, r in rows.items() if stay[r] >= 0} for rows in self.known)
+        chars = sum(len(p) for rows in known for p in rows)
         self.clear()
         if len(kept) <= CACHE // 2 and chars <= CACHE_CHARS // 2:
-            self.after_space, self.plain = known
+            self.known = known
             self.store(ids, counts, loose, chars)
 
     def store(self, ids: np.ndarray, counts: np.ndarray, loose: np.ndarray, chars: int) -> None:
         """Adds rows."""
-        total, n = len(ids), len(counts)
-        while self.used + total > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while self.size + n > len(self.ends):
-            self.ends = np.concatenate([self.ends, np.zeros_like(self.ends)])
-            self.loose = np.concatenate([self.loose, np.zeros_like(self.loose)])
-            self.uses = np.concatenate([self.uses, np.zeros_like(self.uses)])
-        self.flat[self.used : self.used + total] = ids
-        self.ends[self.size : self.size + n] = self.used + np.cumsum(counts)
-        self.loose[self.size : self.size + n] = loose
-        self.used += total
-        self.size += n
+        self.lists.add(ids, counts)
+        self.loose = np.concatenate([self.loose, loose])
+        self.uses = np.concatenate([self.uses, np.zeros(len(loose), np.int32)])
         self.chars += chars
 
-    def rows(self, pieces: list[str], after_space: bool) -> np.ndarray:
+    def rows(self, pieces: pa.Array, after_space: bool) -> np.ndarray:
         """Row of each distinct piece, encoded with a space before it or as it is."""
-        known = self.after_space if after_space else self.plain
-        new = [p for p in pieces if p not in known]
-        if new:
-            known.update(zip(new, range(self.size, self.size + len(new)), strict=True))
-            ids, counts = self.encode(" " + p for p in new) if after_space else self.encode(new)
+        texts = strings(pieces)
+        rows, new = rows_or_new(texts, self.known[after_space], self.lists.size)
+        if len(new):
+            texts = [texts[k] for k in new.tolist()]
+            ids, counts = self.encode([" " + p for p in texts] if after_space else texts)
             # a piece at whose edge there is white space, or an empty one, does not stand by itself
-            loose = np.array([not p or p[0].isspace() or p[-1].isspace() for p in new])
-            self.store(ids, counts, loose, sum(map(len, new)))
-        rows = np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces))
+            loose = ~np.fromiter(map(str.isalpha, texts), bool, len(texts))
+            loose[loose] = [not p or p[0].isspace() or p[-1].isspace() for p in compress(texts, loose.tolist())]
+            self.store(ids, counts, loose, sum(map(len, texts)))
         self.uses[rows] += 1
         return rows
 
+    def rows_of_texts(self, pieces: list[str], after_space: bool) -> np.ndarray:
+        """Row of each piece; they may repeat."""
+        coded = pa.array(pieces, pa.large_string()).dictionary_encode()
+        return self.rows(coded.dictionary, after_space)[coded.indices.to_numpy(zero_copy_only=False)]
+
     def gather(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, and how many each has."""
-        stop = self.ends[rows]
-        start = np.where(rows > 0, self.ends[rows - 1], 0)
-        counts = stop - start
-        ends = np.cumsum(counts)
-        at = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(start - (ends - counts), counts)
-        return self.flat[at], counts
+        return self.lists.gather(rows)
 
 
 _tables: dict[str, PieceTable] = {}
@@ -157,7 +238,7 @@ def piece_rows(text: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarra
     split = pc.split_pattern(text, " ")
     n = pc.list_value_length(split).to_numpy(zero_copy_only=False).astype(np.int64)
     coded = split.flatten().dictionary_encode()
-    words, codes = coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False)
+    words, codes = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
     rows = table.rows(words, True)[codes]
     first = np.zeros(len(codes), bool)
     first[np.cumsum(n) - n] = True
@@ -166,25 +247,22 @@ def piece_rows(text: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarra
     glue[1:] = loose[1:] | loose[:-1]
     glue &= ~first
     at = np.flatnonzero(first)
-    heads = [words[c] for c in codes[at]]
-    rows[at] = table.rows(list(dict.fromkeys(heads)), False)[_ranks(heads)]
+    rows[at] = table.rows_of_texts(strings(words.take(pa.array(codes[at]))), False)
     if glue.any():
         kept = np.flatnonzero(~glue)
         sizes = np.diff(np.append(kept, len(codes)))
-        for a, size in zip(kept[sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
-            whole = " ".join(words[c] for c in codes[a : a + size])
-            rows[a] = table.rows([whole], not first[a])[0]
+        heads, sizes = kept[sizes > 1], sizes[sizes > 1]
+        ends = np.cumsum(sizes)
+        parts = strings(words.take(pa.array(codes[np.arange(int(ends[-1])) + np.repeat(heads - (ends - sizes), sizes)])))
+        wholes = [" ".join(parts[e - k : e]) for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
+        for begins in (False, True):
+            some = np.flatnonzero(first[heads] == begins)
+            rows[heads[some]] = table.rows_of_texts([wholes[k] for k in some.tolist()], not begins)
         n = np.bincount(np.repeat(np.arange(len(n)), n)[kept], minlength=len(n))
         rows = rows[kept]
     return rows, n
 
 
-def _ranks(values: list[str]) -> np.ndarray:
-    """Place of each value among the distinct ones in order of appearance."""
-    place: dict[str, int] = {}
-    return np.fromiter((place.setdefault(v, len(place)) for v in values), np.int64, len(values))
-
-
 def token_ids(text: pa.Array, table: PieceTable) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all the texts one after another, and how many each has. Empty text: none."""
     rows, n = piece_rows(text, table)
