@@ -1,10 +1,13 @@
 """Every token before has a restaurant of its own, whatever its rank, and its totals over all buckets are exact."""
 
+import glob
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from turnwise.llm import pitman_yor
+from turnwise.llm.arrow_text import release_shuffles, stored
 from turnwise.llm.pitman_yor import ModelOptions
 
 
@@ -38,3 +41,28 @@ def test_customers_of_a_restaurant_are_its_seats_and_tables(spark, documents, bu
     assert np.bincount(own, weights=seats, minlength=len(count)) + tables == pytest.approx(count, rel=1e-4, abs=1e-3)
     assert (chance > 0).all() and (tables > 0).all() and (seats > 0).all()
     assert {r.bucket for r in answers} == set(block.bucket.tolist())
+
+
+def test_recurring_floats_are_packed_as_places_and_come_back_unchanged():
+    random = np.random.default_rng(5)
+    arrays = [
+        random.choice(random.random(50).astype(np.float32), 20_000), random.random(300).astype(np.float32), np.zeros(0, np.float32),
+        np.sort(random.integers(0, 1 << 63, 400).astype(np.uint64)), random.integers(0, 9, 500).astype(np.uint8),
+    ]
+    for a, b in zip(arrays, pitman_yor._unpack(pitman_yor._pack(arrays)), strict=True):
+        assert a.dtype == b.dtype and np.array_equal(a, b)
+    assert len(pitman_yor._pack(arrays[:1])) < 20_000  # less than a byte each; byte planes alone took nearly three
+
+
+def test_the_shuffle_of_the_last_write_is_released(spark):
+    folders = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+
+    def files():
+        return {f for d in folders for f in glob.glob(f"{d}/*/shuffle_*.data")}
+
+    before = files()
+    written, _ = stored(spark.range(5000).repartition(3, "id"), "released")
+    made = files() - before
+    release_shuffles(spark, 2.0)
+    assert made and not made & files()
+    assert written.count() == 5000

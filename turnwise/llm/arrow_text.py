@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
+import time
 from collections.abc import Iterator
 
 import numpy as np
@@ -50,9 +52,13 @@ def superseded(spark: SparkSession, *folders: str) -> None:
         remove(spark, folder)
 
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Has the driver's collector let go of the shuffles of tables that are gone; it takes a moment, so not in each round."""
+def release_shuffles(spark: SparkSession, seconds: float = 0.0) -> None:
+    """Has the driver's collector let go of the shuffles of tables that are gone; it takes a moment, so not in each round.
+    Executors delete the files afterwards: `seconds` is the time they are given before more is written."""
+    gc.collect()  # Python's references to plans keep theirs
+    spark.range(1).count()  # the plan of the last write is held until another query has run
     spark.sparkContext._jvm.System.gc()
+    time.sleep(seconds)
 
 
 def give_back() -> None:

@@ -33,6 +33,7 @@ from turnwise.llm.arrow_text import (
     mixed, release_shuffles, shared_folder, stored, superseded, text_slices, word_codes, word_hashes, written,
 )
 
+RELEASE_SECONDS = 2.0  # in which executors delete the files of a seating's shuffle, which are as large as the input
 EXACT = 64  # customers of a dish up to which the number of tables is drawn from its exact conditional
 
 
@@ -48,16 +49,29 @@ class ModelOptions:
     seed: int = 11
 
 
+PLAIN, DIFFERENCES, DISTINCT = 0, 1, 2  # of the last, the places of all values follow as an array
+
+
 def _pack(arrays: list[np.ndarray]) -> bytes:
-    """Arrays in one compressed piece: ascending hashes as differences, all values byte by byte in planes."""
+    """Arrays in one compressed piece: ascending hashes as differences, floats that recur as the distinct ones and their
+    places, all values byte by byte in planes. Nothing is rounded."""
     import zstandard
 
-    head, planes = [len(arrays)], []
+    head, planes = [0], []
+
+    def add(a: np.ndarray, form: int) -> None:
+        head[0] += 1
+        head.extend([len(a), ord(a.dtype.char), form])
+        a = np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if form == DIFFERENCES else a)
+        planes.append(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes())
+
     for a in arrays:
-        ascending = a.dtype == np.uint64 and bool((a[1:] >= a[:-1]).all())
-        head += [len(a), ord(a.dtype.char), ascending]
-        a = np.ascontiguousarray(np.diff(a, prepend=a.dtype.type(0)) if ascending else a)
-        planes.append(a.view(np.uint8).reshape(len(a), -1).T.tobytes())
+        if a.dtype == np.float32:
+            values, at = np.unique(a, return_inverse=True)
+            if 2 * len(values) <= len(a):
+                add(values, DISTINCT)
+                a = _narrow(at)
+        add(a, DIFFERENCES if a.dtype == np.uint64 and bool((a[1:] >= a[:-1]).all()) else PLAIN)
     return zstandard.ZstdCompressor(level=1).compress(b"".join([np.array(head, np.int64).tobytes(), *planes]))
 
 
@@ -66,13 +80,18 @@ def _unpack(data: bytes) -> list[np.ndarray]:
 
     raw = zstandard.ZstdDecompressor().decompress(data)
     n = int(np.frombuffer(raw, np.int64, 1)[0])
-    out, at = [], 8 + 24 * n
-    for size, kind, ascending in np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3).tolist():
+    out, at, values = [], 8 + 24 * n, None
+    for size, kind, form in np.frombuffer(raw, np.int64, 3 * n, 8).reshape(n, 3).tolist():
         width = np.dtype(chr(kind)).itemsize
         planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, size)
         a = np.ascontiguousarray(planes.T).view(chr(kind)).ravel()
-        out.append(np.cumsum(a, dtype=np.uint64) if ascending else a)
         at += size * width
+        if form == DISTINCT:
+            values = a
+            continue
+        a = np.cumsum(a, dtype=np.uint64) if form == DIFFERENCES else a
+        out.append(a if values is None else values[a])
+        values = None
     return out
 
 
@@ -451,11 +470,11 @@ def score_documents(documents: DataFrame, held_out: Column, options: ModelOption
     summed = np.sum([r["totals"] for r in parts], axis=0).tolist() if parts else []
     vocabulary = int(summed[0]) if summed else 0
     totals = Totals(vocabulary, np.array(summed[1:]).reshape(o.samples, -1) if summed else np.zeros((o.samples, 0)))
-    release_shuffles(spark)  # the shuffle of the first seating goes before the second one is written
+    release_shuffles(spark, RELEASE_SECONDS)  # the shuffle of the first seating goes before the second one is written
     opened = found.filter("bucket >= 0").select("bucket", "origin", "opened")
     answers = written(_answers(_requests(blocks, buckets), opened, buckets, o, totals), shared_folder(spark, "lm-answers"))
     superseded(spark, folder)
-    release_shuffles(spark)  # that of the second seating, before blocks meet their answers
+    release_shuffles(spark, RELEASE_SECONDS)  # that of the second seating, before blocks meet their answers
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         right = right.sort_by("bucket")
