@@ -12,7 +12,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from turnwise.llm import byte_bpe, packing, token_files
+from turnwise.llm import byte_bpe, packing, token_chunks, token_files
 from turnwise.llm.arrow_text import shared_folder
 from turnwise.llm.queries import op2_packing, op4_token_files, op6_byte_bpe
 from turnwise.llm.token_chunks import MatchEncoder, PieceTable, library_encoder, token_ids
@@ -72,6 +72,37 @@ def test_a_match_goes_to_the_library_once_and_with_others():
     assert [len(c) for c in calls] == [1] * 7 + [8]
 
 
+def test_a_full_table_of_matches_keeps_those_asked_for_again(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_chunks, "MATCHES", 6)
+    tokenizer, sent = Tokenizer.from_file(BYTE_BPE), []
+    encoder = MatchEncoder(tokenizer.model)
+    encoded = encoder._encoded
+    encoder._encoded = lambda matches: sent.extend(matches.to_pylist()) or encoded(matches)
+    for k in range(12):
+        matches = [" the", f" w{k}x", " of", f" y{k}"]
+        ids, n = encoder.lists.gather(encoder.rows(matches))
+        assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(m).ids for m in matches]
+        assert encoder.lists.size <= 6 + len(matches)
+    assert sent.count(" the") == sent.count(" of") == 1
+
+
+def test_cut_places_against_brute_force():
+    random = np.random.default_rng(5)
+    closes = np.array([False, False, False, True])
+    for n in (1, 2, 40, 400):
+        ids = random.integers(0, 4 if n < 400 else 3, n).astype(np.uint32)
+        ends = np.unique([*random.integers(1, n + 1, 3), n])
+        options = packing.PackOptions(stride=7)
+        prices = {k + 1: options.sentence_penalty for k in range(n) if closes[ids[k]]} | {0: 0.0} | dict.fromkeys(ends.tolist(), 0.0)
+        marks = sorted(prices)
+        for a, b in zip(marks, marks[1:], strict=False):
+            prices |= dict.fromkeys(range(a + 7, b, 7), options.inside_penalty)
+        places, found = packing.cut_places(ids, ends, closes, options)
+        assert dict(zip(places.tolist(), found.tolist(), strict=True)) == prices and places.tolist() == sorted(prices)
+
+
 def test_segment_trees_give_the_library_s_ids(tiktoken_ids):
     texts = [*odd_texts(), "a" * 3000, "ab" * 1500, " " * 700, "xyzzy" * 999]
     ids, n = token_ids(pa.array(texts, pa.large_string()), PieceTable(byte_bpe.rank_encoder(RANKS, public_tokenizers.PATTERN)))

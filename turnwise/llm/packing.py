@@ -70,16 +70,16 @@ def best_cuts(positions: np.ndarray, penalties: np.ndarray, window: int) -> np.n
 def cut_places(ids: np.ndarray, ends: np.ndarray, ends_sentence: np.ndarray, options: PackOptions) -> tuple[np.ndarray, np.ndarray]:
     """Positions where a line may be cut, ascending from 0, and the price of each."""
     soft = np.flatnonzero(ends_sentence[np.minimum(ids, len(ends_sentence) - 1)]) + 1
-    hard = np.concatenate([[0], ends])
-    marks = np.union1d(soft, hard)
-    gaps = np.diff(marks)
-    long = np.flatnonzero(gaps > options.stride)
-    extra = [np.arange(marks[g] + options.stride, marks[g + 1], options.stride) for g in long]
-    places = np.union1d(marks, np.concatenate(extra)) if extra else marks
-    prices = np.full(len(places), options.inside_penalty)
-    prices[np.searchsorted(places, soft)] = options.sentence_penalty
-    prices[np.searchsorted(places, hard)] = 0.0
-    return places, prices
+    may, prices = np.zeros(len(ids) + 1, bool), np.full(len(ids) + 1, options.inside_penalty)
+    may[soft], prices[soft] = True, options.sentence_penalty
+    may[ends], prices[ends] = True, 0.0
+    may[0], prices[0] = True, 0.0
+    marks = np.flatnonzero(may)
+    strides = (np.diff(marks) - 1) // options.stride  # cuts before the next mark
+    which = np.arange(1, int(strides.sum()) + 1) - np.repeat(np.cumsum(strides) - strides, strides)
+    may[np.repeat(marks[:-1], strides) + which * options.stride] = True
+    places = np.flatnonzero(may)
+    return places, prices[places]
 
 
 @lru_cache(4)

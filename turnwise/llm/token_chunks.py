@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 CACHE = 400_000  # distinct pieces remembered by a worker; beyond it those stay that more than one slice has used
 CACHE_CHARS = 16 << 20  # and characters of them
-MATCHES = 1 << 17  # the pattern's matches remembered, of which pieces consist
+MATCHES = 1 << 18  # the pattern's matches remembered, of which pieces consist; beyond it those used most stay, half as many at most
 TOGETHER = 1 << 12  # matches that one call of the library encodes
 CLOSERS = frozenset(".,;:!?")  # a match by itself behind letters, at the end of a text
 
@@ -65,7 +65,7 @@ class IdLists:
 
 def rows_or_new(texts: list[str], known: dict[str, int], size: int) -> tuple[np.ndarray, np.ndarray]:
     """Row of each of the distinct texts, and which were new: those are given the rows from `size` up."""
-    rows = np.array(list(map(known.get, texts, repeat(-1))), np.int64)
+    rows = np.fromiter(map(known.get, texts, repeat(-1)), np.int64, len(texts))
     new = np.flatnonzero(rows < 0)
     if len(new):
         rows[new] = size + np.arange(len(new))
@@ -93,19 +93,40 @@ class MatchEncoder:
         self.clear()
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known: dict[str, int] = {}  # in the order of their rows
         self.lists = IdLists()
+        self.uses = np.zeros(0, np.int32)  # calls that asked for the row
+
+    def make_room(self) -> None:
+        """Numbers the rows anew. Most matches are met in one call alone; those that later calls asked for again stay."""
+        if self.lists.size <= MATCHES:
+            return
+        least = 2
+        while np.count_nonzero(self.uses >= least) > MATCHES // 2:
+            least *= 2
+        stays = self.uses >= least
+        ids, counts = self.lists.gather(np.flatnonzero(stays))
+        known = dict(zip(compress(self.known, stays.tolist()), range(len(counts)), strict=True))
+        self.clear()
+        self.known, self.uses = known, np.zeros(len(counts), np.int32)
+        self.lists.add(ids, counts)
 
     def rows(self, matches: list[str]) -> np.ndarray:
         """Place in the lists of each match, none of which is empty; valid until the next call."""
-        if self.lists.size > MATCHES:
-            self.clear()
-        coded = pa.array(matches, pa.large_string()).dictionary_encode()
-        rows, new = rows_or_new(strings(coded.dictionary), self.known, self.lists.size)
-        unknown = coded.dictionary.take(pa.array(new))
-        for k in range(0, len(unknown), TOGETHER):
-            self.lists.add(*self._encoded(unknown.slice(k, TOGETHER)))
-        return rows[coded.indices.to_numpy(zero_copy_only=False)]
+        self.make_room()
+        rows = np.fromiter(map(self.known.get, matches, repeat(-1)), np.int64, len(matches))
+        at = np.flatnonzero(rows < 0)
+        found = [matches[k] for k in at.tolist()]
+        new = list(dict.fromkeys(found))
+        if new:
+            self.known.update(zip(new, range(self.lists.size, self.lists.size + len(new)), strict=True))
+            rows[at] = np.fromiter(map(self.known.__getitem__, found), np.int64, len(found))
+            unknown = pa.array(new, pa.large_string())
+            for k in range(0, len(unknown), TOGETHER):
+                self.lists.add(*self._encoded(unknown.slice(k, TOGETHER)))
+            self.uses = np.concatenate([self.uses, np.zeros(len(new), np.int32)])
+        self.uses[rows] += 1
+        return rows
 
     def _encoded(self, matches: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         ends = np.frombuffer(matches.buffers()[1], np.int64, len(matches) + 1, matches.offset * 8)
@@ -139,15 +160,17 @@ def library_encoder(path: str) -> Encode:
         single = np.fromiter(map(str.isalpha, bodies), bool, len(texts))  # letters with or without a space are one match
         counts = np.ones(len(texts), np.int64)
         found: list[str] = []
-        for k in np.flatnonzero(~single).tolist():
-            text, body = texts[k], bodies[k]
+        sizes: list[int] = []
+        others = (~single).tolist()
+        for text, body in zip(compress(texts, others), compress(bodies, others), strict=True):
             if body[:-1].isalpha() and body[-1] in CLOSERS:
                 found += (text[:-1], body[-1])
-                counts[k] = 2
+                sizes.append(2)
             else:
                 several = matches(text)
                 found += several
-                counts[k] = len(several)
+                sizes.append(len(several))
+        counts[~single] = sizes
         known = encoder.rows([*compress(texts, single.tolist()), *found])
         rows = np.empty(len(known), np.int64)
         alone = np.repeat(single, counts)
