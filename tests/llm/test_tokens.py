@@ -80,9 +80,10 @@ def test_a_full_table_of_matches_keeps_those_asked_for_again(monkeypatch):
     encoder = MatchEncoder(tokenizer.model)
     encoded = encoder._encoded
     encoder._encoded = lambda matches: sent.extend(matches.to_pylist()) or encoded(matches)
-    for k in range(12):
-        matches = [" the", f" w{k}x", " of", f" y{k}"]
-        ids, n = encoder.lists.gather(encoder.rows(matches))
+    for letter in "abcdefghijkl":
+        matches = [" the", f" w{letter}x", " of", f" y{letter}z"]
+        rows = encoder.rows(matches)  # may make new lists
+        ids, n = encoder.lists.gather(rows)
         assert [x.tolist() for x in np.split(ids, np.cumsum(n)[:-1])] == [tokenizer.encode(m).ids for m in matches]
         assert encoder.lists.size <= 6 + len(matches)
     assert sent.count(" the") == sent.count(" of") == 1
