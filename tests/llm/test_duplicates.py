@@ -120,6 +120,24 @@ def test_components_against_union_find(spark):
     assert got == {k: find(k) for k in parent if any(k in link and link[0] != link[1] for link in links)}
 
 
+def test_links_that_are_stars_are_not_turned(spark, monkeypatch):
+    tables, own = [], minhash_dedup.stored
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, purpose: tables.append(purpose) or own(df, purpose))
+    links = [(1, k) for k in range(2, 9)] + [(20, 11), (11, 20), (5, 5)]
+    got = {x.node: x.component for x in components(spark.createDataFrame(links, "a long, b long"))[0].collect()}
+    assert got == dict.fromkeys(range(1, 9), 1) | {11: 11, 20: 11}
+    assert tables == ["dedup-stars"]
+
+
+def test_the_driver_s_collector_runs_between_the_steps(spark, monkeypatch):
+    """What was broadcast and shuffled for the first links, their components and a round does not stay for the next one."""
+    runs = []
+    monkeypatch.setattr(minhash_dedup, "release_shuffles", lambda spark: runs.append(1))
+    frame = spark.createDataFrame(chain(2, 20, 40), "doc_id long, text string")
+    near_duplicates(frame, DedupOptions(percent=80)).collect()
+    assert len(runs) >= 3
+
+
 def edited(rows):
     """Edited text of each document, in ascending order with the first after the last."""
     for k, (doc_id, text) in enumerate(rows):

@@ -17,7 +17,6 @@ than once in ten million. Between nodes that share as many, no link is lost to t
 
 from __future__ import annotations
 
-import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -185,7 +184,7 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
     """(node, component): the least node reachable over links (a, b), for every node in a link; and its table's folder.
 
     Stars are turned in alternation: large stars hang greater neighbours on the least one, small stars the smaller ones,
-    until nothing changes; the rounds grow with the logarithm of the longest path.
+    until only stars are left; the rounds grow with the logarithm of the longest path.
     """
 
     def turned(edges: DataFrame, large: bool) -> DataFrame:
@@ -196,21 +195,20 @@ def components(links: DataFrame) -> tuple[DataFrame, str]:
         moved = hung.join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         if not large:
             moved = moved.union(least.select("a", F.col("low").alias("b")))
-        return moved.filter("a <> b").distinct()
+        return moved.filter("a <> b")
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def settled(edges: DataFrame) -> bool:
+        """Whether all edges are stars: a node with an edge to a smaller one has no other edge."""
+        ends = edges.select(F.col("a").alias("node"), F.lit(1).alias("up")).union(edges.select("b", F.lit(0)))
+        loose = ends.groupBy("node").agg(F.sum("up").alias("up"), F.count("*").alias("n")).filter("up > 0 AND n > 1")
+        return loose.agg(F.count("*")).first()[0] == 0
 
     either = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct()
     edges, folder = stored(either, "dedup-stars")
-    before = state(edges)
-    while before[0]:
-        edges, next_folder = stored(turned(turned(edges, True), False), "dedup-stars")
+    while not settled(edges):
+        edges, next_folder = stored(turned(turned(edges, True), False).distinct(), "dedup-stars")
         superseded(links.sparkSession, folder)
-        folder, after = next_folder, state(edges)
-        if after == before:
-            break
-        before = after
+        folder = next_folder
     stars = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return stars.union(edges.select("b", "b").distinct()), folder
 
@@ -312,7 +310,9 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     sets = shingle_sets(texts, o).dropDuplicates(["node"])
     sets = written(sets, shared_folder(spark, "dedup-sets"))
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
+    release_shuffles(spark)  # here and below: the driver holds what was broadcast, too, until its collector has run
     found, stars_folder = components(links)
+    release_shuffles(spark)
     # a node that has a link open meets the other end in several buckets
     several = least_shared_bands(o.percent, o.bands, o.rows)
     left = _in_components(buckets, found).groupBy("node").count().filter(F.col("count") >= several).select("node")
@@ -320,9 +320,8 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     groups = written(groups, shared_folder(spark, "dedup-groups"))
     superseded(spark, shingles_folder)
     last, last_folder = stored(groups.select("bucket", F.lit(None).cast("long").alias("last")).limit(0), "dedup-last")
-    for rounds in itertools.count(1):
-        if rounds % 8 == 0:
-            release_shuffles(spark)
+    while True:
+        release_shuffles(spark)
         last_now, more, open_folder = _further_pairs(groups, found, last, o)
         more, more_folder = stored(_sized(more, sizes, o.percent), "dedup-pairs")
         if more.isEmpty() and last_now.isEmpty():
