@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from turnwise.llm import fingerprints, minhash_dedup
+from turnwise.llm import arrow_text, fingerprints, minhash_dedup
 from turnwise.llm.minhash_dedup import DedupOptions, components, near_duplicates
 from turnwise.llm.queries import op9_minhash_dedup, op10_fingerprints
 
@@ -138,6 +138,29 @@ def test_the_driver_s_collector_runs_between_the_steps(spark, monkeypatch):
     assert len(runs) >= 3
 
 
+def test_places_are_found_once_and_sizes_need_no_joins(spark, monkeypatch):
+    plans, own, own_written = {}, minhash_dedup.stored, minhash_dedup.written
+
+    def seen(df, purpose):
+        plans.setdefault(purpose, df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(minhash_dedup, "stored", lambda df, purpose: seen(df, purpose) or own(df, purpose))
+    monkeypatch.setattr(
+        minhash_dedup, "written", lambda df, folder: seen(df, folder.rsplit("/", 1)[-1].rsplit("-", 1)[0]) or own_written(df, folder)
+    )
+    near_duplicates(spark.createDataFrame(chain(2, 20, 40), "doc_id long, text string"), DedupOptions(percent=80)).collect()
+    assert plans["dedup-ranked"].count("Window [") == 1 and "Window [" not in plans["dedup-groups"]
+    assert plans["dedup-pairs"].count("Join ") == 1
+    assert plans["dedup-links"].count("Join ") <= 4
+
+
+def test_the_driver_s_native_memory_is_given_back(spark, monkeypatch):
+    runs, own = [], arrow_text.trim_driver
+    monkeypatch.setattr(arrow_text, "trim_driver", lambda spark: runs.append(own(spark)))
+    arrow_text.release_shuffles(spark)
+    assert runs == [True]
+
+
 def edited(rows):
     """Edited text of each document, in ascending order with the first after the last."""
     for k, (doc_id, text) in enumerate(rows):

@@ -11,6 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,13 +55,36 @@ def superseded(spark: SparkSession, *folders: str) -> None:
 
 def release_shuffles(spark: SparkSession, seconds: float = 0.0) -> None:
     """Has the driver's collector let go of the shuffles of tables that are gone; it takes a moment, so not in each round.
-    Executors delete the files afterwards: `seconds` is the time they are given before more is written."""
+    Executors delete the files afterwards: `seconds` is the time they are given before more is written. The driver's free
+    native memory goes back to the system as well."""
     gc.collect()  # Python's references to plans keep theirs
     spark.range(1).count()  # the plan of the last write is held until another query has run
     spark.sparkContext._jvm.System.gc()
+    give_back()
+    trim_driver(spark)
     time.sleep(seconds)
 
 
+def trim_driver(spark: SparkSession) -> bool:
+    """Returns free native memory of the driver's JVM to the system, as `give_back` does that of Python; false if this JVM
+    has no such command. Its many threads and compilations leave some hundred MB to the C library, which keeps them."""
+    sc = spark.sparkContext
+    jvm = sc._jvm
+    names = ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")
+    kinds = sc._gateway.new_array(jvm.Class, len(names))
+    try:
+        for k, name in enumerate(names):
+            kinds[k] = jvm.Class.forName(name)
+        values = sc._gateway.new_array(jvm.Object, len(names))
+        values[0] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        values[1] = "systemTrimNativeHeap"
+        server = jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer()
+        jvm.Class.forName("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(server, values)
+    except Py4JError:
+        return False
+    return True
+
+
 def give_back() -> None:
     """Returns free memory to the system: a Python worker outlives its task, and the next stage needs the room."""
     pa.default_memory_pool().release_unused()

@@ -153,12 +153,9 @@ def shingle_sets(documents: DataFrame, o: DedupOptions) -> DataFrame:
     return documents.select("text").mapInArrow(collect_sets, "node long, shingles binary")
 
 
-def _sized(pairs: DataFrame, sizes: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose set sizes allow a link at all."""
-    for end in ("a", "b"):
-        pairs = pairs.join(sizes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}")), end)
-    low, high = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    return pairs.filter(low * 100 >= high * percent).select("a", "b")
+def _sizes_allow(a: str, b: str, percent: int) -> Column:
+    """Whether sets of the sizes in the two columns can be linked at all."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -226,7 +223,8 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOp
 
     Shingles are ordered by how many of the nodes have them, then by hash. If the first shingle that two sets share stands
     at place i of n, they share at most n - i + 1; with `percent` of their union in common that bounds the other's size by
-    `most`. Groups of one component, and rows whose group has no node as small as that, are left out.
+    `most`. Groups of one component, and rows whose group has no node as small as that, are left out. The table holds the
+    rows with their `most`: the groups look at them four times, and places are found once.
     """
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +244,10 @@ def _rare_groups(sets: DataFrame, nodes: DataFrame, found: DataFrame, o: DedupOp
     )
     most = F.floor((F.col("size") - F.col("place") + 1) * (100 + o.percent) / o.percent) - F.col("size")
     ranked = ranked.withColumn("most", most).filter((F.col("held") > 1) & (F.col("most") * 100 >= F.col("size") * o.percent - 100))
-    groups = ranked.select(F.col("shingle").alias("bucket"), "node", "size", "most")
-    return _with_partners(_in_components(groups, found).drop("component")), folder
+    groups, ranked_folder = stored(ranked.select(F.col("shingle").alias("bucket"), "node", "size", "most"), "dedup-ranked")
+    superseded(sets.sparkSession, folder)
+    release_shuffles(sets.sparkSession)
+    return _with_partners(_in_components(groups, found).drop("component")), ranked_folder
 
 
 def _with_partners(groups: DataFrame) -> DataFrame:
@@ -271,7 +271,7 @@ def _further_pairs(buckets: DataFrame, found: DataFrame, last: DataFrame, o: Ded
     pairs = (
         rows.join(hubs, "bucket")
         .filter((F.col("node") > F.col("a")) & (F.col("component") != F.col("of")))
-        .filter("size <= most_a AND size_a <= most")
+        .filter(F.expr("size <= most_a AND size_a <= most") & _sizes_allow("size", "size_a", o.percent))
         .select("a", F.col("node").alias("b"))
         .distinct()
     )
@@ -295,22 +295,23 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
         worded.join(least, ["node", "doc_id"]).dropDuplicates(["node"]).select("node", "doc_id", "size", "bands"),
         shared_folder(spark, "dedup-sets-of-documents"),
     )
-    spread = nodes.select("node", F.explode("bands").alias("bucket"))
+    spread = nodes.select("node", "size", F.explode("bands").alias("bucket"))
     shared = spread.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     buckets = written(spread.join(shared, "bucket"), shared_folder(spark, "dedup-buckets"))
-    sizes = nodes.select("node", "size")
     degrees = buckets.groupBy("node").agg(F.sum(F.col("n") - 1).alias("degree"))
     ranked = buckets.join(degrees, "node")
-    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node"))["node"].alias("a"))
-    pairs = buckets.join(hubs, "bucket").filter("node <> a").select("a", F.col("node").alias("b")).distinct()
-    pairs = _sized(pairs, sizes, o.percent)
+    hubs = ranked.groupBy("bucket").agg(F.max(F.struct("degree", "node", "size")).alias("hub"))
+    hubs = hubs.select("bucket", F.col("hub.node").alias("a"), F.col("hub.size").alias("size_a"))
+    pairs = buckets.join(hubs, "bucket").filter((F.col("node") != F.col("a")) & _sizes_allow("size", "size_a", o.percent))
+    pairs = pairs.select("a", F.col("node").alias("b")).distinct()
     # full sets of nodes that share a bucket, from one document each
     wanted = nodes.join(buckets.select("node").distinct(), "node", "left_semi").select("doc_id").distinct()
     texts = documents.select("doc_id", "text").join(wanted, "doc_id", "left_semi")
     sets = shingle_sets(texts, o).dropDuplicates(["node"])
     sets = written(sets, shared_folder(spark, "dedup-sets"))
+    release_shuffles(spark)  # here and below: the driver holds what was broadcast, and plans, until its collector has run
     links = written(confirmed(pairs, sets, o.percent), shared_folder(spark, "dedup-links"))
-    release_shuffles(spark)  # here and below: the driver holds what was broadcast, too, until its collector has run
+    release_shuffles(spark)
     found, stars_folder = components(links)
     release_shuffles(spark)
     # a node that has a link open meets the other end in several buckets
@@ -323,7 +324,7 @@ def near_duplicates(documents: DataFrame, options: DedupOptions | None = None) -
     while True:
         release_shuffles(spark)
         last_now, more, open_folder = _further_pairs(groups, found, last, o)
-        more, more_folder = stored(_sized(more, sizes, o.percent), "dedup-pairs")
+        more, more_folder = stored(more, "dedup-pairs")
         if more.isEmpty() and last_now.isEmpty():
             superseded(spark, open_folder, more_folder)
             break
